@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import mixing, quality, simhash, warc
 from tessera.llm.common import table
 
 
-def _over(name: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: make(table(spark, sf_dir, name))
+def _over(make: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(*[table(spark, sf_dir, n) for n in names])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op5_simhash_near_dedup": _over("documents", simhash.op5_near_duplicates),
+        "op2_warc_revisits": _over(warc.op2_warc_revisits, "pages"),
+        "op3_source_mix": _over(mixing.op3_source_mix, "documents"),
+        "op4_quality_rules": _over(quality.op4_quality_rules, "documents", "labels"),
+        "op5_simhash_near_dedup": _over(simhash.op5_near_duplicates, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc_revisits": warc.OP2_SQL,
+        "op3_source_mix": mixing.OP3_SQL,
+    }
