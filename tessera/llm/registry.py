@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality, simhash, warc
+from tessera.llm import bpe, html_text, line_dedup, mih, mixing, quality, secrets, simhash, warc
 from tessera.llm.common import table
 
 
@@ -16,10 +16,15 @@ def _over(make: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": _over(line_dedup.op1_line_dedup, "documents"),
         "op2_warc_revisits": _over(warc.op2_warc_revisits, "pages"),
         "op3_source_mix": _over(mixing.op3_source_mix, "documents"),
         "op4_quality_rules": _over(quality.op4_quality_rules, "documents", "labels"),
         "op5_simhash_near_dedup": _over(simhash.op5_near_duplicates, "documents"),
+        "op6_bpe": _over(bpe.op6_bpe, "documents"),
+        "op7_hamming_topk": _over(mih.op7_hamming_topk, "embeddings"),
+        "op9_secret_scan": _over(secrets.op9_secret_scan, "documents"),
+        "op10_html_text": _over(html_text.op10_html_text, "pages"),
     }
 
 
@@ -27,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_revisits": warc.OP2_SQL,
         "op3_source_mix": mixing.OP3_SQL,
+        "op7_hamming_topk": mih.OP7_SQL,
     }
