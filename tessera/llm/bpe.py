@@ -187,7 +187,8 @@ def weave(ids: np.ndarray, at: np.ndarray, extra: list[bytes]) -> np.ndarray:
 def encoded(docs: DataFrame, p: Params) -> DataFrame:
     """``docs`` without its text, plus ``head`` (packed ids) and ``extra``, the missing pieces' ids by place.
 
-    A null text is empty; equal rows stay apart; an empty table gives none.
+    A null text is empty; equal rows stay apart; an empty table gives none. ``docs`` is scanned
+    twice and has to give its rows in the same order, as a table read from files does.
     """
     spark = docs.sparkSession
     table = piece_table(docs, p)
@@ -213,22 +214,25 @@ def _ids(head: bytes, extra: list[dict] | None) -> np.ndarray:
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(coded: DataFrame, p: Params) -> DataFrame:
-    """``doc_id``, the number of tokens and the SHA-256 of the ids and of the decoded text."""
+def digests(coded: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
+    """``doc_id``, the number of tokens, the SHA-256 of the ids and of the decoded text, and if asked the ids."""
     shared = coded.sparkSession.sparkContext.broadcast(id_pieces(p.tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for batch in batches:
-            rows = []
+            rows, all_ids = [], []
             for head, extra in zip(batch.column("head").to_pylist(), batch.column("extra").to_pylist(), strict=True):
                 ids = _ids(head, extra)
                 text = decode(ids.tolist(), pieces)
                 rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                all_ids.append(ids.astype(np.int32) if with_ids else None)
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            columns += [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return coded.select("doc_id", "head", "extra").mapInArrow(run, f"doc_id long, {_DIGEST}")
+    return coded.select("doc_id", "head", "extra").mapInArrow(run, f"doc_id long, {_DIGEST}" + ", ids array<int>" * with_ids)
 
 
 def token_ids(docs: DataFrame, p: Params) -> DataFrame:

@@ -173,6 +173,9 @@ LABELLED = """
 0 plain 4 0 | 1 article 800 0 | 1 article 600 0 | 1 article 40 50 | 1 article 5 100 | 0 plain 9 0
 1 plain 80 0 | 1 plain 120 0 | 1 plain 500 0
 1 plain 600 0
+1 plain 1 0
+1 plain 3 0
+1 plain 2 0
 0 plain 2 0 | 0 plain 1 100 | 0 plain 1 100 | 1 plain+h 5 0 | 1 plain 60 0 | 1 plain 30 0 | 0 plain 1 100 | 0 plain 4 0 | 0 plain 2 100
 0 plain 1 100 | 0 plain 3 0 | 0 plain 2 100 | 1 plain+h 11 0 | 1 plain 25 0 | 1 plain 90 3 | 0 plain 2 100 | 0 plain 5 0 | 0 plain 1 100
 1 plain+h 8 0 | 1 plain 450 0 | 1 plain 700 0 | 1 plain 20 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html_text, line_dedup, mih, mixing, quality, secrets, simhash, warc
+from tessera.llm import bpe, html_text, line_dedup, mih, mixing, pii, quality, secrets, simhash, warc
 from tessera.llm.common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_near_dedup": _over(simhash.op5_near_duplicates, "documents"),
         "op6_bpe": _over(bpe.op6_bpe, "documents"),
         "op7_hamming_topk": _over(mih.op7_hamming_topk, "embeddings"),
+        "op8_pii_spans": _over(pii.op8_pii_spans, "documents"),
         "op9_secret_scan": _over(secrets.op9_secret_scan, "documents"),
         "op10_html_text": _over(html_text.op10_html_text, "pages"),
     }
