@@ -67,7 +67,7 @@ def effective_confidence(c: Column | str, missing: float = 1.0) -> Column:
 def credibility(source_tier: Column | str, method: Column | str, confidence: Column | str, n: Column | str) -> Column:
     """Tier weight x method weight x confidence x saturation with the number of sources."""
     return (
-        lookup(schema.TIER_WEIGHT, source_tier, 0.3) * lookup(schema.METHOD_WEIGHT, method, 0.5) * clamp(confidence)
+        lookup(schema.TIER_WEIGHT, source_tier, 0.4) * lookup(schema.METHOD_WEIGHT, method, 0.75) * clamp(confidence)
         * (1 - F.exp(-0.5 * F.greatest(F.lit(1), col(n))))
     )
 
@@ -127,8 +127,11 @@ def type_class(kinds: Column | str, vocabulary: dict[str, str], default: str = "
 
 
 # Words that make a question hard.
-ABSTRACT_VERBS = ("explain", "compare", "why", "evaluate", "analyze", "justify", "describe")
-QUESTION_WORDS = ("what", "when", "where", "who", "whom", "which", "why", "how")
+ABSTRACT_VERBS = (
+    "rejected", "approved", "denied", "accepted", "failed", "succeeded", "postponed", "cancelled", "confirmed",
+    "dismissed", "granted", "abandoned", "dropped", "removed", "added", "changed", "decided",
+)
+QUESTION_WORDS = ("what", "where", "when", "how", "which", "who", "why", "true", "is", "are", "does", "do", "can", "should")
 
 
 def is_hard_query(text: Column | str) -> Column:
