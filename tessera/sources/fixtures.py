@@ -53,12 +53,14 @@ def needed(sql: str) -> list[str]:
 
 
 def with_derived(sql: str) -> str:
-    """``sql`` with the derived tables that it names put before it."""
+    """``sql`` with the derived tables that it names put before it; one that starts with a comma goes on with tables of its own."""
     names = needed(sql)
-    if not names:
-        return sql
     ctes = ",\n".join(f"{n} AS ({DERIVED[n]})" for n in names)
     body = sql.strip()
+    if body.startswith(","):
+        return f"WITH {ctes}{body}" if names else f"WITH {body[1:]}"
+    if not names:
+        return sql
     recursive = re.match(r"(?i)WITH\s+RECURSIVE\s+", body)
     plain = re.match(r"(?i)WITH\s+", body)
     if recursive:
