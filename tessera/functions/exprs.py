@@ -146,11 +146,11 @@ def time_range(text: Column | str, now: Column) -> Column:
     """The ``(start, end)`` that a phrase names relative to ``now``; null where it names none."""
     t = F.lower(col(text))
     day = F.date_trunc("day", now)
-    n = F.regexp_extract(t, r"(?:last|past) (\d+) (hour|day|week|month|year)s?", 1).cast("int")
+    n = F.regexp_extract(t, r"(?:last|past) (\d+) (hour|day|week|month|year)s?", 1).try_cast("int")
     unit = F.regexp_extract(t, r"(?:last|past) (\d+) (hour|day|week|month|year)s?", 2)
-    ago = F.regexp_extract(t, r"(\d+) (day|week|month|year)s? ago", 1).cast("int")
+    ago = F.regexp_extract(t, r"(\d+) (day|week|month|year)s? ago", 1).try_cast("int")
     ago_unit = F.regexp_extract(t, r"(\d+) (day|week|month|year)s? ago", 2)
-    short = F.regexp_extract(t, r"^(\d+)([dwm])$", 1).cast("int")
+    short = F.regexp_extract(t, r"^(\d+)([dwm])$", 1).try_cast("int")
     short_unit = F.regexp_extract(t, r"^(\d+)([dwm])$", 2)
     back = lambda k, u: F.when(u == "hour", now - F.make_interval(hours=k)).when(u.isin("day", "d"), now - F.make_interval(days=k)).when(
         u.isin("week", "w"), now - F.make_interval(weeks=k)

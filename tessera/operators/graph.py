@@ -35,7 +35,7 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool
 def two_hop_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     near = neighborhood(edges, seeds, 1)
     touch = lambda c: edges.join(near.select(F.col("id").alias(c)), c, "left_semi")
-    return touch("src").union(touch("dst")).select("src", "dst", "edge_type").distinct()
+    return touch("src").unionByName(touch("dst")).select("src", "dst", "edge_type").distinct()
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
