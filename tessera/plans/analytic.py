@@ -212,8 +212,8 @@ CASES = {
         n AS (SELECT query_id, count(DISTINCT c) AS n FROM ch GROUP BY 1), f AS (SELECT ch.query_id, node_id, round(sum(1.0 / (60 + rank)) / (any_value(n) / 61.0), 9) AS score FROM ch JOIN n ON n.query_id = ch.query_id GROUP BY 1, 2) {top('f', 10)}""",
     ),
     "t8_rerank_blend": (
-        lambda t: r6(R.rerank_blend(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("heat_score").alias("score")), t.labels.select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("node_id"), ((F.col("doc_id") % 17) / 17).alias("rescore"))), "score").select("query_id", "node_id", "score"),
-        """, j AS (SELECT node_id % 5 AS query_id, node_id, heat_score AS score, CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE node_id % 17 / 17 END AS r FROM nodes), m AS (SELECT query_id, max(r) AS b FROM j GROUP BY 1)
+        lambda t: r6(R.rerank_blend(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("confidence").alias("score")), t.labels.select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("node_id"), ((F.col("doc_id") % 17) / 17).alias("rescore"))), "score").select("query_id", "node_id", "score"),
+        """, j AS (SELECT node_id % 5 AS query_id, node_id, confidence AS score, CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE node_id % 17 / 17 END AS r FROM nodes), m AS (SELECT query_id, max(r) AS b FROM j GROUP BY 1)
         SELECT j.query_id, node_id, round(round(CASE WHEN r IS NULL OR b <= 0 THEN score ELSE score * (0.5 + 0.5 * r / b) END, 9), 6) AS score FROM j JOIN m ON m.query_id = j.query_id""",
     ),
     "t9_t12_rescoring": (
