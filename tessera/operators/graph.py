@@ -58,6 +58,29 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     return rank
 
 
+def ppr_channel(edges: DataFrame, seeds: DataFrame, k: int = 10, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    """Personalised PageRank for a table of queries at once: ``query_id, node_id, score, rank``.
+
+    ``seeds``: ``query_id, id, weight``. The query is part of every key, so one round is one join
+    for all queries; mass that dangles goes back to its query's seeds.
+    """
+    e = both_ways(edges.where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    out = e.groupBy("src").agg(F.sum("w").alias("total"))
+    e = materialize(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "ppr-edges")
+    total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
+    restart = materialize(seeds.join(total, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") / F.col("total")).alias("r")), "ppr-seeds")
+    rank = restart.select("query_id", "id", F.col("r").alias("rank"))
+    for _ in range(rounds):
+        moved = rank.join(e, rank.id == e.src).groupBy("query_id", F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
+        spread = moved.groupBy("query_id").agg(F.sum("m").alias("spread"))
+        back = restart.join(spread, "query_id", "left").select("query_id", "id", (F.col("r") * (1 - damping * F.coalesce("spread", F.lit(0.0)))).alias("b"))
+        both = moved.join(back, ["query_id", "id"], "full_outer")
+        rank = materialize(both.select("query_id", "id", (damping * F.coalesce("m", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("rank")), "ppr")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    scored = rank.select("query_id", F.col("id").alias("node_id"), F.round("rank", 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def propagate_confidence(prior: DataFrame, edges: DataFrame, alpha: float = 0.8, eta: float = 1.0, rounds: int = 100, epsilon: float = 1e-6) -> DataFrame:
     """x = clip((1 - alpha) prior + alpha (S - eta C) x, 0, 1) to a fixed point; S and C row-normalised per target.
 

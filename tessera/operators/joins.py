@@ -42,6 +42,12 @@ def shared_evidence_peers(claims: DataFrame) -> DataFrame:
     return claims.join(n, ["silo_id", "evidence"]).select("claim_id", (F.col("n") - 1).alias("n_peers"))
 
 
+def session_conflicts(hypotheses: DataFrame) -> DataFrame:
+    """Per hypothesis how many others of its session are about the same node."""
+    n = hypotheses.groupBy("session", "target").agg(F.count("*").alias("n"))
+    return hypotheses.join(n, ["session", "target"]).where("n > 1").select("hypothesis", (F.col("n") - 1).alias("n_others"))
+
+
 def epistemic_edges(edges: DataFrame) -> DataFrame:
     """Per node its distinct neighbours by kind of edge."""
     pick = lambda kind: F.sort_array(F.collect_set(F.when(F.col("edge_type") == kind, F.col("dst"))))

@@ -96,8 +96,6 @@ def _diffuse_sql(depth: int) -> str:
     return text + f" SELECT id, round(heat, 6) AS heat FROM b{depth} WHERE id NOT IN (SELECT id FROM b0)"
 
 
-TREE = ", tree AS (SELECT o_orderkey AS src, o_orderkey // 3 AS dst, 'DERIVED_FROM' AS edge_type FROM orders WHERE o_orderkey > 0)"
-
 
 def _tree(t: Tables):
     return t.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), F.expr("o_orderkey div 3").alias("dst"), F.lit("DERIVED_FROM").alias("edge_type"))

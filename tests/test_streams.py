@@ -54,3 +54,14 @@ def test_dedup_within_watermark(spark, sf_dir, tmp_path):
     live = ST.access_source(spark, f"{tmp_path}/in", e.schema, 1)
     n = collect_stream(spark, ST.dedup_stream(live), "deduped", "append").count()
     assert e.select("node_id").distinct().count() <= n <= total
+
+
+def test_stuck_stream_equals_batch(spark, sf_dir, tmp_path):
+    from tessera.operators.chains import stuck_stream
+    from tessera.operators.windows import stuck_sessions
+
+    e = Tables(spark, sf_dir).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/ev")
+    live = ST.access_source(spark, f"{tmp_path}/ev", e.schema, 1).select("user_id", "event_id", "ts", "event_type")
+    got = collect_stream(spark, stuck_stream(live, 24 * 3600), "stuck", "append").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in stuck_sessions(e, 24 * 60).collect()}
