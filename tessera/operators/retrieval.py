@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators.graph import ppr_channel
+from tessera.operators.similarity import nearest
 from tessera.operators.windows import rrf_fuse
+from tessera.scratch import materialize
 
 TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -102,14 +105,25 @@ def freshness_heat_rescore(score: Column, age_days: Column, heat: Column) -> Col
     return score * (0.7 + 0.3 * exprs.freshness(age_days, 30.0)) * (0.9 + 0.1 * F.coalesce(heat, F.lit(0.5)))
 
 
-def recall(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
-    """Lexical channels, fusion, layer and trust rescoring, for a whole table of queries at once."""
+def recall(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: DataFrame, k: int = 10, seeds: int = 5, rounds: int = 10) -> DataFrame:
+    """Dense, text, word and graph channels, fused, rescored and cut, for a whole table of queries at once.
+
+    ``queries``: ``query_id, text, embedding``; ``nodes``: live and dead; ``vectors``: ``node_id,
+    embedding``; ``edges``: ``src, dst, weight``, walked from each query's first dense hits. After
+    fusion the 2k best are rescored by layer, age and confidence; hits below their layer's cut go.
+    """
     live = nodes.where("state = 'ACTIVE'")
-    fused = fuse({"text": bm25(queries, live, 2 * k), "grep": grep_channel(queries, live, 2 * k)}, top=2 * k)
-    j = fused.join(live.select("node_id", "layer", "confidence", "age_hours"), "node_id")
+    asked = queries.select(F.col("query_id").alias("node_id"), "embedding")
+    near = vectors.select("node_id", "embedding").join(live.select("node_id"), "node_id", "left_semi")
+    dense = materialize(nearest(asked, near, 2 * k).select("query_id", "node_id", "rank"), "recall-dense")
+    start = dense.where(F.col("rank") <= seeds).select("query_id", F.col("node_id").alias("id"), F.lit(1.0).alias("weight"))
+    text = queries.select("query_id", "text")
+    channels = {"dense": dense, "text": text_channel(text, live, 2 * k), "grep": grep_channel(text, live, 2 * k), "graph": ppr_channel(edges, start, 2 * k, rounds=rounds)}
+    j = fuse(channels, top=2 * k).join(live.select("node_id", "layer", "confidence", "age_hours"), "node_id")
     score = layer_scoring(F.col("score"), F.col("layer"), F.col("age_hours") / 24, F.lit(0), F.lit(False))
-    score = epistemic_fusion(score, F.col("layer"), F.col("confidence"), F.lit(False))
-    return _top(j.select("query_id", "node_id", F.round(score, 6).alias("score")), k)
+    score = F.round(epistemic_fusion(score, F.col("layer"), F.col("confidence"), F.lit(False)), 6)
+    cut = F.when(F.col("layer").isin("knowledge", "wisdom"), 0.25).otherwise(0.15)
+    return _top(j.select("query_id", "node_id", score.alias("score"), cut.alias("cut")).where("score >= cut").drop("cut"), k)
 
 
 def ranking_eval(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:

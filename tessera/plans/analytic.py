@@ -40,6 +40,43 @@ def top(source: str, k: int) -> str:
     return f"SELECT query_id, node_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM {source}) WHERE rank <= {k}"
 
 
+GRAMS = "list_distinct(list_transform(range(1, CAST(length({c}) + 2 AS BIGINT)), lambda i: substr('  ' || lower({c}) || ' ', CAST(i AS INT), 3)))"
+TEXT = f"""lex AS ({top('raw', 50)}), txt0 AS (SELECT lex.query_id, lex.node_id, lex.score / max(lex.score) OVER (PARTITION BY lex.query_id) AS share, substr(n.content, 1, 200) AS h, b.text AS q
+  FROM lex JOIN nodes n ON n.node_id = lex.node_id JOIN benchmark b ON b.item_id = lex.query_id),
+txt1 AS (SELECT *, {GRAMS.format(c='h')} AS x, {GRAMS.format(c='q')} AS y FROM txt0),
+txt AS (SELECT query_id, node_id, round(0.7 * share + 0.3 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM txt1)"""
+
+
+def _recall(t: Tables):
+    q = _queries(t).join(t.vectors.select(F.col("node_id").alias("query_id"), "embedding"), "query_id")
+    return R.recall(q, t.nodes, t.vectors, M.affinity_edges(t.vectors, 3, 0.3), 10, rounds=2)
+
+
+def _recall_sql(k: int, rounds: int) -> str:
+    live = lambda text: text.replace("FROM nodes)", "FROM live)")
+    near = knn("a.node_id IN (SELECT item_id FROM benchmark) AND b.node_id IN (SELECT node_id FROM live)", 2 * k, -1)
+    aff = knn("true", 3, 0.3).replace("near AS", "aff AS")
+    text = f""", live AS (SELECT * FROM nodes WHERE state = 'ACTIVE'), {live(BM25)}, {TEXT}, {near}, {aff},
+    five AS (SELECT DISTINCT query_id, unnest(ws) AS token FROM (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)[1:5] AS ws FROM benchmark)),
+    grp AS (SELECT query_id, node_id, CAST(count(*) AS DOUBLE) AS score FROM terms JOIN five ON five.token = terms.token GROUP BY 1, 2),
+    e0 AS (SELECT src, dst, sum(w) AS w FROM (SELECT query_id AS src, node_id AS dst, score AS w FROM aff WHERE score > 0 UNION ALL SELECT node_id, query_id, score FROM aff WHERE score > 0) GROUP BY 1, 2),
+    e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0), s AS (SELECT query_id AS q, node_id AS id, 1.0 / count(*) OVER (PARTITION BY query_id) AS r FROM near WHERE rank <= 5), k0 AS (SELECT q, id, r AS rank FROM s)"""
+    for i in range(1, rounds + 1):
+        text += f""", m{i} AS (SELECT q, dst AS id, sum(rank * p) AS m FROM k{i - 1} JOIN e ON id = src GROUP BY 1, 2), u{i} AS (SELECT q, sum(m) AS m FROM m{i} GROUP BY 1),
+        b{i} AS (SELECT s.q, id, r * (1 - 0.85 * coalesce(m, 0)) AS b FROM s LEFT JOIN u{i} ON u{i}.q = s.q),
+        k{i} AS (SELECT coalesce(m.q, b.q) AS q, coalesce(m.id, b.id) AS id, 0.85 * coalesce(m, 0) + coalesce(b, 0) AS rank FROM m{i} m FULL JOIN b{i} b ON m.q = b.q AND m.id = b.id)"""
+    text += f""", ppr AS (SELECT q AS query_id, id AS node_id, round(rank, 6) AS score FROM k{rounds}),
+    ch AS (SELECT query_id, node_id, 'd' AS c, rank FROM near UNION ALL SELECT query_id, node_id, 't', rank FROM ({top('txt', 2 * k)}) UNION ALL SELECT query_id, node_id, 'g', rank FROM ({top('grp', 2 * k)})
+      UNION ALL SELECT query_id, node_id, 'p', rank FROM ({top('ppr', 2 * k)})),
+    n AS (SELECT query_id, count(DISTINCT c) AS n FROM ch GROUP BY 1), f AS (SELECT ch.query_id, node_id, round(sum(1.0 / (60 + rank)) / (any_value(n) / 61.0), 9) AS score FROM ch JOIN n ON n.query_id = ch.query_id GROUP BY 1, 2),
+    ft AS ({top('f', 2 * k)}),
+    l AS (SELECT ft.query_id, ft.node_id, layer, confidence, CASE WHEN layer = 'memory' THEN score * 0.7 + 0.3 * CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 90, 2))) END ELSE score END AS score
+      FROM ft JOIN live ON live.node_id = ft.node_id),
+    r AS (SELECT query_id, node_id, layer, round(CASE WHEN layer IN ('knowledge', 'wisdom') THEN score * (0.7 + 0.3 * confidence) ELSE score END, 6) AS score FROM l),
+    z AS (SELECT * FROM r WHERE score >= CASE WHEN layer IN ('knowledge', 'wisdom') THEN 0.25 ELSE 0.15 END)"""
+    return text + " " + top("z", k)
+
+
 def _time_queries(t: Tables):
     return t.customer.where("c_custkey < 20").select(F.col("c_custkey").alias("query_id"), F.make_timestamp_ntz(F.lit(1996), F.col("c_custkey").cast("int") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start"), F.lit("1997-03-01").cast("timestamp_ntz").alias("end"))
 
@@ -223,8 +260,8 @@ CASES = {
         round(CASE WHEN layer IN ('knowledge', 'wisdom') THEN heat_score * (0.7 + 0.3 * confidence) ELSE heat_score END * CASE WHEN node_id % 5 = 0 THEN 0.5 ELSE 1 END, 6) AS trusted,
         round(heat_score * (0.7 + 0.3 * CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 30, 2))) END) * (0.9 + 0.1 * heat_score), 6) AS fresh FROM nodes""",
     ),
-    "t4_text_channel": (lambda t: R.text_channel(_queries(t), t.nodes, 10), None),
-    "t13_recall": (lambda t: R.recall(_queries(t), t.nodes, 10), None),
+    "t4_text_channel": (lambda t: R.text_channel(_queries(t), t.nodes, 10), f", {BM25}, {TEXT} {top('txt', 10)}"),
+    "t13_recall": (_recall, _recall_sql(10, 2)),
     "t17_ranking_eval": (
         lambda t: R.ranking_eval(keep_top(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("heat_score").alias("score")), ["query_id"], [F.desc("score"), F.col("node_id")], 50), t.spark.range(5).select(F.col("id").alias("query_id"), (F.col("id") + 95).alias("expected_id")), 10),
         """, k AS (SELECT node_id % 5 AS query_id, node_id, row_number() OVER (PARTITION BY node_id % 5 ORDER BY heat_score DESC, node_id) AS rank FROM nodes)
