@@ -224,3 +224,32 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+OP1_SQL = r"""
+WITH raw AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+every AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS j FROM raw),
+trimmed AS (
+  SELECT doc_id, j, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM every),
+lines AS (
+  SELECT doc_id, j, t, w, row_number() OVER d AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY j) AS c, sum(w) OVER (PARTITION BY doc_id ORDER BY j) - w AS c0
+  FROM trimmed WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+spans AS (
+  SELECT a.doc_id, a.i AS lo, min(b.i) AS hi FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.c >= a.c0 + 50 AND b.i >= a.i GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.i) AS lo, b.i AS hi FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.c >= a.c0 + 50 AND b.i >= a.i GROUP BY 1, 3),
+runs AS (
+  SELECT s.doc_id, lo, hi, string_agg(t, chr(10) ORDER BY i) AS content FROM spans s JOIN lines l ON l.doc_id = s.doc_id AND l.i BETWEEN lo AND hi GROUP BY 1, 2, 3),
+later AS (SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, lo) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.j FROM later r JOIN lines l ON l.doc_id = r.doc_id AND l.i BETWEEN r.lo AND r.hi),
+marked AS (
+  SELECT t.doc_id, t.j, t.line, t.w, g.j IS NOT NULL AS out FROM trimmed t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.j = t.j),
+around AS (
+  SELECT *, last_value(CASE WHEN w > 0 THEN out END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    first_value(CASE WHEN w > 0 THEN out END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM marked),
+kept AS (
+  SELECT doc_id, count(*) FILTER (w > 0) AS n_lines, count(*) FILTER (out) AS n_removed,
+    string_agg(line, chr(10) ORDER BY j) FILTER (NOT out AND NOT (w = 0 AND coalesce(before, false) AND coalesce(after, false))) AS body
+  FROM around GROUP BY 1)
+SELECT k.doc_id, n_lines, n_removed, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(body, '') END AS text FROM kept k JOIN raw r ON r.doc_id = k.doc_id
+"""

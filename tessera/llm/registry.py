@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
         "op2_warc_revisits": warc.OP2_SQL,
         "op3_source_mix": mixing.OP3_SQL,
         "op7_hamming_topk": mih.OP7_SQL,

@@ -80,3 +80,9 @@ def test_edge_rows(spark):
     assert got == {(1, 0), (2, 1), (None, 1), (3, 0), (4, 0), (5, 0), (6, 23 + 16)}
     assert line_dedup.without_repeats(docs).columns == docs.columns
     assert line_dedup.op1_line_dedup(docs.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    from .oracle import same
+
+    same(line_dedup.op1_line_dedup(table(spark, sf_dir, "documents")), sf_dir, line_dedup.OP1_SQL)
