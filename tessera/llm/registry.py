@@ -35,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_revisits": warc.OP2_SQL,
         "op3_source_mix": mixing.OP3_SQL,
         "op7_hamming_topk": mih.OP7_SQL,
+        "op9_secret_scan": secrets.OP9_SQL,
     }

@@ -264,3 +264,36 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op9_secret_scan(docs: DataFrame) -> DataFrame:
     return scan(docs)
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _oracle() -> str:
+    """DuckDB SQL of the scan with all rules: matches and what lies between them give the matches' places."""
+    keyword = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
+    patterns = [RULES[0].pattern.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{keyword})"), *[r.pattern for r in RULES[1:]]]
+    parts = []
+    for k, (rule, p) in enumerate(zip(RULES, patterns, strict=True)):
+        q = "'" + p.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, {q}) AS m, regexp_extract_all(t, {q}, {rule.group}) AS g, string_split_regex(t, {q}) AS s, {rule.least} AS least FROM d")
+    base = sum(r.base for r in RULES)
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(RULES) if r.base)
+    line = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+e AS (SELECT doc_id, k, kind, least, generate_subscripts(m, 1) AS i, unnest(m) AS x, unnest(g) AS y, unnest(s[1:len(m)]) AS z FROM m WHERE len(m) > 0),
+p AS (SELECT doc_id, k, kind, length(y) >= least AS ok,
+  CAST(sum(length(z) + length(x)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(x) AS BIGINT) AS a,
+  CAST(sum(length(z) + length(x)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS b FROM e),
+f AS (SELECT * FROM p WHERE ok),
+o AS (SELECT * FROM f WHERE k < {base} OR NOT EXISTS (SELECT 1 FROM f w WHERE w.doc_id = f.doc_id AND w.k < {base} AND w.a <= f.a AND f.b <= w.b)),
+n AS (SELECT doc_id, {counts}, {line} FILTER (k < {base}) AS own, {line} AS spans FROM o GROUP BY 1)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in RULES if r.base)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+OP9_SQL = _oracle()

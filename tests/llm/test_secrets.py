@@ -71,3 +71,9 @@ def test_edge_rows(spark):
     got = secrets.op9_secret_scan(docs).collect()
     assert sorted((str(r.doc_id), r.n_assign, r.spans) for r in got) == [("1", 1, "assign:0:14"), ("1", 1, "assign:0:14"), ("2", 0, ""), ("None", 0, "")]
     assert secrets.op9_secret_scan(docs.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    from .oracle import same
+
+    same(secrets.op9_secret_scan(table(spark, sf_dir, "documents")), sf_dir, secrets.OP9_SQL)
