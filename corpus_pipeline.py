@@ -32,7 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document taken, their number, and digests of them and of what they decode to."""
     p = bpe.Params(bpe.default_path())
-    return bpe.digests(bpe.encoded(docs.select("doc_id", "text"), p), p, with_ids=True)
+    return bpe.digests(docs, p, with_ids=True)
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into pieces that the tokenizer never merges across, each distinct piece of the
-corpus is encoded once, and its ids are joined back by position. A bounded number of the most
+Texts are split into words and these into pieces that the tokenizer never merges across, each
+distinct piece of the corpus is encoded once, and its ids are joined back by position. A bounded number of the most
 frequent pieces (``Params.head``) is broadcast; these cover most positions, and every very
 frequent one. The positions of all other pieces are shuffled by piece to the table and back by
 document. Decoding joins ids with the vocabulary's id-to-piece table, whose size the vocabulary
@@ -11,20 +11,21 @@ file fixes.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import as_text
+from tessera.llm.common import as_bytes
 from tessera.scratch import materialize
 
 #: The pre-tokenizer's pattern over lower-cased text of ``PLAIN`` characters, without white space.
@@ -75,21 +76,64 @@ def split_pieces(text: str) -> list[str]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of a few batches with their counts."""
+class _Words:
+    """The distinct words of a stretch of texts as sequences of piece numbers; a word is split into pieces once.
+
+    ``number`` maps a piece to its number; pieces it lacks are numbered on from its size, in ``lacking``.
+    """
 
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["piece", "n"])
+    MOST = 1_000_000  # words to remember
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number, self.base = number, len(number)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.lacking: dict[str, int] = {}
+        self.flat = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers, one text after the other, each text's number of words, and where each word's pieces start in ``flat``."""
+        if len(self.words) > self.MOST:
+            self._forget()
+        add, known = self.words.setdefault, self.words
+        counts, codes = [], []
+        for text in texts:
+            words = text.split()
+            counts.append(len(words))
+            codes.append(np.fromiter((add(w, len(known)) for w in words), np.int64, len(words)))
+        new = list(islice(known, len(self.length), None))
+        flat, length = [], []
+        for word in new:
+            found = split_pieces(word.decode())
+            length.append(len(found))
+            flat += [self._number(x) for x in found]
+        self.flat = np.concatenate((self.flat, np.array(flat, np.int64)))
+        self.length = np.concatenate((self.length, np.array(length, np.int64)))
+        return np.concatenate(codes) if codes else np.zeros(0, np.int64), np.array(counts, np.int64), np.cumsum(self.length) - self.length
+
+    def _number(self, piece: str) -> int:
+        n = self.number.get(piece)
+        return n if n is not None else self.base + self.lacking.setdefault(piece, len(self.lacking))
+
+
+def _take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that ``which`` names, one after the other."""
+    n = length[which]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return flat[np.repeat(start[which], n) + step]
 
-    held: Counter[str] = Counter()
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a batch with their counts."""
     for batch in batches:
-        for text in as_text(batch, "text"):
-            held.update(split_pieces(text))
-            if len(held) > 400_000:
-                yield out(held)
-                held = Counter()
-    if held:
-        yield out(held)
+        held = _Words({})
+        codes, _, start = held.pieces(as_bytes(batch, "text"))
+        times = np.bincount(codes, minlength=len(held.length))
+        n = np.bincount(held.flat, np.repeat(times, held.length), len(held.lacking)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held.lacking), pa.string()), pa.array(n)], names=["piece", "n"])
 
 
 def piece_table(docs: DataFrame, p: Params) -> DataFrame:
@@ -106,6 +150,19 @@ def piece_table(docs: DataFrame, p: Params) -> DataFrame:
     return materialize(pieces.mapInArrow(encode, "piece string, n long, ids binary"), "bpe-pieces")
 
 
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """The pieces above the least frequency that at most ``most`` have; found from a histogram of a few hundred rows."""
+    grade = F.floor(F.log2("n") * 16)
+    rows = sorted(((r["g"], r["c"]) for r in table.groupBy(grade.alias("g")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    least, held = None, 0
+    for g, c in rows:
+        held += c
+        if held > most:
+            break
+        least = g
+    return table.where(grade >= least) if least is not None else table.limit(0)
+
+
 def id_pieces(path: str) -> list[str]:
     """The id-to-piece table; an id without a piece is skipped in decoding."""
     t = load(path)
@@ -122,128 +179,130 @@ def decode(ids: list[int], pieces: list[str]) -> str:
 
 
 class _Head:
-    """The broadcast pieces: their ids side by side, and each piece's number."""
+    """The broadcast pieces: each one's number, and their ids side by side."""
 
     def __init__(self, pieces: list[str], ids: list[bytes]) -> None:
-        self.at = {piece: i for i, piece in enumerate(pieces)}
+        self.number = {piece: i for i, piece in enumerate(pieces)}
         self.ids = np.frombuffer(b"".join(ids), "<u4").copy()
-        self.length = np.array([len(i) // 4 for i in ids] + [0], np.int64)  # the last: a piece that isn't here
-        self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1]
+        self.length = np.array([*[len(i) // 4 for i in ids], 0], np.int64)  # the last: a piece that isn't here
+        self.start = np.cumsum(self.length) - self.length
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids compressed as planes of their low and high bytes."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpack_ids(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype("<u4")
+
 
-    def expand(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of a sequence of numbers."""
-        n = self.length[numbers]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return self.ids[np.repeat(self.start[numbers], n) + step]
+_HEADS = "chunk long, doc_id array<long>, n_head array<int>, n_tail array<int>, head binary, slots binary"
+_TAILS = "chunk long, place int, piece string"
 
 
-def _lookup(shared, tails: bool):
-    """Each text as head ids plus the pieces that the head lacks, with the id counts before them.
+def _lookup(shared, tails: bool, docs_per_chunk: int = 64):
+    """Chunks of documents. Without ``tails``: their head ids side by side, and the slots between these where the
+    head lacks a piece. With ``tails``: a row for each such slot, with its piece.
 
-    The pieces themselves are only given with ``tails``; both calls see the same rows in the same order.
+    Both calls scan the same partitions in the same order, so they number chunks and slots alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: _Head = shared.value
-        pack = zstandard.ZstdCompressor(level=1)
+        words, none = _Words(head.number), len(head.number)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            packed, at, tail = [], [], []
-            for text in as_text(batch, "text"):
-                pieces = split_pieces(text)
-                none = len(head.at)
-                get = head.at.get
-                numbers = np.fromiter((get(x, none) for x in pieces), np.int64, len(pieces))
-                lacks = np.flatnonzero(numbers == none)
+            texts = as_bytes(batch, "text")
+            codes, counts, start = words.pieces(texts)
+            lacking = list(words.lacking) if tails else []
+            rows: list[tuple] = []
+            first_word = 0
+            for at in range(0, len(texts), docs_per_chunk):
+                part = counts[at : at + docs_per_chunk]
+                own = codes[first_word : first_word + int(part.sum())]
+                first_word += len(own)
+                numbers = _take(words.flat, start, words.length, own)
+                lacks = numbers >= none
                 if tails:
-                    # before how many head ids each missing piece stands
-                    at.append(np.cumsum(head.length[numbers])[lacks].astype(np.int32) if len(lacks) else [])
-                    tail.append([pieces[i] for i in lacks.tolist()])
+                    slots = (numbers[lacks] - none).tolist()
+                    rows += zip([chunk] * len(slots), range(len(slots)), [lacking[i] for i in slots], strict=True)
                 else:
-                    ids = head.expand(numbers)
-                    packed.append(pack.compress(ids.astype("<u2").tobytes() if not len(ids) or int(ids.max()) < 65536 else b"\x00" + ids.tobytes()))
-            if tails:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(at, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.string()))], names=["row", "tail_at", "tail"])
-            else:
-                rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-                names = [n for n in batch.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], names=[*names, "head"])
+                    doc = np.repeat(np.repeat(np.arange(len(part)), part), words.length[own])
+                    known = np.minimum(numbers, none)
+                    size = head.length[known]
+                    ids = _take(head.ids, head.start, head.length, known)
+                    per = [np.bincount(doc, w, len(part)).astype(np.int32) for w in (size, lacks)]
+                    gaps = np.diff((np.cumsum(size) - size)[lacks], prepend=0)
+                    rows.append((chunk, batch.column("doc_id")[at : at + docs_per_chunk].to_pylist(), *per, pack_ids(ids), pack_ids(gaps)))
+                chunk += 1
+            kinds = [pa.int64(), pa.int32(), pa.string()] if tails else [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2, *[pa.binary()] * 2]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            names = ["chunk", "place", "piece"] if tails else ["chunk", "doc_id", "n_head", "n_tail", "head", "slots"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def unpack_ids(packed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    return np.frombuffer(raw[1:], "<u4") if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4")
-
-
-def weave(ids: np.ndarray, at: np.ndarray, extra: list[bytes]) -> np.ndarray:
-    """Head ids with the ids of the missing pieces put in at their places, in order."""
-    if not len(at):
-        return ids
-    n = np.array([len(e) // 4 for e in extra])
-    return np.insert(ids, np.repeat(at, n), np.frombuffer(b"".join(extra), "<u4"))
+def weave(head: bytes, slots: bytes, n_head: list[int], n_tail: list[int], extra: list[bytes]) -> list[np.ndarray]:
+    """The whole ids of a chunk's documents: the head's with those of the other pieces, in order, put into their slots."""
+    ids, n = unpack_ids(head), np.array(n_head, np.int64)
+    if extra:
+        size = np.array([len(e) // 4 for e in extra])
+        ids = np.insert(ids, np.repeat(np.cumsum(unpack_ids(slots).astype(np.int64)), size), np.frombuffer(b"".join(extra), "<u4"))
+        n = n + np.bincount(np.repeat(np.arange(len(n)), n_tail), size, len(n)).astype(np.int64)
+    return np.split(ids, np.cumsum(n)[:-1])
 
 
-def encoded(docs: DataFrame, p: Params) -> DataFrame:
-    """``docs`` without its text, plus ``head`` (packed ids) and ``extra``, the missing pieces' ids by place.
+def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """A row for each document: its ``doc_id`` and what ``make`` gives for the ids of its whole text.
 
-    A null text is empty; equal rows stay apart; an empty table gives none. ``docs`` is scanned
-    twice and has to give its rows in the same order, as a table read from files does.
+    A null text is empty; equal rows stay apart; an empty table gives none; other columns are not
+    read. ``docs`` is scanned twice and has to give its rows in the same order, as a table read
+    from files does.
     """
-    spark = docs.sparkSession
-    table = piece_table(docs, p)
-    top = table.orderBy(F.desc("n"), "piece").limit(p.head).select("piece", "ids").toArrow()
-    head = _Head(top["piece"].to_pylist(), top["ids"].to_pylist())
-    shared = spark.sparkContext.broadcast(head)
-    # the number of a row is that of its place in the scan, the same in both passes
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    tails = numbered.select("row", "text").mapInArrow(_lookup(shared, True), "row long, tail_at array<int>, tail array<string>")
-    tails = tails.select("row", F.posexplode(F.arrays_zip("tail_at", "tail")).alias("k", "t")).select("row", "k", F.col("t.tail_at").alias("at"), F.col("t.tail").alias("piece"))
-    found = tails.join(table.select("piece", "ids"), "piece")
-    extra = found.groupBy("row").agg(F.collect_list(F.struct("k", "at", "ids")).alias("extra"))
-    kept = [f for f in numbered.schema if f.name != "text"]
-    heads = numbered.mapInArrow(_lookup(shared, False), T.StructType([*kept, T.StructField("head", T.BinaryType())]))
-    return heads.join(extra, "row", "left")
-
-
-def _ids(head: bytes, extra: list[dict] | None) -> np.ndarray:
-    extra = sorted(extra or [], key=lambda e: e["k"])
-    return weave(unpack_ids(head), np.array([e["at"] for e in extra], np.int64), [e["ids"] for e in extra])
+    slim = docs.select("doc_id", "text")
+    table = piece_table(slim, p)
+    top = frequent(table, p.head).select("piece", "ids").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(_Head(top["piece"].to_pylist(), top["ids"].to_pylist()))
+    tails = slim.mapInArrow(_lookup(shared, True), _TAILS)
+    found = tails.join(table.select("piece", "ids"), "piece").select("chunk", "place", "ids")
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def assemble(key: tuple, heads: pa.Table, extra: pa.Table) -> pa.Table:
+        pieces = extra["ids"].take(pc.sort_indices(extra["place"])).to_pylist()
+        (row,) = heads.to_pylist()
+        each = [make(ids) for ids in weave(row["head"], row["slots"], row["n_head"], row["n_tail"], pieces)]
+        arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*each, strict=True), fields, strict=True)]
+        return pa.table([pa.array(row["doc_id"], pa.int64()), *arrays], names=["doc_id", *[n for n, _ in fields]])
+
+    heads = slim.mapInArrow(_lookup(shared, False), _HEADS)
+    return heads.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assemble, f"doc_id long, {schema}")
 
 
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(coded: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
     """``doc_id``, the number of tokens, the SHA-256 of the ids and of the decoded text, and if asked the ids."""
-    shared = coded.sparkSession.sparkContext.broadcast(id_pieces(p.tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(id_pieces(p.tokenizer))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        for batch in batches:
-            rows, all_ids = [], []
-            for head, extra in zip(batch.column("head").to_pylist(), batch.column("extra").to_pylist(), strict=True):
-                ids = _ids(head, extra)
-                text = decode(ids.tolist(), pieces)
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-                all_ids.append(ids.astype(np.int32) if with_ids else None)
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            columns += [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+    def make(ids: np.ndarray) -> tuple:
+        text = decode(ids.tolist(), shared.value)
+        out = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        return (*out, ids.astype(np.int32)) if with_ids else out
 
-    return coded.select("doc_id", "head", "extra").mapInArrow(run, f"doc_id long, {_DIGEST}" + ", ids array<int>" * with_ids)
+    return encoded(docs, p, _DIGEST + ", ids array<int>" * with_ids, make)
 
 
 def token_ids(docs: DataFrame, p: Params) -> DataFrame:
     """``doc_id`` and ``ids array<int>`` of each row's whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [_ids(h, e).astype(np.int32) for h, e in zip(batch.column("head").to_pylist(), batch.column("extra").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return encoded(docs.select("doc_id", "text"), p).select("doc_id", "head", "extra").mapInArrow(run, "doc_id long, ids array<int>")
+    return encoded(docs, p, "ids array<int>", lambda ids: (ids.astype(np.int32),))
 
 
 def decoded_texts(ids: DataFrame, p: Params) -> DataFrame:
@@ -259,5 +318,4 @@ def decoded_texts(ids: DataFrame, p: Params) -> DataFrame:
 
 
 def op6_bpe(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    p = p or Params(default_path())
-    return digests(encoded(docs.select("doc_id", "text"), p), p)
+    return digests(docs, p or Params(default_path()))

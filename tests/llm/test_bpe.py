@@ -22,7 +22,7 @@ def want(text):
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("head", [0, 5, 1 << 18])
+@pytest.mark.parametrize("head", [0, 60, 1 << 19])
 def test_against_the_library(spark, sf_dir, head):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
