@@ -105,25 +105,36 @@ def _dominance(t: Tables):
     return L.dominated(pairs, t.spark.range(200).select(F.col("id").alias("node_id"), (F.col("id") * 37 % 200).alias("place")))
 
 
-def _ppr_sql(rounds: int) -> str:
+def _ppr_sql(rounds: int, seeds: str = "src % 10 = 0") -> str:
     text = """, e0 AS (SELECT src, dst, sum(weight) AS w FROM edges WHERE weight > 0 GROUP BY 1, 2), e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0),
-    s AS (SELECT src AS id, 1.0 / count(*) OVER () AS r FROM (SELECT DISTINCT src FROM edges WHERE src % 10 = 0)), k0 AS (SELECT id, r AS rank FROM s)"""
+    s AS (SELECT src AS id, 1.0 / count(*) OVER () AS r FROM (SELECT DISTINCT src FROM edges WHERE SEEDS)), k0 AS (SELECT id, r AS rank FROM s)""".replace("SEEDS", seeds)
     for i in range(1, rounds + 1):
         text += f""", m{i} AS (SELECT dst AS id, sum(rank * p) AS m FROM k{i - 1} JOIN e ON id = src GROUP BY 1),
         k{i} AS (SELECT coalesce(m{i}.id, s.id) AS id, 0.85 * coalesce(m, 0) + coalesce(r, 0) * (1 - 0.85 * (SELECT coalesce(sum(m), 0) FROM m{i})) AS rank FROM m{i} FULL JOIN s ON m{i}.id = s.id)"""
     return text + f" SELECT id, round(rank, 6) AS rank FROM k{rounds}"
 
 
-def _propagate_sql(rounds: int) -> str:
-    text = """, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), p AS (SELECT id, abs(id) % 10 / 10.0 AS c FROM ids),
-    e0 AS (SELECT src, dst, edge_type, max(weight) AS w FROM edges WHERE edge_type IN ('SUPPORTS', 'CONTRADICTS') GROUP BY 1, 2, 3),
-    e AS (SELECT src, dst, CASE edge_type WHEN 'SUPPORTS' THEN 1.0 ELSE -1.0 END * w / sum(w) OVER (PARTITION BY dst, edge_type) AS w FROM e0), x0 AS (SELECT id, c AS x FROM p)"""
+def _propagate_sql(rounds: int, source: str = "edges", local: bool = False) -> str:
+    text = """, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), near AS (SELECT CAST(3 AS BIGINT) AS id UNION SELECT dst FROM edges WHERE src = 3 UNION SELECT src FROM edges WHERE dst = 3),
+    inside AS (SELECT * FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)), p AS (SELECT id, abs(id) % 10 / 10.0 AS c FROM ids),
+    e0 AS (SELECT src, dst, edge_type, max(weight) AS w FROM SOURCE WHERE edge_type IN ('SUPPORTS', 'CONTRADICTS') GROUP BY 1, 2, 3),
+    e AS (SELECT src, dst, CASE edge_type WHEN 'SUPPORTS' THEN 1.0 ELSE -1.0 END * w / sum(w) OVER (PARTITION BY dst, edge_type) AS w FROM e0), x0 AS (SELECT id, c AS x FROM p)""".replace("SOURCE", source)
     for i in range(1, rounds + 1):
         text += f""", x{i} AS (SELECT p.id, CASE WHEN f.s IS NULL THEN c ELSE greatest(0, least(1, 0.2 * c + 0.8 * f.s)) END AS x
         FROM p LEFT JOIN (SELECT dst, sum(w * x) AS s FROM x{i - 1} JOIN e ON id = src GROUP BY 1) f ON f.dst = p.id)"""
+    if local:
+        return text + f" SELECT x{rounds}.id, round(x, 6) AS confidence FROM x{rounds} JOIN p ON p.id = x{rounds}.id WHERE p.id IN (SELECT id FROM near) AND abs(round(x - c, 9)) > 0.1"
     return text + f" SELECT id, round(x, 6) AS confidence FROM x{rounds}"
 
 
+def _labels_sql(rounds: int) -> str:
+    text = ", u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT DISTINCT src AS id, src AS label FROM u)"
+    for i in range(1, rounds + 1):
+        text += f""", v{i} AS (SELECT src, label, count(*) AS n FROM u JOIN l{i - 1} ON id = dst GROUP BY 1, 2),
+        l{i} AS (SELECT src AS id, label FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS k FROM v{i}) WHERE k = 1)"""
+    return text + f" SELECT id, label FROM l{rounds}"
+
+
 def _diffuse_sql(depth: int) -> str:
     text = """, w AS (SELECT src, dst, CASE edge_type WHEN 'SUPPORTS' THEN 0.9 WHEN 'CONTRADICTS' THEN 0.95 ELSE 0.8 END * coalesce(CASE WHEN src % 3 = 0 THEN NULL ELSE round(weight, 4) END, 0.5) * 0.7 AS w FROM edges),
     e AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY 1, 2),
@@ -251,14 +262,22 @@ CASES = {
         """, j AS (SELECT node_id % 5 AS query_id, node_id, confidence AS score, CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE node_id % 17 / 17 END AS r FROM nodes), m AS (SELECT query_id, max(r) AS b FROM j GROUP BY 1)
         SELECT j.query_id, node_id, round(round(CASE WHEN r IS NULL OR b <= 0 THEN score ELSE score * (0.5 + 0.5 * r / b) END, 9), 6) AS score FROM j JOIN m ON m.query_id = j.query_id""",
     ),
-    "t9_t12_rescoring": (
-        lambda t: r6(t.nodes.select("node_id", R.epistemic_boost(F.col("heat_score"), F.col("state") == "SUPERSEDED", F.col("node_id") % 9).alias("boost"), R.layer_scoring(F.col("heat_score"), F.col("layer"), F.col("age_hours") / 24, F.col("node_id") % 9, F.col("node_id") % 2 == 0).alias("layered"),
-            R.epistemic_fusion(F.col("heat_score"), F.col("layer"), F.col("confidence"), F.col("node_id") % 5 == 0).alias("trusted"), R.freshness_heat_rescore(F.col("heat_score"), F.col("age_hours") / 24, F.col("heat_score")).alias("fresh")), "boost", "layered", "trusted", "fresh"),
-        """SELECT node_id, round(heat_score * CASE WHEN state = 'SUPERSEDED' THEN 0.3 ELSE 1 END * (1 + 0.05 * least(node_id % 9, 5)), 6) AS boost,
-        round(CASE WHEN layer = 'memory' THEN heat_score * 0.7 + CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 90, 2))) END * 0.3 WHEN layer = 'knowledge' THEN heat_score * (1 + 0.2 * log10(1 + node_id % 9))
-          WHEN layer = 'wisdom' AND node_id % 2 = 0 THEN heat_score * 0.5 ELSE heat_score END, 6) AS layered,
-        round(CASE WHEN layer IN ('knowledge', 'wisdom') THEN heat_score * (0.7 + 0.3 * confidence) ELSE heat_score END * CASE WHEN node_id % 5 = 0 THEN 0.5 ELSE 1 END, 6) AS trusted,
-        round(heat_score * (0.7 + 0.3 * CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 30, 2))) END) * (0.9 + 0.1 * heat_score), 6) AS fresh FROM nodes""",
+    "t10_layer_scoring": (
+        lambda t: r6(t.nodes.select("node_id", R.layer_scoring(F.col("heat_score"), F.col("layer"), F.col("age_hours") / 24, F.col("node_id") % 9, F.col("node_id") % 2 == 0).alias("score")), "score"),
+        """SELECT node_id, round(CASE WHEN layer = 'memory' THEN heat_score * 0.7 + CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 90, 2))) END * 0.3 WHEN layer = 'knowledge' THEN heat_score * (1 + 0.2 * log10(1 + node_id % 9))
+          WHEN layer = 'wisdom' AND node_id % 2 = 0 THEN heat_score * 0.5 ELSE heat_score END, 6) AS score FROM nodes""",
+    ),
+    "t11_epistemic_fusion": (
+        lambda t: r6(t.nodes.select("node_id", R.epistemic_fusion(F.col("heat_score"), F.col("layer"), F.col("confidence"), F.col("node_id") % 5 == 0).alias("score")), "score"),
+        """SELECT node_id, round(CASE WHEN layer IN ('knowledge', 'wisdom') THEN heat_score * (0.7 + 0.3 * confidence) ELSE heat_score END * CASE WHEN node_id % 5 = 0 THEN 0.5 ELSE 1 END, 6) AS score FROM nodes""",
+    ),
+    "t12_freshness_heat_rescore": (
+        lambda t: r6(t.nodes.select("node_id", R.freshness_heat_rescore(F.col("heat_score"), F.col("age_hours") / 24, F.col("heat_score")).alias("score")), "score"),
+        """SELECT node_id, round(heat_score * (0.7 + 0.3 * CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 30, 2))) END) * (0.9 + 0.1 * heat_score), 6) AS score FROM nodes""",
+    ),
+    "t9_epistemic_boost": (
+        lambda t: r6(t.nodes.select("node_id", R.epistemic_boost(F.col("heat_score"), F.col("state") == "SUPERSEDED", F.col("node_id") % 9).alias("score")), "score"),
+        """SELECT node_id, round(heat_score * CASE WHEN state = 'SUPERSEDED' THEN 0.3 ELSE 1 END * (1 + 0.05 * least(node_id % 9, 5)), 6) AS score FROM nodes""",
     ),
     "t4_text_channel": (lambda t: R.text_channel(_queries(t), t.nodes, 10), f", {BM25}, {TEXT} {top('txt', 10)}"),
     "t13_recall": (_recall, _recall_sql(10, 2)),
@@ -326,7 +345,7 @@ CASES = {
         SELECT id, CAST(hops AS INT) AS hops, CASE WHEN (SELECT count(*) FROM orders WHERE o_custkey = id) < 3 THEN 'tombstone' ELSE 'stale' END AS action FROM r WHERE hops IS NOT NULL""",
     ),
     "g18_co_occurrence": (lambda t: G.co_occurrence(t.edges), "SELECT sha256(CAST(src AS VARCHAR)) AS pattern, src, count(*) AS frequency FROM edges WHERE edge_type = 'CAUSES' GROUP BY src HAVING count(*) >= 2"),
-    "g20_label_propagation": (lambda t: G.label_propagation(t.edges, 2), None),
+    "g20_label_propagation": (lambda t: G.label_propagation(t.edges, 2), _labels_sql(2)),
     "j14_drop_dominated": (_dominance, None),
     # streams, in batch
     "st1_heat": (

@@ -8,11 +8,14 @@ from tessera.operators import aggregates as A
 from tessera.operators import chains as C
 from tessera.operators import graph as G
 from tessera.operators import joins as J
+from tessera.operators import scans as S
 from tessera.operators import windows as W
 from tessera.operators.similarity import nearest
-from tessera.plans.analytic import _prior, _tree, knn
+from tessera.plans.analytic import _ppr_sql, _prior, _propagate_sql, _tree, knn
 from tessera.plans.relational import MID, r6, ts
+from tessera.scratch import scratch_path
 from tessera.sources.fixtures import Tables
+from tessera.streaming import streams as ST
 
 
 
@@ -25,6 +28,31 @@ def _label_runs(t: Tables):
     return a.unionByName(t.vectors.select("node_id", F.when(F.col("node_id") % 9 == 0, -1).otherwise(F.col("label")).alias("label")))
 
 
+def _round_trip(t: Tables):
+    """One tenant out of an export of all."""
+    path = scratch_path(t.spark, "export")
+    S.silo_export(t.nodes.select("node_id", "silo_id", "layer"), path)
+    return S.silo_import(t.spark, path, "src1").select("node_id", "layer")
+
+
+def _streamed(t: Tables, apply, out: str, schema: str):
+    """What a stream over the events, as files in a folder, writes when it has read them all."""
+    source, sink = scratch_path(t.spark, "events"), scratch_path(t.spark, out)
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e.write.parquet(source)
+    live = apply(ST.access_source(t.spark, source, e.schema))
+    live.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch_path(t.spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(schema).parquet(sink)
+
+
+def _gauges(t: Tables):
+    """Two hourly runs of the gauges, appended."""
+    path = scratch_path(t.spark, "gauges")
+    for hour in (0, 1):
+        A.storage_gauges(t.nodes).select(F.lit(hour).alias("hour"), "silo_id", "n_nodes", "content_bytes").write.mode("append").parquet(path)
+    return t.spark.read.parquet(path)
+
+
 def _ppr_channel_sql(rounds: int) -> str:
     text = """, e1 AS (SELECT src, dst, sum(weight) AS w FROM edges WHERE weight > 0 GROUP BY 1, 2), e0 AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM e1 UNION ALL SELECT dst, src, w FROM e1) GROUP BY 1, 2),
     e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0), s AS (SELECT q, id, 1.0 / count(*) OVER (PARTITION BY q) AS r FROM (SELECT DISTINCT src % 2 AS q, src AS id FROM edges WHERE src < 4)), k0 AS (SELECT q, id, r AS rank FROM s)"""
@@ -45,6 +73,20 @@ CASES = {
         w AS (SELECT claim_id, fresh, object, lag(object) OVER z AS po, lag(claim_id) OVER z AS pc FROM x WINDOW z AS (PARTITION BY silo_id, subject, predicate ORDER BY fresh, created_at, claim_id))
         SELECT claim_id, 'created' AS status, CASE WHEN po <> object THEN pc END AS supersedes FROM w WHERE fresh UNION ALL SELECT claim_id, 'skipped', NULL FROM b WHERE known""",
     ),
+    "s6_silo_export_import": (_round_trip, "SELECT node_id, layer FROM nodes WHERE silo_id = 'src1'"),
+    "s9_access_source": (
+        lambda t: _streamed(t, lambda s: s.select("user_id", "event_type"), "accesses", "user_id long, event_type string").groupBy("user_id").agg(F.count("*").alias("n")),
+        "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
+    ),
+    "s11_storage_gauges_sink": (
+        _gauges,
+        "SELECT CAST(h AS INT) AS hour, silo_id, count(*) AS n_nodes, CAST(sum(octet_length(encode(content))) AS BIGINT) AS content_bytes FROM nodes, (SELECT unnest([0, 1]) AS h) GROUP BY 1, 2",
+    ),
+    "st8_stuck_stream": (
+        lambda t: _streamed(t, lambda s: C.stuck_stream(s.select("user_id", "event_id", "ts", "event_type"), 24 * 3600), "stuck", "user_id long, event_id long"),
+        """, d AS (SELECT user_id, event_id, ts, event_type, lag(ts, 2) OVER w AS t2, lag(event_type) OVER w AS k1, lag(event_type, 2) OVER w AS k2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT user_id, event_id FROM d WHERE ts <= t2 + INTERVAL 1 DAY AND event_type = k1 AND event_type = k2""",
+    ),
     "j2_corroborate_semantic": (
         lambda t: C.corroborate_semantic(t.vectors.select(F.col("node_id").alias("claim_id"), F.col("label").alias("evidence")), nearest(t.vectors, t.vectors, 10, 0.3)),
         f""", {knn('true', 10, 0.3)}, e AS (SELECT node_id AS claim_id, label AS evidence FROM vectors UNION ALL SELECT query_id, label FROM near JOIN vectors v ON v.node_id = near.node_id)
@@ -133,7 +175,7 @@ CASES = {
         lambda t: C.classify_types(t.part, "p_type").groupBy("type_class").agg(F.count("*").alias("n")),
         "SELECT CASE WHEN regexp_matches(lower(p_type), '(^|\\s)(brass|copper|steel|tin|nickel)(\\s|$)') THEN 'material' ELSE 'other' END AS type_class, count(*) AS n FROM part GROUP BY 1",
     ),
-    "g4_propagate_local": (lambda t: r6(C.propagate_local(_prior(t), t.edges, t.edges.where("src = 3").select(F.col("src").alias("id")), 1, rounds=3), "confidence"), None),
+    "g4_propagate_local": (lambda t: r6(C.propagate_local(_prior(t), t.edges, t.edges.where("src = 3").select(F.col("src").alias("id")), 1, rounds=3), "confidence"), _propagate_sql(3, "inside", True)),
     "g16_tombstone_edges": (
         lambda t: C.tombstone_edges(t.edges, "CONTRADICTS", 0.95),
         "SELECT src, dst, edge_type FROM edges WHERE edge_type = 'CONTRADICTS' AND round(weight, 9) < 0.95",
@@ -182,5 +224,5 @@ CASES = {
         lambda t: C.breakthrough_hints(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), t.benchmark.select(F.col("item_id").alias("solved_id"), F.col("item_id").alias("asked"), F.col("text").alias("solved_text")), least=0.3),
         None,
     ),
-    "g2_pagerank_restart": (lambda t: r6(G.personalized_pagerank(t.edges, t.edges.select(F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0)), rounds=5), "rank"), None),
+    "g2_pagerank_restart": (lambda t: r6(G.personalized_pagerank(t.edges, t.edges.select(F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0)), rounds=3, tolerance=0), "rank"), _ppr_sql(3, "true")),
 }
