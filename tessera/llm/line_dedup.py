@@ -153,7 +153,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     picked = lines.select(*ids, F.explode("picked").alias("place"), "low")
     picked = picked.select("id", "missing", "text_hash", "place", F.expr("low[place]").alias("hash"))
     shared = picked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    seeds = picked.join(shared, "hash", "left_semi").groupBy("id", "missing", "text_hash").agg(F.collect_list("place").alias("seeds"))
+    seeds = picked.join(shared, "hash", "left_semi").groupBy("id", "missing", "text_hash").agg(F.collect_set("place").alias("seeds"))
     around = lines.select(*ids, "doc_id", "low", "high", "words").dropDuplicates(["id", "missing", "text_hash"]).join(seeds, ["id", "missing", "text_hash"])
     found = around.select("doc_id", "text_hash", "low", "high", "words", "seeds").mapInArrow(_windows(min_words), "doc_id long, text_hash long, a int, b int, k1 long, k2 long")
     found = materialize(found, "line-windows")

@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         first = part if first is None else first.union(part)
     text = F.coalesce("text", F.lit(""))
     fits = docs.where("doc_id is not null").where(F.length(text) <= p.sample_chars).select("doc_id", text.alias("text"))
-    sample = fits.join(F.broadcast(first), "doc_id")
+    # a doc_id may repeat any number of times: its smallest text stands for it
+    sample = fits.join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("good").alias("good"))
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted(zip(t["doc_id"].to_pylist(), t["text"].cast(pa.binary()).to_pylist(), t["good"].to_pylist(), strict=True))

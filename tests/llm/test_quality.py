@@ -72,3 +72,10 @@ def test_edge_tables(spark, sf_dir):
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
 def test_short_sequences_have_no_repeats(n):
     assert quality.repeated_window_words(np.arange(n), n) == 0
+
+
+def test_a_repeated_document_does_not_swell_the_sample(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    many = docs.union(docs.where("doc_id = 0").crossJoin(spark.range(500)).drop("id"))
+    a, b = quality.train(docs, labels), quality.train(many, labels)
+    assert a.bias == b.bias
