@@ -11,15 +11,17 @@ file fixes.
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,12 +30,18 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_bytes
 from tessera.scratch import materialize
 
-#: The pre-tokenizer's pattern over lower-cased text of ``PLAIN`` characters, without white space.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+")
+
+def _letters(kind: str) -> str:
+    """The characters below U+0180 of a general category, as a regex class holds them."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The pre-tokenizer's pattern over lower-cased text of ``PLAIN`` characters, without white space; line ends part words.
+PIECES = re.compile(f"\\n|[{_letters('L')}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_letters('N')}]|[^\\x09-\\x0D\\x20\\x85\\xa0{_letters('L')}{_letters('N')}]+")
 #: Text in which normalization only lower-cases single characters: no combining marks, nothing that
 #: composes or grows, no special token, no white space that libraries differ on. A word outside it is
 #: a piece as it stands, and the library sees all of it.
-PLAIN = regex.compile(r"[\x09-\x0D\x20-\x7E\xA0-įı-ž]*")
+PLAIN = re.compile(r"[\x09-\x0D\x20-\x7E\xA0-įı-ž]*")
 SPECIAL = "<|"
 
 
@@ -63,10 +71,8 @@ def load(path: str):
 
 def split_pieces(text: str) -> list[str]:
     """Pieces whose encodings, one after the other, are the text's encoding."""
-    if SPECIAL not in text and PLAIN.fullmatch(text):
-        return PIECES.findall(text.lower())
     out: list[str] = []
-    for word in regex.split(r"[\x09-\x0D\x20]+", text):
+    for word in re.split(r"[\x09-\x0D\x20]+", text):
         if not word:
             continue
         if SPECIAL not in word and PLAIN.fullmatch(word):
@@ -76,47 +82,93 @@ def split_pieces(text: str) -> list[str]:
     return out
 
 
-class _Words:
-    """The distinct words of a stretch of texts as sequences of piece numbers; a word is split into pieces once.
-
-    ``number`` maps a piece to its number; pieces it lacks are numbered on from its size, in ``lacking``.
-    """
-
-    MOST = 1_000_000  # words to remember
-
-    def __init__(self, number: dict[str, int]) -> None:
-        self.number, self.base = number, len(number)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.lacking: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' numbers, one text after the other, each text's number of words, and where each word's pieces start in ``flat``."""
-        if len(self.words) > self.MOST:
-            self._forget()
-        add, known = self.words.setdefault, self.words
-        counts, codes = [], []
-        for text in texts:
-            words = text.split()
-            counts.append(len(words))
-            codes.append(np.fromiter((add(w, len(known)) for w in words), np.int64, len(words)))
-        new = list(islice(known, len(self.length), None))
-        flat, length = [], []
-        for word in new:
-            found = split_pieces(word.decode())
-            length.append(len(found))
-            flat += [self._number(x) for x in found]
-        self.flat = np.concatenate((self.flat, np.array(flat, np.int64)))
-        self.length = np.concatenate((self.length, np.array(length, np.int64)))
-        return np.concatenate(codes) if codes else np.zeros(0, np.int64), np.array(counts, np.int64), np.cumsum(self.length) - self.length
-
-    def _number(self, piece: str) -> int:
-        n = self.number.get(piece)
-        return n if n is not None else self.base + self.lacking.setdefault(piece, len(self.lacking))
+class Numbers(dict):
+    """Pieces numbered as they are asked for; 0 is the line end that parts words."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        super().__init__({"\n": 0})
+        for piece in pieces:
+            self[piece]
+        self.base = len(self)
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+    def added(self) -> list[str]:
+        return list(islice(self, self.base, None))
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[9, 10, 11, 12, 13, 32]] = True
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_STRETCH = 1 << 18
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(size, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends and 128 bits of its hash, a bounded stretch at a time."""
+    found, at, n = [], 0, len(joined)
+    while at < n:
+        end = min(n, at + _STRETCH)
+        if end < n:  # a stretch ends between words
+            gap = _GAP.search(joined, end)
+            end = gap.start() if gap else n
+        raw = np.frombuffer(joined, np.uint8, end - at, at)
+        solid = np.concatenate(([False], ~_IS_GAP[raw], [False]))
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        start, stop = edge[::2], edge[1::2]
+        hashes, values, total = [], raw.astype(np.uint64) + np.uint64(1), np.zeros(len(raw) + 1, np.uint64)
+        for base in _BASES:
+            power, inverse = _powers(base, max(2 * _STRETCH, 1 << len(raw).bit_length()))
+            np.cumsum(values * power[: len(raw)], out=total[1:])
+            hashes.append((total[stop] - total[start]) * inverse[start])
+        found.append((start + at, stop + at, *hashes))
+        at = end
+    cat = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+    return cat[0], cat[1], cat[2], cat[3]
+
+
+def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, each word's place among them, and each text's number of words."""
+    joined = b"\n".join(texts)
+    start, stop, one, two = word_hashes(joined)
+    code, _ = pd.factorize(one)
+    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    if not (two == two[first[code]]).all():  # half of the hashes agree by chance
+        known: dict[bytes, int] = {}
+        code = np.fromiter((known.setdefault(joined[a:b], len(known)) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.int64, len(start))
+        words = list(known)
+    else:
+        words = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return words, code, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def number_words(words: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words' pieces, word after word, and how many each has."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = b"\n".join(words).decode()
+    if SPECIAL not in text and PLAIN.fullmatch(text):
+        pieces = PIECES.findall(text.lower())
+    else:
+        pieces = [x for word in text.split("\n") for x in (*split_pieces(word), "\n")][:-1]
+    flat = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
+    parted = np.flatnonzero(flat == 0)
+    return flat[flat != 0], np.diff(np.concatenate(([-1], parted, [len(flat)]))) - 1
 
 
 def _take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -126,14 +178,27 @@ def _take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.nda
     return flat[np.repeat(start[which], n) + step]
 
 
+def _parts(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text, a longer text alone: what is held at once stays bounded."""
+    length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(length) - length) // size
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of a batch with their counts."""
     for batch in batches:
-        held = _Words({})
-        codes, _, start = held.pieces(as_bytes(batch, "text"))
-        times = np.bincount(codes, minlength=len(held.length))
-        n = np.bincount(held.flat, np.repeat(times, held.length), len(held.lacking)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held.lacking), pa.string()), pa.array(n)], names=["piece", "n"])
+        numbers, n = Numbers([]), np.zeros(1, np.int64)
+        for part in _parts(batch):
+            words, code, _ = distinct_words(as_bytes(part, "text"))
+            flat, length = number_words(words, numbers)
+            times = np.bincount(code, minlength=len(words))
+            more = np.bincount(flat, np.repeat(times, length), len(numbers)).astype(np.int64)
+            more[: len(n)] += n
+            n = more
+        yield pa.RecordBatch.from_arrays([pa.array(numbers.added(), pa.string()), pa.array(n[1:])], names=["piece", "n"])
 
 
 def piece_table(docs: DataFrame, p: Params) -> DataFrame:
@@ -179,83 +244,88 @@ def decode(ids: list[int], pieces: list[str]) -> str:
 
 
 class _Head:
-    """The broadcast pieces: each one's number, and their ids side by side."""
+    """The broadcast pieces from the most frequent down, numbered from 1, and their ids side by side."""
 
     def __init__(self, pieces: list[str], ids: list[bytes]) -> None:
-        self.number = {piece: i for i, piece in enumerate(pieces)}
+        self.pieces = pieces
         self.ids = np.frombuffer(b"".join(ids), "<u4").copy()
-        self.length = np.array([*[len(i) // 4 for i in ids], 0], np.int64)  # the last: a piece that isn't here
+        self.length = np.array([0, *[len(i) // 4 for i in ids]], np.int64)  # 0: a piece that isn't here
         self.start = np.cumsum(self.length) - self.length
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Ids compressed as planes of their low and high bytes."""
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^21 in one to three bytes each, small ones in fewer, compressed."""
+    n = numbers.astype(np.uint32)
+    wide, wider = n >= 1 << 7, n >= 1 << 14
+    raw = np.stack((n & 127 | wide.astype(np.uint32) << 7, n >> 7 & 127 | wider.astype(np.uint32) << 7, n >> 14), 1).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=3).compress(raw[np.stack((np.ones(len(n), bool), wide, wider), 1)].tobytes())
 
 
-def unpack_ids(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype("<u4")
+def unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], raw[:-1] < 128)))
+    size = np.diff(np.append(first, len(raw)))
+    shift = 7 * (np.arange(len(raw)) - np.repeat(first, size))
+    return np.add.reduceat((raw & 127).astype(np.int64) << shift, first)
 
 
-_HEADS = "chunk long, doc_id array<long>, n_head array<int>, n_tail array<int>, head binary, slots binary"
+_CHUNKS = "chunk long, doc_id array<long>, n_pieces array<int>, pieces binary"
 _TAILS = "chunk long, place int, piece string"
 
 
 def _lookup(shared, tails: bool, docs_per_chunk: int = 64):
-    """Chunks of documents. Without ``tails``: their head ids side by side, and the slots between these where the
-    head lacks a piece. With ``tails``: a row for each such slot, with its piece.
+    """Chunks of documents as numbers of the head's pieces, 0 where the head lacks one or, with ``tails``, a row
+    for each of these with its piece.
 
-    Both calls scan the same partitions in the same order, so they number chunks and slots alike.
+    Both calls scan the same partitions in the same order, so they number chunks and places alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: _Head = shared.value
-        words, none = _Words(head.number), len(head.number)
+        numbers = Numbers(shared.value.pieces)
+        base = numbers.base
         chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = as_bytes(batch, "text")
-            codes, counts, start = words.pieces(texts)
-            lacking = list(words.lacking) if tails else []
+        for batch in (part for whole in batches for part in _parts(whole)):
+            if len(numbers) > 4 * base + 1_000_000:
+                numbers = Numbers(shared.value.pieces)
+            words, code, counts = distinct_words(as_bytes(batch, "text"))
+            flat, length = number_words(words, numbers)
+            start = np.cumsum(length) - length
+            added = numbers.added() if tails else []
             rows: list[tuple] = []
             first_word = 0
-            for at in range(0, len(texts), docs_per_chunk):
+            for at in range(0, len(counts), docs_per_chunk):
                 part = counts[at : at + docs_per_chunk]
-                own = codes[first_word : first_word + int(part.sum())]
+                own = code[first_word : first_word + int(part.sum())]
                 first_word += len(own)
-                numbers = _take(words.flat, start, words.length, own)
-                lacks = numbers >= none
+                of = _take(flat, start, length, own)
                 if tails:
-                    slots = (numbers[lacks] - none).tolist()
-                    rows += zip([chunk] * len(slots), range(len(slots)), [lacking[i] for i in slots], strict=True)
+                    slots = (of[of >= base] - base).tolist()
+                    rows += zip([chunk] * len(slots), range(len(slots)), [added[i] for i in slots], strict=True)
                 else:
-                    doc = np.repeat(np.repeat(np.arange(len(part)), part), words.length[own])
-                    known = np.minimum(numbers, none)
-                    size = head.length[known]
-                    ids = _take(head.ids, head.start, head.length, known)
-                    per = [np.bincount(doc, w, len(part)).astype(np.int32) for w in (size, lacks)]
-                    gaps = np.diff((np.cumsum(size) - size)[lacks], prepend=0)
-                    rows.append((chunk, batch.column("doc_id")[at : at + docs_per_chunk].to_pylist(), *per, pack_ids(ids), pack_ids(gaps)))
+                    per = np.bincount(np.repeat(np.arange(len(part)), part), length[own], len(part)).astype(np.int32)
+                    rows.append((chunk, batch.column("doc_id")[at : at + docs_per_chunk].to_pylist(), per, pack(np.where(of >= base, 0, of))))
                 chunk += 1
-            kinds = [pa.int64(), pa.int32(), pa.string()] if tails else [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2, *[pa.binary()] * 2]
+            kinds = [pa.int64(), pa.int32(), pa.string()] if tails else [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            names = ["chunk", "place", "piece"] if tails else ["chunk", "doc_id", "n_head", "n_tail", "head", "slots"]
+            names = ["chunk", "place", "piece"] if tails else ["chunk", "doc_id", "n_pieces", "pieces"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def weave(head: bytes, slots: bytes, n_head: list[int], n_tail: list[int], extra: list[bytes]) -> list[np.ndarray]:
-    """The whole ids of a chunk's documents: the head's with those of the other pieces, in order, put into their slots."""
-    ids, n = unpack_ids(head), np.array(n_head, np.int64)
+def weave(head: _Head, pieces: np.ndarray, n_pieces: list[int], extra: list[bytes]) -> list[np.ndarray]:
+    """The ids of a chunk's documents: those of the head's pieces, and ``extra`` where there is a 0, in order."""
+    size = head.length[pieces]
+    ids = _take(head.ids, head.start, head.length, pieces)
     if extra:
-        size = np.array([len(e) // 4 for e in extra])
-        ids = np.insert(ids, np.repeat(np.cumsum(unpack_ids(slots).astype(np.int64)), size), np.frombuffer(b"".join(extra), "<u4"))
-        n = n + np.bincount(np.repeat(np.arange(len(n)), n_tail), size, len(n)).astype(np.int64)
-    return np.split(ids, np.cumsum(n)[:-1])
+        slot = np.flatnonzero(pieces == 0)
+        more = np.array([len(e) // 4 for e in extra])
+        ids = np.insert(ids, np.repeat((np.cumsum(size) - size)[slot], more), np.frombuffer(b"".join(extra), "<u4"))
+        size[slot] = more
+    ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n_pieces)]
+    return np.split(ids, ends[:-1])
 
 
 def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray], tuple]) -> DataFrame:
@@ -267,7 +337,9 @@ def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray]
     """
     slim = docs.select("doc_id", "text")
     table = piece_table(slim, p)
-    top = frequent(table, p.head).select("piece", "ids").toArrow()
+    if not 0 <= p.head < 1 << 21:
+        raise ValueError("the head has to be below 2^21 pieces")
+    top = frequent(table, p.head).toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
     shared = docs.sparkSession.sparkContext.broadcast(_Head(top["piece"].to_pylist(), top["ids"].to_pylist()))
     tails = slim.mapInArrow(_lookup(shared, True), _TAILS)
     found = tails.join(table.select("piece", "ids"), "piece").select("chunk", "place", "ids")
@@ -277,11 +349,11 @@ def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray]
     def assemble(key: tuple, heads: pa.Table, extra: pa.Table) -> pa.Table:
         pieces = extra["ids"].take(pc.sort_indices(extra["place"])).to_pylist()
         (row,) = heads.to_pylist()
-        each = [make(ids) for ids in weave(row["head"], row["slots"], row["n_head"], row["n_tail"], pieces)]
+        each = [make(ids) for ids in weave(shared.value, unpack(row["pieces"]), row["n_pieces"], pieces)]
         arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*each, strict=True), fields, strict=True)]
         return pa.table([pa.array(row["doc_id"], pa.int64()), *arrays], names=["doc_id", *[n for n, _ in fields]])
 
-    heads = slim.mapInArrow(_lookup(shared, False), _HEADS)
+    heads = slim.mapInArrow(_lookup(shared, False), _CHUNKS)
     return heads.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assemble, f"doc_id long, {schema}")
 
 

@@ -65,3 +65,18 @@ def test_ids_decode(spark):
     back = {r.doc_id: r.text for r in bpe.decoded_texts(ids, P).collect()}
     e = bpe.load(P.tokenizer)
     assert back == {1: e.decode(e.encode("Some words, again", add_special_tokens=False).ids, skip_special_tokens=False), 2: ""}
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(0)
+    for n in (np.zeros(0, int), np.array([0, 127, 128, 16383, 16384, (1 << 21) - 1]), rng.integers(0, 1 << 18, 5000)):
+        assert bpe.unpack(bpe.pack(n)).tolist() == n.tolist()
+
+
+def test_words_of_stretches(monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(bpe, "_STRETCH", 16)
+    texts = ["".join(rng.choice("ab \n\té") for _ in range(rng.randint(0, 60))).encode() for _ in range(200)] + [b"x" * 100]
+    words, code, counts = bpe.distinct_words(texts)
+    assert [words[i] for i in code] == [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(set(words)) == len(words)
