@@ -86,9 +86,9 @@ def trust_gate(hits: DataFrame, floor: float, withhold_conflicts: bool = True) -
 
 
 def claim_filter(claims: DataFrame, dropped: DataFrame, suspect: list[str], never: list[str], public: DataFrame) -> DataFrame:
-    """Claims with the rule that drops them, null where they stay. The rule tables are configuration."""
-    marked = claims.join(F.broadcast(dropped.withColumn("hard", F.lit(True))), ["subject", "predicate", "object"], "left")
-    known = F.broadcast(public.select(F.col("name").alias("subject"), F.lit(True).alias("public_subject")))
+    """Claims with the rule that drops them, null where they stay. Whether rule tables are broadcast is left to their measured size."""
+    marked = claims.join(dropped.withColumn("hard", F.lit(True)), ["subject", "predicate", "object"], "left")
+    known = public.select(F.col("name").alias("subject"), F.lit(True).alias("public_subject"))
     marked = marked.join(known, "subject", "left")
     rule = (
         F.when(F.col("hard"), "hard_drop").when(F.col("predicate").isin(*never), None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.functions import exprs
+from tessera.operators.scans import in_blocks
 
 SPO = ["silo_id", "subject", "predicate", "object"]
 
@@ -106,10 +107,12 @@ def independence(pairs: DataFrame) -> DataFrame:
 def source_tier(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """Per node the best tier of the first rule (priority, then pattern) whose glob its URI matches; ``unknown`` without one.
 
-    ``rules`` is configuration: a broadcast theta join.
+    A theta join: rules are broadcast in blocks of a checked size.
     """
-    r = F.broadcast(rules.withColumn("regex", exprs.glob_regex("pattern")))
-    hit = refs.join(r, F.expr("url rlike regex"))
+    hit = None
+    for block in in_blocks(rules.withColumn("regex", exprs.glob_regex("pattern")), "pattern"):
+        part = refs.join(block, F.expr("url rlike regex"))
+        hit = part if hit is None else hit.union(part)
     first = hit.groupBy("page_id").agg(F.min_by("tier", F.struct(-F.col("priority"), "pattern")).alias("tier"))
     return refs.join(first, "page_id", "left").select("page_id", F.coalesce("tier", F.lit("unknown")).alias("tier"), F.when(F.col("tier").isNull(), "none").otherwise("rule").alias("decided_by"))
 
@@ -173,10 +176,11 @@ def entity_dedup(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def belief_coverage(docs: DataFrame, subjects: DataFrame) -> DataFrame:
-    """How many live texts mention each subject, case-insensitively; ``subjects`` is a stated query table, broadcast."""
-    s = F.broadcast(subjects.select(F.col("subject").alias("s")))
-    hit = docs.join(s, F.expr("contains(lower(content), lower(s))"))
-    n = hit.groupBy("s").agg(F.count("*").alias("n"))
+    """How many texts mention each subject, case-insensitively; the stated subjects are broadcast in blocks of a checked size."""
+    n = None
+    for block in in_blocks(subjects.select(F.col("subject").alias("s")), "s"):
+        part = docs.join(block, F.expr("contains(lower(content), lower(s))")).groupBy("s").agg(F.count("*").alias("n"))
+        n = part if n is None else n.union(part)
     return subjects.join(n, F.col("subject") == F.col("s"), "left").select("subject", F.coalesce("n", F.lit(0)).alias("n_nodes"))
 
 

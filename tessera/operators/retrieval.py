@@ -62,8 +62,10 @@ def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame
 
 
 def temporal_channel(queries: DataFrame, versions: DataFrame, k: int = 10, half_days: float = 7.0) -> DataFrame:
-    """Nodes that began within a query's range, by recency at its end. The query table is stated and broadcast."""
-    hit = versions.join(F.broadcast(queries), F.col("valid_from").between(F.col("start"), F.col("end")))
+    """Nodes that began within a query's range, by recency at its end: joined on the months that a range covers."""
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    q = queries.withColumn("month", F.explode(F.sequence(month("start"), month("end"), F.make_ym_interval(F.lit(0), F.lit(1)))))
+    hit = versions.withColumn("month", month("valid_from")).join(q, "month").where(F.col("valid_from").between(F.col("start"), F.col("end")))
     age = F.timestamp_diff("SECOND", F.col("valid_from"), F.col("end")) / 86400
     return _top(hit.select("query_id", "node_id", F.round(exprs.half_life(age, half_days), 6).alias("score")), k)
 

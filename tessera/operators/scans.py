@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of an id list up to which it is broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows that a broadcast table may have.
+BROADCAST_ROWS = 20_000
+
+
+def in_blocks(df: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """A table of unknown size, for a join without an equality, as broadcasts of about ``rows`` rows each.
+
+    The size is counted first; one block is the usual case. Each further block scans the other side once more.
+    """
+    n = max(1, -(-df.count() // rows))
+    return [F.broadcast(df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
 
 
 def semi(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
@@ -67,7 +76,3 @@ def silo_import(spark, path: str, silo: str | None = None) -> DataFrame:
 def graph_export(edges: DataFrame) -> DataFrame:
     """One row a source with its participants in order, as a hyperedge export has them."""
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("members")).select("src", F.size("members").cast("long").alias("n"), F.array_join(F.slice("members", 1, 5), ",").alias("head"))
-
-
-def struct_order(*cols: Column | str) -> Column:
-    return F.struct(*cols)

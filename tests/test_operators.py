@@ -94,3 +94,8 @@ def test_empty_inputs(spark):
     assert L.dominated(frame(spark, [], "a long, b long"), frame(spark, [], "node_id long, place int")).count() == 0
     assert M.nearest(frame(spark, [], "node_id long, embedding array<float>"), frame(spark, [], "node_id long, embedding array<float>"), 3).count() == 0
     assert e.agg(F.count("*")).first()[0] == 0
+
+
+def test_blocks_of_a_broadcast_hold_every_row_once(spark):
+    rows = [r.id for block in S.in_blocks(spark.range(57), "id", 10) for r in block.collect()]
+    assert sorted(rows) == list(range(57))
