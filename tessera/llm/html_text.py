@@ -295,3 +295,15 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
 
 def op10_html_text(pages: DataFrame) -> DataFrame:
     return extract(pages)
+
+
+#: For pages of the given tables' one template: what stands in the article element.
+OP10_SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '</?(p|h1|br)>', ' ', 'g') AS body FROM a),
+c AS (
+  SELECT page_id, url, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
+    '&amp;?', chr(1), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(x27|39);', '''', 'g'), chr(1), '&') AS body FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""

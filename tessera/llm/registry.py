@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mix": mixing.OP3_SQL,
         "op7_hamming_topk": mih.OP7_SQL,
         "op9_secret_scan": secrets.OP9_SQL,
+        "op10_html_text": html_text.OP10_SQL,
     }

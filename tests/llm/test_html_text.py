@@ -63,3 +63,9 @@ def test_edge_rows(spark):
     got = html_text.op10_html_text(pages).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "x", 1), ("1", "x", 1), ("2", "", 0), ("None", "", 0)]
     assert html_text.op10_html_text(pages.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    from .oracle import same
+
+    same(html_text.op10_html_text(table(spark, sf_dir, "pages")), sf_dir, html_text.OP10_SQL)
