@@ -55,3 +55,8 @@ def add_columns(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], lis
 def order_id(name: str) -> Column:
     """An id as a value that sorts nulls last."""
     return F.struct(F.col(name).isNull().alias("missing"), F.col(name).alias("id"))
+
+
+def hashed_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the first ``share`` of its range: the same rows in every run, found without a sort."""
+    return F.lit(True) if share >= 1 else h < F.lit(int((2 * share - 1) * (1 << 63))).cast("long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text
+from tessera.llm.common import as_text, hashed_share
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -167,9 +167,9 @@ class Field:
 
 @dataclass(frozen=True)
 class Params:
-    """``sample`` bounds the documents with candidates that the weights are learned from."""
+    """``sample``: of about how many rows the weights are learned."""
 
-    sample: int = 3000
+    sample: int = 20_000
     sample_tokens: int = 200  # of each sampled document
     near: int = 3  # words between chain neighbours at most
     rounds: int = 30
@@ -288,13 +288,15 @@ def label(text: str, field: Field, p: Params) -> tuple[list[tuple[int, int, int]
 
 
 def _learn(docs: DataFrame, p: Params) -> Field:
-    """The field of a sample: the first ``p.sample`` texts with candidates in a hashed order.
+    """The field of a sample: of about ``p.sample`` rows, by a share of their hashes, the texts with candidates.
 
-    Base spans label the tokens. A few tokens a document, and their pairs, are all that is gathered.
+    Base spans label the tokens. A few tokens a document, and their pairs, are all that is
+    gathered; rows that repeat count once.
     """
     text = F.coalesce("text", F.lit(""))
-    has = docs.where(text.rlike("[0-9]")).select(text.alias("text"), F.xxhash64("text").alias("h"), F.length(text).alias("n")).where(F.col("n") < 60_000)
-    sample = has.orderBy("h", "n").limit(p.sample).drop("n", "h")
+    rows = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    some = rows.where(hashed_share(F.col("h"), p.sample / max(1, docs.count()))).where(F.col("text").rlike("[0-9]") & (F.length("text") < 60_000))
+    sample = some.groupBy("h").agg(F.min("text").alias("text")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
