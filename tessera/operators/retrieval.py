@@ -25,9 +25,12 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, nodes: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of every query against every node. Only nodes' tokens that some query has are joined on."""
-    terms = tokens(nodes, "node_id", "content")
+def bm25(queries: DataFrame, nodes: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
+    """BM25 of every query against every node. Only nodes' tokens that some query has are joined on.
+
+    ``terms``: the nodes' tokens, where they are at hand.
+    """
+    terms = terms if terms is not None else tokens(nodes, "node_id", "content")
     lengths = terms.groupBy("node_id").agg(F.sum("tf").alias("length"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = tokens(queries, "query_id", "text").select("query_id", "token")
@@ -40,20 +43,21 @@ def bm25(queries: DataFrame, nodes: DataFrame, k: int = 10, k1: float = 1.2, b:
     return _top(per.groupBy("query_id", "node_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 
-def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None) -> DataFrame:
     """How many of a query's first five words of three letters or more a node contains.
 
     Containment is of whole words of the node, so it joins on the word instead of scanning each text for each query.
     """
     word = F.slice(F.filter(F.split(F.lower("text"), TOKEN), lambda w: F.length(w) >= 3), 1, 5)
     asked = queries.select("query_id", F.explode(F.array_distinct(word)).alias("token"))
-    hit = tokens(nodes, "node_id", "content").join(asked, "token").groupBy("query_id", "node_id").agg(F.count("*").cast("double").alias("score"))
+    terms = terms if terms is not None else tokens(nodes, "node_id", "content")
+    hit = terms.join(asked, "token").groupBy("query_id", "node_id").agg(F.count("*").cast("double").alias("score"))
     return _top(hit, k)
 
 
-def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None) -> DataFrame:
     """.7 x BM25 over its best + .3 x trigram similarity with the head of the text, for lexical matches."""
-    lexical = bm25(queries, nodes, 50)
+    lexical = bm25(queries, nodes, 50, terms=terms)
     best = F.max("score").over(Window.partitionBy("query_id"))
     head = nodes.select("node_id", F.substring("content", 1, 200).alias("head"))
     both = lexical.withColumn("share", F.col("score") / best).drop("score", "rank").join(head, "node_id").join(queries, "query_id")
@@ -120,7 +124,8 @@ def recall(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: Data
     dense = materialize(nearest(asked, near, 2 * k).select("query_id", "node_id", "rank"), "recall-dense")
     start = dense.where(F.col("rank") <= seeds).select("query_id", F.col("node_id").alias("id"), F.lit(1.0).alias("weight"))
     text = queries.select("query_id", "text")
-    channels = {"dense": dense, "text": text_channel(text, live, 2 * k), "grep": grep_channel(text, live, 2 * k), "graph": ppr_channel(edges, start, 2 * k, rounds=rounds)}
+    terms = materialize(tokens(live, "node_id", "content"), "recall-terms")
+    channels = {"dense": dense, "text": text_channel(text, live, 2 * k, terms), "grep": grep_channel(text, live, 2 * k, terms), "graph": ppr_channel(edges, start, 2 * k, rounds=rounds)}
     j = fuse(channels, top=2 * k).join(live.select("node_id", "layer", "confidence", "age_hours"), "node_id")
     score = layer_scoring(F.col("score"), F.col("layer"), F.col("age_hours") / 24, F.lit(0), F.lit(False))
     score = F.round(epistemic_fusion(score, F.col("layer"), F.col("confidence"), F.lit(False)), 6)
