@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, as_bytes
+from tessera.llm.common import add_columns, as_bytes, hashed_share
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
@@ -29,7 +29,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds and thresholds. ``sample`` bounds the labelled rows of each class that are fitted on."""
+    """Bounds and thresholds. ``sample``: about how many labelled rows of each class are fitted on."""
 
     sample: int = 1000
     sample_chars: int = 60_000  # longer labelled texts are not fitted on; all are scored
@@ -172,7 +172,7 @@ def platt(scores: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """The model of a sample: of each label the ``p.sample`` labelled texts first in a hashed order.
+    """The model of a sample: of each label about ``p.sample`` labelled texts, by a share of their ids' hashes.
 
     Labels that contradict each other on a ``doc_id`` count as bad; null labels and ids are left
     out. The sample's classes are weighed back to their shares of all labels, so the calibrated
@@ -180,10 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     shares = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    first = None
-    for label in (0, 1):
-        part = known.where(F.col("good") == label).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(p.sample)
-        first = part if first is None else first.union(part)
+    in_sample = F.lit(False)
+    for label, n in shares.items():
+        in_sample |= (F.col("good") == label) & hashed_share(F.xxhash64("doc_id", F.lit(3)), p.sample / n)
+    first = known.where(F.col("good").isin(0, 1) & in_sample)
     text = F.coalesce("text", F.lit(""))
     fits = docs.where("doc_id is not null").where(F.length(text) <= p.sample_chars).select("doc_id", text.alias("text"))
     # a doc_id may repeat any number of times: its smallest text stands for it
@@ -247,6 +247,7 @@ def op4_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    model, p = train(docs, labels), Params()
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return judge(slim, model, p).where("kept").select("row.*")
+    # under names that can't clash with the verdict's
+    safe = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    kept = judge(docs.toDF(*safe), train(docs, labels)).where("kept")
+    return kept.select(*[F.col(s).alias(c) for s, c in zip(safe, docs.columns, strict=True)])
