@@ -109,11 +109,16 @@ def demand_time(c: Column, target: Column, rank: Column, phases: tuple[tuple[flo
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), time))
 
 
+def _position(at: Column) -> Column:
+    """The training position of a document's copy in pass ``at`` over its source."""
+    middle = F.col("start") + F.col("size") / 2 + F.col("source_size") * at
+    return demand_time(middle, F.col("target"), F.col("rank"))
+
+
 def _each_pass(rows: DataFrame) -> DataFrame:
     """A row for each copy, with its ``pass`` and training ``position``."""
     each = rows.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    middle = F.col("start") + F.col("size") / 2 + F.col("source_size") * F.col("pass")
-    return each.withColumn("position", demand_time(middle, F.col("target"), F.col("rank")))
+    return each.withColumn("position", _position(F.col("pass")))
 
 
 def mixed_positions(docs: DataFrame) -> DataFrame:
@@ -147,8 +152,21 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op3_source_mix(docs: DataFrame) -> DataFrame:
+    """A row a document with the words taken of it, range-sorted by the training positions of its copies; those not taken come last.
+
+    ``op3_mix_positions`` gives the positions themselves, a row a copy.
+    """
     rows = copies(placed(materialize(sizes(docs), "mix-sizes")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    # null where no copy is taken; doc_id spreads these over the ranges
+    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), _position))
+    at = rows.withColumn("positions", positions).orderBy(F.col("positions").asc_nulls_last(), "doc_id")
+    taken = F.col("size") * F.coalesce(F.array_size("positions"), F.lit(0))
+    return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def op3_mix_positions(docs: DataFrame) -> DataFrame:
+    """One row a copy that the mix takes, range-sorted by its training position."""
+    return mixed_positions(docs).orderBy("position", "doc_id", "pass")
 
 
 OP3_SQL = r"""

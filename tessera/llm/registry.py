@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": _over(line_dedup.op1_line_dedup, "documents"),
         "op2_warc_revisits": _over(warc.op2_warc_revisits, "pages"),
         "op3_source_mix": _over(mixing.op3_source_mix, "documents"),
+        "op3_mix_positions": _over(mixing.op3_mix_positions, "documents"),
         "op4_quality_rules": _over(quality.op4_quality_rules, "documents", "labels"),
         "op5_simhash_near_dedup": _over(simhash.op5_near_duplicates, "documents"),
         "op6_bpe": _over(bpe.op6_bpe, "documents"),

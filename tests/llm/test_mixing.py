@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import mixing, registry
 from tessera.llm.common import table
 
 from .oracle import same
@@ -58,3 +60,37 @@ def test_mix_takes_near_the_target(spark, sf_dir):
     assert all(abs(r.t - r.target) <= r.m for r in taken)
     words = mixing.sizes(mixing.mix(docs)).agg(F.sum("size")).first()[0]
     assert words == mixing.op3_source_mix(docs).agg(F.sum("taken")).first()[0]
+
+
+def test_queries_follow_the_curriculum(spark, tmp_path):
+    """Both queries against an own walk over the schedule: words in hashed order, weights integrated in small steps."""
+    texts = [(i, "w " * (1 + i % 5), f"s{i % 3}") for i in range(240)] + [(900, None, "s0")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    sized = {i: len((t or "").split()) for i, t, _ in texts}
+    target = {r.source: r.target for r in mixing.source_targets(mixing.sizes(docs).select("source", "size")).collect()}
+    want = {}
+    for k, s in enumerate(sorted(target)):
+        ids = sorted((i for i, _, x in texts if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        start = 0
+        for n in range(mixing.MAX_PASSES):
+            for i in ids:
+                middle, start = start + sized[i] / 2, start + sized[i]
+                if sized[i] and middle < target[s]:
+                    time = reached = 0.0
+                    for phase in range(4):
+                        rate = mixing.PHASES[k][phase] * target[s]
+                        if middle <= reached + rate / 4:
+                            time = phase / 4 + (middle - reached) / rate
+                            break
+                        reached += rate / 4
+                    want[i, n] = time
+    got = registry.queries()["op3_mix_positions"]
+    path = str(tmp_path)
+    docs.write.parquet(f"{path}/documents.parquet")
+    rows = got(spark, path).collect()
+    assert {(r.doc_id, r["pass"]): r.position for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    per = registry.queries()["op3_source_mix"](spark, path).collect()
+    first = [want.get((r.doc_id, 0), 2.0) for r in per]
+    assert first == sorted(first) and first[-1] == 2.0
+    assert {r.doc_id: r.taken for r in per} == {i: n * sum((i, p) in want for p in range(3)) for i, n in sized.items()}
