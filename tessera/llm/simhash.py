@@ -27,22 +27,30 @@ from tessera.llm.components import component_labels
 from tessera.scratch import materialize
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The majority bits of the shingles' XXH64 hashes; 0 if the text has no word."""
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 hashes of the text's shingles; a text of fewer words is one shingle, one without a word has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """The majority bits of the shingles' XXH64 hashes; 0 if the text has no word."""
+    return _majority(_hashes(text, shingle))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
@@ -181,6 +189,19 @@ def _link_shards(radius: int, chunk: int = 1 << 13):
     return run
 
 
+def _dealt(rows: DataFrame, block: int, *columns: str) -> DataFrame:
+    """``rows`` of shards with two members or more, dealt to tasks that each hold a block of a shard, or a pair of blocks, by ``side``."""
+    counts = rows.groupBy("shard").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(counts, "shard")
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = F.pmod(F.xxhash64(columns[0], F.lit(7)), blocks.cast("long")).cast("int")
+    # a block meets itself and every other block once
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    rows = rows.select("shard", *columns, own.alias("_own"), F.explode(meets).alias("_m"))
+    rows = rows.select(F.xxhash64("shard", "_m.i", "_m.j").alias("shard"), *columns, (F.col("_own") != F.col("_m.i")).cast("int").alias("side"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "side", columns[0])
+
+
 def near_links(fps: DataFrame, radius: int = 4, keep: int = 2, block: int = 2048) -> DataFrame:
     """Links ``(a, b)`` that connect exactly what links of at most ``radius`` bits connect.
 
@@ -194,15 +215,7 @@ def near_links(fps: DataFrame, radius: int = 4, keep: int = 2, block: int = 2048
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "part"))
     rows = rows.select("fp", F.xxhash64("choice", "part").alias("shard"))
-    counts = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(counts, "shard")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks.cast("long")).cast("int")
-    # a block meets itself and every other block once
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = rows.select("shard", "fp", own.alias("own"), F.explode(meets).alias("m"))
-    rows = rows.select(F.xxhash64("shard", "m.i", "m.j").alias("shard"), "fp", (F.col("own") != F.col("m.i")).cast("int").alias("side"))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "side", "fp")
+    dealt = _dealt(rows, block, "fp")
     return dealt.mapInArrow(_link_shards(radius), "a long, b long")
 
 
@@ -231,12 +244,221 @@ def op5_near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near copies, to the pipeline's stage: this Jaccard similarity of the sets of shingles of so many words.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits that may differ in a candidate. At a Jaccard similarity of 0.8 about 10 of 64 do; small sets scatter more.
+RADIUS = 28
+_BUCKETS = 1 << 16
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``text_hash``, the set of the text's shingles (hashes, sorted), its size ``n``, hash ``set_key`` and fingerprint ``fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_hashes(t, shingle)) for t in as_bytes(batch, "text")]
+            n = np.fromiter(map(len, sets), np.int32, len(sets))
+            keys = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets))
+            fps = np.fromiter(map(_majority, sets), np.uint64, len(sets))
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            shingles = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(n), shingles]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_key", "fp", "n", "shingles"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set_key long, fp long, n int, shingles array<long>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a batch, one after the other, with the place of each one's row."""
+    lists = batch.column("shingles")
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each hash bucket: ``_BUCKETS`` numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(_flat(batch)[0]), minlength=_BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = np.zeros(_BUCKETS, np.int64)
+    counts = sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for bucket, n in counts.collect():
+        found[bucket] = n
+    return found
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows ``shard, set_key, fp, n`` of shards with two sets or more: two sets of at least ``similarity`` share a shard.
+
+    Such sets have at least ``similarity * n`` shingles in common, so in any order of all
+    shingles each has one of these among its first ``n - ceil(similarity * n) + 1``. The order
+    is by the bucket's count, which puts common shingles last; it decides the size of shards only.
+    """
+    often = _frequencies(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # copies in a batch are sent once
+            once = np.unique(batch.column("set_key").to_numpy(zero_copy_only=False), return_index=True)[1]
+            batch = batch.take(pa.array(once))
+            h, row = _flat(batch)
+            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((h, often[_bucket(h)], row))
+            h, row = h[order], row[order]
+            place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
+            take = n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+            first = place < take[row]
+            h, row = h[first], row[first]
+            bare = np.flatnonzero(n == 0)  # texts without a word are copies of each other
+            h, row = np.r_[h, np.zeros(len(bare), np.uint64)], np.r_[row, bare]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[batch.column(c).take(at) for c in ("set_key", "fp", "n")]], names=["shard", "set_key", "fp", "n"])
+
+    rows = sets.select("set_key", "fp", "n", "shingles").mapInArrow(run, "shard long, set_key long, fp long, n int")
+    return rows.repartition("shard").sortWithinPartitions("shard", "set_key").mapInArrow(_repeated, rows.schema)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows ``(shard, set_key, ...)`` each distinct one whose shard has another; the last row seen waits for the next."""
+    held: pa.Table | None = None
+    wanted = False  # the row held follows one of its shard
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not len(rows):
+            continue
+        shard, key = (rows.column(c).to_numpy() for c in ("shard", "set_key"))
+        new = np.r_[True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])]
+        rows, shard = rows.filter(pa.array(new)), shard[new]
+        keep = np.r_[wanted, shard[1:] == shard[:-1]]
+        keep[:-1] |= shard[1:] == shard[:-1]
+        held, wanted = rows.slice(len(rows) - 1), bool(keep[-1])
+        yield from rows.slice(0, len(rows) - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+    if held is not None and wanted:
+        yield from held.combine_chunks().to_batches()
+
+
+def _hooks(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that join what ``root`` (changed in place) holds apart: a spanning forest of real links."""
+    at, taken = np.arange(len(a)), []
+    while len(at):
+        ra, rb = root[a[at]], root[b[at]]
+        at, ra, rb = at[ra != rb], ra[ra != rb], rb[ra != rb]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        np.minimum.at(root, high, low)
+        won = np.flatnonzero(root[high] == low)
+        taken.append(at[won[np.unique(high[won], return_index=True)[1]]])
+        while (root[root] != root).any():
+            root[:] = root[root]
+    return np.concatenate([np.zeros(0, np.int64), *taken])
+
+
+def _candidates(radius: int, similarity: float, forest_only: bool, chunk: int = 1 << 10):
+    """For dealt rows: links within the radius between sets of different parts whose sizes allow the similarity."""
+
+    def solve(key: np.ndarray, fp: np.ndarray, side: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes = fp.view(np.uint64)
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        tree = side == 0
+        node_at = np.flatnonzero(tree)
+        if not len(node_at):
+            return
+        has = np.unique(group[node_at])
+        bk = BkForest(codes[node_at], np.searchsorted(has, group[node_at]))
+        two_sided = np.zeros(group[-1] + 1, bool)
+        two_sided[group[~tree]] = True
+        asks = np.flatnonzero(np.isin(group, has) & (~tree | ~two_sided[group]))
+        root = np.arange(len(codes))
+        for at in range(0, len(asks), chunk):
+            some = asks[at : at + chunk]
+            for q, node in bk.search(codes[some], np.searchsorted(has, group[some]), radius):
+                a, b = some[q], node_at[node]
+                fits = (part[a] != part[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+                a, b = a[fits], b[fits]
+                if forest_only:
+                    some_links = _hooks(root, a, b)
+                    a, b = a[some_links], b[some_links]
+                if len(a):
+                    yield a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("shard", "fp", "side", "n", "part", "set_key")
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            key, fp, side, n, part, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            for a, b in solve(key, fp, side, n, part):
+                pairs = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            key = columns[0]
+            if not len(key):
+                continue
+            last = len(key) - int(np.argmax(key[::-1] != key[-1])) if (key != key[-1]).any() else 0
+            if held and held[-1][0][-1] != key[0]:
+                yield from emit()
+                held.clear()
+            if last:  # all shards but the last are whole
+                held.append(tuple(c[:last] for c in columns))
+                yield from emit()
+                held.clear()
+            held.append(tuple(c[last:] for c in columns))
+        if held:
+            yield from emit()
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links ``(a, b)`` whose sets have the Jaccard similarity."""
+    pairs = materialize(pairs.distinct(), "simhash-candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    held = materialize(sets.select("set_key", "shingles").join(ends, "set_key", "left_semi").dropDuplicates(["set_key"]), "simhash-candidate-sets")
+    side = lambda c: held.select(F.col("set_key").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both / (F.size("sa") + F.size("sb") - both) >= similarity
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "simhash-verified")
+
+
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = 2048) -> DataFrame:
+    """Links ``(a, b)`` of ``set_key`` that connect what links of sets of at least ``similarity`` connect.
+
+    Shards are sets that share a rare shingle, and within them BK-trees of fingerprints find the
+    candidates; a candidate is a link once its sets have been compared. A first round compares a
+    spanning forest of each shard's candidates. A second one compares all candidates between
+    different components of the first, so a large group of copies is not compared pair by pair.
+    """
+    shared = materialize(_prefixes(sets, similarity), "simhash-shared")
+    links = "a long, b long"
+    columns = ("set_key", "fp", "n", "part")
+    first = _dealt(shared.withColumn("part", F.col("set_key")), block, *columns).mapInArrow(_candidates(radius, similarity, True), links)
+    found = _verified(first, sets, similarity)
+    parts = component_labels(found, "simhash-parts").select(F.col("node").alias("set_key"), "root")
+    told = shared.join(parts, "set_key", "left").withColumn("part", F.coalesce("root", "set_key")).drop("root")
+    rest = _dealt(told, block, *columns).mapInArrow(_candidates(radius, similarity, False), links)
+    # links that the first round refused are refused again
+    return found.union(_verified(rest, sets, similarity))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the smallest by ``doc_id`` (nulls last), then by its text's hash.
+    """One document of each component of near copies: the smallest by ``doc_id`` (nulls last), then by its text's hash.
 
-    Rows equal in both are copies too, and one of them stays.
+    Near copies have five-word shingles of Jaccard similarity 0.8 or more. Rows equal in id and
+    text are copies too, and one of them stays; so does one of all texts without a word.
     """
-    found = near_duplicates(docs)
+    sets = materialize(shingle_sets(docs), "simhash-sets")
+    labels = component_labels(similar_links(sets), "simhash").select(F.col("node").alias("set_key"), "root")
+    found = sets.select("doc_id", "text_hash", "set_key").join(labels, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")))
     stands = found.groupBy("root").agg(first.alias("k")).select(*[F.col(f"k.{c}").alias(f"_{c}") for c in ("missing", "id", "text_hash")])
     keys = list(stands.columns)

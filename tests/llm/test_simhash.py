@@ -99,3 +99,49 @@ def test_long_chain_is_one_component(spark):
 
     links = spark.range(300).selectExpr("id as a", "id + 1 as b")
     assert component_labels(links, "t").select("root").distinct().count() == 1
+
+
+def slow_kept(rows):
+    """The least id of each component of texts whose five-word shingles have Jaccard similarity 0.8, over all pairs."""
+    sets = {}
+    for d, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) - 1e-6:
+                both = len(x & y)
+                if x == y or both / (len(x) + len(y) - both) >= 0.8:
+                    p, q = sorted((find(a), find(b)))
+                    up[q] = p
+    return {find(d) for d in ids}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keep_one_against_brute_force_jaccard(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for base in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 2000, int(rng.integers(5, 120)))] + (["the", "licence", "applies", "to", "all"] * 3 if base % 3 == 0 else [])
+        for _ in range(8):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 5))):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    want = slow_kept(rows)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_keep_one_on_the_given_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == slow_kept([(r.doc_id, r.text) for r in docs.collect()])
