@@ -22,12 +22,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes
+from tessera.llm.common import as_bytes, text_slices
 from tessera.scratch import materialize
 
 
@@ -178,27 +179,27 @@ def _take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.nda
     return flat[np.repeat(start[which], n) + step]
 
 
-def _parts(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about ``size`` bytes of text, a longer text alone: what is held at once stays bounded."""
-    length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(length) - length) // size
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], batch.num_rows], strict=True):
-        yield batch.slice(a, b - a)
+_HELD = 1 << 18  # pieces outside the head that a task numbers before it starts anew
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of a batch with their counts."""
-    for batch in batches:
-        numbers, n = Numbers([]), np.zeros(1, np.int64)
-        for part in _parts(batch):
-            words, code, _ = distinct_words(as_bytes(part, "text"))
-            flat, length = number_words(words, numbers)
-            times = np.bincount(code, minlength=len(words))
-            more = np.bincount(flat, np.repeat(times, length), len(numbers)).astype(np.int64)
-            more[: len(n)] += n
-            n = more
-        yield pa.RecordBatch.from_arrays([pa.array(numbers.added(), pa.string()), pa.array(n[1:])], names=["piece", "n"])
+    """Pieces with their counts, some more than once."""
+    numbers, n = Numbers([]), np.zeros(1, np.int64)
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers.added(), pa.string()), pa.array(n[1:])], names=["piece", "n"])
+
+    for part in (part for batch in batches for part in text_slices(batch)):
+        words, code, _ = distinct_words(as_bytes(part, "text"))
+        flat, length = number_words(words, numbers)
+        times = np.bincount(code, minlength=len(words))
+        more = np.bincount(flat, np.repeat(times, length), len(numbers)).astype(np.int64)
+        more[: len(n)] += n
+        n = more
+        if len(numbers) > _HELD:
+            yield counted()
+            numbers, n = Numbers([]), np.zeros(1, np.int64)
+    yield counted()
 
 
 def piece_table(docs: DataFrame, p: Params) -> DataFrame:
@@ -279,17 +280,19 @@ def _lookup(shared, tails: bool, docs_per_chunk: int = 64):
     """Chunks of documents as numbers of the head's pieces, 0 where the head lacks one or, with ``tails``, a row
     for each of these with its piece.
 
-    Both calls scan the same partitions in the same order, so they number chunks and places alike.
+    A chunk's name holds a hash of its texts and ids. If two scans cut their rows into other chunks, names
+    don't meet and ``assemble`` fails, so a place never gets the ids of another.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(shared.value.pieces)
         base = numbers.base
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in (part for whole in batches for part in _parts(whole)):
-            if len(numbers) > 4 * base + 1_000_000:
+        number = TaskContext.get().partitionId() << 32
+        for batch in (part for whole in batches for part in text_slices(whole)):
+            if len(numbers) > base + _HELD:
                 numbers = Numbers(shared.value.pieces)
-            words, code, counts = distinct_words(as_bytes(batch, "text"))
+            texts, ids = as_bytes(batch, "text"), batch.column("doc_id").to_pylist()
+            words, code, counts = distinct_words(texts)
             flat, length = number_words(words, numbers)
             start = np.cumsum(length) - length
             added = numbers.added() if tails else []
@@ -300,13 +303,16 @@ def _lookup(shared, tails: bool, docs_per_chunk: int = 64):
                 own = code[first_word : first_word + int(part.sum())]
                 first_word += len(own)
                 of = _take(flat, start, length, own)
+                content = xxhash.xxh64(b"\n".join(texts[at : at + docs_per_chunk]), number % (1 << 64))
+                content.update(repr(ids[at : at + docs_per_chunk]))
+                chunk = content.intdigest() - (1 << 63)
                 if tails:
                     slots = (of[of >= base] - base).tolist()
                     rows += zip([chunk] * len(slots), range(len(slots)), [added[i] for i in slots], strict=True)
                 else:
                     per = np.bincount(np.repeat(np.arange(len(part)), part), length[own], len(part)).astype(np.int32)
-                    rows.append((chunk, batch.column("doc_id")[at : at + docs_per_chunk].to_pylist(), per, pack(np.where(of >= base, 0, of))))
-                chunk += 1
+                    rows.append((chunk, ids[at : at + docs_per_chunk], per, pack(np.where(of >= base, 0, of))))
+                number += 1
             kinds = [pa.int64(), pa.int32(), pa.string()] if tails else [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             names = ["chunk", "place", "piece"] if tails else ["chunk", "doc_id", "n_pieces", "pieces"]
@@ -333,7 +339,7 @@ def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray]
 
     A null text is empty; equal rows stay apart; an empty table gives none; other columns are not
     read. ``docs`` is scanned twice and has to give its rows in the same order, as a table read
-    from files does.
+    from files does; if it doesn't, the job fails instead of giving wrong ids.
     """
     slim = docs.select("doc_id", "text")
     table = piece_table(slim, p)
@@ -348,8 +354,13 @@ def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray]
 
     def assemble(key: tuple, heads: pa.Table, extra: pa.Table) -> pa.Table:
         pieces = extra["ids"].take(pc.sort_indices(extra["place"])).to_pylist()
+        if heads.num_rows != 1:
+            raise ValueError("two scans of the documents gave their rows in another order: write them as a table first")
         (row,) = heads.to_pylist()
-        each = [make(ids) for ids in weave(shared.value, unpack(row["pieces"]), row["n_pieces"], pieces)]
+        numbers = unpack(row["pieces"])
+        if len(pieces) != int((numbers == 0).sum()):
+            raise ValueError("pieces are missing: write the documents as a table first")
+        each = [make(ids) for ids in weave(shared.value, numbers, row["n_pieces"], pieces)]
         arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*each, strict=True), fields, strict=True)]
         return pa.table([pa.array(row["doc_id"], pa.int64()), *arrays], names=["doc_id", *[n for n, _ in fields]])
 
@@ -378,16 +389,19 @@ def token_ids(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def decoded_texts(ids: DataFrame, p: Params) -> DataFrame:
-    """``doc_id`` and the decoded ``text`` of rows ``(doc_id, ids)``; null ids decode to an empty text."""
-    shared = ids.sparkSession.sparkContext.broadcast(id_pieces(p.tokenizer))
+    """``doc_id`` and the decoded ``text`` of rows ``(doc_id, ids)``: ids are joined with the vocabulary's id-to-piece table.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [decode(i or [], shared.value) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    Null ids decode to an empty text; equal rows stay apart; an empty table gives none. The vocabulary
+    file bounds the table that is broadcast.
+    """
+    spark = ids.sparkSession
+    vocabulary = spark.createDataFrame(list(enumerate(id_pieces(p.tokenizer))), "id int, piece string")
+    rows = materialize(ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"), "bpe-ids")
+    each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(F.broadcast(vocabulary), "id")
+    texts = each.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    return rows.join(texts, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def op6_bpe(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """Number of tokens and digests of the ids and the decoded text of each row's whole text; see ``encoded`` for odd rows."""
     return digests(docs, p or Params(default_path()))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,15 @@ def as_text(batch: pa.RecordBatch, name: str) -> list[str]:
     return [v or "" for v in batch.column(name).to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text, a longer text alone: what is held at once stays bounded."""
+    length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(length) - length) // size
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def replace_column(batch: pa.RecordBatch, name: str, values: list, kind: pa.DataType) -> pa.RecordBatch:
     i = batch.schema.get_field_index(name)
     return batch.set_column(i, pa.field(name, kind), pa.array(values, kind))
