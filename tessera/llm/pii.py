@@ -8,17 +8,20 @@ Loopy belief propagation passes messages along both kinds of edges until they se
 
 Only tokens that hold a digit or an at sign, or stand beside one, can be part of an entity; all
 others are outside by a hard zero in their potentials. A token that is surely outside passes on a
-constant, so inference over the whole document needs the other tokens alone. Its weights are
-learned from documents' own base spans: a bounded sample of candidate tokens gives a softmax
-regression with the strong form hidden, and counts of neighbouring and of similar pairs give the
-edges' potentials.
+constant, so inference over the whole document needs the other tokens alone. All its potentials
+are trained together, by pseudo-likelihood: each candidate token's label given its features and
+the labels at the other ends of its edges, where the documents' own base spans are the labels and
+every token is seen once whole and once with its strong form hidden. Spark counts the distinct
+configurations over all documents; the fit needs these counts alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from ast import literal_eval
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text, hashed_share
+from tessera.llm.common import as_text
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -80,11 +83,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-# A candidate: a stretch without white space that has a digit or an at sign, or an address spelt out.
+# Candidates start where a word does: numbers in groups with single blanks between, or a word with a digit or an at sign.
 _CANDIDATE = re.compile(
-    r"[A-Za-z0-9._%+-]+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]+)+"
-    r"|\+?\(?[0-9][0-9().-]*(?:\x20\(?[0-9][0-9().-]*)+|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+    r"(?<![^\x20\x09-\x0D])(?:\+?\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)++|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 )
+# An address spelt out: its sign, from which the part before is found backwards, and the part after.
+_SPELT_AT = re.compile(r"\x20?[\[(](?:at|AT)[\])]\x20?")
+_SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++")
 _TRIM = "\"'.,;:!?()[]{}<>*#$%&|="
 
 
@@ -97,14 +102,35 @@ class Token:
     word: int  # how many words come before it
 
 
+def _spelt(text: str) -> list[tuple[int, int]]:
+    """Where addresses stand that spell out their signs; every character is looked at a bounded number of times."""
+    out, end = [], 0
+    m = _SPELT_AT.search(text)
+    while m:
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        after = _SPELT_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if after:
+            out.append((start, after.end()))
+        end = after.end() if after else m.end()
+        m = _SPELT_AT.search(text, end)
+    return out
+
+
 def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
-    """The document's candidate tokens in order."""
+    """The document's candidate tokens in order, in time proportional to the text."""
     out, k = [], 0
     words_before, last = 0, 0
-    for m in _CANDIDATE.finditer(text):
-        raw = m[0]
-        a = m.start() + len(raw) - len(raw.lstrip(_TRIM.replace("(", "")))
-        b = m.end() - (len(raw) - len(raw.rstrip(_TRIM)))
+    found = [m.span() for m in _CANDIDATE.finditer(text)]
+    if spelt := _spelt(text):
+        ends = [b for _, b in spelt]
+        apart = lambda a, b: (i := bisect_right(ends, a)) == len(spelt) or b <= spelt[i][0]
+        found = sorted(spelt + [s for s in found if apart(*s)])
+    for at, stop in found:
+        raw = text[at:stop]
+        a = at + len(raw) - len(raw.lstrip(_TRIM.replace("(", "")))
+        b = stop - (len(raw) - len(raw.rstrip(_TRIM)))
         if b <= a:
             continue
         while k and spans[k - 1][2] > a:
@@ -112,8 +138,8 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
         while k < len(spans) and spans[k][2] <= a:
             k += 1
         label = spans[k][1] if k < len(spans) and spans[k][0] < b else OUTSIDE
-        words_before += len(text[last : m.start()].split())
-        last = m.end()
+        words_before += len(text[last:at].split())
+        last = stop
         out.append(Token(a, b, text[a:b], label, words_before))
         words_before += 1
     return out
@@ -167,10 +193,9 @@ class Field:
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: of about how many rows the weights are learned."""
+    """``configurations``: of the distinct configurations of all documents, on how many of the most frequent the field is fitted."""
 
-    sample: int = 20_000
-    sample_tokens: int = 200  # of each sampled document
+    configurations: int = 50_000
     near: int = 3  # words between chain neighbours at most
     rounds: int = 30
     add_at: float = 0.9  # the probability from which a span is added
@@ -197,42 +222,56 @@ def links(found: list[Token], near: int) -> tuple[list[tuple[int, int]], list[tu
     return chain, skip
 
 
-def fit(rows: list[tuple[str, int]], pairs: list[tuple[int, int, int]]) -> Field:
-    """Softmax regression of candidates' labels, each seen whole and with its strong form hidden; smoothed pair counts.
+#: Features that hold, labels of the chain's neighbours (-1: none) and of skip neighbours, the token's label.
+Configuration = tuple[tuple[int, ...], int, int, tuple[int, ...], int]
 
-    ``pairs``: (label, label, 1 for a skip edge). Half of what chance would give is taken off, as
-    the regression already explains the tokens one by one.
-    """
-    unary = np.zeros((FEATURES, LABELS))
-    if rows:
-        counts: dict[tuple[tuple[int, ...], int], float] = defaultdict(float)
-        for text, label in rows:
-            for hide in (False, True):
-                counts[tuple(features(text, hide)), label] += 1
-        keys = sorted(counts)
-        x = np.zeros((len(keys), FEATURES))
-        for i, (on, _) in enumerate(keys):
-            x[i, list(on)] = 1
-        y = np.eye(LABELS)[[label for _, label in keys]]
-        w = np.array([counts[k] for k in keys])
-        w = w / w.sum()
-        ahead, rate = unary, 2.0 / (x**2).sum(1).max()
-        for k in range(2000):
-            z = x @ ahead
-            q = np.exp(z - z.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            new = ahead - rate * (x.T @ (w[:, None] * (q - y)) + 1e-4 * ahead)
-            ahead, unary = new + k / (k + 3) * (new - unary), new
-    chain, skip = (np.ones((LABELS, LABELS)) for _ in range(2))
-    for a, b, kind in pairs:
-        m = skip if kind else chain
-        m[a, b] += 1
-        if kind:
-            m[b, a] += 1
-    ratio = lambda m: 0.5 * np.log(m * m.sum() / (m.sum(1, keepdims=True) * m.sum(0, keepdims=True)))
-    agree = ratio(skip) + 2.0 * np.eye(LABELS)
-    agree[OUTSIDE, OUTSIDE] -= 2.0  # a form that is outside in two places tells less than one that is an entity
-    return Field(unary, np.clip(ratio(chain), -1, 1), agree)
+
+def configurations(text: str, near: int) -> Iterator[Configuration]:
+    """Of each candidate token, whole and with its strong form hidden."""
+    found = tokens(text, base_spans(text))
+    chain, skip = links(found, near)
+    left, right = [-1] * len(found), [-1] * len(found)
+    for i, j in chain:
+        left[j], right[i] = found[i].label, found[j].label
+    others: list[list[int]] = [[] for _ in found]
+    for i, j in skip:
+        others[i].append(found[j].label)
+        others[j].append(found[i].label)
+    for i, t in enumerate(found):
+        for hide in (False, True):
+            yield tuple(features(t.text, hide)), left[i], right[i], tuple(sorted(others[i])), t.label
+
+
+def fit(counts: list[tuple[Configuration, int]], rounds: int = 1500) -> Field:
+    """All potentials at once, by penalised maximum pseudo-likelihood (convex; accelerated descent)."""
+    unary, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+    if not counts:
+        return Field(unary, chain, skip)
+    x = np.zeros((len(counts), FEATURES + 3 * LABELS))
+    for i, ((on, left, right, others, _), _) in enumerate(counts):
+        x[i, list(on)] = 1
+        if left >= 0:
+            x[i, FEATURES + left] = 1
+        if right >= 0:
+            x[i, FEATURES + LABELS + right] = 1
+        for other in others:
+            x[i, FEATURES + 2 * LABELS + other] += 1
+    y = np.eye(LABELS)[[c[-1] for c, _ in counts]]
+    # of rare and of common configurations alike something has to be learned
+    w = np.sqrt([n for _, n in counts])
+    w = w / w.sum()
+    cut = [FEATURES, FEATURES + LABELS, FEATURES + 2 * LABELS]
+    now = ahead = np.concatenate((unary, chain, skip))
+    rate = 1.0 / (x**2).sum(1).max()
+    for k in range(rounds):
+        u, c, s = np.split(ahead, cut[:2])
+        z = x @ np.concatenate((u, c, c.T, s))
+        q = np.exp(z - z.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        gu, gl, gr, gs = np.split(x.T @ (w[:, None] * (q - y)), cut)
+        new = ahead - rate * (np.concatenate((gu, gl + gr.T, gs + gs.T)) + 1e-4 * ahead)
+        ahead, now = new + k / (k + 3) * (new - now), new
+    return Field(*np.split(now, cut[:2]))
 
 
 def propagate(unary: np.ndarray, edges: np.ndarray, table: np.ndarray, rounds: int) -> np.ndarray:
@@ -249,10 +288,12 @@ def propagate(unary: np.ndarray, edges: np.ndarray, table: np.ndarray, rounds: i
         for _ in range(rounds):
             z = unary.copy()
             np.add.at(z, target, msg)
-            into = z[source] - msg[reverse]
-            raw = into[:, :, None] + pot
-            top = raw.max(1)
-            new = np.log(np.exp(raw - top[:, None, :]).sum(1)) + top
+            new = np.empty_like(msg)
+            for at in range(0, 2 * m, 1 << 14):  # a bounded number of edges at a time
+                part = slice(at, at + (1 << 14))
+                raw = (z[source[part]] - msg[reverse[part]])[:, :, None] + pot[part]
+                top = raw.max(1)
+                new[part] = np.log(np.exp(raw - top[:, None, :]).sum(1)) + top
             new = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))  # damped
             done = np.abs(new - msg).max() < 1e-4
             msg = new
@@ -267,7 +308,7 @@ def propagate(unary: np.ndarray, edges: np.ndarray, table: np.ndarray, rounds: i
 def label(text: str, field: Field, p: Params) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those that the field adds: tokens outside all base spans that it labels surely."""
     base = base_spans(text)
-    found = tokens(text, base) if _DIGIT.search(text) or "@" in text or "(at)" in text.lower() or "[at]" in text.lower() else []
+    found = tokens(text, base) if _may_hold(text) else []
     if not found:
         return base, []
     unary = np.stack([field.unary[features(t.text)].sum(0) for t in found])
@@ -288,35 +329,27 @@ def label(text: str, field: Field, p: Params) -> tuple[list[tuple[int, int, int]
 
 
 def _learn(docs: DataFrame, p: Params) -> Field:
-    """The field of a sample: of about ``p.sample`` rows, by a share of their hashes, the texts with candidates.
+    """The field of all documents: Spark counts the configurations of their candidate tokens, the driver gets the distinct ones.
 
-    Base spans label the tokens. A few tokens a document, and their pairs, are all that is
-    gathered; rows that repeat count once.
+    There are a few thousand of these, whatever the number of rows; ``p.configurations`` bounds them.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    some = rows.where(hashed_share(F.col("h"), p.sample / max(1, docs.count()))).where(F.col("text").rlike("[0-9]") & (F.length("text") < 60_000))
-    sample = some.groupBy("h").agg(F.min("text").alias("text")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, y, a, b, kind = [], [], [], [], []
+            seen: Counter = Counter()
             for text in as_text(batch, "text"):
-                found = tokens(text, base_spans(text))[: p.sample_tokens]
-                t += [x.text[:200] for x in found]
-                y += [x.label for x in found]
-                for k, edges in enumerate(links(found, p.near)):
-                    for i, j in edges:
-                        a.append(found[i].label)
-                        b.append(found[j].label)
-                        kind.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.list_(pa.string())), *[pa.array([v], pa.list_(pa.int32())) for v in (y, a, b, kind)]], names=list("tyabk"))
-
-    rows, pairs = [], []
-    for r in sample.mapInArrow(run, "t array<string>, y array<int>, a array<int>, b array<int>, k array<int>").collect():
-        rows += list(zip(r["t"], r["y"], strict=True))
-        pairs += list(zip(r["a"], r["b"], r["k"], strict=True))
-    return fit(sorted(rows), sorted(pairs))
+                if _may_hold(text):
+                    seen.update(configurations(text, p.near))
+            yield pa.RecordBatch.from_arrays([pa.array([repr(c) for c in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["c", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "c").limit(p.configurations).collect()
+    return fit(sorted((literal_eval(r["c"]), r["n"]) for r in rows))
+
+
+def _may_hold(text: str) -> bool:
+    """Whether a text can have a candidate."""
+    return "@" in text or _DIGIT.search(text) is not None or _SPELT_AT.search(text) is not None
 
 
 def span_text(spans: list[tuple[int, int, int]]) -> str:
@@ -349,4 +382,5 @@ def scan(docs: DataFrame, p: Params = Params(), field: Field | None = None) -> D
 
 
 def op8_pii_spans(docs: DataFrame) -> DataFrame:
+    """Counts, digest and spans of each row's whole text, by a field trained on all of ``docs``; odd rows: see ``scan``."""
     return scan(docs.select("doc_id", "text"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
@@ -44,7 +46,14 @@ def test_base_spans_on_made_up_texts():
 
 def test_long_texts_are_fast():
     for unit in ("1", "1.", "a@", "a.b@c.", "+1", "+1 ", "@", "1 "):
-        pii.label(unit * (60_000 // len(unit)), pii.fit([], []), pii.Params(rounds=3))
+        pii.label(unit * (60_000 // len(unit)), pii.fit([]), pii.Params(rounds=3))
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + " 1", "A." * 500_000 + " 1", "a" * 10**6 + "(at)", "(at)" * 250_000, "1(" * 500_000, "a(at)a(dot)" * 90_000 + " @"])
+def test_a_megabyte_takes_seconds(text):
+    began = time.time()
+    pii.label(text, pii.fit([]), pii.Params(rounds=3))
+    assert time.time() - began < 5
 
 
 def field(spark):
