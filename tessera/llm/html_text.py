@@ -1,17 +1,19 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page becomes a flat list of text blocks. Each has its word count and link density, those of the
-blocks before and after it, and marks of the regions it lies in (by tag, class and id). A decision
-tree grown on a small labelled table of blocks says which belong to the article. Pages are read
+blocks before and after it, and what the regions around it say: by tag or role, and by the share
+of words in their class and id names that tell a side region. A decision tree grown on a small
+table of labelled pages says which blocks belong to the article. Pages are read
 in Arrow batches; a batch's blocks are classified at once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
+from dataclasses import dataclass, replace
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -29,19 +31,49 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SILENT_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea select button datalist title audio video".split())
 #: Their content is no markup: without an end tag they take the rest of the page.
 RAW_TAGS = frozenset("script style textarea title noscript iframe template svg math".split())
-REGION_TAGS = {"nav": "boiler", "menu": "boiler", "footer": "boiler", "aside": "boiler", "form": "boiler", "dialog": "boiler", "header": "header", "article": "article", "main": "article"}
-REGION_ROLES = {"navigation": "boiler", "contentinfo": "boiler", "complementary": "boiler", "search": "boiler", "form": "boiler", "dialog": "boiler", "alert": "boiler", "banner": "header", "main": "article", "article": "article"}
-BOILER_WORDS = frozenset(
+SIDE_TAGS = frozenset("nav menu footer aside form dialog".split())
+SIDE_ROLES = frozenset("navigation contentinfo complementary search form dialog alert".split())
+SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification "
     "alert popup modal overlay newsletter subscribe subscription signup login register sidebar sidenav rail widget widgets related recommended recommendations teaser teasers trending popular "
-    "share sharing social follow breadcrumb breadcrumbs crumbs menu menus nav navbar navigation toolbar topbar masthead footer copyright legal disclaimer comment comments commentlist disqus "
-    "reply replies respond discussion search searchbox pagination pager paging skip skiplink paywall form aside".split()
+    "share sharing social follow breadcrumb breadcrumbs crumbs menu menus nav navbar navigation toolbar topbar masthead footer copyright legal disclaimer "
+    "search searchbox pagination pager paging skip skiplink paywall form aside".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 HEADER_WORDS = frozenset("header head pageheader siteheader".split())
+#: Words of names that say where or in what shape, not what.
+SHAPE_WORDS = frozenset(
+    "area bar block bottom box cell center col column columns container fixed full global grid group inner item items js large left links list lower module narrow outer page panel right row section site "
+    "slot small sticky sub top unit upper view wide wrap wrapper".split()
+)
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# What follows a tag's name; an attribute's value may hold a ">" in quotes.
+_TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>")
+_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|data-main|data-side)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+
+
+@dataclass(frozen=True)
+class Marks:
+    """What the elements around a text say. ``side``: by tag, role or being hidden. Shares: of a name's words, the largest of all names."""
+
+    article: bool = False
+    side: bool = False
+    header: float = 0.0
+    named: float = 0.0
+    comment: float = 0.0
+    truth: bool | None = None  # of labelled pages alone
+
+    def within(self, outer: Marks) -> Marks:
+        """Both together."""
+        return Marks(
+            self.article or outer.article, self.side or outer.side, max(self.header, outer.header), max(self.named, outer.named), max(self.comment, outer.comment),
+            outer.truth if self.truth is None else self.truth,
+        )
+
+
+_NONE = Marks()
 
 
 @dataclass
@@ -49,64 +81,106 @@ class Block:
     text: str
     words: int
     linked: int
-    article: bool
-    boiler: bool
+    marks: Marks
     heading: bool
 
 
-def _marks(tag: str, attrs: str) -> set[str]:
-    marks = {REGION_TAGS[tag]} if tag in REGION_TAGS else set()
+def _shares(name: str) -> tuple[float, float, float]:
+    """Of a name's words that aren't shapes, the shares that tell a side region, comments and a header."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and w not in SHAPE_WORDS]
+    count = lambda table: sum(w in table for w in words) / max(1, len(words))
+    return count(SIDE_WORDS), count(COMMENT_WORDS), count(HEADER_WORDS)
+
+
+@lru_cache(maxsize=1 << 14)
+def _marks(tag: str, attrs: str) -> Marks:
+    article, side, header, truth = tag in ("article", "main"), tag in SIDE_TAGS, float(tag == "header"), None
+    named = comment = 0.0
     if not attrs or tag in ("html", "body"):
-        return marks
+        return Marks(article, side, header)
     for name, *values in _ATTR.findall(attrs):
-        value, name = "".join(values).lower(), name.lower()
+        value, name = "".join(values), name.lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
-            if words & BOILER_WORDS:
-                marks.add("comment" if words & {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"} else "boiler")
-            elif words & HEADER_WORDS:
-                marks.add("header")
+            for one in value.split():
+                n, c, h = _shares(one)
+                named, comment, header = max(named, n), max(comment, c), max(header, h)
         elif name == "role":
-            marks |= {REGION_ROLES[value]} if value in REGION_ROLES else set()
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            marks.add("boiler")
-    return marks
+            article |= value.lower() in ("main", "article")
+            side |= value.lower() in SIDE_ROLES
+            header = max(header, float(value.lower() == "banner"))
+        elif name in ("hidden", "aria-hidden", "style"):
+            side |= name == "hidden" or (value.lower() == "true" if name == "aria-hidden" else re.search(r"display\s*:\s*none", value) is not None)
+        else:
+            truth = name == "data-main"
+    return Marks(article, side, header, named, comment, truth)
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order; scripts, styles and markup are gone, character references decoded."""
+    """The page's text blocks in order; scripts, styles and markup are gone, character references decoded.
+
+    Takes time in proportion to the page, whatever its markup: a search that has failed once is
+    not made again.
+    """
     out: list[Block] = []
     parts: list[str] = []
     linked_parts: list[str] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    marks: frozenset[str] = frozenset()
+    stack: list[tuple[str, Marks]] = []
+    is_open: Counter = Counter()
+    marks = _NONE
     links, heading, at, end = 0, False, 0, len(html)
+    quotes, last_gap = True, html.rfind(">")
+    never_shut: set[str] = set()
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                boiler = "boiler" in marks or "comment" in marks or ("header" in marks and not (heading and "article" in marks))
-                out.append(Block(text, n, min(n, len(unescape(" ".join(linked_parts)).split())), "article" in marks, boiler, heading))
+                out.append(Block(text, n, min(n, len(unescape(" ".join(linked_parts)).split())), marks, heading))
             parts.clear()
             linked_parts.clear()
 
-    while at < end:
-        m = _TOKEN.search(html, at)
-        stop = m.start() if m else end
-        if stop > at:
-            parts.append(html[at:stop])
+    def say(a: int, b: int) -> None:
+        if b > a:
+            parts.append(html[a:b])
             if links:
-                linked_parts.append(html[at:stop])
-        if not m:
+                linked_parts.append(html[a:b])
+
+    def leave(depth: int) -> Marks:
+        was = stack[depth][1]
+        for t, _ in stack[depth:]:
+            is_open[t] -= 1
+        del stack[depth:]
+        return was
+
+    while at < end:
+        stop = html.find("<", at)
+        if stop < 0 or stop > last_gap and not html.startswith("<!--", stop):
+            say(at, end)
             break
-        at = m.end()
-        if not m[2]:
+        if html.startswith("<!--", stop):
+            say(at, stop)
+            shut = html.find("-->", stop + 4)
+            at = shut + 3 if shut >= 0 else end
+            continue
+        if html[stop + 1] in "!?":
+            say(at, stop)
+            at = html.find(">", stop) + 1
+            continue
+        m = _TAG.match(html, stop + 1) if quotes else None
+        if m is None and (plain := _PLAIN_TAG.match(html, stop + 1)):
+            m, quotes = plain, False  # a quote that doesn't end: from here on quotes are letters
+        if m is None:
+            say(at, stop + 1)
+            at = stop + 1
             continue
+        say(at, stop)
+        at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if tag in SILENT_TAGS and not closing and not m[3].endswith("/"):
-            shut = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            shut = None if tag in never_shut else re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
+            if shut is None:
+                never_shut.add(tag)
             at = shut.end() if shut else (end if tag in RAW_TAGS else at)
             continue
         if tag == "a":
@@ -115,18 +189,17 @@ def blocks(html: str) -> list[Block]:
         if tag == "br":
             parts.append("\n")
             continue
-        if tag not in BLOCK_TAGS and not (stack and closing and any(t == tag for t, _ in stack)) and not (not closing and m[3] and _marks(tag, m[3])):
+        if tag not in BLOCK_TAGS and not (closing and is_open[tag]) and not (not closing and m[3] and _marks(tag, m[3]) != _NONE):
             continue
+        close()
         if tag in VOID_TAGS:
-            close()
             continue
-        close()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    marks = stack[i][1]
-                    del stack[i:]
-                    break
+            if is_open[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                marks = leave(depth)
             if tag in HEADINGS:
                 heading = False
             continue
@@ -137,79 +210,100 @@ def blocks(html: str) -> list[Block]:
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option", *HEADINGS):  # may be left open: don't nest in themselves
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[i][0] == tag:
-                    marks = stack[i][1]
-                    del stack[i:]
+                    marks = leave(i)
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article"):
                     break
-        stack.append((tag, marks))
         new = _marks(tag, m[3])
-        if "article" in new and not new & {"boiler", "comment"} and "comment" not in marks and not any(t in ("aside", "footer", "form") for t, _ in stack):
-            marks = frozenset({"article"})  # a region before it that was left open ends here
-        else:
-            marks = marks | new
+        stack.append((tag, marks))
+        inside = is_open["aside"] or is_open["footer"] or is_open["form"] or marks.comment > 0.4
+        is_open[tag] += 1
+        # an article ends a side region before it that was left open
+        marks = replace(new, truth=new.within(marks).truth) if new.article and not inside and not new.side and max(new.named, new.comment) < 0.5 else new.within(marks)
     close()
     return out
 
 
-# The labelled table: pages one after the other, a block a line as
-# "label region words link%", label 1 for the article's text. Regions: article; plain (no mark);
-# boiler (menu, header, footer, sidebar, notice, advert, form, comments); inner (such a region
-# inside an article); "+h": a heading.
+# The labelled table: pages with their markup, "{n}" for n words of text; what has data-main is the article's text, but for what has data-side in it.
 LABELLED = """
-0 boiler 1 100 | 0 boiler 1 100 | 0 boiler 2 100 | 0 boiler 6 0 | 1 article+h 7 0 | 1 article 8 0 | 1 article 60 0 | 1 article 1 0 | 0 inner 9 0 | 1 article 24 0 | 0 inner 4 100 | 1 article 120 5 | 0 inner 60 0 | 0 boiler 7 15
-0 boiler 1 100 | 0 boiler 3 100 | 0 plain 4 100 | 1 article+h 3 0 | 1 article 2 0 | 1 article 300 0 | 0 inner 40 0 | 1 article 35 10 | 0 inner+h 3 0 | 0 inner 200 0 | 1 article 4 100 | 0 boiler 30 0 | 0 boiler 8 50
-0 plain 12 0 | 0 plain 1 100 | 1 article+h 10 0 | 1 article 45 0 | 0 boiler 3 100 | 1 article 1 0 | 1 article 1 0 | 0 plain 15 0 | 0 plain 25 30 | 0 boiler 10 0
-0 boiler 12 80 | 0 boiler 90 0 | 1 article 15 0 | 1 article+h 1 0 | 1 article 3 0 | 1 article 9 40 | 1 article 200 0 | 0 inner 150 0 | 0 inner 2 0 | 1 article 14 0 | 0 inner 25 50 | 0 boiler 60 0 | 0 plain 70 0 | 0 plain 5 0
-0 plain 1 100 | 0 plain 1 100 | 0 plain 2 100 | 0 plain 2 100 | 1 plain+h 6 0 | 1 plain 70 0 | 1 plain 42 2 | 1 plain 110 0 | 1 plain 8 0 | 1 plain 30 0 | 0 plain 6 90 | 0 plain 4 100 | 0 plain 3 100
-0 boiler 2 100 | 0 boiler 2 100 | 1 plain+h 4 0 | 1 plain 55 0 | 1 plain 12 0 | 1 plain 38 5 | 1 plain+h 3 0 | 1 plain 90 0 | 0 boiler 50 0 | 0 boiler 35 0 | 0 plain 3 100 | 0 plain 3 100
-0 plain 3 100 | 0 plain 2 100 | 0 plain 5 60 | 1 plain 20 0 | 1 plain 25 0 | 1 plain 18 8 | 1 plain 140 0 | 0 plain 2 100 | 0 plain 7 70 | 0 boiler 6 0
-0 boiler 1 100 | 0 boiler 20 0 | 1 plain+h 9 0 | 1 plain 16 0 | 1 plain 33 0 | 1 plain 6 0 | 1 plain 65 0 | 0 boiler 25 0 | 0 boiler 80 10 | 0 plain 1 100
-1 article 30 0
-1 article 3 0
-1 article 1 100
-1 article+h 5 0 | 1 article 900 0 | 1 article 450 0 | 1 article 700 2 | 1 article 1 0
-1 article 2 0 | 1 article 650 0 | 1 article 800 0 | 0 boiler 3 0
-0 plain 4 0 | 1 article 800 0 | 1 article 600 0 | 1 article 40 50 | 1 article 5 100 | 0 plain 9 0
-1 plain 80 0 | 1 plain 120 0 | 1 plain 500 0
-1 plain 600 0
-1 plain 1 0
-1 plain 3 0
-1 plain 2 0
-0 plain 2 0 | 0 plain 1 100 | 0 plain 1 100 | 1 plain+h 5 0 | 1 plain 60 0 | 1 plain 30 0 | 0 plain 1 100 | 0 plain 4 0 | 0 plain 2 100
-0 plain 1 100 | 0 plain 3 0 | 0 plain 2 100 | 1 plain+h 11 0 | 1 plain 25 0 | 1 plain 90 3 | 0 plain 2 100 | 0 plain 5 0 | 0 plain 1 100
-1 plain+h 8 0 | 1 plain 450 0 | 1 plain 700 0 | 1 plain 20 0
-0 boiler 4 0 | 1 article+h 2 0 | 1 article 7 0 | 1 article 5 0 | 0 boiler 5 0
-0 boiler 2 100 | 0 plain 9 0 | 1 article 500 1 | 1 article 12 90 | 1 article 6 100 | 1 article 11 0 | 0 boiler 200 0 | 0 boiler 12 100
+<nav><ul><li><a href=a>{1}</a><li><a href=b>{2}</a><li><a href=c>{1}</a></ul></nav><div class=ad>{8}</div><article data-main><h1>{9}</h1><p>{60}<br>{4}<p>{1}</p><p>{24}</p><p>{120}</p></article><footer>{10} <a>{2}</a></footer>
+<nav><a>{1}</a><a>{3}</a></nav><article data-main><h1>{3}</h1><p>{2}<p>{300}<p>{35} <a>{4}</a><p><a>{4}</a></article><aside><h4>{1}</h4><p>{40}</p></aside><footer>{8} <a>{8}</a></footer>
+<article data-main><h1>{10}</h1><p>{45}</p><p>{1}</p><p>{1}</p><div class="share-buttons" data-side><a>{1}</a> <a>{1}</a> <a>{2}</a></div><p>{15}</p></article><div class="comments"><p>{25}</p><p>{10}</p><p>{150}</p></div>
+<header><h2>{2}</h2><p>{12}</p></header><div class="cookie-notice"><p>{15}</p></div><main data-main><h1>{5}</h1><p>{200}</p><p>{14}</p><h3>{2}</h3><ul><li>{3}<li>{1}<li>{6}</ul></main><div class="footer">{5}</div>
+<div class="top-nav"><a>{1}</a></div><div class="menu-item"><a>{2}</a></div><div class="post"><div class="post-header"><h1 data-main>{6}</h1></div><div class="post-body" data-main><p>{70}</p><p>{42}</p><p>{110}</p><p>{8}</p></div></div><div class="related-posts"><h3>{2}</h3><a>{8}</a></div>
+<div class="entry-header"><h1 data-main>{1}</h1></div><p data-main>{5}</p><p data-main>{30}</p>
+<div class="article-header"><h1 data-main>{4}</h1></div><p data-main>{1}</p>
+<div class="comment-policy-guide" data-main><p>{100}</p><p>{40}</p></div>
+<div class="search-engine-history" data-main><h1>{4}</h1><p>{90}</p><p>{12}</p></div>
+<div class="notice-period-law" data-main><p>{55}</p></div>
+<article data-main><p>{30}</p><div class="share-value"><p>{9}</p></div><p>{3}</p><div class="form-factor">{14}</div><p>{1}</p><div class="menu-recipe"><p>{25}</p></div></article>
+<article data-main><p>{1}</p><div class="cookie-recipe">{7}</div><p>{1}</p></article>
+<article data-main><h2>{3}</h2><p>{3}</p><div class="social-science">{20}</div><div class="legal-history">{60}</div></article>
+<div><a>{1}</a></div><div><a>{1}</a></div><h1 data-main>{6}</h1><p data-main>{40}</p><p data-main>{60}</p><p data-main>{35} <a>{1}</a></p><div><a>{1}</a></div><div><a>{2}</a></div>
+<div><a>{3}</a> {2}</div><p data-main>{20}</p><p data-main>{25}</p><p data-main>{18} <a>{2}</a></p><p data-main>{140}</p><div><a>{2}</a></div><div class="newsletter"><p>{30}</p></div>
+<article data-main><p>{3}</p></article>
+<article data-main><p><a>{1}</a></p></article>
+<article data-main><h1>{2}</h1><p>{650}</p><p>{800}</p></article><div class=legal>{3}</div>
+<p data-main>{80}</p><p data-main>{120}</p><p data-main>{500}</p>
+<p data-main>{1}</p>
+<p data-main>{3}</p>
+<div data-main>{2}</div>
+<article data-main><h1>{4}</h1><p>{20}</p><div class="advert" data-side>{9}</div><p>{50}</p><div class="newsletter-signup" data-side><h4>{3}</h4><p>{22}</p></div><p>{6}</p><form data-side>{5}</form><section id="comments" data-side><h3>{1}</h3><p>{90}</p><p>{200}</p><p>{7}</p></section></article>
+<div id="sidebar"><h3>{2}</h3><p>{80}</p><ul><li><a>{4}</a><li><a>{5}</a></ul></div><div id="content" data-main><h1>{7}</h1><p>{75}</p><p>{33}</p><p>{5}</p></div><div id="disqus"><p>{45}</p><p>{130}</p></div><div id="footer"><p>{20}</p></div>
+<div role=banner>{3}</div><div role=main data-main><p>{22}</p><p>{9}</p></div><div role=complementary><p>{60}</p></div><div role=contentinfo>{9}</div>
+<div class="site-header"><h1>{2}</h1><p>{9}</p></div><div class="nav-bar"><a>{1}</a> <a>{1}</a></div><article data-main><h1>{8}</h1><p>{95}</p></article><div class="popup">{25}</div><div class="gdpr">{60}</div><div style="display: none">{40}</div>
+<header><p>{4}</p><h2>{2}</h2></header><article data-main><header><h1>{7}</h1></header><p>{18}</p><p>{220}</p></article><aside>{150}</aside><aside><p>{5}</p></aside>
+<div class="breadcrumbs"><a>{1}</a> <a>{2}</a></div><main data-main><article><p>{4}</p><p>{44}</p><blockquote>{3}</blockquote></article></main><div class="recommended"><p>{12}</p><p>{30}</p></div><div class="copyright">{6}</div>
+<div class="header"><p>{10}</p><a>{1}</a></div><article data-main><p>{12}</p><table><tr><td>{1}<td>{1}<tr><td>{2}<td>{1}</table></article><div class="article-comments"><p>{60}</p><p>{14}</p></div>
+<article data-main><p>{30}</p><aside data-side>{12}</aside><p>{16}</p><nav data-side><a>{3}</a></nav><p>{70}</p><footer data-side>{9}</footer></article>
+<article data-main><h1>{5}</h1><p>{10}</p><form data-side><label>{4}</label></form><p>{10}</p><aside data-side><p>{80}</p><p>{6}</p></aside><p>{3}</p></article>
+<main data-main><p>{44}</p><div class="sharing-tools" data-side><a>{2}</a> <a>{1}</a></div><p>{51}</p><div class="social-media" data-side><a>{1}</a> <a>{3}</a></div></main>
+<article data-main><p>{20}</p><p>{9} <a>{12}</a></p><ul><li><a>{6}</a><li><a>{4}</a></ul><p>{7}</p></article>
+<h1 data-main>{5}</h1><p data-main>{66}</p><p data-main>{20}</p><div class="commentlist"><p>{30}</p><p>{4}</p></div><div class="discussion"><p>{90}</p></div>
+<div class="text" data-main><p>{37}</p><p>{48}</p></div><ul id="replies"><li>{20}<li>{61}</ul><div class="subscribe-box">{14}</div>
+<div class="form-theory" data-main><p>{70}</p><p>{15}</p></div><div class="follow-us"><a>{1}</a> <a>{2}</a></div>
+<div><a>{2}</a></div><div class="advertising-history" data-main><h1>{3}</h1><p>{44}</p><p>{90}</p></div><div class="trending-stories"><a>{7}</a> <a>{9}</a></div>
+<header><h1>{2}</h1><p>{7}</p></header><div class="site-header">{12}</div><h1 data-main>{6}</h1><p data-main>{62}</p><p data-main>{4}</p><footer>{15}</footer>
+<header><p>{20}</p></header><p data-main>{130}</p><p data-main>{9}</p><nav><a>{1}</a><a>{2}</a></nav><aside><p>{100}</p></aside>
+<header><h2>{3}</h2></header><div class="story"><h1 data-main>{7}</h1><p data-main>{50}</p></div><form>{12}</form><dialog>{30}</dialog>
+<article data-main><p>{100}</p></article><div class="post-comments"><h3>{2}</h3><p>{35}</p><p>{80}</p></div><div class="user-replies">{50}</div>
 """
-NAMES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "in a side region", "heading", "page has an article")
-
-
-def block_features(words: np.ndarray, linked: np.ndarray, article: np.ndarray, boiler: np.ndarray, heading: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """A row of ``NAMES`` for each block; ``page``: each block's page, in order. There is nothing beyond a page's ends."""
-    density = linked / np.maximum(words, 1)
-    n = len(words)
-    before, after = np.arange(n) - 1, np.arange(n) + 1
-    first = np.r_[True, page[1:] != page[:-1]] if n else np.zeros(0, bool)
-    last = np.r_[page[1:] != page[:-1], True] if n else np.zeros(0, bool)
-    near = lambda v, i, edge: np.where(edge, 0, v[np.clip(i, 0, max(0, n - 1))])
-    has = np.zeros(int(page.max()) + 1 if n else 0, bool)
-    np.logical_or.at(has, page, article & ~boiler)
-    cols = [words, density, near(words, before, first), near(density, before, first), near(words, after, last), near(density, after, last), article, boiler, heading, has[page]]
+NAMES = (
+    "words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "in a side tag", "side words in a name", "comment words in a name",
+    "header words in a name", "heading", "page has an article",
+)
+
+
+def block_features(found: list[list[Block]]) -> np.ndarray:
+    """A row of ``NAMES`` for each block of each page; there is nothing beyond a page's ends."""
+    flat = [b for page in found for b in page]
+    n = len(flat)
+    if not n:
+        return np.zeros((0, len(NAMES)))
+    page = np.repeat(np.arange(len(found)), [len(p) for p in found])
+    words = np.array([b.words for b in flat], float)
+    density = np.array([b.linked for b in flat]) / np.maximum(words, 1)
+    mark = lambda name: np.array([getattr(b.marks, name) for b in flat], float)
+    last = np.r_[page[1:] != page[:-1], True]
+    first = np.r_[True, last[:-1]]
+    near = lambda v, step, edge: np.where(edge, 0, v[np.clip(np.arange(n) + step, 0, n - 1)])
+    has = np.zeros(len(found), bool)
+    np.logical_or.at(has, page, (mark("article") > 0) & (mark("side") == 0))
+    cols = [
+        words, density, near(words, -1, first), near(density, -1, first), near(words, 1, last), near(density, 1, last), mark("article"), mark("side"), mark("named"), mark("comment"),
+        mark("header"), np.array([b.heading for b in flat]), has[page],
+    ]
     return np.stack([np.asarray(c, float) for c in cols], 1)
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """The features and labels of the labelled blocks."""
-    rows, label, page = [], [], []
-    for p, line in enumerate(LABELLED.strip().split("\n")):
-        for cell in line.split("|"):
-            y, region, words, link = cell.split()
-            rows.append((int(words), int(words) * int(link) / 100, region.startswith(("article", "inner")), region.startswith(("boiler", "inner")), region.endswith("+h")))
-            label.append(int(y))
-            page.append(p)
-    words, linked, article, boiler, heading = (np.array(c) for c in zip(*rows, strict=True))
-    return block_features(words, linked, article, boiler, heading, np.array(page)), np.array(label)
+def labelled_blocks(table: str = LABELLED) -> tuple[list[list[Block]], np.ndarray]:
+    """The blocks of labelled pages and their labels."""
+    found, label = [], []
+    for line in table.strip().split("\n"):
+        page = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), line))
+        found.append(page)
+        label += [b.marks.truth is True for b in page]
+    return found, np.array(label, int)
 
 
 @dataclass(frozen=True)
@@ -235,7 +329,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
     """A classification tree by Gini impurity; of equal splits the first feature and threshold."""
     label = int(2 * y.sum() > len(y))
     if depth == 0 or y.all() or not y.any():
@@ -258,22 +352,14 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
 
 @cache
 def default_tree() -> Tree:
-    return grow(*labelled_table())
+    found, label = labelled_blocks()
+    return grow(block_features(found), label)
 
 
 def main_texts(pages: list[str], tree: Tree) -> list[str]:
     found = [blocks(html) for html in pages]
-    flat = [b for page in found for b in page]
-    if not flat:
-        return [""] * len(pages)
-    page = np.repeat(np.arange(len(pages)), [len(p) for p in found])
-    column = lambda name: np.array([getattr(b, name) for b in flat])
-    keep = tree.predict(block_features(column("words"), column("linked"), column("article"), column("boiler"), column("heading"), page))
-    texts: list[list[str]] = [[] for _ in pages]
-    for p, b, k in zip(page.tolist(), flat, keep.tolist(), strict=True):
-        if k:
-            texts[p].append(b.text)
-    return [" ".join(t) for t in texts]
+    keep = iter(tree.predict(block_features(found)).tolist())
+    return [" ".join([b.text for b in page if next(keep)]) for page in found]
 
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
@@ -294,6 +380,7 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
 
 
 def op10_html_text(pages: DataFrame) -> DataFrame:
+    """The main text of each page by the tree of the labelled table; odd rows: see ``extract``."""
     return extract(pages)
 
 
