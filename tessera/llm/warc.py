@@ -16,10 +16,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.scratch import scratch_path
+from tessera.scratch import materialize, scratch_path
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -41,55 +42,67 @@ def payload_digest(payload: Column) -> Column:
     return F.concat(*chars)
 
 
+def with_rows(records: DataFrame) -> DataFrame:
+    """``records`` plus ``file, row``, which tell rows apart and come out alike whenever they are evaluated.
+
+    A scan of files has them; anything else is written as a table first, so that a task that runs
+    again, or a second branch of the plan, can't number its rows otherwise.
+    """
+    try:
+        return records.select("*", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return materialize(records.select("*", F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")), "warc-rows")
+
+
 def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to``.
+    """Adds ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and the rows that tell records apart.
 
     ``records``: ``page_id long, uri string, payload string``. Of records with equal payloads
     of at least ``min_bytes`` the one with the smallest ``page_id`` (nulls last; of repeated
-    ids one row) is the response and the others revisit it. Headers alone are shuffled to find
-    it: one row for each digest and task. A null payload is empty; a null ``page_id`` that
-    becomes a response is referred to by null.
+    ids one row) is the response and the others revisit it. Only headers are shuffled by digest,
+    a row for each digest and task; payloads meet the verdicts by row, so a payload that any
+    number of pages share is no large group. A null payload is empty; a null ``page_id`` that
+    becomes a response is referred to by null. An empty table gives none.
     """
-    body = F.coalesce("payload", F.lit(""))
-    rows = records.select(
-        "page_id", "uri", body.alias("payload"), F.octet_length(body).cast("long").alias("payload_bytes"),
-        payload_digest(body).alias("payload_digest"), F.monotonically_increasing_id().alias("row"),
-    )
-    key = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "row")
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(key).alias("first"))
-    joined = rows.join(first, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
-    return joined.select(
-        "page_id", "uri", "payload", "payload_bytes", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
+    rows = with_rows(records.select("page_id", "uri", F.coalesce("payload", F.lit("")).alias("payload")))
+    heads = rows.select("page_id", "file", "row", F.octet_length("payload").cast("long").alias("payload_bytes"), payload_digest(F.col("payload")).alias("payload_digest"))
+    heads = materialize(heads, "warc-heads")
+    key = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "file", "row")
+    first = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(key).alias("first"))
+    joined = heads.join(first, "payload_digest", "left")
+    revisit = F.col("first").isNotNull() & ~((F.col("first.file") == F.col("file")) & (F.col("first.row") == F.col("row")))
+    told = joined.select(
+        "file", "row", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.struct("first.file", "first.row")).alias("refers_to_row"),
     )
+    return rows.join(told, ["file", "row"]).select("page_id", "uri", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "row", "refers_to_row")
 
 
 def _record(date: str) -> Column:
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\r\n"))
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x00-\\x1f\\x7f]", "")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    urn = lambda *parts: F.concat_ws(":", F.lit("<urn:page"), *map(text, parts[:-1]), F.concat(text(parts[-1]), F.lit(">")))
     is_revisit = F.col("record_type") == "revisit"
     http = F.concat(line("HTTP/1.1 200 OK"), line("Content-Type: text/html; charset=utf-8"), line("Content-Length: ", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
     block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("payload")))
-    refer = F.when(is_revisit, F.concat(line("WARC-Refers-To: ", urn(F.col("refers_to"))), line("WARC-Profile: ", REVISIT_PROFILE))).otherwise("")
+    refer = F.when(is_revisit, F.concat(line("WARC-Refers-To: ", urn("refers_to", "refers_to_row.file", "refers_to_row.row")), line("WARC-Profile: ", REVISIT_PROFILE))).otherwise("")
     head = F.concat(
-        line(VERSION), line("WARC-Type: ", F.col("record_type")), line("WARC-Record-ID: ", urn(F.col("page_id"))),
+        line(VERSION), line("WARC-Type: ", F.col("record_type")), line("WARC-Record-ID: ", urn("page_id", "file", "row")),
         line("WARC-Target-URI: ", clean(F.col("uri"))), line(f"WARC-Date: {date}"), line("WARC-Payload-Digest: sha1:", F.col("payload_digest")),
         refer, line("Content-Type: application/http; msgtype=response"), line("Content-Length: ", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     return F.concat(head, block)
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 1000) -> None:
     """Gzipped archives of at most ``records_per_file`` records each, with fresh headers."""
     out = resolved.select(_record(date).alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[dict]:
-    """The records of one archive, gzipped or not, one at a time."""
+    """The records of one archive, gzipped (in one stream or many) or not, one at a time."""
     raw = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
     stream = io.BufferedReader(raw)
     while line := stream.readline():
@@ -104,7 +117,7 @@ def parse_archive(content: bytes) -> Iterator[dict]:
         block = stream.read(int(head["content-length"]))
         http, _, payload = block.partition(b"\r\n\r\n")
         length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-        number = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-record-id", ""))
+        number = re.fullmatch(r"<urn:page:(-?\d+)(?::.*)?>", head.get("warc-record-id", ""))
         response = head["warc-type"] == "response"
         yield {
             "page_id": int(number[1]) if number else None, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "record_type": head["warc-type"],
@@ -114,16 +127,19 @@ def parse_archive(content: bytes) -> Iterator[dict]:
         }
 
 
-def read_archives(spark: SparkSession, path: str, batch: int = 1000) -> DataFrame:
-    """The records of all archives under ``path``; a response's length and digest are those of its bytes."""
-    names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, batch: int = 1000) -> DataFrame:
+    """The records of all archives under ``path``; a response's length and digest are those of its bytes.
+
+    ``payloads``: without them only what headers need leaves the tasks that read.
+    """
+    names = [f.split()[0] for f in READ_SCHEMA.split(", ") if payloads or f.split()[0] != "payload"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 held: list[dict] = []
                 for record in parse_archive(content):
-                    held.append(record)
+                    held.append({k: record[k] for k in names})
                     if len(held) == batch:
                         yield pd.DataFrame(held, columns=names)
                         held = []
@@ -131,14 +147,14 @@ def read_archives(spark: SparkSession, path: str, batch: int = 1000) -> DataFram
                     yield pd.DataFrame(held, columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, READ_SCHEMA)
+    return files.mapInPandas(run, ", ".join(f for f in READ_SCHEMA.split(", ") if f.split()[0] in names))
 
 
 def join_revisits(records: DataFrame) -> DataFrame:
     """Each record with the length and digest of the payload it stands for and the response it refers to.
 
     Revisits find their response by payload digest; one without a response keeps what its own
-    headers say and refers to nothing. Only headers are shuffled.
+    headers say and refers to nothing. Only headers are shuffled, and the archives are read once.
     """
     heads = records.select("page_id", "uri", "record_type", "payload_digest", "content_length", "actual_bytes", "actual_digest")
     own = heads.where("record_type <> 'revisit'").select(
@@ -165,12 +181,12 @@ def dedup_archives(spark: SparkSession, source: str, target: str, min_bytes: int
 
 
 def op2_warc_revisits(pages: DataFrame) -> DataFrame:
-    """Archives of all ``pages`` written to the shared folder and read back, one row a page."""
+    """Archives of all ``pages`` written to the shared folder and read back, one row a page; odd rows: see ``resolve``."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     records = pages.select("page_id", F.col("url").alias("uri"), F.col("html").alias("payload"))
     write_archives(resolve(records), path)
-    back = join_revisits(read_archives(spark, path))
+    back = join_revisits(materialize(read_archives(spark, path, payloads=False), "warc-read"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
