@@ -87,10 +87,11 @@ def repeated_window_words(ids: np.ndarray, distinct: int, width: int = 3) -> int
 def buckets(text: bytes, ids: np.ndarray, distinct: list[bytes]) -> list[np.ndarray]:
     """The bucket of each n-gram of each family."""
     hashed = np.fromiter(map(zlib.crc32, distinct), np.uint64, len(distinct))[ids] * _MIX
-    chars = np.frombuffer(text, np.uint8)
+    # code points, of 21 bits each
+    chars = (np.frombuffer(text, np.uint8) if text.isascii() else np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)).astype(np.uint64)
     n = len(chars)
-    tri = (chars[: n - 2].astype(np.uint64) << np.uint64(16) | chars[1 : n - 1].astype(np.uint64) << np.uint64(8) | chars[2:]) if n > 2 else np.zeros(0, np.uint64)
-    four = (tri[:-1] << np.uint64(8) | chars[3:]) if n > 3 else np.zeros(0, np.uint64)
+    tri = (chars[: n - 2] << np.uint64(42) | chars[1 : n - 1] << np.uint64(21) | chars[2:]) if n > 2 else np.zeros(0, np.uint64)
+    four = ((tri[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ chars[3:]) if n > 3 else np.zeros(0, np.uint64)
     shift = np.uint64(64 - BITS)
     pairs = (hashed[:-1] ^ (hashed[1:] * np.uint64(3))) * _MIX if len(hashed) > 1 else np.zeros(0, np.uint64)
     return [(hashed >> shift), (pairs >> shift), (tri * _MIX) >> shift, (four * _MIX) >> shift]
@@ -176,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
 
     Labels that contradict each other on a ``doc_id`` count as bad; null labels and ids are left
     out. The sample's classes are weighed back to their shares of all labels, so the calibrated
-    probability is that of the labelled corpus. The fit runs in one task, over the sample alone.
+    probability is that of the labelled corpus. The fit runs in one task, over the sample alone. Without
+    labels of both kinds (an empty table, say) the model keeps every text that passes the fixed rules.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     shares = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
@@ -209,7 +211,11 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def judge(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
-    """``docs`` plus the columns of ``SCHEMA``, over whole texts (null: no words)."""
+    """``docs`` plus the columns of ``SCHEMA``, over whole texts (null: no words, so it fails).
+
+    Equal rows get equal verdicts; a probability equal to the threshold keeps; an empty table gives none;
+    columns of ``docs`` with names of the new ones are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch) -> list[tuple[list, pa.DataType]]:
@@ -241,6 +247,7 @@ _SYMBOLS = [bytes([b]) for b in SYMBOLS]
 
 
 def op4_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts and verdict of each row's whole text; odd rows: see ``judge`` and ``train``."""
     judged = judge(docs.select("doc_id", "text"), train(docs, labels))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept")
 
