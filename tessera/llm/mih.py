@@ -7,7 +7,9 @@ query has been found, for a farther one would exceed r_s somewhere only if it ex
 everywhere; the search stops when the k-th verified distance is within that bound.
 
 Codes and queries are cut into blocks by hash, and every pair of blocks is a task: it indexes its
-codes once and searches all its queries. Neither side ever has to fit a task or the driver.
+codes once and searches all its queries one after the other. Neither side ever has to fit a task or
+the driver. Blocks are as large as a task's memory allows (8 MB of codes, 2 MB of queries), so that
+each code travels once for 262144 queries and each query once for a million codes.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ BITS = 64
 
 
 def sign_code(vector: str) -> Column:
-    """One bit for each of up to 64 components, set where it is positive (null, NaN: not), as a long; null of null."""
+    """One bit for each of up to 64 components, set where it is positive (null, NaN: not), as a long; null of null. More components are an error."""
     bit = f"shiftleft(cast(coalesce({vector}[i] > 0 and not isnan({vector}[i]), false) as bigint), i)"
-    return F.expr(f"if({vector} is null, null, aggregate(sequence(0, {BITS - 1}), 0L, (a, i) -> a | if(i < size({vector}), {bit}, 0L)))")
+    return F.expr(f"case when {vector} is null then null when size({vector}) > {BITS} then cast(raise_error('a code has 64 bits: more components than that') as bigint) else aggregate(sequence(0, {BITS - 1}), 0L, (a, i) -> a | if(i < size({vector}), {bit}, 0L)) end")
 
 
 @lru_cache(maxsize=64)
@@ -102,7 +104,7 @@ def _search_blocks(k: int, segments: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, code_block: int = 1 << 17, query_block: int = 512) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, code_block: int = 1 << 20, query_block: int = 1 << 18) -> DataFrame:
     """``query_id, rank, id, distance``: for each query the k rows nearest in Hamming distance, by id among equals.
 
     ``rows``: ``id long, code long``; ``queries``: ``query_id long, code long``. A query that is a
@@ -117,7 +119,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4,
     codes = materialize(held.select("code").distinct(), "mih-codes")
     asked = materialize(queries.where("code is not null").select("code").distinct(), "mih-queries")
     cut = lambda n, size: max(1, -(-n // size))
-    cb, qb = cut(codes.count(), code_block), cut(asked.count(), query_block)
+    n_codes, n_asked = codes.count(), asked.count()
+    cb = cut(n_codes, code_block)
+    # few queries are cut finer, to give every core something to do
+    qb = max(cut(n_asked, query_block), min(cut(n_asked, 256), cut(2 * rows.sparkSession.sparkContext.defaultParallelism, cb)))
     block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = codes.select("code", block(cb).alias("c"), every(qb).alias("q")).groupBy("c", "q")
@@ -130,7 +135,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4,
 
 
 def op7_hamming_topk(embeddings: DataFrame) -> DataFrame:
-    """For each row whose id is divisible by 20 the 10 rows with the nearest sign codes."""
+    """For each row whose id is divisible by 20 the 10 rows with the nearest sign codes; odd rows: see ``nearest``."""
     coded = materialize(embeddings.select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code")), "mih-signs")
     queries = coded.where("id % 20 = 0").select(F.col("id").alias("query_id"), "code")
     return nearest(coded, queries).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
