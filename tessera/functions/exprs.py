@@ -95,9 +95,12 @@ def pair_id(a: Column | str, b: Column | str, kind: str) -> Column:
 
 
 def glob_regex(pattern: Column | str) -> Column:
-    """A shell glob as an anchored regex: * any run, ? one character, all else literal."""
-    quoted = F.regexp_replace(col(pattern), r"([\\.+^$|(){}\[\]])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A shell glob as an anchored regex: * any run, ? one character, [...] and [!...] one of a class, all else literal."""
+    quoted = F.regexp_replace(col(pattern), r"([\\.+^$|(){}])", r"\\$1")
+    # a bracket that no later one closes, or an empty class, is literal
+    quoted = F.regexp_replace(quoted, r"\[(?![!^]?[^\]]+\])", r"\\[")
+    negated = F.replace(quoted, F.lit("[!"), F.lit("[^"))
+    return F.concat(F.lit("(?s)^"), F.replace(F.replace(negated, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
 def trigrams(text: Column | str) -> Column:

@@ -28,12 +28,13 @@ def ingest_claims(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return done.unionByName(b.where("status = 'skipped'").select("claim_id", "status", F.lit(None).cast("long").alias("supersedes")))
 
 
-def corroborate_semantic(claims: DataFrame, near: DataFrame, least: int = 3) -> DataFrame:
-    """Per claim the distinct evidence of itself and of the claims similar to it (``query_id, node_id``)."""
-    own = claims.select("claim_id", "evidence")
-    other = near.join(own.withColumnRenamed("claim_id", "node_id"), "node_id").select(F.col("query_id").alias("claim_id"), "evidence")
-    n = own.union(other).groupBy("claim_id").agg(F.count_distinct("evidence").alias("n_evidence"))
-    return n.withColumn("promote", F.col("n_evidence") >= least)
+def corroborate_semantic(claims: DataFrame, near: DataFrame, of: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """Per claim (of those in ``of``, or all) the distinct evidence of itself and of all claims similar to it (``query_id, node_id``)."""
+    asked = claims if of is None else claims.join(of.select("claim_id").distinct(), "claim_id", "left_semi")
+    own = asked.select("claim_id", "evidence")
+    other = near.join(claims.select(F.col("claim_id").alias("node_id"), "evidence"), "node_id").select(F.col("query_id").alias("claim_id"), "evidence")
+    g = own.unionByName(other).groupBy("claim_id").agg(F.count_distinct("evidence").alias("n_evidence"))
+    return g.withColumn("promote", F.col("n_evidence") >= least)
 
 
 def breakthrough_hints(queries: DataFrame, solved: DataFrame, newest: int = 50, least: float = 0.6, k: int = 5) -> DataFrame:

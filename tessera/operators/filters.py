@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs
 
 
-def filter_hits(hits: DataFrame, layers: list[str], min_confidence: float, states: list[str] | None = None) -> DataFrame:
-    """Layer in a set, confidence (null counts as 1) at least a bound, superseded hits out unless asked for."""
+def filter_hits(hits: DataFrame, layers: list[str], min_confidence: float, any_tags: list[str] | None = None, include_superseded: bool = False, now: Column | None = None) -> DataFrame:
+    """Layer in a set, confidence (null counts as 1) at least a bound, any of the tags; what is superseded or has ended goes unless asked for."""
     kept = hits.where(F.col("layer").isin(*layers) & (F.coalesce("confidence", F.lit(1.0)) >= min_confidence))
-    return kept if states is None else kept.where(F.coalesce("state", F.lit("ACTIVE")).isin(*states))
+    if any_tags:
+        kept = kept.where(F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in any_tags])), F.lit(False)))
+    if include_superseded:
+        return kept
+    kept = kept.where(F.coalesce("state", F.lit("ACTIVE")) != "SUPERSEDED")
+    return kept if now is None else kept.where(F.col("valid_to").isNull() | (F.col("valid_to") > now))
 
 
 def filter_all_tags(df: DataFrame, tags: list[str]) -> DataFrame:
@@ -36,9 +41,14 @@ def as_of(df: DataFrame, ts: Column) -> DataFrame:
     return df.where((F.col("valid_from").isNull() | (F.col("valid_from") <= ts)) & (F.col("valid_to").isNull() | (F.col("valid_to") > ts)))
 
 
-def temporal_query(versions: DataFrame, ts: Column, k: int) -> DataFrame:
-    """The k rows valid at ``ts`` that began last."""
-    return as_of(versions, ts).where("valid_from is not null").orderBy(F.desc("valid_from"), "node_id").limit(k)
+def temporal_query(versions: DataFrame, ts: Column, k: int, label: str | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Of the rows valid at ``ts`` with content and no tombstone the k that began last; of one label, among candidates (``node_id``) where given."""
+    df = as_of(versions, ts).where("valid_from is not null and length(content) > 0 and coalesce(state, 'ACTIVE') <> 'TOMBSTONED'")
+    if label is not None:
+        df = df.where(F.col("label") == label)
+    if candidates is not None:
+        df = df.join(candidates.select("node_id").distinct(), "node_id", "left_semi")
+    return df.orderBy(F.desc("valid_from"), "node_id").limit(k)
 
 
 def temporal_status(ids: DataFrame, versions: DataFrame, ts: Column) -> DataFrame:
@@ -61,12 +71,17 @@ def content_policy(df: DataFrame, summary: int = 200) -> DataFrame:
     return df.withColumns({"tier": exprs.tier("heat_score"), "shown": F.when(cold, F.substring("content", 1, summary)).otherwise(F.col("content")), "expandable": cold})
 
 
-def layer_threshold(df: DataFrame, low: float = 0.15, high: float = 0.25) -> DataFrame:
-    """Hits at or above their layer's cut, with the number below it; a null score is kept."""
+def layer_threshold(df: DataFrame, overrides: dict[str, float] | None = None, low: float = 0.15, high: float = 0.25, rerank_floor: float = 0.0) -> DataFrame:
+    """Hits at or above their layer's cut, with the number below it; a null score is kept.
+
+    ``overrides`` replace a layer's cut; no cut is below ``rerank_floor``, which holds where scores come from a reranker.
+    """
     cut = F.when(F.col("layer").isin("knowledge", "wisdom"), high).otherwise(low)
-    marked = df.withColumn("below", (F.col("score") < cut) & F.col("score").isNotNull())
+    if overrides:
+        cut = F.coalesce(exprs.lookup(overrides, "layer"), cut)
+    marked = df.withColumn("below", F.coalesce(F.col("score") < F.greatest(cut, F.lit(rerank_floor)), F.lit(False)))
     below = marked.where("below").groupBy("layer").agg(F.count("*").alias("n_below"))
-    return marked.where("not coalesce(below, false)").drop("below").join(F.broadcast(below), "layer", "left").withColumn("n_below", F.coalesce("n_below", F.lit(0)))
+    return marked.where("not below").drop("below").join(F.broadcast(below), "layer", "left").withColumn("n_below", F.coalesce("n_below", F.lit(0)))
 
 
 def adaptive_threshold(df: DataFrame, alpha: float = 0.5, floor: float = 0.1) -> DataFrame:
@@ -85,16 +100,30 @@ def trust_gate(hits: DataFrame, floor: float, withhold_conflicts: bool = True) -
     return hits.withColumn("reason", reason)
 
 
-def claim_filter(claims: DataFrame, dropped: DataFrame, suspect: list[str], never: list[str], public: DataFrame) -> DataFrame:
-    """Claims with the rule that drops them, null where they stay. Whether rule tables are broadcast is left to their measured size."""
-    marked = claims.join(dropped.withColumn("hard", F.lit(True)), ["subject", "predicate", "object"], "left")
-    known = public.select(F.col("name").alias("subject"), F.lit(True).alias("public_subject"))
-    marked = marked.join(known, "subject", "left")
+def claim_filter(claims: DataFrame, dropped: DataFrame, suspect: list[str], never: list[str], public: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Claims with the rule that drops them, null where they stay; the dropped side is the audit.
+
+    Hard drops go first; never-filtered predicates and allowed subjects (``name``) stay; of suspect
+    predicates those go whose subject and object are both public names. Keys compare in lower case.
+    """
+    low = lambda c: F.lower(F.col(c).cast("string"))
+    keyed = claims.withColumn("key", F.struct(low("subject").alias("s"), low("predicate").alias("p"), low("object").alias("o")))
+    hard = dropped.select(F.struct(low("subject").alias("s"), low("predicate").alias("p"), low("object").alias("o")).alias("key"), F.lit(True).alias("hard")).distinct()
+    names = lambda df, as_: df.select(low("name").alias("name")).distinct().withColumn(as_, F.lit(True))
+    marked = keyed.join(hard, "key", "left")
+    for end in ("s", "o"):
+        known = names(public, f"public_{end}")
+        marked = marked.join(known, F.col(f"key.{end}") == known["name"], "left").drop("name")
+    if allowed is not None:
+        known = names(allowed, "allowed")
+        marked = marked.join(known, F.col("key.s") == known["name"], "left").drop("name")
+    else:
+        marked = marked.withColumn("allowed", F.lit(None).cast("boolean"))
     rule = (
-        F.when(F.col("hard"), "hard_drop").when(F.col("predicate").isin(*never), None)
-        .when(F.col("predicate").isin(*suspect) & F.coalesce("public_subject", F.lit(False)), "public_ends")
+        F.when(F.col("hard"), "hard_drop").when(F.col("key.p").isin(*[x.lower() for x in never]) | F.col("allowed"), None)
+        .when(F.col("key.p").isin(*[x.lower() for x in suspect]) & F.col("public_s") & F.col("public_o"), "public_ends")
     )
-    return marked.withColumn("rule", rule).drop("hard", "public_subject")
+    return marked.withColumn("rule", rule).drop("key", "hard", "allowed", "public_s", "public_o")
 
 
 def contradiction_ttl(nodes: DataFrame, hours: int = 1) -> DataFrame:

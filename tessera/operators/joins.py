@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.functions import exprs
+from tessera.operators.graph import would_cycle
 from tessera.operators.scans import in_blocks
 
 SPO = ["silo_id", "subject", "predicate", "object"]
@@ -82,10 +83,19 @@ def agents_summary(agents: DataFrame, nodes: DataFrame) -> DataFrame:
     return agents.join(n, "agent_id", "left").select("agent_id", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("trust", F.lit(0.5)).alias("trust"))
 
 
-def list_conflicts(edges: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """Contradiction edges with what both ends say, strongest first."""
-    c = edges.where("edge_type = 'CONTRADICTS'").join(left, "src").join(right, "dst")
-    return c.orderBy(F.desc(F.round("weight", 6)), "src", "dst").limit(k)
+def list_conflicts(edges: DataFrame, nodes: DataFrame, k: int, status: str | None = None, agent: int | None = None) -> DataFrame:
+    """Contradiction edges with what both ends say, newest first; of one status or with an end of one agent where asked.
+
+    ``edges``: ``src, dst, edge_type, status, created_at``; ``nodes``: ``id, content, agent_id``.
+    """
+    end = lambda c: nodes.select(F.col("id").alias(c), F.col("content").alias(f"{c}_content"), F.col("agent_id").alias(f"{c}_agent"))
+    c = edges.where("edge_type = 'CONTRADICTS'")
+    if status is not None:
+        c = c.where(F.col("status") == status)
+    c = c.join(end("src"), "src").join(end("dst"), "dst")
+    if agent is not None:
+        c = c.where((F.col("src_agent") == agent) | (F.col("dst_agent") == agent))
+    return c.orderBy(F.desc("created_at"), "src", "dst").limit(k)
 
 
 def entity_corroboration(edges: DataFrame) -> DataFrame:
@@ -104,29 +114,41 @@ def independence(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("independence", F.least(F.lit(1.0), score))
 
 
-def source_tier(refs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per node the best tier of the first rule (priority, then pattern) whose glob its URI matches; ``unknown`` without one.
+def source_tier(refs: DataFrame, rules: DataFrame, nodes: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+    """Per page the best of its node's tier and of the first rule that its URI matches; else the hint; else ``unknown``; and what decided.
 
-    A theta join: rules are broadcast in blocks of a checked size.
+    ``refs``: ``page_id, url, silo_id``; ``rules``: ``pattern, tier, priority, silo_id`` (null: of all
+    silos). Rules of the silo come before general ones, then by priority, then by pattern. ``nodes``: ``page_id,
+    tier``, the best of several counts. A theta join: rules are broadcast in blocks of a checked size.
     """
     hit = None
-    for block in in_blocks(rules.withColumn("regex", exprs.glob_regex("pattern")), "pattern"):
-        part = refs.join(block, F.expr("url rlike regex"))
+    for block in in_blocks(rules.select(exprs.glob_regex("pattern").alias("regex"), "pattern", "tier", "priority", F.col("silo_id").alias("rule_silo")), "pattern"):
+        part = refs.join(block, F.expr("url rlike regex and (rule_silo is null or rule_silo = silo_id)"))
         hit = part if hit is None else hit.union(part)
-    first = hit.groupBy("page_id").agg(F.min_by("tier", F.struct(-F.col("priority"), "pattern")).alias("tier"))
-    return refs.join(first, "page_id", "left").select("page_id", F.coalesce("tier", F.lit("unknown")).alias("tier"), F.when(F.col("tier").isNull(), "none").otherwise("rule").alias("decided_by"))
+    first = hit.groupBy("page_id").agg(F.min_by("tier", F.struct(F.col("rule_silo").isNull(), -F.col("priority"), "pattern")).alias("rule_tier"))
+    j = refs.join(first, "page_id", "left")
+    if nodes is not None:
+        j = j.join(nodes.groupBy("page_id").agg(F.max_by("tier", rank_tier("tier")).alias("node_tier")), "page_id", "left")
+    else:
+        j = j.withColumn("node_tier", F.lit(None).cast("string"))
+    level = lambda c: F.coalesce(rank_tier(c), F.lit(-1))
+    by_node = F.col("node_tier").isNotNull() & (level("node_tier") >= F.when(F.col("rule_tier").isNull(), -1).otherwise(level("rule_tier")))
+    told = F.when(by_node, F.col("node_tier")).otherwise(F.coalesce("rule_tier", F.lit(hint), F.lit("unknown")))
+    why = F.when(by_node, "node").when(F.col("rule_tier").isNotNull(), "rule").otherwise("none" if hint is None else "hint")
+    return j.select("page_id", told.alias("tier"), why.alias("decided_by"))
 
 
 def stale_commitments(versions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Commitments whose target has evidence newer than they are, with its count."""
-    joined = versions.join(evidence, "chain_id").where("seen > valid_from")
-    return joined.groupBy("node_id").agg(F.count("*").alias("n_newer"))
+    """Commitments whose target has evidence newer than they are, with the ids of it in order."""
+    joined = versions.select("node_id", "chain_id", "valid_from").join(evidence, "chain_id").where("seen > valid_from")
+    return joined.groupBy("node_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("evidence"))
 
 
 def session_pairs(turns: DataFrame) -> DataFrame:
-    """Earlier to later pairs of consecutive turns of a session."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return turns.withColumn("next_turn", F.lead("turn").over(w)).where("next_turn is not null").select("conv_id", "turn", "next_turn")
+    """Earlier to later pairs of the chains of a session: ``session, chain, created``."""
+    a = turns.select("session", F.col("chain").alias("earlier"), F.col("created").alias("t1"))
+    b = turns.select("session", F.col("chain").alias("later"), F.col("created").alias("t2"))
+    return a.join(b, "session").where("t1 < t2").select("session", "earlier", "later").distinct()
 
 
 def shared_participation(edges: DataFrame, node: int, least: int = 2) -> DataFrame:
@@ -140,9 +162,9 @@ def orphans(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def premises_exist(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References with their first violation: missing, tombstoned, or null."""
-    n = nodes.select(F.col("node_id").alias("ref"), "state").withColumn("there", F.lit(True))
-    why = F.when(F.col("there").isNull(), "missing").when(F.col("state") == "TOMBSTONED", "tombstoned")
+    """References (``holder, ref, silo_id``) with their first violation: missing, wrong silo, tombstoned, or null."""
+    n = nodes.select(F.col("node_id").alias("ref"), "state", F.col("silo_id").alias("ref_silo")).withColumn("there", F.lit(True))
+    why = F.when(F.col("there").isNull(), "missing").when(F.col("ref_silo") != F.col("silo_id"), "wrong_silo").when(F.col("state") == "TOMBSTONED", "tombstoned")
     return refs.join(n, "ref", "left").select("holder", "ref", why.alias("violation"))
 
 
@@ -152,13 +174,24 @@ def evidence_accessible(chains: DataFrame, access: DataFrame) -> DataFrame:
     return chains.select("chain").distinct().join(missing, "chain", "left_anti")
 
 
-def link_validate(new: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """New edges with the first rule they break: self, missing end, duplicate; null if none."""
-    ids = nodes.select("id").distinct()
-    e = new.join(ids.withColumnRenamed("id", "src").withColumn("has_src", F.lit(True)), "src", "left")
-    e = e.join(ids.withColumnRenamed("id", "dst").withColumn("has_dst", F.lit(True)), "dst", "left")
+def link_validate(new: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 10) -> DataFrame:
+    """New edges with the first rule they break: self loop, missing end, cross silo, deleted end, duplicate, cycle; null if none.
+
+    ``nodes``: ``id, silo_id, state``; an id that repeats has its least silo and is deleted if any of its rows is.
+    Cycles are asked for edges of the acyclic types.
+    """
+    one = nodes.groupBy("id").agg(F.min("silo_id").alias("silo_id"), F.max("state").alias("state"))
+    end = lambda c: one.select(F.col("id").alias(c), F.col("silo_id").alias(f"{c}_silo"), F.col("state").alias(f"{c}_state"), F.lit(True).alias(f"has_{c}"))
+    e = new.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
     e = e.join(edges.select("src", "dst", "edge_type").distinct().withColumn("known", F.lit(True)), ["src", "dst", "edge_type"], "left")
-    code = F.when(F.col("src") == F.col("dst"), "self_loop").when(F.col("has_src").isNull() | F.col("has_dst").isNull(), "missing_node").when(F.col("known"), "duplicate")
+    acyclic = F.col("edge_type").isin(*schema.ACYCLIC_EDGES)
+    walked = would_cycle(edges.where(acyclic), new.where(acyclic & (F.col("src") != F.col("dst"))), hops)
+    e = e.join(walked, ["src", "dst"], "left")
+    gone = lambda c: F.coalesce(F.col(f"{c}_state").isin("TOMBSTONED", "DELETED"), F.lit(False))
+    code = (
+        F.when(F.col("src") == F.col("dst"), "self_loop").when(F.col("has_src").isNull() | F.col("has_dst").isNull(), "missing_node")
+        .when(F.col("src_silo") != F.col("dst_silo"), "cross_silo").when(gone("src") | gone("dst"), "deleted_node").when(F.col("known"), "duplicate").when(acyclic & F.col("cycle"), "cycle")
+    )
     return e.select("src", "dst", "edge_type", code.alias("code"))
 
 
@@ -169,42 +202,99 @@ def resolve_alias(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def entity_dedup(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """The entity of each mention by lowered name, or a new stable id."""
-    known = entities.select(F.lower("name").alias("key"), "entity_id").groupBy("key").agg(F.min("entity_id").alias("entity_id"))
-    m = mentions.withColumn("key", F.lower("name"))
-    return m.join(known, "key", "left").select("mention_id", F.coalesce(F.col("entity_id").cast("string"), exprs.content_id("key")).alias("entity"))
+    """The entity of each mention by lowered name, else by lowered qualified name, else a new stable id.
+
+    ``mentions``: ``mention_id, name, qualified_name``; ``entities``: ``entity_id, name, qualified_name``; of several the smallest id.
+    """
+    by = lambda c: entities.where(F.col(c).isNotNull()).groupBy(F.lower(c).alias(f"{c}_key")).agg(F.min("entity_id").alias(f"{c}_entity"))
+    m = mentions.withColumns({"name_key": F.lower("name"), "qualified_name_key": F.lower("qualified_name")})
+    m = m.join(by("name"), "name_key", "left").join(by("qualified_name"), "qualified_name_key", "left")
+    return m.select("mention_id", F.coalesce(F.col("name_entity").cast("string"), F.col("qualified_name_entity").cast("string"), exprs.content_id("name_key")).alias("entity"))
 
 
-def belief_coverage(docs: DataFrame, subjects: DataFrame) -> DataFrame:
-    """How many texts mention each subject, case-insensitively; the stated subjects are broadcast in blocks of a checked size."""
-    n = None
+def belief_coverage(beliefs: DataFrame, subjects: DataFrame, as_of: Column) -> DataFrame:
+    """Per subject the beliefs that mention it, case-insensitively, are valid at a time and live, and the facts behind them.
+
+    ``beliefs``: ``node_id, content, state, valid_from, valid_to, facts``. The stated subjects are broadcast in blocks of a checked size.
+    """
+    live = beliefs.where(F.col("state") != "TOMBSTONED").where((F.col("valid_from").isNull() | (F.col("valid_from") <= as_of)) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of)))
+    told = None
     for block in in_blocks(subjects.select(F.col("subject").alias("s")), "s"):
-        part = docs.join(block, F.expr("contains(lower(content), lower(s))")).groupBy("s").agg(F.count("*").alias("n"))
-        n = part if n is None else n.union(part)
-    return subjects.join(n, F.col("subject") == F.col("s"), "left").select("subject", F.coalesce("n", F.lit(0)).alias("n_nodes"))
+        part = live.join(block, F.expr("contains(lower(content), lower(s))")).select("s", "node_id", "facts")
+        told = part if told is None else told.union(part)
+    g = told.groupBy("s").agg(F.count("*").alias("n_nodes"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts"))
+    return subjects.join(g, F.col("subject") == F.col("s"), "left").select("subject", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("facts", F.array().cast("array<bigint>")).alias("facts"))
 
 
-def validate_citations(cites: DataFrame, seen: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per finding the first fault of its citations in rank order: hallucinated, invalid, or null, with the offenders' count."""
+def validate_citations(cites: DataFrame, seen: DataFrame, nodes: DataFrame, least: float = 0.7) -> DataFrame:
+    """Per finding the first fault of its citations in rank order, or null, with the offenders of that fault.
+
+    Ranks: hallucinated (not seen), invalid (absent), cross_silo, low_confidence. ``cites``: ``finding, node_id,
+    silo_id, confidence``; ``nodes``: ``node_id, silo_id``.
+    """
     c = cites.join(seen.select("finding", "node_id").distinct().withColumn("was_seen", F.lit(True)), ["finding", "node_id"], "left")
-    c = c.join(nodes.select("node_id").distinct().withColumn("exists", F.lit(True)), "node_id", "left")
-    rank = F.when(F.col("was_seen").isNull(), 1).when(F.col("exists").isNull(), 2)
-    per = c.withColumn("rank", rank).groupBy("finding").agg(F.min("rank").alias("rank"), F.count("rank").alias("n_faults"))
-    return per.select("finding", exprs.lookup({1: "hallucinated", 2: "invalid"}, "rank").alias("fault"), "n_faults")
+    c = c.join(nodes.select("node_id", F.col("silo_id").alias("node_silo")).distinct().withColumn("exists", F.lit(True)), "node_id", "left")
+    rank = F.when(F.col("was_seen").isNull(), 1).when(F.col("exists").isNull(), 2).when(F.col("node_silo") != F.col("silo_id"), 3).when(F.col("confidence") < least, 4)
+    of = c.withColumn("rank", rank).groupBy("finding", "rank").agg(F.sort_array(F.collect_set("node_id")).alias("offenders"))
+    per = of.groupBy("finding").agg(F.min_by(F.struct("rank", "offenders"), F.coalesce("rank", F.lit(99))).alias("w"))
+    fault = exprs.lookup({1: "hallucinated", 2: "invalid", 3: "cross_silo", 4: "low_confidence"}, F.col("w.rank"))
+    return per.select("finding", fault.alias("fault"), F.when(F.col("w.rank").isNotNull(), F.col("w.offenders")).otherwise(F.array().cast("array<bigint>")).alias("offenders"))
+
 
+def supersession_candidates(new: DataFrame, existing: DataFrame, recalled: DataFrame, near: DataFrame, recent_minutes: int = 5) -> DataFrame:
+    """The best earlier claim that each new one replaces, its tier and score, and whether that is automatic.
 
-def supersession_candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """The best earlier claim that each new one replaces: same agent and (subject, predicate), then the same agent and subject.
+    Tier 1: recalled in the new claim's session and about the same subject (.95, automatic). Tier 2: the same agent's
+    newest on (subject, predicate) (.9) or on the subject (.7), + .05 for the same session, + .03 within
+    minutes; automatic where the predicate agrees, the object differs, and one of these holds. Tier 3: the nearest in
+    meaning (.5). A later tier counts only without an automatic hit before it; of the rest the best score stands.
 
-    The newest earlier claim of each key is found by aggregation; a conflict needs another object.
+    ``new``, ``existing``: ``claim_id, agent_id, subject, predicate, object, session, created_at``; ``recalled``: ``session,
+    claim_id``; ``near``: ``claim_id, other``. The newest of each key is found by aggregation, never by pairs.
     """
-    best = lambda keys: existing.groupBy(*keys).agg(F.max_by(F.struct("claim_id", "object"), F.struct("created_at", "claim_id")).alias("old"))
-    sp, s = best(["agent_id", "subject", "predicate"]), best(["agent_id", "subject"]).withColumnRenamed("old", "old_s")
-    j = new.join(sp, ["agent_id", "subject", "predicate"], "left").join(s, ["agent_id", "subject"], "left")
-    tier = F.when(F.col("old").isNotNull(), 0.9).when(F.col("old_s").isNotNull(), 0.7)
-    auto = F.col("old").isNotNull() & (F.col("old.object") != F.col("object"))
-    return j.select("claim_id", F.coalesce("old.claim_id", "old_s.claim_id").alias("supersedes"), tier.alias("score"), F.coalesce(auto, F.lit(False)).alias("auto")).where("score is not null")
+    cols = F.struct("claim_id", "object", "session", "created_at")
+    newest = lambda df, keys, as_: df.groupBy(*keys).agg(F.max_by(cols, F.struct("created_at", "claim_id")).alias(as_))
+    seen = existing.join(recalled.select(F.col("session").alias("asking"), "claim_id").distinct(), "claim_id")
+    one = seen.groupBy(F.col("asking").alias("session"), "subject").agg(F.max_by("claim_id", F.struct("created_at", "claim_id")).alias("one"))
+    j = new.join(one, ["session", "subject"], "left")
+    j = j.join(newest(existing, ["agent_id", "subject", "predicate"], "sp"), ["agent_id", "subject", "predicate"], "left").join(newest(existing, ["agent_id", "subject"], "s"), ["agent_id", "subject"], "left")
+    j = j.join(near.groupBy("claim_id").agg(F.min("other").alias("three")), "claim_id", "left")
+    old = F.coalesce("sp", "s")
+    j = j.withColumns({"old": old, "same_session": F.coalesce(old["session"] == F.col("session"), F.lit(False)), "recent": F.coalesce(F.abs(F.timestamp_diff("SECOND", old["created_at"], F.col("created_at"))) < recent_minutes * 60, F.lit(False))})
+    two = F.when(F.col("sp").isNotNull(), 0.9).when(F.col("s").isNotNull(), 0.7) + F.col("same_session").cast("int") * 0.05 + F.col("recent").cast("int") * 0.03
+    auto2 = F.coalesce(F.col("sp").isNotNull() & (F.col("sp.object") != F.col("object")) & (F.col("same_session") | F.col("recent")), F.lit(False))
+    tier = F.when(F.col("one").isNotNull(), 1).when(F.col("old").isNotNull(), 2).when(F.col("three").isNotNull(), 3)
+    return j.select(
+        "claim_id", F.coalesce("one", "old.claim_id", "three").alias("supersedes"), tier.alias("tier"),
+        F.round(F.when(F.col("one").isNotNull(), 0.95).otherwise(F.coalesce(two, F.lit(0.5))), 6).alias("score"), (F.col("one").isNotNull() | ((tier == 2) & auto2)).alias("auto"),
+    ).where("tier is not null")
 
 
 def rank_tier(c: Column | str) -> Column:
     return exprs.lookup(schema.TIER_RANK, c, 0)
+
+
+def independence_groups(pairs: DataFrame, key: str, least: float = 2.0) -> DataFrame:
+    """Per group of facts the sum of its pairs' independence and whether it suffices."""
+    g = independence(pairs).groupBy(key).agg(F.round(F.sum("independence"), 6).alias("total"), F.count("*").alias("n_pairs"))
+    return g.withColumn("passes", F.col("total") >= least)
+
+
+def orphan_kinds(summaries: DataFrame, chains: DataFrame, sources: DataFrame, claims: DataFrame, steps: DataFrame, nodes: DataFrame, links: DataFrame, old_hours: int = 7 * 24) -> DataFrame:
+    """``kind, id`` of what has lost what it stands on.
+
+    Summaries whose chain is gone; sources that no claim derives from and that are old; steps
+    without a node; links of which neither end lives.
+    """
+    live = nodes.where("state <> 'TOMBSTONED'").select("id")
+    kinds = {
+        "summary": orphans(summaries.select("id", "chain_id"), chains, "chain_id"),
+        "source": orphans(sources.where(F.col("age_hours") > old_hours).select("id", F.col("id").alias("source_id")), claims, "source_id"),
+        "step": orphans(steps.select(F.col("step_id").alias("id"), "node_id"), nodes.select(F.col("id").alias("node_id")), "node_id"),
+        "link": orphans(orphans(links.select(F.col("link_id").alias("id"), "a", "b"), live.withColumnRenamed("id", "a"), "a"), live.withColumnRenamed("id", "b"), "b"),
+    }
+    out = None
+    for kind, df in kinds.items():
+        one = df.select(F.lit(kind).alias("kind"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -17,13 +17,16 @@ from tessera.scratch import materialize
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     ids = t["id"].to_numpy()
     column = t["embedding"].combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(set(column.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors of unequal length can't be compared")
+    values = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float))
     m = values.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), t["tag"].to_numpy()
 
 
-def _best(k: int, least: float, other_tag: bool, chunk: int = 512):
+def _best(k: int | None, least: float, other_tag: bool, chunk: int = 512):
     def run(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if queries.num_rows and vectors.num_rows:
@@ -35,7 +38,7 @@ def _best(k: int, least: float, other_tag: bool, chunk: int = 512):
                 if other_tag:
                     s[qt[at : at + chunk, None] == vt[None]] = -2
                 for i, row in enumerate(s):
-                    n = min(k, len(row))
+                    n = len(row) if k is None else min(k, len(row))
                     cut = max(least, np.partition(row, len(row) - n)[len(row) - n])
                     keep = np.flatnonzero((row >= cut) & (row > -2))
                     keep = keep[np.lexsort((vid[keep], -row[keep]))][:k]
@@ -48,13 +51,13 @@ def _best(k: int, least: float, other_tag: bool, chunk: int = 512):
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, tag: str | None = None, block: int = 4096) -> DataFrame:
-    """``query_id, node_id, score, rank``: the k vectors of cosine at least ``least`` nearest each query, itself left out.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float = -1.0, tag: str | None = None, block: int = 4096) -> DataFrame:
+    """``query_id, node_id, score, rank``: the k vectors of cosine at least ``least`` nearest each query, itself left out; all of them without a k.
 
-    Both sides: ``node_id, embedding`` of one length; null vectors are left out. Scores are
+    Both sides: ``node_id, embedding`` of one length (others are an error); null ids and vectors are left out, null components are 0. Scores are
     rounded to 6 places and tie by id. ``tag``: a column in which neighbours have to differ.
     """
-    slim = lambda df: materialize(df.where("embedding is not null").select(F.col("node_id").alias("id"), "embedding", (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag")), "nearest")
+    slim = lambda df: materialize(df.where("embedding is not null and node_id is not null").select(F.col("node_id").alias("id"), "embedding", (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag")), "nearest")
     a = slim(queries)
     b = a if queries is vectors else slim(vectors)
     na, nb = (max(1, -(-x.count() // block)) for x in (a, b))
@@ -64,7 +67,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0,
     right = b.select("*", place(nb).alias("j"), every(na).alias("i")).groupBy("i", "j")
     found = left.cogroup(right).applyInArrow(_best(k, least, tag is not None), "query_id long, node_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def contradiction_candidates(vectors: DataFrame, k: int = 20, least: float = 0.85) -> DataFrame:
@@ -89,10 +93,9 @@ def weak_links(vectors: DataFrame, existing: DataFrame, k: int = 10, least: floa
     return left.groupBy("a", "b").agg(F.round(F.max("score") * 0.5, 6).alias("weight"))
 
 
-def overlapping_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, most: int = 50) -> DataFrame:
-    """The most similar unordered pairs among each node's k nearest, best first."""
-    near = nearest(vectors, vectors, k, least)
-    pairs = near.select(F.least("query_id", "node_id").alias("a"), F.greatest("query_id", "node_id").alias("b"), "score").distinct()
+def overlapping_pairs(vectors: DataFrame, least: float = 0.85, most: int = 50) -> DataFrame:
+    """The most similar unordered pairs of at least a similarity, best first."""
+    pairs = nearest(vectors, vectors, None, least).where("query_id < node_id").select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), "score")
     return pairs.orderBy(F.desc("score"), "a", "b").limit(most)
 
 
@@ -142,3 +145,19 @@ def text_ratio(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64())], names=["id", "ratio"])
 
     return pairs.select("id", "a", "b").mapInArrow(run, "id long, ratio double")
+
+
+def cross_agent_conflicts(vectors: DataFrame, facts: DataFrame, k: int = 10, least: float = 0.7, alike: float = 0.85) -> DataFrame:
+    """Of each node's nearest of other agents those that conflict: another object of the same (subject, predicate), else the same subject, else the same label and very alike.
+
+    ``vectors``: ``node_id, embedding, agent_id, label``; ``facts``: ``node_id, subject, predicate, object``.
+    """
+    near = nearest(vectors, vectors, k, least, tag="agent_id")
+    f = vectors.select("node_id", "label").join(facts, "node_id", "left")
+    j = near.join(f.select(F.col("node_id").alias("query_id"), F.struct("label", "subject", "predicate", "object").alias("x")), "query_id")
+    j = j.join(f.select("node_id", F.struct("label", "subject", "predicate", "object").alias("y")), "node_id")
+    same = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(False))
+    why = (
+        F.when(same("subject") & same("predicate") & (F.col("x.object") != F.col("y.object")), "structural").when(same("subject"), "subject").when(same("label") & (F.col("score") > alike), "semantic")
+    )
+    return j.select("query_id", "node_id", "score", why.alias("conflict")).where("conflict is not null")

@@ -221,7 +221,6 @@ CASES = {
         lambda t: M.nearest(t.vectors.where("node_id % 20 = 0"), t.vectors, 10).select("query_id", "node_id", "score"),
         f", {knn('a.node_id % 20 = 0', 10, -1)} SELECT query_id, node_id, score FROM near",
     ),
-    "j7_cross_agent_conflicts": (lambda t: M.cross_agent_neighbours(t.vectors, 10, 0.3), f", {knn('true', 10, 0.3, 'a.agent_id <> b.agent_id')} SELECT query_id, node_id, score FROM near"),
     "j8_contradiction_candidates": (lambda t: M.contradiction_candidates(t.vectors, 20, 0.4), f", {knn('true', 20, 0.4)} SELECT query_id, node_id, score FROM near"),
     "j9_affinity_edges": (lambda t: M.affinity_edges(t.vectors, 3, 0.3), f", {knn('true', 3, 0.3)} SELECT query_id AS src, node_id AS dst, score AS weight FROM near"),
     "j10_weak_links": (
@@ -230,10 +229,6 @@ CASES = {
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS place FROM f)
         SELECT least(query_id, node_id) AS a, greatest(query_id, node_id) AS b, round(max(score * 0.5), 6) AS weight FROM p WHERE place <= 4 - CASE WHEN query_id % 3 = 0 THEN 1 ELSE 0 END GROUP BY 1, 2""",
     ),
-    "j11_overlapping_pairs": (
-        lambda t: M.overlapping_pairs(t.vectors, 10, 0.3, 50),
-        f", {knn('true', 10, 0.3)} SELECT DISTINCT least(query_id, node_id) AS a, greatest(query_id, node_id) AS b, score FROM near ORDER BY score DESC, a, b LIMIT 50",
-    ),
     "w12_suggest_tags": (
         lambda t: M.suggest_tags(t.vectors.where("node_id % 2 = 1"), t.vectors.where("node_id % 10 = 0"), 0.1, 5),
         f", {knn('a.node_id % 2 = 1 AND b.node_id % 10 = 0', 5, 0.1)} SELECT query_id AS node_id, node_id AS tag_id, score FROM near",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tessera.plans import analytic, more, relational
+from tessera.plans import analytic, more, relational, rules
 from tessera.sources.fixtures import Tables
 
-CASES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**relational.CASES, **analytic.CASES, **more.CASES}
+CASES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**relational.CASES, **analytic.CASES, **more.CASES, **rules.CASES}

@@ -87,11 +87,6 @@ CASES = {
         """, d AS (SELECT user_id, event_id, ts, event_type, lag(ts, 2) OVER w AS t2, lag(event_type) OVER w AS k1, lag(event_type, 2) OVER w AS k2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, event_id FROM d WHERE ts <= t2 + INTERVAL 1 DAY AND event_type = k1 AND event_type = k2""",
     ),
-    "j2_corroborate_semantic": (
-        lambda t: C.corroborate_semantic(t.vectors.select(F.col("node_id").alias("claim_id"), F.col("label").alias("evidence")), nearest(t.vectors, t.vectors, 10, 0.3)),
-        f""", {knn('true', 10, 0.3)}, e AS (SELECT node_id AS claim_id, label AS evidence FROM vectors UNION ALL SELECT query_id, label FROM near JOIN vectors v ON v.node_id = near.node_id)
-        SELECT claim_id, count(DISTINCT evidence) AS n_evidence, count(DISTINCT evidence) >= 3 AS promote FROM e GROUP BY 1""",
-    ),
     "j24_support_candidates": (
         lambda t: C.support_candidates(t.vectors, F.col("node_id") % 7 == 0, 5, 0.3),
         f", {knn('a.node_id % 7 = 0', 5, 0.3)} SELECT query_id, node_id, score FROM near",
@@ -211,11 +206,6 @@ CASES = {
         lambda t: G.ppr_channel(t.edges, t.edges.where("src < 4").select((F.col("src") % 2).alias("query_id"), F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0)), 10, rounds=3),
         _ppr_channel_sql(3),
     ),
-    "j3_corroborate_freeform": (
-        lambda t: C.corroborate_semantic(t.vectors.where("node_id % 5 = 0").select(F.col("node_id").alias("claim_id"), F.col("label").alias("evidence")), nearest(t.vectors.where("node_id % 5 = 0"), t.vectors.where("node_id % 5 = 0"), 10, 0.3)),
-        f""", {knn('a.node_id % 5 = 0 AND b.node_id % 5 = 0', 10, 0.3)}, e AS (SELECT node_id AS claim_id, label AS evidence FROM vectors WHERE node_id % 5 = 0 UNION ALL SELECT query_id, label FROM near JOIN vectors v ON v.node_id = near.node_id)
-        SELECT claim_id, count(DISTINCT evidence) AS n_evidence, count(DISTINCT evidence) >= 3 AS promote FROM e GROUP BY 1""",
-    ),
     "j25_session_conflicts": (
         lambda t: J.session_conflicts(t.events.select(F.col("event_id").alias("hypothesis"), F.col("user_id").alias("session"), F.col("event_type").alias("target"))),
         "SELECT event_id AS hypothesis, n - 1 AS n_others FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n > 1",

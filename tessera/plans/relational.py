@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
@@ -46,18 +47,19 @@ HITS = "hits AS (SELECT node_id % 5 AS query_id, node_id, layer, state, confiden
 
 
 def _fact_pairs(t: Tables):
-    c = t.claims.where("claim_id % 7 = 0")
-    a = c.groupBy("subject").agg(F.min_by(F.struct("claim_id", "evidence", "agent_id", "created_at", "source_tier"), "claim_id").alias("a"), F.max_by(F.struct("claim_id", "evidence", "agent_id", "created_at", "source_tier"), "claim_id").alias("b")).where("a.claim_id <> b.claim_id")
+    """Each claim with the one before it on its subject."""
+    w = Window.partitionBy("subject").orderBy("claim_id")
+    cols = ["claim_id", "evidence", "agent_id", "created_at", "source_tier"]
+    pairs = t.claims.select("subject", F.lag(F.struct(*cols)).over(w).alias("a"), F.struct(*cols).alias("b")).where("a is not null")
     hours = lambda s: F.timestamp_diff("HOUR", F.lit("1995-01-01").cast("timestamp_ntz"), F.col(f"{s}.created_at"))
-    cols = [c for s in "ab" for c in (F.col(f"{s}.claim_id").alias(s), F.col(f"{s}.evidence").alias(f"doc_{s}"), F.col(f"{s}.agent_id").alias(f"agent_{s}"), hours(s).alias(f"hours_{s}"), F.col(f"{s}.source_tier").alias(f"tier_{s}"))]
-    return a.select(*cols)
+    named = [c for s in "ab" for c in (F.col(f"{s}.claim_id").alias(s), F.col(f"{s}.evidence").alias(f"doc_{s}"), F.col(f"{s}.agent_id").alias(f"agent_{s}"), hours(s).alias(f"hours_{s}"), F.col(f"{s}.source_tier").alias(f"tier_{s}"))]
+    return pairs.select("subject", *named)
 
 
 PAIRS = """pairs AS (
-  SELECT a.claim_id AS a, b.claim_id AS b, a.evidence AS doc_a, b.evidence AS doc_b, a.agent_id AS agent_a, b.agent_id AS agent_b,
-    date_diff('hour', TIMESTAMP '1995-01-01', a.created_at) AS hours_a, date_diff('hour', TIMESTAMP '1995-01-01', b.created_at) AS hours_b, a.source_tier AS tier_a, b.source_tier AS tier_b
-  FROM (SELECT subject, min(claim_id) AS lo, max(claim_id) AS hi FROM claims WHERE claim_id % 7 = 0 GROUP BY subject) g
-  JOIN claims a ON a.claim_id = g.lo JOIN claims b ON b.claim_id = g.hi WHERE g.lo <> g.hi)"""
+  SELECT subject, a, claim_id AS b, doc_a, evidence AS doc_b, agent_a, agent_id AS agent_b, date_diff('hour', TIMESTAMP '1995-01-01', t_a) AS hours_a, date_diff('hour', TIMESTAMP '1995-01-01', created_at) AS hours_b, tier_a, source_tier AS tier_b
+  FROM (SELECT *, lag(claim_id) OVER w AS a, lag(evidence) OVER w AS doc_a, lag(agent_id) OVER w AS agent_a, lag(created_at) OVER w AS t_a, lag(source_tier) OVER w AS tier_a FROM claims WINDOW w AS (PARTITION BY subject ORDER BY claim_id))
+  WHERE a IS NOT NULL)"""
 
 
 def _conflict_pairs(t: Tables):
@@ -106,10 +108,6 @@ CASES = {
         "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 9 = 0)",
     ),
     # filters
-    "p1_filter_hits": (
-        lambda t: P.filter_hits(t.nodes, ["knowledge", "wisdom"], 0.4, ["ACTIVE"]).select("node_id"),
-        "SELECT node_id FROM nodes WHERE layer IN ('knowledge', 'wisdom') AND coalesce(confidence, 1) >= 0.4 AND state = 'ACTIVE'",
-    ),
     "p2_filter_all_tags": (
         lambda t: P.filter_all_tags(t.nodes.select("node_id", F.array("layer", "decay_class", "lang").alias("tags")), ["memory", "en"]).select("node_id"),
         "SELECT node_id FROM nodes WHERE layer = 'memory' AND lang = 'en'",
@@ -120,11 +118,6 @@ CASES = {
         lambda t: P.as_of(t.versions, ts(MID)).select("node_id", "chain_id"),
         f"SELECT node_id, chain_id FROM versions WHERE valid_from <= TIMESTAMP '{MID}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{MID}')",
     ),
-    "p6_temporal_query": (
-        lambda t: P.temporal_query(t.versions, ts(MID), 25).select("node_id", F.col("valid_from").cast("string").alias("valid_from")),
-        f"""SELECT node_id, CAST(valid_from AS VARCHAR) AS valid_from FROM versions WHERE valid_from <= TIMESTAMP '{MID}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{MID}')
-        ORDER BY versions.valid_from DESC, node_id LIMIT 25""",
-    ),
     "p7_temporal_status": (
         lambda t: P.temporal_status(t.orders.select((F.col("o_orderkey") * 2).alias("node_id")), t.versions, ts(MID)),
         f"""SELECT i.node_id, CASE WHEN v.node_id IS NULL THEN 'node_not_found' WHEN valid_from > TIMESTAMP '{MID}' THEN 'not_yet_valid'
@@ -140,11 +133,6 @@ CASES = {
         """SELECT node_id, CASE WHEN heat_score >= 0.66 THEN 'HOT' WHEN heat_score >= 0.33 THEN 'WARM' ELSE 'COLD' END AS tier,
         CASE WHEN heat_score < 0.33 AND length(content) > 200 THEN substr(content, 1, 200) ELSE content END AS shown, heat_score < 0.33 AND length(content) > 200 AS expandable FROM nodes""",
     ),
-    "p10_layer_threshold": (
-        lambda t: P.layer_threshold(_hits(t)).select("node_id", "n_below"),
-        f""", {HITS}, m AS (SELECT *, score < CASE WHEN layer IN ('knowledge', 'wisdom') THEN 0.25 ELSE 0.15 END AS below FROM hits)
-        SELECT node_id, (SELECT count(*) FROM m b WHERE b.layer = m.layer AND b.below) AS n_below FROM m WHERE NOT below""",
-    ),
     "p11_adaptive_threshold": (
         lambda t: P.adaptive_threshold(_hits(t)).select("query_id", "node_id"),
         f", {HITS} SELECT query_id, node_id FROM hits h WHERE score >= greatest(0.5 * (SELECT max(score) FROM hits b WHERE b.query_id = h.query_id), 0.1)",
@@ -157,14 +145,6 @@ CASES = {
         lambda t: P.trust_gate(t.nodes.withColumn("conflicted", F.col("node_id") % 17 == 0), 0.3).groupBy("reason").agg(F.count("*").alias("n")),
         "SELECT CASE WHEN node_id % 17 = 0 THEN 'conflict' WHEN coalesce(confidence, 1) < 0.3 THEN 'low_confidence' END AS reason, count(*) AS n FROM nodes GROUP BY 1",
     ),
-    "p14_claim_filter": (
-        lambda t: P.claim_filter(
-            t.claims, t.claims.where("claim_id % 500 = 1").select("subject", "predicate", "object").distinct(), ["O"], ["X"], t.part.where("p_size < 10").select(F.col("p_partkey").alias("name"))
-        ).groupBy("rule").agg(F.count("*").alias("n")),
-        """, d AS (SELECT DISTINCT subject, predicate, object FROM claims WHERE claim_id % 500 = 1)
-        SELECT CASE WHEN d.subject IS NOT NULL THEN 'hard_drop' WHEN c.predicate = 'X' THEN NULL WHEN c.predicate = 'O' AND p.p_partkey IS NOT NULL THEN 'public_ends' END AS rule, count(*) AS n
-        FROM claims c LEFT JOIN d ON c.subject = d.subject AND c.predicate = d.predicate AND c.object = d.object LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 10) p ON p.p_partkey = c.subject GROUP BY 1""",
-    ),
     "p15_contradiction_ttl": (
         lambda t: P.contradiction_ttl(t.nodes.select("node_id", (F.col("age_hours") % 12).alias("flagged_hours"), F.array(F.col("node_id") + 1, F.col("node_id") + 2).alias("peers"))),
         "SELECT node_id, unnest([node_id + 1, node_id + 2]) AS peer_id FROM nodes WHERE age_hours % 12 BETWEEN 0 AND 1",
@@ -194,15 +174,6 @@ CASES = {
         lambda t: J.shared_evidence_peers(t.claims),
         "SELECT claim_id, count(*) OVER (PARTITION BY silo_id, evidence) - 1 AS n_peers FROM claims",
     ),
-    "j12_supersession_candidates": (
-        lambda t: J.supersession_candidates(t.claims.where(F.col("created_at") > ts(MID)), t.claims.where(F.col("created_at") <= ts(MID))),
-        f""", o AS (SELECT * FROM claims WHERE created_at <= TIMESTAMP '{MID}'), n AS (SELECT * FROM claims WHERE created_at > TIMESTAMP '{MID}'),
-        sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, subject, predicate ORDER BY created_at DESC, claim_id DESC) AS k FROM o) WHERE k = 1),
-        s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, subject ORDER BY created_at DESC, claim_id DESC) AS k FROM o) WHERE k = 1)
-        SELECT n.claim_id, coalesce(sp.claim_id, s.claim_id) AS supersedes, CASE WHEN sp.claim_id IS NOT NULL THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS score, coalesce(sp.object <> n.object, false) AS auto
-        FROM n LEFT JOIN sp ON n.agent_id = sp.agent_id AND n.subject = sp.subject AND n.predicate = sp.predicate LEFT JOIN s ON n.agent_id = s.agent_id AND n.subject = s.subject
-        WHERE sp.claim_id IS NOT NULL OR s.claim_id IS NOT NULL""",
-    ),
     "j13_epistemic_edges": (
         lambda t: J.epistemic_edges(t.edges).select("src", *[F.array_join(c, ",").alias(c) for c in ("supports", "contradicts", "causes")]),
         """SELECT src, """
@@ -227,83 +198,24 @@ CASES = {
         lambda t: J.agents_summary(t.supplier.select(F.col("s_suppkey").alias("agent_id"), F.when(F.col("s_acctbal") > 0, F.round(F.col("s_acctbal") / 10000, 4)).alias("trust")), t.nodes),
         """SELECT s_suppkey AS agent_id, (SELECT count(*) FROM nodes WHERE agent_id = s_suppkey) AS n_nodes, coalesce(CASE WHEN s_acctbal > 0 THEN round(s_acctbal / 10000, 4) END, 0.5) AS trust FROM supplier""",
     ),
-    "j19_list_conflicts": (
-        lambda t: J.list_conflicts(t.edges, t.supplier.select(F.col("s_suppkey").alias("src"), "s_name"), t.part.select((-F.col("p_partkey")).alias("dst"), "p_name"), 30).select("src", "dst", "s_name", "p_name"),
-        "SELECT src, dst, s_name, p_name FROM edges JOIN supplier ON s_suppkey = src JOIN part ON -p_partkey = dst WHERE edge_type = 'CONTRADICTS' ORDER BY round(weight, 6) DESC, src, dst LIMIT 30",
-    ),
     "j20_entity_corroboration": (
         lambda t: J.entity_corroboration(t.edges),
         "SELECT x.src AS a, y.src AS b, count(*) AS shared FROM edges x JOIN edges y ON x.dst = y.dst AND x.src < y.src WHERE x.edge_type = 'SUPPORTS' AND y.edge_type = 'SUPPORTS' GROUP BY 1, 2",
     ),
-    "j21_independence": (
-        lambda t: r6(J.independence(_fact_pairs(t)), "independence").select("a", "b", "independence"),
-        f""", {PAIRS} SELECT a, b, CAST(round(least(1.0, 0.2 + CASE WHEN doc_a <> doc_b THEN 0.3 ELSE 0 END + CASE WHEN agent_a <> agent_b THEN 0.3 ELSE 0 END
-        + CASE WHEN abs(hours_a - hours_b) > 24 THEN 0.2 ELSE 0 END + CASE WHEN tier_a <> tier_b THEN 0.2 ELSE 0 END), 6) AS DOUBLE) AS independence FROM pairs""",
-    ),
-    "j22_source_tier": (
-        lambda t: J.source_tier(t.pages.select("page_id", "url"), _source_rules(t)),
-        """, m AS (SELECT page_id, CASE WHEN url GLOB 'http*://m.*' THEN 'community' WHEN url GLOB 'https://*.example.org/*' THEN 'authoritative' WHEN url GLOB '*example.com/en/*' THEN 'validated' END AS tier FROM pages)
-        SELECT page_id, coalesce(tier, 'unknown') AS tier, CASE WHEN tier IS NULL THEN 'none' ELSE 'rule' END AS decided_by FROM m""",
-    ),
-    "j23_stale_commitments": (
-        lambda t: J.stale_commitments(t.versions.where("node_id % 4 = 0"), t.orders.select(F.col("o_custkey").alias("chain_id"), F.col("o_orderdate").alias("seen"))),
-        "SELECT v.node_id, count(*) AS n_newer FROM versions v JOIN orders o ON o.o_custkey = v.chain_id AND o.o_orderdate > v.valid_from WHERE v.node_id % 4 = 0 GROUP BY 1",
-    ),
-    "j26_session_pairs": (
-        lambda t: J.session_pairs(t.conversations),
-        "SELECT * FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations) WHERE next_turn IS NOT NULL",
-    ),
     "j27_shared_participation": (
         lambda t: J.shared_participation(t.edges, -1),
         "SELECT dst, count(DISTINCT src) AS n FROM edges WHERE src IN (SELECT src FROM edges WHERE dst = -1) AND dst <> -1 GROUP BY dst HAVING count(DISTINCT src) >= 2",
     ),
-    "j28_orphans": (
-        lambda t: J.orphans(t.documents.select("doc_id"), t.labels.select("doc_id"), "doc_id"),
-        "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    ),
-    "j30_premises_exist": (
-        lambda t: J.premises_exist(t.nodes.select(F.col("node_id").alias("holder"), (F.col("node_id") * 2).alias("ref")), t.nodes),
-        """SELECT h.node_id AS holder, h.node_id * 2 AS ref, CASE WHEN n.node_id IS NULL THEN 'missing' WHEN n.state = 'TOMBSTONED' THEN 'tombstoned' END AS violation
-        FROM nodes h LEFT JOIN nodes n ON n.node_id = h.node_id * 2""",
-    ),
     "j31_evidence_accessible": (
         lambda t: J.evidence_accessible(
             t.claims.select(F.col("subject").alias("chain"), F.col("silo_id").alias("session"), "evidence").distinct(), t.claims.where("evidence % 10 <> 0").select(F.col("silo_id").alias("session"), "evidence").distinct()
         ),
         "SELECT subject AS chain FROM claims GROUP BY subject HAVING bool_and(evidence % 10 <> 0)",
     ),
-    "j34_link_validate": (
-        lambda t: J.link_validate(
-            t.orders.select((F.col("o_custkey") % 120).alias("src"), (-(F.col("o_orderkey") % 2500)).alias("dst"), F.lit("SUPPORTS").alias("edge_type")).distinct(),
-            t.edges.select(F.col("src").alias("id")).union(t.edges.select(F.col("dst").alias("id"))), t.edges,
-        ),
-        """, n AS (SELECT DISTINCT o_custkey % 120 AS src, -(o_orderkey % 2500) AS dst FROM orders), i AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
-        SELECT src, dst, 'SUPPORTS' AS edge_type, CASE WHEN src = dst THEN 'self_loop' WHEN src NOT IN (SELECT id FROM i) OR dst NOT IN (SELECT id FROM i) THEN 'missing_node'
-        WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = n.src AND e.dst = n.dst AND e.edge_type = 'SUPPORTS') THEN 'duplicate' END AS code FROM n""",
-    ),
     "j35_resolve_alias": (
         lambda t: J.resolve_alias(t.documents.select("doc_id", F.concat(F.lit(" "), F.upper("lang")).alias("surface")), t.documents.groupBy(F.col("lang").alias("alias")).agg(F.min("doc_id").alias("entity_id"))).select("doc_id", "entity_id"),
         "SELECT doc_id, min(doc_id) OVER (PARTITION BY lang) AS entity_id FROM documents",
     ),
-    "j36_entity_dedup": (
-        lambda t: J.entity_dedup(t.part.select(F.col("p_partkey").alias("mention_id"), F.upper("p_brand").alias("name")), t.part.where("p_size < 25").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("name"))),
-        """, k AS (SELECT lower(p_brand) AS key, min(p_partkey) AS e FROM part WHERE p_size < 25 GROUP BY 1)
-        SELECT p_partkey AS mention_id, coalesce(CAST(e AS VARCHAR), sha256(lower(p_brand))) AS entity FROM part LEFT JOIN k ON key = lower(p_brand)""",
-    ),
-    "j38_belief_coverage": (
-        lambda t: J.belief_coverage(t.nodes, t.benchmark.select(F.substring("text", 1, 12).alias("subject")).distinct()),
-        """, q AS (SELECT DISTINCT substr(text, 1, 12) AS subject FROM benchmark)
-        SELECT subject, (SELECT count(*) FROM nodes WHERE contains(lower(content), lower(subject))) AS n_nodes FROM q""",
-    ),
-    "j39_validate_citations": (
-        lambda t: J.validate_citations(
-            t.claims.select(F.col("subject").alias("finding"), F.col("evidence").alias("node_id")).distinct(), t.claims.where("evidence % 7 <> 0").select(F.col("subject").alias("finding"), F.col("evidence").alias("node_id")),
-            t.orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("node_id")),
-        ),
-        """, c AS (SELECT DISTINCT subject AS finding, evidence FROM claims),
-        r AS (SELECT finding, CASE WHEN evidence % 7 = 0 THEN 1 WHEN evidence NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) THEN 2 END AS k FROM c)
-        SELECT finding, CASE min(k) WHEN 1 THEN 'hallucinated' WHEN 2 THEN 'invalid' END AS fault, count(k) AS n_faults FROM r GROUP BY finding""",
-    ),
     # aggregates
     "a1_noisy_or": (
         lambda t: t.claims.groupBy("silo_id", "subject").agg(F.round(A.noisy_or("confidence") + 1e-9, 4).alias("joint")),
