@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
-from tessera.operators.graph import neighborhood
-from tessera.operators.similarity import nearest
+from tessera.operators.graph import invalidate_derived, neighborhood
+from tessera.operators.similarity import dtw_of, nearest
 from tessera.scratch import materialize
 
 
@@ -61,12 +61,18 @@ def dedup_or_corroborate(new: DataFrame, existing: DataFrame, least: float = 0.9
 
 
 def reconcile(orphans: DataFrame, steps: DataFrame, most_retries: int = 3) -> DataFrame:
-    """Orphaned chains past their retries: rebuilt from their steps where any are left, else archived."""
-    s = steps.groupBy("chain_id").agg(F.count("*").alias("n_steps"), F.min("place").alias("first"), F.max("place").alias("last"), F.avg("confidence").alias("mean"))
+    """Orphaned chains past their retries: rebuilt from their steps (number, first, last, all premises, outcome) where any are left, else archived.
+
+    ``steps``: ``chain_id, place, confidence, premises array<bigint>``.
+    """
+    s = steps.groupBy("chain_id").agg(
+        F.count("*").alias("n_steps"), F.min("place").alias("first"), F.max("place").alias("last"), F.avg("confidence").alias("mean"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("premises")))).alias("premises")
+    )
     j = orphans.join(s, "chain_id", "left")
     outcome = F.when(F.round("mean", 9) >= 0.8, "success").when(F.round("mean", 9) >= 0.5, "partial").otherwise("failure")
     action = F.when(F.col("retries") <= most_retries, "retry").when(F.col("n_steps").isNull(), "archive").otherwise("rebuild")
-    return j.select("chain_id", action.alias("action"), F.when(action == "rebuild", F.col("n_steps")).alias("n_steps"), F.when(action == "rebuild", outcome).alias("outcome"))
+    kept = {c: F.when(action == "rebuild", F.col(c)) for c in ("n_steps", "first", "last", "premises")}
+    return j.select("chain_id", action.alias("action"), *[v.alias(c) for c, v in kept.items()], F.when(action == "rebuild", outcome).alias("outcome"))
 
 
 def beliefs_referencing(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -85,22 +91,36 @@ def pending_for_facts(beliefs: DataFrame, facts: DataFrame, now: Column) -> Data
     return beliefs.where(F.col("expires_at") > now).join(facts.select("fact_id").distinct(), "fact_id", "left_semi").select("belief_id").distinct()
 
 
-def chain_consensus(similar: DataFrame, chains: DataFrame, least_chains: int = 3, least_agents: int = 2) -> DataFrame:
-    """Per chain the chains like it and their agents; enough of both make a fact, confidence min(.95, .6 + .05 chains + .1 agents)."""
-    c = chains.select("node_id", "agent_id")
+def chain_consensus(similar: DataFrame, chains: DataFrame, facts: DataFrame, like_facts: DataFrame, least_chains: int = 3, least_agents: int = 2, least_steps: float = 0.5) -> DataFrame:
+    """Per chain the chains whose conclusion (``similar``) and steps (DTW) are like its own, and their agents; enough of both make a fact, or extend the fact nearest it.
+
+    ``chains``: ``node_id, agent_id, steps array<array<double>>``; ``like_facts``: ``query_id, node_id`` of similar facts;
+    ``facts``: ``node_id`` of facts that exist. Confidence min(.95, .6 + .05 chains + .1 agents).
+    """
+    c = chains.select("node_id", "agent_id", "steps")
     own = c.select(F.col("node_id").alias("query_id"), "node_id", "agent_id")
-    near = similar.select("query_id", "node_id").join(c, "node_id").select("query_id", "node_id", "agent_id")
+    pairs = similar.select("query_id", "node_id").join(c, "node_id").join(c.select(F.col("node_id").alias("query_id"), F.col("steps").alias("own_steps")), "query_id")
+    near = pairs.where(dtw_of("own_steps", "steps") > least_steps).select("query_id", "node_id", "agent_id")
     g = own.unionByName(near).groupBy("query_id").agg(F.count_distinct("node_id").alias("n_chains"), F.count_distinct("agent_id").alias("n_agents"))
     g = g.where((F.col("n_chains") >= least_chains) & (F.col("n_agents") >= least_agents))
-    return g.withColumn("confidence", F.least(F.lit(0.95), 0.6 + 0.05 * F.col("n_chains") + 0.1 * F.col("n_agents")))
+    known = like_facts.join(facts.select("node_id").distinct(), "node_id", "left_semi").groupBy("query_id").agg(F.min("node_id").alias("extends"))
+    return g.join(known, "query_id", "left").withColumn("confidence", F.least(F.lit(0.95), 0.6 + 0.05 * F.col("n_chains") + 0.1 * F.col("n_agents")))
 
 
-def chain_usefulness(delivered: DataFrame, steps: DataFrame, least_steps: int = 3) -> DataFrame:
-    """Deliveries with the steps that followed in their session within 5 minutes to an hour, useful where enough did."""
-    gap = F.timestamp_diff("SECOND", F.col("ts"), F.col("step_ts"))
-    j = delivered.join(steps, "session").where((gap >= 300) & (gap <= 3600))
-    n = j.groupBy("delivery").agg(F.count("*").alias("n_steps"))
-    return delivered.select("delivery").join(n, "delivery", "left").select("delivery", F.when(F.coalesce("n_steps", F.lit(0)) >= least_steps, "judged").otherwise("unclear").alias("verdict"))
+def chain_usefulness(delivered: DataFrame, steps: DataFrame, started: DataFrame, least_steps: int = 3, useful: float = 0.7) -> DataFrame:
+    """What became of delivered chains: useful where the steps that followed within 5 minutes to an hour warp onto its own, not_useful where another chain was begun instead, else unclear.
+
+    ``delivered``: ``delivery, session, ts, chain_steps``; ``steps``: ``session, step_ts, vector``; ``started``: ``session, begun``. Fewer
+    than ``least_steps`` later steps tell nothing.
+    """
+    gap = lambda c: F.timestamp_diff("SECOND", F.col("ts"), F.col(c))
+    later = delivered.join(steps, "session").where(gap("step_ts").between(300, 3600))
+    seen = later.groupBy("delivery").agg(F.sort_array(F.collect_list(F.struct("step_ts", "vector"))).alias("s")).where(F.size("s") >= least_steps)
+    seen = seen.join(delivered.select("delivery", "chain_steps"), "delivery").select("delivery", dtw_of("chain_steps", F.transform("s", lambda x: x["vector"])).alias("similarity"))
+    fresh = delivered.join(started, "session").where(gap("begun").between(300, 3600)).select("delivery", F.lit(True).alias("fresh")).distinct()
+    j = delivered.select("delivery").join(seen, "delivery", "left").join(fresh, "delivery", "left")
+    verdict = F.when(F.col("similarity") > useful, "useful").when(F.col("similarity").isNotNull() & F.col("fresh"), "not_useful").otherwise("unclear")
+    return j.select("delivery", verdict.alias("verdict"))
 
 
 def cold_chains(chains: DataFrame, cutoff_hours: int, k: int) -> DataFrame:
@@ -112,10 +132,18 @@ def findings_by_quality(findings: DataFrame, k: int) -> DataFrame:
     return findings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def chain_match(queries: DataFrame, chains: DataFrame, k: int = 5, cold: float = 0.95, warm: float = 0.88) -> DataFrame:
-    """The chains nearest each query and whether they match cold, warm or not."""
-    n = nearest(queries, chains, k, -1.0)
-    return n.select("query_id", "node_id", "score", F.when(F.col("score") >= cold, "cold").when(F.col("score") >= warm, "warm").otherwise("none").alias("match"))
+def chain_match(queries: DataFrame, chains: DataFrame, accessible: DataFrame, k: int = 5, cold: float = 0.95, warm: float = 0.88, least_steps: float = 0.85) -> DataFrame:
+    """The k chains nearest each query, whether each matches cold, warm (its steps warp onto the session's too) or not, and which is taken: the first match whose evidence may be seen.
+
+    Both: ``node_id, embedding, steps``; ``accessible``: ``node_id`` of chains that the session may see (J31).
+    """
+    n = nearest(queries.select("node_id", "embedding"), chains.select("node_id", "embedding"), k, -1.0)
+    n = n.join(queries.select(F.col("node_id").alias("query_id"), F.col("steps").alias("own_steps")), "query_id").join(chains.select("node_id", "steps"), "node_id")
+    match = F.when(F.col("score") >= cold, "cold").when((F.col("score") >= warm) & (F.round(dtw_of("own_steps", "steps"), 9) >= least_steps), "warm").otherwise("none")
+    j = n.withColumn("match", match).join(accessible.select("node_id", F.lit(True).alias("seen")).distinct(), "node_id", "left")
+    fits = (F.col("match") != "none") & F.coalesce("seen", F.lit(False))
+    first = F.min(F.when(fits, F.col("rank"))).over(Window.partitionBy("query_id"))
+    return j.select("query_id", "node_id", "score", "match", F.coalesce(F.col("rank") == first, F.lit(False)).alias("taken"))
 
 
 def belief_hints(groups: DataFrame, hits: DataFrame) -> DataFrame:
@@ -135,8 +163,14 @@ def erasure_impact(edges: DataFrame, ids: DataFrame, depth: int = 5) -> DataFram
     return neighborhood(back, ids, depth, directed=True).where("hops > 0")
 
 
-def tombstone_edges(edges: DataFrame, kind: str, below: float) -> DataFrame:
-    return edges.where((F.col("edge_type") == kind) & (F.round("weight", 9) < below)).select("src", "dst", "edge_type")
+def tombstone_edges(edges: DataFrame, lineage: DataFrame, kind: str, below: float, before: Column) -> DataFrame:
+    """Edges of a type, weak and old, and (G15) those that rest on them: ``edge_id``, and whether by the rule or as derived.
+
+    ``edges``: ``edge_id, edge_type, weight, created_at``; ``lineage``: ``edge_id, from_id``.
+    """
+    hit = materialize(edges.where((F.col("edge_type") == kind) & (F.round("weight", 9) < below) & (F.col("created_at") < before)).select(F.col("edge_id").alias("id")), "weak-edges")
+    derived = invalidate_derived(lineage, hit)
+    return hit.select(F.col("id").alias("edge_id"), F.lit("rule").alias("why")).unionByName(derived.select(F.col("id").alias("edge_id"), F.lit("derived").alias("why")))
 
 
 def propagate_local(prior: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 2, least: float = 0.1, rounds: int = 20) -> DataFrame:
@@ -188,21 +222,29 @@ def spo_backfill(claims: DataFrame) -> DataFrame:
     return claims.where("subject is null or predicate is null or object is null")
 
 
-def stuck_stream(events: DataFrame, seconds: int = 300, n: int = 3):
-    """Users whose last ``n`` events on a stream came within ``seconds`` and were all of one kind: keyed state of the last few."""
+def stuck_stream(events: DataFrame, seconds: int = 300, n: int = 3, alike: float = 0.7):
+    """Users whose last ``n`` queries on a stream came within ``seconds``, with no write, all like the last by text ratio: keyed state of the last few.
+
+    ``events``: ``user_id, event_id, ts, text, is_write``.
+    """
+    import json
+    from difflib import SequenceMatcher
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    def like(a: str, b: str) -> bool:
+        return SequenceMatcher(None, a.lower(), b.lower()).ratio() >= alike
+
     def step(key, frames, state: GroupState):
-        last = list(state.get[0]) if state.exists else []
+        last = [json.loads(x) for x in state.get[0]] if state.exists else []
         hits = []
-        for f in frames:
-            for e, at, kind in sorted(zip(f["event_id"], f["ts"].astype("int64") // 1000, f["event_type"], strict=True), key=lambda r: (r[1], r[0])):
-                last = [*last, f"{at}|{kind}"][-n:]
-                times, kinds = [int(x.split("|")[0]) for x in last], {x.split("|")[1] for x in last}
-                if len(last) == n and len(kinds) == 1 and times[-1] - times[0] <= seconds * 1_000_000:
-                    hits.append(e)
-        state.update((last,))
+        rows = [r for f in frames for r in zip(f["ts"].astype("int64") // 1000, f["event_id"], f["text"], f["is_write"], strict=True)]
+        for at, e, text, wrote in sorted(rows):
+            last = [*last, (int(at), text or "", bool(wrote))][-n:]
+            if len(last) == n and last[-1][0] - last[0][0] <= seconds * 1_000_000 and not any(x[2] for x in last) and all(like(last[-1][1], x[1]) for x in last[:-1]):
+                hits.append(e)
+        state.update(([json.dumps(x) for x in last],))
         yield pd.DataFrame({"user_id": [key[0]] * len(hits), "event_id": hits})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "last array<string>", "append", GroupStateTimeout.NoTimeout)

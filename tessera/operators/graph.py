@@ -147,15 +147,23 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) ->
 
 
 def version_roots(versions: DataFrame) -> DataFrame:
-    """``node_id, root, place``: each version's chain by pointer jumping, which doubles its reach each round."""
-    at = materialize(versions.select("node_id", F.coalesce("supersedes_id", "node_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).alias("place")), "roots")
-    while True:
+    """``node_id, root, place``: each version's chain by pointer jumping, which doubles its reach each round.
+
+    A version whose predecessor isn't in the table begins its chain. Versions that supersede each other
+    in a circle are an error, found after as many rounds as the longest chain could need.
+    """
+    own = versions.select("node_id", "supersedes_id")
+    there = own.select(F.col("node_id").alias("supersedes_id"), F.lit(True).alias("there")).distinct()
+    j = own.join(there, "supersedes_id", "left")
+    at = materialize(j.select("node_id", F.when(F.col("there"), F.col("supersedes_id")).otherwise(F.col("node_id")).alias("up"), F.when(F.col("there"), 1).otherwise(0).alias("place")), "roots")
+    for _ in range(at.count().bit_length() + 1):
         up = at.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("place").alias("place2"))
         new = at.join(up, "up").select("node_id", F.col("up2").alias("up"), (F.col("place") + F.col("place2")).alias("place"), (F.col("up2") != F.col("up")).alias("moved"))
         new = materialize(new, "roots")
         if new.where("moved").isEmpty():
             return new.select("node_id", F.col("up").alias("root"), "place")
         at = new.drop("moved")
+    raise ValueError(f"versions supersede each other in a circle: {new.where('moved').first()['node_id']} is on or behind it")
 
 
 def resolve_head(versions: DataFrame, ids: DataFrame, at) -> DataFrame:
@@ -189,11 +197,13 @@ def would_cycle(edges: DataFrame, new: DataFrame, hops: int = 10) -> DataFrame:
     return n.join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("cycle", F.lit(False)).alias("cycle"))
 
 
-def provenance(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFrame:
-    """What the ids derive from, with hops, and whether it is a root (derives from nothing)."""
-    reached = neighborhood(edges, ids, depth, directed=True)
-    inner = edges.select(F.col("src").alias("id")).distinct().withColumn("inner", F.lit(True))
-    return reached.join(inner, "id", "left").select("id", "hops", F.col("inner").isNull().alias("is_root"))
+def provenance(edges: DataFrame, ids: DataFrame, depth: int = 10, up: bool = True, kinds: list[str] | None = None) -> DataFrame:
+    """What the ids derive from (``up``) or what derives from them, with hops, and whether it is an end: a root derives from nothing, from a leaf nothing derives."""
+    e = edges if kinds is None else edges.where(F.col("edge_type").isin(*kinds))
+    e = e.select("src", "dst") if up else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reached = neighborhood(e, ids, depth, directed=True)
+    inner = e.select(F.col("src").alias("id")).distinct().withColumn("inner", F.lit(True))
+    return reached.join(inner, "id", "left").select("id", "hops", F.col("inner").isNull().alias("is_end"))
 
 
 def stale_interior(versions: DataFrame, most: int = 5) -> DataFrame:
@@ -204,16 +214,19 @@ def stale_interior(versions: DataFrame, most: int = 5) -> DataFrame:
 
 
 def causal_closure(edges: DataFrame, depth: int = 3, least: float = 0.5) -> DataFrame:
-    """Inferred pairs along causal paths of 2 to ``depth`` edges: the best product of weights, known pairs and loops left out."""
-    c = materialize(edges.where("edge_type = 'CAUSES'").groupBy("src", "dst").agg(F.max("weight").alias("w")), "causes")
-    paths, every = c.select("src", "dst", "w"), None
+    """Inferred pairs along causal paths of 2 to ``depth`` edges: the best product of weights with the ids of its edges in order; known pairs and loops are left out.
+
+    ``edges``: ``edge_id, src, dst, edge_type, weight``. Of equal products the smallest list of ids stands.
+    """
+    best = lambda df: df.groupBy("src", "dst").agg(F.min_by(F.struct("w", "lineage"), F.struct(-F.col("w"), "lineage")).alias("b")).select("src", "dst", "b.w", "b.lineage")
+    c = materialize(best(edges.where("edge_type = 'CAUSES'").select("src", "dst", F.col("weight").alias("w"), F.array("edge_id").alias("lineage"))), "causes")
+    paths, every = c, None
     for _ in range(depth - 1):
-        step = paths.select("src", F.col("dst").alias("mid"), F.col("w").alias("w1")).join(c.select(F.col("src").alias("mid"), "dst", "w"), "mid")
-        step = step.select("src", "dst", (F.col("w1") * F.col("w")).alias("w")).where((F.col("src") != F.col("dst")) & (F.round("w", 9) >= least))
-        paths = materialize(step.groupBy("src", "dst").agg(F.max("w").alias("w")), "causal-paths")
+        step = paths.select("src", F.col("dst").alias("mid"), F.col("w").alias("w1"), F.col("lineage").alias("before")).join(c.select(F.col("src").alias("mid"), "dst", "w", "lineage"), "mid")
+        step = step.select("src", "dst", F.round(F.col("w1") * F.col("w"), 9).alias("w"), F.concat("before", "lineage").alias("lineage")).where((F.col("src") != F.col("dst")) & (F.col("w") >= least))
+        paths = materialize(best(step), "causal-paths")
         every = paths if every is None else every.union(paths)
-    best = every.groupBy("src", "dst").agg(F.max("w").alias("w"))
-    return best.join(c.select("src", "dst"), ["src", "dst"], "left_anti")
+    return best(every).join(c.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 def invalidate_derived(lineage: DataFrame, dead: DataFrame, depth: int = 3) -> DataFrame:
@@ -247,7 +260,52 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def co_occurrence(edges: DataFrame, least: int = 2) -> DataFrame:
-    """Causal chains of two edges as patterns of source types, with a stable id and frequency."""
-    c = edges.where("edge_type = 'CAUSES'").groupBy("src").agg(F.count("*").alias("n"))
-    return c.where(F.col("n") >= least).select(exprs.content_id("src").alias("pattern"), F.col("src"), F.col("n").alias("frequency"))
+def co_occurrence(facts: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs of kinds of facts that stand on the same evidence, on how much of it, and a stable id: ``evidence, kind``."""
+    k = facts.select("evidence", "kind").distinct()
+    pairs = k.select("evidence", F.col("kind").alias("a")).join(k.select("evidence", F.col("kind").alias("b")), "evidence").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least).select(exprs.content_id("a", "b").alias("pattern_id"), "a", "b", "frequency")
+
+
+def chain_terminals(versions: DataFrame) -> DataFrame:
+    """Chains whose every version is superseded, with the head that should live; and those that cross groups, with the first version of another group.
+
+    ``versions``: ``node_id, supersedes_id, state, group``.
+    """
+    r = version_roots(versions).join(versions.select("node_id", "state", "group"), "node_id")
+    first = r.groupBy("root").agg(F.min_by("group", "place").alias("first_group"), F.max_by("node_id", "place").alias("head"), F.bool_and(F.col("state") == "SUPERSEDED").alias("all_superseded"))
+    j = r.join(first, "root").groupBy("root").agg(
+        F.first("head").alias("head"), F.bool_and("all_superseded").alias("all_superseded"), F.min_by("node_id", F.when(F.col("group") != F.col("first_group"), F.col("place"))).alias("gap_at"),
+        F.count_if(F.col("group") != F.col("first_group")).alias("n_other"),
+    )
+    return j.where("all_superseded or n_other > 0").select("root", "head", "all_superseded", F.when(F.col("n_other") > 0, F.col("gap_at")).alias("gap_at"))
+
+
+def stub_stale(versions: DataFrame, most: int = 5, budget: int | None = None) -> DataFrame:
+    """The versions with the content of those far behind their chain's head nulled; their edges stay. ``budget``: of each chain the oldest so many at most.
+
+    ``versions``: ``node_id, supersedes_id, content``.
+    """
+    old = stale_interior(versions, most)
+    if budget is not None:
+        old = old.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("behind"), "node_id"))).where(F.col("k") <= budget)
+    j = versions.join(old.select("node_id", F.lit(True).alias("stub")), "node_id", "left")
+    return j.withColumns({"content": F.when(F.col("stub"), None).otherwise(F.col("content")), "stub": F.coalesce("stub", F.lit(False))})
+
+
+def causal_chains(edges: DataFrame, kinds: DataFrame, shortest: int = 2, longest: int = 6, least: int = 2) -> DataFrame:
+    """Patterns of causal chains: the kinds of nodes along walks of ``shortest`` to ``longest`` edges, how often each occurs, and a stable id.
+
+    ``kinds``: ``id, kind``. Walks are counted by where they end and their pattern, never listed.
+    """
+    e = edges.where("edge_type = 'CAUSES'").select("src", "dst").distinct()
+    e = materialize(e.join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("to")), "dst").select("src", "dst", "to"), "causal-edges")
+    at = e.join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("from")), "src").groupBy("dst", F.concat_ws(">", "from", "to").alias("pattern")).agg(F.count("*").alias("n"))
+    out = None
+    for length in range(1, longest + 1):
+        at = materialize(at, "causal-walks")
+        if length >= shortest:
+            found = at.groupBy("pattern").agg(F.sum("n").alias("frequency")).withColumn("length", F.lit(length))
+            out = found if out is None else out.unionByName(found)
+        at = at.select(F.col("dst").alias("src"), "pattern", "n").join(e, "src").groupBy("dst", F.concat_ws(">", "pattern", "to").alias("pattern")).agg(F.sum("n").alias("n"))
+    return out.where(F.col("frequency") >= least).select(exprs.content_id("pattern").alias("pattern_id"), "pattern", "length", "frequency")

@@ -62,17 +62,36 @@ def lookup_by_uri(pages: DataFrame, uris: DataFrame) -> DataFrame:
     return semi(pages.where("url is not null"), uris, "url")
 
 
-def silo_export(df: DataFrame, path: str) -> None:
-    """One folder a tenant."""
-    df.write.mode("overwrite").partitionBy("silo_id").parquet(path)
-
-
-def silo_import(spark, path: str, silo: str | None = None) -> DataFrame:
-    """What was exported, or one tenant of it: only its folder is read."""
-    df = spark.read.parquet(path)
-    return df if silo is None else df.where(F.col("silo_id") == silo)
-
-
-def graph_export(edges: DataFrame) -> DataFrame:
-    """One row a source with its participants in order, as a hyperedge export has them."""
-    return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("members")).select("src", F.size("members").cast("long").alias("n"), F.array_join(F.slice("members", 1, 5), ",").alias("head"))
+def silo_export(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder a table, in it one a tenant, and how many rows each tenant has of each table."""
+    counts = None
+    for name, df in tables.items():
+        df.write.mode("overwrite").partitionBy("silo_id").parquet(f"{path}/{name}")
+        n = df.groupBy("silo_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "silo_id", "n")
+        counts = n if counts is None else counts.unionByName(n)
+    counts.write.mode("overwrite").parquet(f"{path}/row_counts")
+
+
+def silo_import(spark, path: str, silo: str | None = None) -> dict[str, DataFrame]:
+    """What was exported, or one tenant of it (only its folders are read); an error where rows are missing."""
+    wanted = spark.read.parquet(f"{path}/row_counts")
+    names = [r["name"] for r in wanted.select("name").distinct().collect()]
+    out = {}
+    for name in names:
+        df = spark.read.parquet(f"{path}/{name}")
+        want = wanted.where(F.col("name") == name)
+        if silo is not None:
+            df, want = df.where(F.col("silo_id") == silo), want.where(F.col("silo_id") == silo)
+        n, m = df.count(), want.agg(F.sum("n")).first()[0] or 0
+        if n != m:
+            raise ValueError(f"{name}: {n} rows of {m} came back")
+        out[name] = df
+    return out
+
+
+def graph_export(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row a source with its name and its participants in order of role, as ``member:role``, all of them."""
+    member = F.struct(F.col("edge_type").alias("role"), F.col("dst").alias("member"))
+    g = edges.groupBy("src").agg(F.array_sort(F.collect_set(member)).alias("m"))
+    named = g.select("src", F.size("m").cast("long").alias("n"), F.transform("m", lambda x: F.concat_ws(":", x["member"].cast("string"), x["role"])).alias("members"))
+    return named.join(nodes.select(F.col("id").alias("src"), "name"), "src")

@@ -6,9 +6,12 @@ two matrices and keeps each query's k best, so no pair is ever a row and no side
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.scratch import materialize
@@ -109,42 +112,47 @@ def suggest_tags(vectors: DataFrame, tags: DataFrame, least: float = 0.4, k: int
     return nearest(vectors, tags, k, least).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("tag_id"), "score")
 
 
-def dtw_similarity(pairs: DataFrame) -> DataFrame:
-    """1 / (1 + dynamic time warping distance) of two sequences of vectors; 0 where one is empty.
+def dtw_of(a: Column | str, b: Column | str) -> Column:
+    """1 / (1 + dynamic time warping distance) of two sequences of vectors; 0 where one is null or empty. For candidate pairs only."""
 
-    ``pairs``: ``id, a array<array<double>>, b array<array<double>>``; candidate pairs only.
-    """
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_dtw(p, q) for p, q in zip(x, y, strict=True)])
 
-    def one(a, b) -> float:
-        if not a or not b:
-            return 0.0
-        x, y = np.array(a, float), np.array(b, float)
-        cost = ((x[:, None, :] - y[None, :, :]) ** 2).sum(-1)
-        acc = np.full((len(x) + 1, len(y) + 1), np.inf)
-        acc[0, 0] = 0
-        for i in range(len(x)):
-            for j in range(len(y)):
-                acc[i + 1, j + 1] = cost[i, j] + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
-        return float(1 / (1 + np.sqrt(acc[-1, -1])))
+    return run(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
-    def run(batches):
-        for batch in batches:
-            s = [one(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64())], names=["id", "similarity"])
 
-    return pairs.select("id", "a", "b").mapInArrow(run, "id long, similarity double")
+def _dtw(a, b) -> float:
+    if a is None or b is None or not len(a) or not len(b):
+        return 0.0
+    x, y = np.array([np.asarray(v, float) for v in a]), np.array([np.asarray(v, float) for v in b])
+    cost = ((x[:, None, :] - y[None, :, :]) ** 2).sum(-1)
+    acc = np.full((len(x) + 1, len(y) + 1), np.inf)
+    acc[0, 0] = 0
+    for i in range(len(x)):
+        for j in range(len(y)):
+            acc[i + 1, j + 1] = cost[i, j] + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
+    return float(1 / (1 + np.sqrt(acc[-1, -1])))
 
 
-def text_ratio(pairs: DataFrame) -> DataFrame:
-    """Ratcliff/Obershelp ratio of lower-cased texts, for candidate pairs ``id, a, b``."""
-    from difflib import SequenceMatcher
+def ratio_of(a: Column | str, b: Column | str) -> Column:
+    """Ratcliff/Obershelp ratio of two texts in lower case, null counting as empty; twice the matched characters over all. For candidate pairs only."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, (p or "").lower(), (q or "").lower()).ratio() for p, q in zip(x, y, strict=True)])
 
-    def run(batches):
-        for batch in batches:
-            s = [SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio() for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64())], names=["id", "ratio"])
+    return run(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
-    return pairs.select("id", "a", "b").mapInArrow(run, "id long, ratio double")
+
+def dtw_similarity(pairs: DataFrame) -> DataFrame:
+    """``id, similarity`` of candidate pairs ``id, a, b`` of sequences of vectors; see ``dtw_of``."""
+    return pairs.select("id", dtw_of("a", "b").alias("similarity"))
+
+
+def text_ratio(pairs: DataFrame) -> DataFrame:
+    """``id, ratio`` of candidate pairs ``id, a, b`` of texts; see ``ratio_of``."""
+    return pairs.select("id", ratio_of("a", "b").alias("ratio"))
 
 
 def cross_agent_conflicts(vectors: DataFrame, facts: DataFrame, k: int = 10, least: float = 0.7, alike: float = 0.85) -> DataFrame:

@@ -73,7 +73,6 @@ CASES = {
         w AS (SELECT claim_id, fresh, object, lag(object) OVER z AS po, lag(claim_id) OVER z AS pc FROM x WINDOW z AS (PARTITION BY silo_id, subject, predicate ORDER BY fresh, created_at, claim_id))
         SELECT claim_id, 'created' AS status, CASE WHEN po <> object THEN pc END AS supersedes FROM w WHERE fresh UNION ALL SELECT claim_id, 'skipped', NULL FROM b WHERE known""",
     ),
-    "s6_silo_export_import": (_round_trip, "SELECT node_id, layer FROM nodes WHERE silo_id = 'src1'"),
     "s9_access_source": (
         lambda t: _streamed(t, lambda s: s.select("user_id", "event_type"), "accesses", "user_id long, event_type string").groupBy("user_id").agg(F.count("*").alias("n")),
         "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
@@ -82,11 +81,6 @@ CASES = {
         _gauges,
         "SELECT CAST(h AS INT) AS hour, silo_id, count(*) AS n_nodes, CAST(sum(octet_length(encode(content))) AS BIGINT) AS content_bytes FROM nodes, (SELECT unnest([0, 1]) AS h) GROUP BY 1, 2",
     ),
-    "st8_stuck_stream": (
-        lambda t: _streamed(t, lambda s: C.stuck_stream(s.select("user_id", "event_id", "ts", "event_type"), 24 * 3600), "stuck", "user_id long, event_id long"),
-        """, d AS (SELECT user_id, event_id, ts, event_type, lag(ts, 2) OVER w AS t2, lag(event_type) OVER w AS k1, lag(event_type, 2) OVER w AS k2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT user_id, event_id FROM d WHERE ts <= t2 + INTERVAL 1 DAY AND event_type = k1 AND event_type = k2""",
-    ),
     "j24_support_candidates": (
         lambda t: C.support_candidates(t.vectors, F.col("node_id") % 7 == 0, 5, 0.3),
         f", {knn('a.node_id % 7 = 0', 5, 0.3)} SELECT query_id, node_id, score FROM near",
@@ -96,11 +90,6 @@ CASES = {
         f""", {knn('a.node_id % 4 = 0 AND b.node_id % 4 <> 0', 1, 0.45)} SELECT v.node_id, n.node_id AS target, CASE WHEN n.node_id IS NULL THEN 'claim' ELSE 'CORROBORATES' END AS outcome
         FROM vectors v LEFT JOIN near n ON n.query_id = v.node_id WHERE v.node_id % 4 = 0""",
     ),
-    "j29_reconcile": (
-        lambda t: C.reconcile(t.customer.select(F.col("c_custkey").alias("chain_id"), (F.col("c_custkey") % 6).alias("retries")), _steps(t)),
-        """, s AS (SELECT chain_id, count(*) AS n, round(avg(confidence * 2), 9) AS m FROM versions GROUP BY 1), a AS (SELECT c_custkey AS chain_id, CASE WHEN c_custkey % 6 <= 3 THEN 'retry' WHEN n IS NULL THEN 'archive' ELSE 'rebuild' END AS action, n, m FROM customer LEFT JOIN s ON chain_id = c_custkey)
-        SELECT chain_id, action, CASE WHEN action = 'rebuild' THEN n END AS n_steps, CASE WHEN action = 'rebuild' THEN CASE WHEN m >= 0.8 THEN 'success' WHEN m >= 0.5 THEN 'partial' ELSE 'failure' END END AS outcome FROM a""",
-    ),
     "j32_beliefs_referencing": (
         lambda t: C.beliefs_referencing(t.edges, t.part.where("p_size < 5").select((-F.col("p_partkey")).alias("id"))),
         "SELECT src, count(DISTINCT dst) AS n FROM edges WHERE dst IN (SELECT -p_partkey FROM part WHERE p_size < 5) GROUP BY 1",
@@ -113,28 +102,6 @@ CASES = {
         lambda t: C.pending_for_facts(t.orders.select(F.col("o_custkey").alias("belief_id"), F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("expires_at")), t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("fact_id")), ts("2000-01-01")),
         "SELECT DISTINCT o_custkey AS belief_id FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01' AND o_orderkey % 3 = 0",
     ),
-    "a5_chain_consensus": (
-        lambda t: r6(C.chain_consensus(nearest(t.vectors, t.vectors, 8, 0.35), t.vectors), "confidence"),
-        f""", {knn('true', 8, 0.35)}, e AS (SELECT node_id AS q, node_id AS n FROM vectors UNION ALL SELECT query_id, node_id FROM near),
-        g AS (SELECT q AS query_id, count(DISTINCT n) AS n_chains, count(DISTINCT agent_id) AS n_agents FROM e JOIN vectors v ON v.node_id = n GROUP BY 1)
-        SELECT *, CAST(round(least(0.95, 0.6 + 0.05 * n_chains + 0.1 * n_agents), 6) AS DOUBLE) AS confidence FROM g WHERE n_chains >= 3 AND n_agents >= 2""",
-    ),
-    "a11_merge_beliefs": (
-        lambda t: r6(A.merge_beliefs_numeric(t.versions.groupBy("chain_id").agg(F.collect_set("node_id").alias("f"), F.avg("confidence").alias("c")).alias("x").join(t.versions.groupBy("chain_id").agg(F.collect_set("node_id").alias("f"), F.avg("confidence").alias("c")).alias("y"), F.col("x.chain_id") + 1 == F.col("y.chain_id")).select(
-            F.col("x.chain_id").alias("a"), F.col("y.chain_id").alias("b"), F.col("x.c").alias("confidence_a"), F.col("y.c").alias("confidence_b"), F.col("x.f").alias("facts_a"), F.col("y.f").alias("facts_b"))), "confidence"),
-        """, g AS (SELECT chain_id, count(*) AS n, avg(confidence) AS c FROM versions GROUP BY 1)
-        SELECT x.chain_id AS a, y.chain_id AS b, round((x.c * x.n + y.c * y.n) / (x.n + y.n), 6) AS confidence, x.n + y.n AS n_facts, sha256(concat_ws('|', 'merge', CAST(x.chain_id AS VARCHAR), CAST(y.chain_id AS VARCHAR))) AS id
-        FROM g x JOIN g y ON x.chain_id + 1 = y.chain_id""",
-    ),
-    "a26_community_stability": (
-        lambda t: r6(A.community_stability(_label_runs(t)), "stability"),
-        "SELECT round(avg(CASE WHEN node_id % 9 = 0 AND label <> -1 THEN 0.0 ELSE 1.0 END), 6) AS stability, count(*) AS n_nodes FROM vectors",
-    ),
-    "a27_chain_usefulness": (
-        lambda t: C.chain_usefulness(t.events.where("event_type = 'view'").select(F.col("event_id").alias("delivery"), F.col("user_id").alias("session"), F.date_trunc("second", "ts").alias("ts")), t.events.select(F.col("user_id").alias("session"), F.date_trunc("second", "ts").alias("step_ts")), 2),
-        """, e AS (SELECT event_id, user_id, event_type, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events), n AS (SELECT d.event_id, count(*) AS n FROM e d JOIN e x ON x.user_id = d.user_id AND x.s - d.s BETWEEN 300 AND 3600 WHERE d.event_type = 'view' GROUP BY 1)
-        SELECT e.event_id AS delivery, CASE WHEN coalesce(n, 0) >= 2 THEN 'judged' ELSE 'unclear' END AS verdict FROM e LEFT JOIN n ON n.event_id = e.event_id WHERE event_type = 'view'""",
-    ),
     "a29_findings_by_quality": (
         lambda t: C.findings_by_quality(t.nodes.select("node_id", F.col("layer").alias("level"), F.col("confidence").alias("quality")), 7).select("level", "node_id", "place"),
         "SELECT level, node_id, CAST(place AS INT) AS place FROM (SELECT layer AS level, node_id, row_number() OVER (PARTITION BY layer ORDER BY confidence DESC, node_id) AS place FROM nodes) WHERE place <= 7",
@@ -148,15 +115,6 @@ CASES = {
         lambda t: W.oldest_first(t.nodes, F.col("state") == "SUPERSEDED", [F.desc("age_hours"), F.col("node_id")], 10).select("node_id", "age_hours"),
         "SELECT node_id, age_hours FROM nodes WHERE state = 'SUPERSEDED' ORDER BY age_hours DESC, node_id LIMIT 10",
     ),
-    "w10_stuck_sessions": (
-        lambda t: W.stuck_sessions(t.events, 24 * 60),
-        """, d AS (SELECT user_id, event_id, ts, event_type, lag(ts, 2) OVER w AS t2, lag(event_type) OVER w AS k1, lag(event_type, 2) OVER w AS k2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT user_id, event_id FROM d WHERE ts <= t2 + INTERVAL 1 DAY AND event_type = k1 AND event_type = k2""",
-    ),
-    "t14_chain_match": (
-        lambda t: C.chain_match(t.vectors.where("node_id % 25 = 0"), t.vectors, 5, 0.5, 0.4),
-        f", {knn('a.node_id % 25 = 0', 5, -1)} SELECT query_id, node_id, score, CASE WHEN score >= 0.5 THEN 'cold' WHEN score >= 0.4 THEN 'warm' ELSE 'none' END AS match FROM near",
-    ),
     "t16_belief_hints": (
         lambda t: C.belief_hints(A.synthesis_groups(t.claims, t.claims.where("claim_id % 3 = 0").select("claim_id")), t.claims.where("claim_id % 11 = 1")),
         """, g AS (SELECT silo_id, subject, predicate, count(*) AS n_facts, count(DISTINCT evidence) AS n_evidence FROM claims WHERE claim_id % 3 <> 0 GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT evidence) >= 3)
@@ -171,10 +129,6 @@ CASES = {
         "SELECT CASE WHEN regexp_matches(lower(p_type), '(^|\\s)(brass|copper|steel|tin|nickel)(\\s|$)') THEN 'material' ELSE 'other' END AS type_class, count(*) AS n FROM part GROUP BY 1",
     ),
     "g4_propagate_local": (lambda t: r6(C.propagate_local(_prior(t), t.edges, t.edges.where("src = 3").select(F.col("src").alias("id")), 1, rounds=3), "confidence"), _propagate_sql(3, "inside", True)),
-    "g16_tombstone_edges": (
-        lambda t: C.tombstone_edges(t.edges, "CONTRADICTS", 0.95),
-        "SELECT src, dst, edge_type FROM edges WHERE edge_type = 'CONTRADICTS' AND round(weight, 9) < 0.95",
-    ),
     "g19_erasure_impact": (
         lambda t: C.erasure_impact(_tree(t), t.orders.where("o_orderkey = 5").select(F.col("o_orderkey").alias("id")), 5),
         """SELECT DISTINCT o_orderkey AS id, CAST(CASE 5 WHEN o_orderkey // 3 THEN 1 WHEN o_orderkey // 9 THEN 2 WHEN o_orderkey // 27 THEN 3 WHEN o_orderkey // 81 THEN 4 WHEN o_orderkey // 243 THEN 5 END AS INT) AS hops FROM orders
@@ -193,10 +147,6 @@ CASES = {
         lambda t: C.spo_backfill(t.claims.withColumn("object", F.when(F.col("claim_id") % 8 == 0, None).otherwise(F.col("object")))).select("claim_id"),
         "SELECT claim_id FROM claims WHERE claim_id % 8 = 0",
     ),
-    "l20_close_sessions": (
-        lambda t: C.idle_sessions(t.events, ts("2024-01-31"), 24 * 60),
-        "SELECT user_id, count(*) AS n_events FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 1 DAY",
-    ),
     "st9_nudges": (
         lambda t: C.nudges(t.conversations.select(F.col("conv_id").alias("session"), "turn", (F.length("text") > 200).alias("wants"))),
         """, g AS (SELECT conv_id AS session, floor(turn / 3) AS slot, min(turn) AS turn FROM conversations WHERE length(text) > 200 GROUP BY 1, 2)

@@ -95,10 +95,6 @@ CASES = {
         s AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY p) AS n FROM b)
         SELECT CASE WHEN d IS NOT NULL AND (n > 1 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = d AND c_custkey % 3 = 0)) THEN 'skipped' ELSE 'created' END AS status, count(*) AS n FROM s GROUP BY 1""",
     ),
-    "s7_graph_export": (
-        lambda t: S.graph_export(t.edges),
-        """SELECT src, count(DISTINCT dst) AS n, array_to_string(list_sort(list(DISTINCT dst))[1:5], ',') AS head FROM edges GROUP BY src""",
-    ),
     "s8_pending_embedding": (
         lambda t: S.pending_embedding(t.nodes, t.vectors.where("label < 6")).select("node_id", F.length("content").cast("long").alias("n_chars")),
         "SELECT node_id, CAST(least(length(content), 8000) AS BIGINT) AS n_chars FROM nodes WHERE length(content) >= 10 AND node_id NOT IN (SELECT node_id FROM vectors WHERE label < 6)",
@@ -226,11 +222,6 @@ CASES = {
         """, p AS (SELECT silo_id, subject, agent_id, count(*) AS n FROM claims GROUP BY ALL)
         SELECT silo_id, subject, round(1 - exp(-0.5 * sum(1 + 0.5 * (sqrt(n) - 1))), 6) AS weight FROM p GROUP BY ALL""",
     ),
-    "a3_consensus_candidates": (
-        lambda t: r6(A.consensus_candidates(t.claims), "avg_confidence", "priority"),
-        """, g AS (SELECT silo_id, subject, predicate, count(DISTINCT evidence) AS n_chains, count(DISTINCT agent_id) AS n_agents, avg(coalesce(confidence, 0.5)) AS c FROM claims GROUP BY ALL)
-        SELECT silo_id, subject, predicate, n_chains, n_agents, round(c, 6) AS avg_confidence, round((1 - c) * ln(least(n_agents, 5) + 1), 6) AS priority FROM g WHERE n_chains >= 2 AND n_agents >= 2""",
-    ),
     "a4_consensus_promote": (
         lambda t: A.consensus_promote(t.claims).select("silo_id", "subject", "outcome"),
         """, g AS (SELECT silo_id, subject, count(DISTINCT agent_id) AS n, round(1 - product(1 - greatest(0, least(1, confidence))), 9) AS j FROM claims GROUP BY ALL)
@@ -246,11 +237,6 @@ CASES = {
         lambda t: A.synthesis_groups(t.claims, t.claims.where("claim_id % 3 = 0").select("claim_id")),
         "SELECT silo_id, subject, predicate, count(*) AS n_facts, count(DISTINCT evidence) AS n_evidence FROM claims WHERE claim_id % 3 <> 0 GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT evidence) >= 3",
     ),
-    "a8_belief_confidence": (
-        lambda t: A.belief_confidence(t.claims).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 4)),
-        """SELECT silo_id, subject, predicate, round(1 - product(1 - greatest(0, least(1, confidence))) + 1e-9, 4) AS confidence FROM claims GROUP BY ALL
-        HAVING round(1 - product(1 - greatest(0, least(1, confidence))), 9) >= 0.6""",
-    ),
     "a9_centroid": (
         lambda t: A.centroid(t.vectors, "label").select("label", F.posexplode("centroid").alias("i", "v")).select("label", "i", F.round("v", 5).alias("v")),
         """, e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM vectors)
@@ -269,37 +255,10 @@ CASES = {
         lambda t: A.level_distribution(t.nodes),
         "SELECT CASE WHEN heat_score >= 0.66 THEN 'FULL' WHEN heat_score >= 0.33 THEN 'WARM' WHEN heat_score >= 0.1 THEN 'STRUCTURE' ELSE 'MINIMAL' END AS level, count(*) AS n FROM nodes GROUP BY 1",
     ),
-    "a13_storage_gauges": (
-        lambda t: A.storage_gauges(t.nodes),
-        "SELECT silo_id, count(*) AS n_nodes, " + ", ".join(f"count(*) FILTER (layer = '{x}') AS n_{x}" for x in ("memory", "knowledge", "wisdom", "intelligence"))
-        + ", count(*) FILTER (state = 'ACTIVE') AS n_active, CAST(sum(octet_length(encode(content))) AS BIGINT) AS content_bytes FROM nodes GROUP BY 1",
-    ),
     "a14_usage_summary": (
         lambda t: A.usage_summary(t.events.withColumn("ts", F.date_trunc("second", "ts")), ts("2024-01-15")),
         "SELECT event_type, count(*) AS n_calls, CAST(max(date_trunc('second', ts)) AS VARCHAR) AS last_used FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1",
     ),
-    "a15_silo_counts": (
-        lambda t: A.status_counts(t.nodes),
-        "SELECT silo_id, state, count(*) AS n_nodes, CAST(sum(octet_length(encode(content))) AS BIGINT) AS content_bytes FROM nodes GROUP BY 1, 2",
-    ),
-    "a16_retrieval_quality": (
-        lambda t: A.retrieval_quality(_hits(t)).select("query_id", "quality"),
-        f", {HITS}, q AS (SELECT query_id, round(avg(score), 9) AS s FROM hits GROUP BY 1) SELECT query_id, CASE WHEN s > 0.6 THEN 'high' WHEN s >= 0.4 THEN 'partial' WHEN s > 0 THEN 'low' ELSE 'none' END AS quality FROM q",
-    ),
-    "a17_consolidate_conclusions": (
-        lambda t: r6(A.consolidate_conclusions(t.nodes, "silo_id"), "confidence"),
-        """, g AS (SELECT silo_id, count(*) AS n, avg(confidence) AS m FROM nodes GROUP BY 1),
-        b AS (SELECT silo_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY silo_id ORDER BY confidence DESC, node_id) AS k FROM nodes) WHERE k = 1)
-        SELECT g.silo_id, node_id, n, round(least(1, m + least(0.1, 0.02 * n)), 6) AS confidence FROM g JOIN b ON g.silo_id = b.silo_id WHERE n >= 2""",
-    ),
-    "a18_finding_quality": (
-        lambda t: r6(A.finding_quality(t.nodes.select("node_id", F.col("heat_score").alias("density"), F.col("confidence").alias("coverage"), (F.col("age_hours") / 300).alias("relations"), F.col("heat_score").alias("primary_share"), F.lit(0.5).alias("summary_density"))), "quality").select("node_id", "quality"),
-        "SELECT node_id, round(0.25 * heat_score + 0.30 * confidence + 0.15 * least(1, age_hours / 300) + 0.20 * heat_score + 0.10 * 0.5, 6) AS quality FROM nodes",
-    ),
-    "a19_membership_drift": (
-        lambda t: r6(A.membership_drift(_members(t, 1), _members(t, 2), "chain_id"), "jaccard"),
-        """SELECT chain_id, round(CAST(count(*) FILTER (node_id % 5 >= 2) AS DOUBLE) / count(*), 6) AS jaccard, CAST(count(*) FILTER (node_id % 5 >= 2) AS DOUBLE) / count(*) < 0.8 AS drifted FROM versions WHERE node_id % 5 >= 1 GROUP BY 1""",
-    ),
     "a20_recount_corroboration": (
         lambda t: t.claims.groupBy("silo_id", "subject", "predicate", "object").agg(F.count_distinct("evidence").alias("n_evidence")),
         "SELECT silo_id, subject, predicate, object, count(DISTINCT evidence) AS n_evidence FROM claims GROUP BY ALL",
@@ -330,29 +289,10 @@ CASES = {
         + ", ".join(f"count(*) FILTER (layer = '{x}') AS n_{x}" for x in ("memory", "knowledge", "wisdom", "intelligence")) + " FROM nodes",
     ),
     # windows
-    "w1_rrf_fuse": (
-        lambda t: W.rrf_fuse(P.keep_top(_hits(t).select("query_id", F.col("layer").alias("channel"), (F.col("node_id") % 50).alias("node_id"), "score").groupBy("query_id", "channel", "node_id").agg(F.max("score").alias("score")), ["query_id", "channel"], [F.desc("score"), F.col("node_id")], 40)),
-        f""", {HITS}, h AS (SELECT query_id, layer AS channel, node_id % 50 AS node_id, max(score) AS score FROM hits GROUP BY ALL),
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, node_id) AS rank FROM h),
-        f AS (SELECT query_id, node_id, sum(1.0 / (60 + rank)) AS s, count(*) AS n FROM k WHERE rank <= 40 GROUP BY 1, 2), c AS (SELECT query_id, count(DISTINCT channel) AS n FROM k GROUP BY 1),
-        z AS (SELECT f.query_id, node_id, round(s / (c.n / 61.0), 9) AS score, f.n AS n_hits FROM f JOIN c ON f.query_id = c.query_id)
-        SELECT query_id, node_id, score, n_hits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM z) WHERE rank <= 20""",
-    ),
     "w2_top_per_group": (
         lambda t: P.keep_top(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank"),
         "SELECT o_custkey, o_orderkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
     ),
-    "w3_batch_supersession": (
-        lambda t: W.batch_supersession(t.claims),
-        """, w AS (SELECT claim_id, object, lag(object) OVER x AS po, lag(claim_id) OVER x AS supersedes FROM claims WINDOW x AS (PARTITION BY silo_id, subject, predicate ORDER BY created_at, claim_id))
-        SELECT claim_id, supersedes FROM w WHERE po <> object""",
-    ),
-    "w4_belief_timeline": (
-        lambda t: W.belief_timeline(t.versions),
-        """, d AS (SELECT *, confidence - lag(confidence) OVER (PARTITION BY chain_id ORDER BY valid_from, node_id) AS step FROM versions)
-        SELECT chain_id, count(*) AS n_versions, arg_max(node_id, (valid_from, node_id)) AS current,
-        CASE WHEN coalesce(bool_and(step > 0), false) THEN 'increasing' WHEN coalesce(bool_and(step < 0), false) THEN 'decreasing' WHEN round(max(abs(step)), 9) > 0.2 THEN 'volatile' ELSE 'stable' END AS trend FROM d GROUP BY 1""",
-    ),
     "w5_keep_newest": (
         lambda t: W.keep_newest(t.nodes, "silo_id", [F.col("age_hours"), F.col("node_id")], 5).select("silo_id", "node_id"),
         "SELECT silo_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY silo_id ORDER BY age_hours, node_id) AS k FROM nodes) WHERE k > 5",
@@ -365,10 +305,6 @@ CASES = {
         w AS (SELECT *, CASE WHEN sa = sb THEN CASE WHEN da = db THEN a < b WHEN agent_a = agent_b THEN da < db ELSE da > db END ELSE sa > sb END AS wins FROM s)
         SELECT CASE WHEN wins THEN a ELSE b END AS winner, CASE WHEN wins THEN b ELSE a END AS loser, CASE WHEN sa = sb THEN 'tie' ELSE 'score' END AS rationale FROM w""",
     ),
-    "w11_prewarm_queue": (
-        lambda t: W.prewarm_queue(t.nodes),
-        "SELECT node_id, heat_score FROM nodes WHERE heat_score >= 0.33 AND state = 'ACTIVE' ORDER BY heat_score DESC, node_id LIMIT 100",
-    ),
     # sets
     "u1_markers_by_silo": (
         lambda t: U.markers_by_silo(t.nodes.where("node_id % 17 = 0").select("node_id", "silo_id"), t.nodes.where("node_id % 19 = 0").select("node_id", "silo_id")),
@@ -400,36 +336,11 @@ CASES = {
         SELECT claim_id, CASE WHEN source_tier = 'authoritative' AND round(confidence, 9) >= 0.7 THEN 'R1' WHEN n > 1 AND a AND round(j, 9) >= 0.8 THEN 'R2' ELSE 'none' END AS rule
         FROM claims c JOIN g ON c.silo_id = g.silo_id AND c.evidence = g.evidence""",
     ),
-    "l3_demote_facts": (
-        lambda t: r6(L.demote_facts(t.claims), "confidence"),
-        """, g AS (SELECT silo_id, subject, predicate, object, count(DISTINCT evidence) AS n FROM claims GROUP BY ALL)
-        SELECT claim_id, n AS n_evidence, round(greatest(0.1, confidence - 0.1), 6) AS confidence FROM claims c
-        JOIN g ON c.silo_id = g.silo_id AND c.subject = g.subject AND c.predicate = g.predicate AND c.object = g.object WHERE n < 3""",
-    ),
-    "l4_apply_supersession": (
-        lambda t: L.apply_supersession(t.nodes, t.nodes.select(F.col("node_id").alias("winner"), (F.col("node_id") - 5).alias("loser")).where("winner % 3 = 0")).select("node_id", "state", "superseded_by"),
-        """SELECT n.node_id, CASE WHEN w.node_id IS NOT NULL AND n.state = 'ACTIVE' THEN 'SUPERSEDED' ELSE n.state END AS state, w.node_id AS superseded_by FROM nodes n LEFT JOIN nodes w ON w.node_id = n.node_id + 5 AND w.node_id % 3 = 0""",
-    ),
     "l5_decay_memory": (lambda t: r6(L.decay_memory(t.nodes), "confidence"), "SELECT node_id, round(greatest(0, least(1, confidence * pow(0.95, age_hours))), 6) AS confidence FROM nodes WHERE layer = 'memory' AND age_hours > 1"),
     "l6_expired_memory": (
         lambda t: L.expired_memory(t.nodes, {"ephemeral": 48, "standard": 400}),
         "SELECT node_id, decay_class, age_hours FROM nodes WHERE age_hours > CASE decay_class WHEN 'ephemeral' THEN 48 WHEN 'standard' THEN 400 END",
     ),
-    "l7_retention_sweep": (
-        lambda t: L.retention_sweep(t.nodes),
-        """, a AS (SELECT decay_class, CASE WHEN state = 'TOMBSTONED' AND age_hours > 168 THEN 'delete' WHEN state <> 'TOMBSTONED' AND CASE decay_class WHEN 'ephemeral' THEN age_hours >= 24
-        WHEN 'standard' THEN age_hours >= 168 AND heat_score < 0.3 WHEN 'durable' THEN age_hours >= 720 AND heat_score < 0.2 ELSE false END THEN 'tombstone' END AS action FROM nodes)
-        SELECT decay_class, action, count(*) AS n FROM a WHERE action IS NOT NULL GROUP BY 1, 2""",
-    ),
-    "l8_forget": (
-        lambda t: L.forget(t.nodes, t.labels.where("toxic = 1").select(F.col("doc_id").alias("node_id"))),
-        "SELECT node_id, 'TOMBSTONED' AS state, CAST(60 AS INT) AS minutes_left FROM nodes WHERE state <> 'TOMBSTONED' AND toxic = 1",
-    ),
-    "l9_erase_audit": (
-        lambda t: L.erase(t.nodes, t.edges, t.labels.where("toxic = 1").select((F.col("doc_id") * 2).alias("id")))[2],
-        """, i AS (SELECT DISTINCT doc_id * 2 AS id FROM labels WHERE toxic = 1), c AS (SELECT count(*) AS n_asked, count(*) FILTER (id IN (SELECT doc_id FROM documents)) AS n_erased FROM i)
-        SELECT n_asked, n_erased, CASE WHEN n_erased = n_asked THEN 'completed' WHEN n_erased > 0 THEN 'partial' ELSE 'failed' END AS status FROM c""",
-    ),
     "l10_review_weak_links": (
         lambda t: L.review_weak_links(t.nodes.select(F.col("node_id").alias("a"), (F.col("node_id") * 3).alias("b"), F.col("confidence").alias("weight"), F.col("heat_score").alias("heat"), "age_hours"), t.nodes).groupBy("action").agg(F.count("*").alias("n")),
         """, j AS (SELECT l.confidence AS weight, l.heat_score AS heat, l.age_hours, l.state AS sa, r.state AS sb FROM nodes l LEFT JOIN nodes r ON r.node_id = l.node_id * 3)
@@ -453,20 +364,9 @@ CASES = {
         lambda t: L.retain(t.events, "ts", ts("2024-02-01"), 10).groupBy("event_type").agg(F.count("*").alias("n")),
         "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 10 DAY GROUP BY 1",
     ),
-    "l16_compact_chains": (
-        lambda t: L.compact_chains(t.versions.select("chain_id", F.col("node_id").alias("place"), F.col("node_id").cast("string").alias("text"))),
-        """SELECT chain_id, count(*) AS n_steps, sha256(CAST(chain_id AS VARCHAR) || '|' || string_agg(CAST(node_id AS VARCHAR), ' -> ' ORDER BY node_id)) AS summary_id,
-        string_agg(CAST(node_id AS VARCHAR), ' -> ' ORDER BY node_id) AS summary FROM versions GROUP BY 1 HAVING count(*) >= 3""",
-    ),
     "l21_engagement": (
         lambda t: L.engagement(t.customer.select(F.col("c_custkey").alias("marker_id"), F.col("c_nationkey").alias("about")), t.events.groupBy(F.col("user_id").alias("marker_id")).agg(F.count("*").alias("n_touches")), 70),
         """, n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
         SELECT c_nationkey AS about, count(*) AS n_pending, CASE WHEN max(coalesce(n, 0)) >= 70 THEN 'hard' ELSE 'soft' END AS mode FROM customer LEFT JOIN n ON user_id = c_custkey GROUP BY 1""",
     ),
-    "l22_upsert_findings": (
-        lambda t: L.upsert_findings(t.versions.where("node_id % 2 = 0").select("chain_id", F.col("node_id").alias("body")).groupBy("chain_id").agg(F.max("body").alias("body"), F.count("*").alias("version")),
-            t.versions.where("node_id % 2 = 1").groupBy("chain_id").agg(F.max("node_id").alias("body")), ["chain_id"])[0],
-        """, c AS (SELECT chain_id, max(node_id) AS body, count(*) AS version FROM versions WHERE node_id % 2 = 0 GROUP BY 1), n AS (SELECT chain_id, max(node_id) AS body FROM versions WHERE node_id % 2 = 1 GROUP BY 1)
-        SELECT coalesce(n.chain_id, c.chain_id) AS chain_id, coalesce(n.body, c.body) AS body, CASE WHEN n.chain_id IS NULL THEN c.version ELSE coalesce(c.version, 0) + 1 END AS version FROM n FULL JOIN c ON n.chain_id = c.chain_id""",
-    ),
 }
