@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
+from tessera.operators.aggregates import retrieval_quality
+from tessera.operators.filters import layer_threshold
 from tessera.operators.graph import ppr_channel
+from tessera.operators.lifecycle import dominated
+from tessera.operators.scans import BROADCAST_ROWS, in_blocks, spread
 from tessera.operators.similarity import nearest
 from tessera.operators.windows import rrf_fuse
 from tessera.scratch import materialize
@@ -25,22 +29,24 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, nodes: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
-    """BM25 of every query against every node. Only nodes' tokens that some query has are joined on.
+def bm25(queries: DataFrame, nodes: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
+    """BM25 of every query against every node; all hits without a k. Only nodes' tokens that some query has are joined on.
 
-    ``terms``: the nodes' tokens, where they are at hand.
+    ``terms``: the nodes' tokens, where they are at hand; else they are written once, for they are read three times. Tokens meet
+    the queries that have them as one array a token, so a common word is one row a node until the node's own task adds it up.
     """
-    terms = terms if terms is not None else tokens(nodes, "node_id", "content")
+    terms = terms if terms is not None else materialize(tokens(nodes, "node_id", "content"), "bm25-terms")
     lengths = terms.groupBy("node_id").agg(F.sum("tf").alias("length"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = tokens(queries, "query_id", "text").select("query_id", "token")
-    hits = terms.join(asked.select("token").distinct(), "token", "left_semi")
+    asked = tokens(queries, "query_id", "text").groupBy("token").agg(F.collect_list("query_id").alias("queries"))
+    hits = materialize(terms.join(asked.select("token"), "token", "left_semi"), "bm25-hits")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "token").join(lengths, "node_id").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    per = scored.select("node_id", "token", part.alias("part")).join(asked, "token")
-    return _top(per.groupBy("query_id", "node_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    weights = asked.join(df, "token").crossJoin(F.broadcast(stats))
+    weights = weights.select("token", "queries", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    per = hits.join(weights, "token").join(lengths, "node_id").select("node_id", F.explode("queries").alias("query_id"), part.alias("part"))
+    scored = per.groupBy("query_id", "node_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return scored if k is None else _top(scored, k)
 
 
 def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None) -> DataFrame:
@@ -55,23 +61,43 @@ def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataF
     return _top(hit, k)
 
 
-def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None) -> DataFrame:
-    """.7 x BM25 over its best + .3 x trigram similarity with the head of the text, for lexical matches."""
-    lexical = bm25(queries, nodes, 50, terms=terms)
+def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None, least: float = 0.1) -> DataFrame:
+    """.7 x BM25 over its best + .3 x trigram similarity of the whole content, for lexical matches and for contents of similarity above ``least``.
+
+    Similarity needs the smaller set to be a tenth of the larger at least; the stated queries are broadcast in blocks of a checked
+    size, each content's trigrams are cut once, and no pair is cut before both parts are blended.
+    """
+    lexical = bm25(queries, nodes, None, terms=terms)
     best = F.max("score").over(Window.partitionBy("query_id"))
-    head = nodes.select("node_id", F.substring("content", 1, 200).alias("head"))
-    both = lexical.withColumn("share", F.col("score") / best).drop("score", "rank").join(head, "node_id").join(queries, "query_id")
-    score = F.round(0.7 * F.col("share") + 0.3 * exprs.trigram_similarity("head", "text"), 6)
-    return _top(both.select("query_id", "node_id", score.alias("score")), k)
+    lexical = lexical.withColumn("share", F.col("score") / best).drop("score")
+    hashed = lambda c: F.transform(exprs.trigrams(F.coalesce(c, F.lit(""))), lambda g: F.xxhash64(g))  # noqa: E731  longs compare faster
+    grams = spread(materialize(nodes.select("node_id", hashed("content").alias("x")), "text-grams"))
+    asked = materialize(queries.select("query_id", hashed("text").alias("y")), "text-asked")
+    common = F.size(F.array_intersect("x", "y")).alias("common")
+    similarity = (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("similarity")
+    sized = lambda df, *more: df.select("query_id", "node_id", *more, common, F.size("x").alias("a"), F.size("y").alias("b"))
+    near = None
+    for block in in_blocks(asked, "query_id"):
+        part = grams.join(block, F.expr(f"least(size(x), size(y)) >= {least} * greatest(size(x), size(y))"))
+        part = sized(part).select("query_id", "node_id", similarity)
+        near = part if near is None else near.union(part)
+    # below the bound the similarity counts for lexical matches only, and is then found for these
+    near = materialize(near, "text-near").where(F.col("similarity") > least)
+    j = materialize(lexical.join(near, ["query_id", "node_id"], "full_outer"), "text-lexical")
+    rest = j.where("similarity is null").select("query_id", "node_id", "share").join(grams, "node_id").join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "query_id")
+    rest = sized(rest, "share").select("query_id", "node_id", "share", similarity)
+    whole = j.where("similarity is not null").select("query_id", "node_id", "share", "similarity").unionByName(rest)
+    return _top(whole.select("query_id", "node_id", F.round(0.7 * F.coalesce("share", F.lit(0.0)) + 0.3 * F.col("similarity"), 6).alias("score")), k)
 
 
 def temporal_channel(queries: DataFrame, versions: DataFrame, k: int = 10, half_days: float = 7.0) -> DataFrame:
-    """Nodes that began within a query's range, by recency at its end: joined on the months that a range covers."""
+    """Nodes that began within a query's range, by recency at its end: memory halves every ``half_days``, other layers count 1. Joined on the months that a range covers."""
     month = lambda c: F.trunc(F.col(c).cast("date"), "month")
     q = queries.withColumn("month", F.explode(F.sequence(month("start"), month("end"), F.make_ym_interval(F.lit(0), F.lit(1)))))
     hit = versions.withColumn("month", month("valid_from")).join(q, "month").where(F.col("valid_from").between(F.col("start"), F.col("end")))
     age = F.timestamp_diff("SECOND", F.col("valid_from"), F.col("end")) / 86400
-    return _top(hit.select("query_id", "node_id", F.round(exprs.half_life(age, half_days), 6).alias("score")), k)
+    score = F.when(F.col("layer") == "memory", exprs.half_life(age, half_days)).otherwise(1.0)
+    return _top(hit.select("query_id", "node_id", F.round(score, 6).alias("score")), k)
 
 
 def fuse(channels: dict[str, DataFrame], top: int = 20) -> DataFrame:
@@ -111,29 +137,69 @@ def freshness_heat_rescore(score: Column, age_days: Column, heat: Column) -> Col
     return score * (0.7 + 0.3 * exprs.freshness(age_days, 30.0)) * (0.9 + 0.1 * F.coalesce(heat, F.lit(0.5)))
 
 
-def recall(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: DataFrame, k: int = 10, seeds: int = 5, rounds: int = 10) -> DataFrame:
-    """Dense, text, word and graph channels, fused, rescored and cut, for a whole table of queries at once.
+def recall(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: DataFrame, k: int = 10, seeds: int = 5, rounds: int = 10, rerank: int = 50, overrides: dict[str, float] | None = None) -> DataFrame:
+    """Five channels, fused, reranked, weighed by what is known of each node, without dominated hits and cut, for a whole table of queries at once.
+
+    ``queries``: ``query_id, text, embedding, start, end`` (of the time asked about, or null); ``nodes``: ``node_id, content, state, layer,
+    confidence, age_hours, valid_from, valid_to, n_sources, stale``, live and dead; ``vectors``: ``node_id, embedding``; ``edges``: ``src, dst,
+    edge_type, weight``, of which those that don't contradict are walked from each query's first dense hits.
 
-    ``queries``: ``query_id, text, embedding``; ``nodes``: live and dead; ``vectors``: ``node_id,
-    embedding``; ``edges``: ``src, dst, weight``, walked from each query's first dense hits. After
-    fusion the 2k best are rescored by layer, age and confidence; hits below their layer's cut go.
+    Of the 2k best fused hits the first ``rerank`` are blended with the cosine of query and node (T8), the first 2k of these boosted by
+    corroboration and cut where they have ended (T9), scored by layer, age and staleness (T10), by confidence and open contradictions (T11);
+    then what a better hit contradicts goes (J13, J14), then what lies below its layer's cut (P10). ``quality`` says how good the query's hits are (A16).
     """
-    live = nodes.where("state = 'ACTIVE'")
+    live = materialize(nodes.where("state = 'ACTIVE'"), "recall-live")
     asked = queries.select(F.col("query_id").alias("node_id"), "embedding")
-    near = vectors.select("node_id", "embedding").join(live.select("node_id"), "node_id", "left_semi")
+    near = materialize(vectors.select("node_id", "embedding").join(live.select("node_id"), "node_id", "left_semi"), "recall-vectors")
     dense = materialize(nearest(asked, near, 2 * k).select("query_id", "node_id", "rank"), "recall-dense")
     start = dense.where(F.col("rank") <= seeds).select("query_id", F.col("node_id").alias("id"), F.lit(1.0).alias("weight"))
     text = queries.select("query_id", "text")
     terms = materialize(tokens(live, "node_id", "content"), "recall-terms")
-    channels = {"dense": dense, "text": text_channel(text, live, 2 * k, terms), "grep": grep_channel(text, live, 2 * k, terms), "graph": ppr_channel(edges, start, 2 * k, rounds=rounds)}
-    j = fuse(channels, top=2 * k).join(live.select("node_id", "layer", "confidence", "age_hours"), "node_id")
-    score = layer_scoring(F.col("score"), F.col("layer"), F.col("age_hours") / 24, F.lit(0), F.lit(False))
-    score = F.round(epistemic_fusion(score, F.col("layer"), F.col("confidence"), F.lit(False)), 6)
-    cut = F.when(F.col("layer").isin("knowledge", "wisdom"), 0.25).otherwise(0.15)
-    return _top(j.select("query_id", "node_id", score.alias("score"), cut.alias("cut")).where("score >= cut").drop("cut"), k)
+    times = queries.where("start is not null").select("query_id", "start", "end")
+    channels = {
+        "dense": dense, "text": text_channel(text, live, 2 * k, terms), "grep": grep_channel(text, live, 2 * k, terms),
+        "graph": ppr_channel(edges.where("edge_type <> 'CONTRADICTS'"), start, 2 * k, rounds=rounds),
+        "temporal": temporal_channel(times, live.where("valid_from is not null").select("node_id", "layer", "valid_from"), 2 * k),
+    }
+    fused = materialize(fuse(channels, top=max(2 * k, rerank)).join(live.select("node_id"), "node_id", "left_semi"), "recall-fused")
+    pairs = fused.join(near, "node_id").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
+    blended = _top(rerank_blend(fused.select("query_id", "node_id", "score"), pairs.select("query_id", "node_id", F.round(exprs.cosine("asked", "embedding"), 6).alias("rescore"))).select("query_id", "node_id", "score"), 2 * k)
+    open_ = contradicting(edges).join(live.select(F.col("node_id").alias("b")), "b", "left_semi").select(F.col("a").alias("node_id"), F.lit(True).alias("unresolved")).distinct()
+    j = blended.join(live.select("node_id", "layer", "confidence", "age_hours", "n_sources", "stale", "valid_to"), "node_id").join(open_, "node_id", "left").join(queries.select("query_id", "end"), "query_id")
+    ended = F.coalesce(F.col("valid_to") <= F.col("end"), F.lit(False))
+    score = epistemic_boost(F.col("score"), ended, F.coalesce("n_sources", F.lit(0)))
+    score = layer_scoring(score, F.col("layer"), F.col("age_hours") / 24, F.coalesce("n_sources", F.lit(0)), F.coalesce("stale", F.lit(False)))
+    score = F.round(epistemic_fusion(score, F.col("layer"), F.col("confidence"), F.coalesce("unresolved", F.lit(False))), 6)
+    ranked = materialize(_top(j.select("query_id", "node_id", "layer", score.alias("score")), 2 * k), "recall-ranked")
+    kept = drop_dominated(ranked, edges).drop("rank")
+    final = _top(layer_threshold(kept, overrides).select("query_id", "node_id", "score"), k)
+    quality = retrieval_quality(final.withColumn("fallback", F.lit(False))).select("query_id", "quality")
+    return final.join(quality, "query_id")
 
 
 def ranking_eval(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """Per query whether the expected node is among the first k, and its rank."""
-    j = expected.join(results.select("query_id", F.col("node_id").alias("expected_id"), "rank"), ["query_id", "expected_id"], "left")
-    return j.select("query_id", F.coalesce(F.col("rank") <= k, F.lit(False)).alias("found"), F.coalesce("rank", F.lit(0)).alias("at"))
+    """Per query whether the expected node is among the first k and its rank, whether the ``lower`` node stays below it, and whether the ``absent`` one is not among them."""
+    at = lambda c: results.select("query_id", F.col("node_id").alias(c), F.col("rank").alias(f"{c}_rank"))
+    j = expected.join(at("expected_id"), ["query_id", "expected_id"], "left").join(at("lower_id"), ["query_id", "lower_id"], "left").join(at("absent_id"), ["query_id", "absent_id"], "left")
+    above = F.col("expected_id_rank").isNotNull() & (F.col("lower_id_rank").isNull() | (F.col("expected_id_rank") < F.col("lower_id_rank")))
+    return j.select(
+        "query_id", F.coalesce(F.col("expected_id_rank") <= k, F.lit(False)).alias("found"), F.coalesce("expected_id_rank", F.lit(0)).alias("at"), above.alias("above"),
+        F.coalesce(F.col("absent_id_rank") > k, F.lit(True)).alias("absent"),
+    )
+
+
+def contradicting(edges: DataFrame) -> DataFrame:
+    """``a, b`` for each contradiction, both ways."""
+    c = edges.where("edge_type = 'CONTRADICTS'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return c.union(c.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def drop_dominated(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """Hits (``query_id, node_id, rank, ...``) without those that a better surviving hit of their query contradicts."""
+    key = F.xxhash64("query_id", "node_id")
+    h = hits.select("query_id", "node_id", "rank", key.alias("key"))
+    x = h.select("query_id", F.col("node_id").alias("a"), F.col("key").alias("ka"))
+    y = h.select("query_id", F.col("node_id").alias("b"), F.col("key").alias("kb"))
+    pairs = contradicting(edges).join(x, "a").join(y, ["query_id", "b"]).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    gone = dominated(pairs, h.select(F.col("key").alias("node_id"), F.col("rank").alias("place"))).select(F.col("node_id").alias("key"))
+    return hits.withColumn("key", key).join(gone, "key", "left_anti").drop("key")

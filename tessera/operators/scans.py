@@ -18,6 +18,12 @@ def in_blocks(df: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> list[DataF
     return [F.broadcast(df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table on which each row is much work, over all cores even where it has few bytes."""
+    cores = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def semi(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is in ``ids``; Spark broadcasts ``ids`` where its size allows."""
     keys = [on] if isinstance(on, str) else on

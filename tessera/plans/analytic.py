@@ -41,44 +41,67 @@ def top(source: str, k: int) -> str:
 
 
 GRAMS = "list_distinct(list_transform(range(1, CAST(length({c}) + 2 AS BIGINT)), lambda i: substr('  ' || lower({c}) || ' ', CAST(i AS INT), 3)))"
-TEXT = f"""lex AS ({top('raw', 50)}), txt0 AS (SELECT lex.query_id, lex.node_id, lex.score / max(lex.score) OVER (PARTITION BY lex.query_id) AS share, substr(n.content, 1, 200) AS h, b.text AS q
-  FROM lex JOIN nodes n ON n.node_id = lex.node_id JOIN benchmark b ON b.item_id = lex.query_id),
-txt1 AS (SELECT *, {GRAMS.format(c='h')} AS x, {GRAMS.format(c='q')} AS y FROM txt0),
-txt AS (SELECT query_id, node_id, round(0.7 * share + 0.3 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM txt1)"""
+TEXT = f"""lex AS (SELECT query_id, node_id, score / max(score) OVER (PARTITION BY query_id) AS share FROM raw),
+gx AS MATERIALIZED (SELECT node_id, {GRAMS.format(c="coalesce(content, '')")} AS x FROM nodes), gy AS MATERIALIZED (SELECT item_id AS query_id, {GRAMS.format(c='text')} AS y FROM benchmark),
+sims AS MATERIALIZED (SELECT query_id, node_id, CAST(n AS DOUBLE) / (a + c - n) AS sim FROM (SELECT query_id, node_id, len(list_intersect(x, y)) AS n, len(x) AS a, len(y) AS c FROM gx, gy)),
+txt AS (SELECT s.query_id, s.node_id, round(0.7 * coalesce(share, 0) + 0.3 * sim, 6) AS score FROM sims s LEFT JOIN lex ON lex.query_id = s.query_id AND lex.node_id = s.node_id WHERE share IS NOT NULL OR sim > 0.1)"""
+
+
+def recall_nodes(t: Tables):
+    """Nodes with the time in which they hold, their number of sources and whether they are stale."""
+    v = t.versions.select("node_id", "valid_from", "valid_to")
+    return t.nodes.join(v, "node_id", "left").withColumns({"n_sources": F.col("node_id") % 4, "stale": F.col("node_id") % 5 == 0})
+
+
+def recall_edges(t: Tables):
+    """Affinities to walk along, and contradictions."""
+    near = M.affinity_edges(t.vectors, 3, 0.3).select("src", "dst", F.lit("RELATED_TO").alias("edge_type"), "weight")
+    return near.union(t.nodes.where("node_id % 3 = 0").select(F.col("node_id").alias("src"), (F.col("node_id") + 20).alias("dst"), F.lit("CONTRADICTS"), F.lit(1.0)))
 
 
 def _recall(t: Tables):
     q = _queries(t).join(t.vectors.select(F.col("node_id").alias("query_id"), "embedding"), "query_id")
-    return R.recall(q, t.nodes, t.vectors, M.affinity_edges(t.vectors, 3, 0.3), 10, rounds=2)
+    q = q.withColumns({"start": F.make_timestamp_ntz(F.lit(1994), F.col("query_id").cast("int") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)), "end": ts("1997-03-01")})
+    return R.recall(q, recall_nodes(t), t.vectors, recall_edges(t), 10, overrides={"memory": 0.2})
 
 
 def _recall_sql(k: int, rounds: int) -> str:
     live = lambda text: text.replace("FROM nodes)", "FROM live)")
-    near = knn("a.node_id IN (SELECT item_id FROM benchmark) AND b.node_id IN (SELECT node_id FROM live)", 2 * k, -1)
-    aff = knn("true", 3, 0.3).replace("near AS", "aff AS")
-    text = f""", live AS (SELECT * FROM nodes WHERE state = 'ACTIVE'), {live(BM25)}, {TEXT}, {near}, {aff},
+    near = knn("a.node_id IN (SELECT item_id FROM benchmark) AND b.node_id IN (SELECT node_id FROM live)", 2 * k, -1).replace("near AS", "near AS MATERIALIZED")
+    aff = knn("true", 3, 0.3).replace("near AS", "aff AS MATERIALIZED")
+    text = f""", lv AS (SELECT n.*, v.valid_from, v.valid_to FROM nodes n LEFT JOIN versions v ON v.node_id = n.node_id WHERE state = 'ACTIVE'), live AS MATERIALIZED (SELECT * FROM lv), {near}, {aff}, {live(BM25).replace("FROM nodes", "FROM live")}, {TEXT.replace("FROM nodes", "FROM live")},
     five AS (SELECT DISTINCT query_id, unnest(ws) AS token FROM (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)[1:5] AS ws FROM benchmark)),
-    grp AS (SELECT query_id, node_id, CAST(count(*) AS DOUBLE) AS score FROM terms JOIN five ON five.token = terms.token GROUP BY 1, 2),
+    qs AS (SELECT item_id AS query_id, make_timestamp(1994, item_id % 12 + 1, 1, 0, 0, 0) AS s, TIMESTAMP '1997-03-01' AS e, embedding FROM benchmark JOIN vectors ON node_id = item_id),
+    grp AS (SELECT g.query_id, node_id, CAST(count(*) AS DOUBLE) AS score FROM terms JOIN five g ON g.token = terms.token JOIN qs ON qs.query_id = g.query_id GROUP BY 1, 2),
+    tmp AS (SELECT query_id, node_id, round(CASE WHEN layer = 'memory' THEN pow(0.5, date_diff('second', valid_from, e) / 86400 / 7) ELSE 1.0 END, 6) AS score FROM qs JOIN live ON valid_from BETWEEN s AND e),
     e0 AS (SELECT src, dst, sum(w) AS w FROM (SELECT query_id AS src, node_id AS dst, score AS w FROM aff WHERE score > 0 UNION ALL SELECT node_id, query_id, score FROM aff WHERE score > 0) GROUP BY 1, 2),
-    e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0), s AS (SELECT query_id AS q, node_id AS id, 1.0 / count(*) OVER (PARTITION BY query_id) AS r FROM near WHERE rank <= 5), k0 AS (SELECT q, id, r AS rank FROM s)"""
+    e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0), s AS MATERIALIZED (SELECT query_id AS q, node_id AS id, 1.0 / count(*) OVER (PARTITION BY query_id) AS r FROM near WHERE rank <= 5), k0 AS (SELECT q, id, r AS rank FROM s)"""
     for i in range(1, rounds + 1):
-        text += f""", m{i} AS (SELECT q, dst AS id, sum(rank * p) AS m FROM k{i - 1} JOIN e ON id = src GROUP BY 1, 2), u{i} AS (SELECT q, sum(m) AS m FROM m{i} GROUP BY 1),
+        text += f""", m{i} AS MATERIALIZED (SELECT q, dst AS id, sum(rank * p) AS m FROM k{i - 1} JOIN e ON id = src GROUP BY 1, 2), u{i} AS (SELECT q, sum(m) AS m FROM m{i} GROUP BY 1),
         b{i} AS (SELECT s.q, id, r * (1 - 0.85 * coalesce(m, 0)) AS b FROM s LEFT JOIN u{i} ON u{i}.q = s.q),
-        k{i} AS (SELECT coalesce(m.q, b.q) AS q, coalesce(m.id, b.id) AS id, 0.85 * coalesce(m, 0) + coalesce(b, 0) AS rank FROM m{i} m FULL JOIN b{i} b ON m.q = b.q AND m.id = b.id)"""
+        k{i} AS MATERIALIZED (SELECT coalesce(m.q, b.q) AS q, coalesce(m.id, b.id) AS id, 0.85 * coalesce(m, 0) + coalesce(b, 0) AS rank FROM m{i} m FULL JOIN b{i} b ON m.q = b.q AND m.id = b.id)"""
     text += f""", ppr AS (SELECT q AS query_id, id AS node_id, round(rank, 6) AS score FROM k{rounds}),
-    ch AS (SELECT query_id, node_id, 'd' AS c, rank FROM near UNION ALL SELECT query_id, node_id, 't', rank FROM ({top('txt', 2 * k)}) UNION ALL SELECT query_id, node_id, 'g', rank FROM ({top('grp', 2 * k)})
-      UNION ALL SELECT query_id, node_id, 'p', rank FROM ({top('ppr', 2 * k)})),
+    ch AS (SELECT query_id, node_id, 'd' AS c, rank FROM near UNION ALL SELECT query_id, node_id, 't', rank FROM ({top('(SELECT * FROM txt WHERE query_id IN (SELECT query_id FROM qs))', 2 * k)}) UNION ALL SELECT query_id, node_id, 'g', rank FROM ({top('grp', 2 * k)})
+      UNION ALL SELECT query_id, node_id, 'p', rank FROM ({top('ppr', 2 * k)}) UNION ALL SELECT query_id, node_id, 'm', rank FROM ({top('tmp', 2 * k)})),
     n AS (SELECT query_id, count(DISTINCT c) AS n FROM ch GROUP BY 1), f AS (SELECT ch.query_id, node_id, round(sum(1.0 / (60 + rank)) / (any_value(n) / 61.0), 9) AS score FROM ch JOIN n ON n.query_id = ch.query_id GROUP BY 1, 2),
-    ft AS ({top('f', 2 * k)}),
-    l AS (SELECT ft.query_id, ft.node_id, layer, confidence, CASE WHEN layer = 'memory' THEN score * 0.7 + 0.3 * CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 90, 2))) END ELSE score END AS score
-      FROM ft JOIN live ON live.node_id = ft.node_id),
-    r AS (SELECT query_id, node_id, layer, round(CASE WHEN layer IN ('knowledge', 'wisdom') THEN score * (0.7 + 0.3 * confidence) ELSE score END, 6) AS score FROM l),
-    z AS (SELECT * FROM r WHERE score >= CASE WHEN layer IN ('knowledge', 'wisdom') THEN 0.25 ELSE 0.15 END)"""
-    return text + " " + top("z", k)
+    ft AS MATERIALIZED (SELECT * FROM ({top('f', max(2 * k, 50))}) WHERE node_id IN (SELECT node_id FROM live)),
+    rr AS (SELECT ft.query_id, ft.node_id, round(list_cosine_similarity(CAST(qs.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS r FROM ft JOIN qs ON qs.query_id = ft.query_id JOIN vectors v ON v.node_id = ft.node_id),
+    bm AS (SELECT query_id, max(r) AS b FROM rr GROUP BY 1),
+    bl AS (SELECT ft.query_id, ft.node_id, round(CASE WHEN r IS NULL OR b <= 0 THEN score ELSE score * (0.5 + 0.5 * r / b) END, 9) AS score FROM ft LEFT JOIN rr ON rr.query_id = ft.query_id AND rr.node_id = ft.node_id LEFT JOIN bm ON bm.query_id = ft.query_id),
+    bt AS ({top('bl', 2 * k)}), con AS MATERIALIZED (SELECT node_id AS a, node_id + 20 AS b FROM nodes WHERE node_id % 3 = 0 UNION SELECT node_id + 20, node_id FROM nodes WHERE node_id % 3 = 0),
+    x1 AS (SELECT bt.query_id, l.*, score * CASE WHEN coalesce(valid_to <= TIMESTAMP '1997-03-01', false) THEN 0.3 ELSE 1.0 END * (1 + 0.05 * (l.node_id % 4)) AS sc, EXISTS (SELECT 1 FROM con WHERE con.a = l.node_id AND con.b IN (SELECT node_id FROM live)) AS unresolved FROM bt JOIN live l ON l.node_id = bt.node_id),
+    x2 AS (SELECT *, CASE WHEN layer = 'memory' THEN sc * 0.7 + 0.3 * CASE WHEN age_hours <= 0 THEN 1.0 ELSE greatest(0.25, exp(-0.5 * pow(age_hours / 24 / 90, 2))) END WHEN layer = 'knowledge' THEN sc * (1 + 0.2 * log10(1 + node_id % 4)) WHEN layer = 'wisdom' AND node_id % 5 = 0 THEN sc * 0.5 ELSE sc END AS sl FROM x1),
+    x3 AS (SELECT query_id, node_id, layer, round(CASE WHEN layer IN ('knowledge', 'wisdom') THEN sl * (0.7 + 0.3 * greatest(0, least(1, coalesce(confidence, 1)))) ELSE sl END * CASE WHEN unresolved THEN 0.5 ELSE 1.0 END, 6) AS score FROM x2),
+    h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM x3), a0 AS (SELECT query_id, node_id FROM h WHERE false)"""
+    for i in range(1, 2 * k + 1):
+        text += f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT query_id, node_id FROM h WHERE rank = {i} AND NOT EXISTS (SELECT 1 FROM a{i - 1} s JOIN con ON con.a = s.node_id WHERE s.query_id = h.query_id AND con.b = h.node_id))"
+    text += f""", z AS (SELECT h.query_id, h.node_id, h.score FROM h JOIN a{2 * k} s ON s.query_id = h.query_id AND s.node_id = h.node_id WHERE score >= CASE WHEN layer = 'memory' THEN 0.2 WHEN layer IN ('knowledge', 'wisdom') THEN 0.25 ELSE 0.15 END),
+    zt AS ({top('z', k)}), ql AS (SELECT query_id, round(avg(score), 9) AS s FROM zt GROUP BY 1)"""
+    return text + " SELECT zt.*, CASE WHEN s > 0.6 THEN 'high' WHEN s >= 0.4 THEN 'partial' WHEN s > 0 THEN 'low' ELSE 'none' END AS quality FROM zt JOIN ql ON ql.query_id = zt.query_id"
 
 
 def _time_queries(t: Tables):
-    return t.customer.where("c_custkey < 20").select(F.col("c_custkey").alias("query_id"), F.make_timestamp_ntz(F.lit(1996), F.col("c_custkey").cast("int") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start"), F.lit("1997-03-01").cast("timestamp_ntz").alias("end"))
+    return t.nation.select(F.col("n_nationkey").cast("long").alias("query_id"), F.make_timestamp_ntz(F.lit(1996), F.col("n_nationkey").cast("int") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start"), F.lit("1997-03-01").cast("timestamp_ntz").alias("end"))
 
 
 def _phrases(t: Tables):
@@ -236,9 +259,9 @@ CASES = {
         raw AS (SELECT query_id, node_id, CAST(count(*) AS DOUBLE) AS score FROM terms JOIN five ON five.token = terms.token GROUP BY 1, 2) {top('raw', 10)}""",
     ),
     "t6_temporal_channel": (
-        lambda t: R.temporal_channel(_time_queries(t), t.versions, 10),
-        """, q AS (SELECT c_custkey AS query_id, make_timestamp(1996, c_custkey % 12 + 1, 1, 0, 0, 0) AS s, TIMESTAMP '1997-03-01' AS e FROM customer WHERE c_custkey < 20),
-        raw AS (SELECT query_id, node_id, round(pow(0.5, date_diff('second', valid_from, e) / 86400 / 7), 6) AS score FROM q JOIN versions ON valid_from BETWEEN s AND e) """ + top("raw", 10),
+        lambda t: R.temporal_channel(_time_queries(t), t.versions.withColumn("layer", F.when(F.col("node_id") % 9 > 0, "memory").otherwise("wisdom")), 10),
+        """, q AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, make_timestamp(1996, n_nationkey % 12 + 1, 1, 0, 0, 0) AS s, TIMESTAMP '1997-03-01' AS e FROM nation),
+        raw AS (SELECT query_id, node_id, round(CASE WHEN node_id % 9 > 0 THEN pow(0.5, date_diff('second', valid_from, e) / 86400 / 7) ELSE 1.0 END, 6) AS score FROM q JOIN versions ON valid_from BETWEEN s AND e) """ + top("raw", 10),
     ),
     "t3_hybrid_fusion": (
         lambda t: R.fuse({"bm25": R.bm25(_queries(t), t.nodes, 20), "grep": R.grep_channel(_queries(t), t.nodes, 20)}, 10).select("query_id", "node_id", "score", "rank"),
@@ -270,11 +293,16 @@ CASES = {
         """SELECT node_id, round(heat_score * CASE WHEN state = 'SUPERSEDED' THEN 0.3 ELSE 1 END * (1 + 0.05 * least(node_id % 9, 5)), 6) AS score FROM nodes""",
     ),
     "t4_text_channel": (lambda t: R.text_channel(_queries(t), t.nodes, 10), f", {BM25}, {TEXT} {top('txt', 10)}"),
-    "t13_recall": (_recall, _recall_sql(10, 2)),
+    "t13_recall": (_recall, _recall_sql(10, 10)),
     "t17_ranking_eval": (
-        lambda t: R.ranking_eval(keep_top(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("heat_score").alias("score")), ["query_id"], [F.desc("score"), F.col("node_id")], 50), t.spark.range(5).select(F.col("id").alias("query_id"), (F.col("id") + 95).alias("expected_id")), 10),
-        """, k AS (SELECT node_id % 5 AS query_id, node_id, row_number() OVER (PARTITION BY node_id % 5 ORDER BY heat_score DESC, node_id) AS rank FROM nodes)
-        SELECT q.i AS query_id, coalesce(rank <= 10, false) AS found, CAST(coalesce(rank, 0) AS INT) AS at FROM range(5) q(i) LEFT JOIN k ON k.query_id = q.i AND k.node_id = q.i + 95 AND rank <= 50""",
+        lambda t: R.ranking_eval(
+            keep_top(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("heat_score").alias("score")), ["query_id"], [F.desc("score"), F.col("node_id")], 50),
+            t.nodes.where("node_id < 100").select((F.col("node_id") % 5).alias("query_id"), F.col("node_id").alias("expected_id"), ((F.col("node_id") + 50) % 100).alias("lower_id"), ((F.col("node_id") + 35) % 100).alias("absent_id")), 10,
+        ).groupBy("query_id", "found", "above", "absent").agg(F.count("*").alias("n"), F.sum("at").alias("at")),
+        """, k AS (SELECT * FROM (SELECT node_id % 5 AS query_id, node_id, row_number() OVER (PARTITION BY node_id % 5 ORDER BY heat_score DESC, node_id) AS rank FROM nodes) WHERE rank <= 50),
+        x AS (SELECT n.node_id % 5 AS query_id, e.rank AS er, l.rank AS lr, a.rank AS ar FROM nodes n LEFT JOIN k e ON e.query_id = n.node_id % 5 AND e.node_id = n.node_id LEFT JOIN k l ON l.query_id = n.node_id % 5 AND l.node_id = (n.node_id + 50) % 100
+          LEFT JOIN k a ON a.query_id = n.node_id % 5 AND a.node_id = (n.node_id + 35) % 100 WHERE n.node_id < 100)
+        SELECT query_id, coalesce(er <= 10, false) AS found, er IS NOT NULL AND (lr IS NULL OR er < lr) AS above, coalesce(ar > 10, true) AS absent, count(*) AS n, CAST(sum(coalesce(er, 0)) AS BIGINT) AS at FROM x GROUP BY 1, 2, 3, 4""",
     ),
     # graph
     "g1_personalized_pagerank": (lambda t: r6(G.personalized_pagerank(t.edges, t.edges.where("src % 10 = 0").select(F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0)), rounds=3, tolerance=0), "rank"), _ppr_sql(3)),

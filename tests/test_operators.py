@@ -69,18 +69,56 @@ def test_blocks_do_not_change_neighbours(spark):
 
 def test_export_and_import_of_one_tenant(spark, tmp_path):
     df = frame(spark, [(1, "a"), (2, "b"), (3, "a")], "id long, silo_id string")
-    S.silo_export(df, f"{tmp_path}/x")
-    assert S.silo_import(spark, f"{tmp_path}/x", "a").count() == 2
-    assert S.silo_import(spark, f"{tmp_path}/x").count() == 3
+    S.silo_export({"nodes": df, "edges": df.where("id = 1")}, f"{tmp_path}/x")
+    back = S.silo_import(spark, f"{tmp_path}/x", "a")
+    assert (back["nodes"].count(), back["edges"].count()) == (2, 1)
+    df.limit(1).write.mode("overwrite").partitionBy("silo_id").parquet(f"{tmp_path}/x/nodes")
+    with pytest.raises(ValueError, match="nodes"):
+        S.silo_import(spark, f"{tmp_path}/x")
 
 
 def test_findings_history(spark):
-    old = frame(spark, [("a", 1, 1), ("b", 2, 4)], "k string, body long, version long")
-    now, history = L.upsert_findings(old, frame(spark, [("b", 3), ("c", 9)], "k string, body long"), ["k"])
-    assert {tuple(r) for r in now.collect()} == {("a", 1, 1), ("b", 3, 5), ("c", 9, 1)}
+    old = frame(spark, [("a", 1, 1), ("b", 2, 4), ("d", 5, 2)], "k string, body long, version long")
+    new = frame(spark, [("b", 3, 10), ("c", 9, 11), ("d", 6, 12)], "k string, body long, finding long")
+    cites = frame(spark, [(10, 1), (10, 2), (11, 1), (12, 3)], "finding long, node_id long")
+    nodes = frame(spark, [(1,), (2,)], "node_id long")
+    now, history = L.upsert_findings(old, new, ["k"], cites, cites, nodes)
+    assert {(r.k, r.body, r.version, r.n_claims) for r in now.collect()} == {("a", 1, 1, None), ("b", 3, 5, 2), ("c", 9, 1, 1), ("d", 5, 2, None)}
     assert [(r.k, r.version) for r in history.collect()] == [("b", 4)]
 
 
+def test_chains_with_absent_predecessors_and_circles(spark):
+    schema = "node_id long, supersedes_id long"
+    got = G.version_roots(frame(spark, [(2, 1), (3, 2), (7, None)], schema)).collect()
+    assert {tuple(r) for r in got} == {(2, 2, 0), (3, 2, 1), (7, 7, 0)}
+    with pytest.raises(ValueError, match="circle"):
+        G.version_roots(frame(spark, [(1, 3), (2, 1), (3, 2)], schema))
+
+
+def test_vectors_of_unequal_length_are_an_error(spark):
+    v = frame(spark, [(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 1.0, 1.0])], "node_id long, embedding array<float>")
+    with pytest.raises(Exception, match="unequal length"):
+        M.nearest(v, v, 1).collect()
+
+
+def test_warping_by_hand(spark):
+    rows = [(1, [[0.0], [3.0]], [[0.0], [0.0], [3.0]]), (2, [[0.0]], [[3.0], [4.0]]), (3, [], [[1.0]]), (4, None, None)]
+    got = M.dtw_similarity(frame(spark, rows, "id long, a array<array<double>>, b array<array<double>>")).collect()
+    assert {r.id: r.similarity for r in got} == pytest.approx({1: 1.0, 2: 1 / 6, 3: 0.0, 4: 0.0})
+
+
+def test_forgetting_can_be_taken_back_in_time_only(spark):
+    n = frame(spark, [(1, "ACTIVE"), (2, "SUPERSEDED"), (3, "ACTIVE")], "node_id long, state string")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    n = L.forget(n, frame(spark, [(1,), (2,)], "node_id long"), at("2024-01-01 12:00:00"))
+    n = L.cancel_forget(n, frame(spark, [(2,)], "node_id long"), at("2024-01-01 12:59:00"))
+    n = L.cancel_forget(n, frame(spark, [(1,)], "node_id long"), at("2024-01-01 13:00:00"))
+    assert {(r.node_id, r.state) for r in n.collect()} == {(1, "TOMBSTONED"), (2, "SUPERSEDED"), (3, "ACTIVE")}
+    e = frame(spark, [(1, 3), (2, 3)], "src long, dst long")
+    nodes, edges = L.hard_delete(n, e, at("2024-01-01 13:00:00"))
+    assert {r.node_id for r in nodes.collect()} == {2, 3} and [tuple(r) for r in edges.collect()] == [(2, 3)]
+
+
 def test_text_ratio_is_the_library_ratio(spark):
     (r,) = M.text_ratio(frame(spark, [(1, "Abcd", "bcde")], "id long, a string, b string")).collect()
     assert r.ratio == pytest.approx(0.75)
