@@ -109,7 +109,7 @@ def erase(nodes: DataFrame, edges: DataFrame, ids: DataFrame, cascade: bool = Fa
     n = lambda df, as_: df.agg(F.count("*").alias(as_))
     status = F.when(F.col("n_found") == F.col("n_asked"), "completed").when(F.col("n_found") > 0, "partial").otherwise("failed")
     audit = n(asked, "n_asked").crossJoin(n(asked.join(there, "id", "left_semi"), "n_found")).crossJoin(n(gone.join(there, "id", "left_semi"), "n_erased"))
-    return kept_nodes, kept_edges, audit.withColumn("status", status)
+    return kept_nodes, kept_edges.select(*edges.columns), audit.withColumn("status", status)
 
 
 def review_weak_links(links: DataFrame, nodes: DataFrame, promote_weight: float = 0.6, promote_heat: float = 0.3, prune_hours: int = 30 * 24) -> DataFrame:
@@ -228,4 +228,4 @@ def hard_delete(nodes: DataFrame, edges: DataFrame, now: Column) -> tuple[DataFr
     """Nodes and edges without what was forgotten and whose window has closed."""
     gone = nodes.where(F.col("restorable_until") <= now).select(F.col("node_id").alias("id"))
     kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return nodes.join(gone, nodes.node_id == gone.id, "left_anti"), kept
+    return nodes.join(gone, nodes.node_id == gone.id, "left_anti"), kept.select(*edges.columns)
