@@ -56,12 +56,24 @@ def test_dedup_within_watermark(spark, sf_dir, tmp_path):
     assert e.select("node_id").distinct().count() <= n <= total
 
 
-def test_stuck_stream_equals_batch(spark, sf_dir, tmp_path):
+def test_stuck_stream_equals_batch(spark, tmp_path):
+    """Three like queries of a user in a row are stuck; a write among them, an unlike text or a long gap is not."""
     from tessera.operators.chains import stuck_stream
     from tessera.operators.windows import stuck_sessions
 
-    e = Tables(spark, sf_dir).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    like, other = "how do I reset the ledger", "weather in the north"
+    turns = {
+        1: [(0, like, False), (10, like + "?", False), (20, like, False)],
+        2: [(0, like, False), (10, like, True), (20, like, False)],
+        3: [(0, like, False), (10, other, False), (20, like, False)],
+        4: [(0, like, False), (10, like, False), (4000, like, False)],
+        5: [(0, None, False), (10, like, False), (20, like, False), (30, like, False), (40, like, True), (50, like, False)],
+        6: [(0, like, False), (10, like, False)],
+    }
+    rows = [(u, 100 * u + i, f"2024-01-01 {10 + s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}", text, wrote) for u, ts in turns.items() for i, (s, text, wrote) in enumerate(ts)]
+    e = spark.createDataFrame(rows, "user_id long, event_id long, ts string, text string, is_write boolean").withColumn("ts", F.col("ts").cast("timestamp"))
     e.coalesce(1).write.parquet(f"{tmp_path}/ev")
-    live = ST.access_source(spark, f"{tmp_path}/ev", e.schema, 1).select("user_id", "event_id", "ts", "event_type")
-    got = collect_stream(spark, stuck_stream(live, 24 * 3600), "stuck", "append").collect()
-    assert {tuple(r) for r in got} == {tuple(r) for r in stuck_sessions(e, 24 * 60).collect()}
+    live = ST.access_source(spark, f"{tmp_path}/ev", e.schema, 1)
+    got = {tuple(r) for r in collect_stream(spark, stuck_stream(live, 300), "stuck", "append").collect()}
+    assert got == {(1, 102), (5, 503)}
+    assert got == {tuple(r) for r in stuck_sessions(e, 5).collect()}
