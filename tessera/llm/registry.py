@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html_text, line_dedup, mih, mixing, phrases, pii, quality, secrets, simhash, trie, warc
+from tessera.llm import bpe, hilbert, html_text, line_dedup, mih, mixing, phrases, pii, quality, secrets, simhash, trie, warc
 from tessera.llm.common import table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_spans": _over(pii.op8_pii_spans, "documents"),
         "op9_secret_scan": _over(secrets.op9_secret_scan, "documents"),
         "op10_html_text": _over(html_text.op10_html_text, "pages"),
+        "op11_hilbert_neighbours": _over(hilbert.op11_hilbert_neighbours, "embeddings"),
         "op12_collocations": _over(phrases.op12_collocations, "documents"),
         "op13_prefix_trie": _over(trie.op13_prefix_trie, "conversations"),
     }
