@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +10,15 @@ from tessera.operators.aggregates import retrieval_quality
 from tessera.operators.filters import layer_threshold
 from tessera.operators.graph import ppr_channel
 from tessera.operators.lifecycle import dominated
-from tessera.operators.scans import BROADCAST_ROWS, in_blocks, spread
 from tessera.operators.similarity import nearest
+from tessera.operators.text_search import TOKEN, asked_terms, node_words, top_by_text, top_by_words, trigram_codes, weighted_terms, words_of
 from tessera.operators.windows import rrf_fuse
 from tessera.scratch import materialize
 
-TOKEN = r"[^\p{L}\p{N}]+"
 
-
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, tf``: lower-cased words of letters and digits."""
-    words = df.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN), lambda w: w != "")).alias("token"))
-    return words.groupBy(key, "token").agg(F.count("*").alias("tf"))
+def asked_words(queries: DataFrame) -> DataFrame:
+    """``query_id, token``: the distinct words of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(words_of("text"))).alias("token"))
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
@@ -31,78 +26,39 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, nodes: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
-    """BM25 of every query against every node; all hits without a k. Only nodes' tokens that some query has are joined on.
+def bm25(queries: DataFrame, nodes: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, words: DataFrame | None = None) -> DataFrame:
+    """Each query's k best nodes by BM25, exactly, by MaxScore over blocks of nodes.
 
-    ``terms``: the nodes' tokens, where they are at hand; else they are written once, for they are read three times. Tokens meet
-    the queries that have them as one array a token, so a common word is one row a node until the node's own task adds it up.
+    ``words``: the nodes' words, where they are at hand. Null and empty texts have no words, repeated words of a query count
+    once, ties go to the smaller node id, queries without a hit have no rows.
     """
-    terms = terms if terms is not None else materialize(tokens(nodes, "node_id", "content"), "bm25-terms")
-    lengths = terms.groupBy("node_id").agg(F.sum("tf").alias("length"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = tokens(queries, "query_id", "text").groupBy("token").agg(F.collect_list("query_id").alias("queries"))
-    hits = materialize(terms.join(asked.select("token"), "token", "left_semi"), "bm25-hits")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "token").crossJoin(F.broadcast(stats))
-    weights = weights.select("token", "queries", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    per = hits.join(weights, "token").join(lengths, "node_id").select("node_id", F.explode("queries").alias("query_id"), part.alias("part"))
-    scored = per.groupBy("query_id", "node_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return scored if k is None else _top(scored, k)
-
-
-def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None) -> DataFrame:
+    packed, asked = weighted_terms(words if words is not None else node_words(nodes), asked_words(queries), k1, b)
+    return top_by_words(materialize(packed, "bm25-nodes"), materialize(asked, "bm25-queries"), k)
+
+
+def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataFrame | None = None) -> DataFrame:
     """How many of a query's first five words of three letters or more a node contains.
 
     Containment is of whole words of the node, so it joins on the word instead of scanning each text for each query.
     """
-    word = F.slice(F.filter(F.split(F.lower("text"), TOKEN), lambda w: F.length(w) >= 3), 1, 5)
-    asked = queries.select("query_id", F.explode(F.array_distinct(word)).alias("token"))
-    terms = terms if terms is not None else tokens(nodes, "node_id", "content")
+    first = F.slice(F.filter(F.split(F.lower("text"), TOKEN), lambda w: F.length(w) >= 3), 1, 5)
+    asked = queries.select("query_id", F.explode(F.array_distinct(first)).alias("token"))
+    terms = asked_terms(words if words is not None else node_words(nodes), asked)
     hit = terms.join(asked, "token").groupBy("query_id", "node_id").agg(F.count("*").cast("double").alias("score"))
     return _top(hit, k)
 
 
-def trigram_codes(text: str) -> Column:
-    """The distinct trigrams of a text as ``exprs.trigrams`` has them, each as one long of three code points: long texts are cut faster in Arrow batches."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for x in texts:
-            c = np.frombuffer(f"  {x} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-            out.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
-        return pd.Series(out)
-
-    return run(F.lower(F.coalesce(text, F.lit(""))))
-
-
-def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, terms: DataFrame | None = None, least: float = 0.1) -> DataFrame:
+def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataFrame | None = None, least: float = 0.1) -> DataFrame:
     """.7 x BM25 over its best + .3 x trigram similarity of the whole content, for lexical matches and for contents of similarity above ``least``.
 
-    Similarity needs the smaller set to be a tenth of the larger at least; the stated queries are broadcast in blocks of a checked
-    size, each content's trigrams are cut once, and no pair is cut before both parts are blended.
+    Exact: bounds tell within a block of nodes which can be among the k best, and only these are measured.
     """
-    lexical = bm25(queries, nodes, None, terms=terms)
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    lexical = lexical.withColumn("share", F.col("score") / best).drop("score")
-    grams = spread(materialize(nodes.select("node_id", trigram_codes("content").alias("x")), "text-grams"))
-    asked = materialize(queries.select("query_id", trigram_codes("text").alias("y")), "text-asked")
-    common = F.size(F.array_intersect("x", "y")).alias("common")
-    similarity = (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("similarity")
-    sized = lambda df, *more: df.select("query_id", "node_id", *more, common, F.size("x").alias("a"), F.size("y").alias("b"))
-    near = None
-    for block in in_blocks(asked, "query_id"):
-        part = grams.join(block, F.expr(f"least(size(x), size(y)) >= {least} * greatest(size(x), size(y))"))
-        part = sized(part).select("query_id", "node_id", similarity)
-        near = part if near is None else near.union(part)
-    # below the bound the similarity counts for lexical matches only, and is then found for these
-    near = materialize(near, "text-near").where(F.col("similarity") > least)
-    j = materialize(lexical.join(near, ["query_id", "node_id"], "full_outer"), "text-lexical")
-    rest = j.where("similarity is null").select("query_id", "node_id", "share").join(grams, "node_id").join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "query_id")
-    rest = sized(rest, "share").select("query_id", "node_id", "share", similarity)
-    whole = j.where("similarity is not null").select("query_id", "node_id", "share", "similarity").unionByName(rest)
-    return _top(whole.select("query_id", "node_id", F.round(0.7 * F.coalesce("share", F.lit(0.0)) + 0.3 * F.col("similarity"), 6).alias("score")), k)
+    packed, asked = weighted_terms(words if words is not None else node_words(nodes), asked_words(queries))
+    packed, asked = materialize(packed, "text-words"), materialize(asked, "text-asked")
+    # a content is much work for its bytes, so it is cut in many tasks
+    cores = 2 * nodes.sparkSession.sparkContext.defaultParallelism
+    texts = materialize(nodes.select("node_id", "content").repartition(cores).select("node_id", trigram_codes("content").alias("grams")), "text-grams")
+    return top_by_text(packed, asked, texts, queries.select("query_id", trigram_codes("text").alias("grams")), k, least)
 
 
 def temporal_channel(queries: DataFrame, versions: DataFrame, k: int = 10, half_days: float = 7.0) -> DataFrame:
@@ -116,14 +72,28 @@ def temporal_channel(queries: DataFrame, versions: DataFrame, k: int = 10, half_
 
 
 def fuse(channels: dict[str, DataFrame], top: int = 20) -> DataFrame:
-    """Reciprocal rank fusion of channels ``query_id, node_id, rank``."""
+    """Reciprocal rank fusion of channels ``query_id, node_id, rank``, each written: k rows a query, however it was found."""
     every = None
     for name, df in channels.items():
-        one = df.select("query_id", F.lit(name).alias("channel"), "node_id", "rank")
+        one = materialize(df.select("query_id", F.lit(name).alias("channel"), "node_id", "rank"), f"channel-{name}")
         every = one if every is None else every.unionByName(one)
     return rrf_fuse(every, top=top)
 
 
+def hybrid_topk(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, node_id, score, rank, fallback``: dense and sparse hits fused, each fetched to twice the depth.
+
+    ``queries``: ``query_id, text, embedding``. A query whose words no node has falls back to its dense hits, marked so; one
+    without a vector has its sparse hits alone; one with neither has no rows. A null text has no words.
+    """
+    asked = queries.where("embedding is not null").select(F.col("query_id").alias("node_id"), "embedding")
+    dense = nearest(asked, vectors, 2 * k).select("query_id", "node_id", "rank")
+    sparse = materialize(bm25(queries.select("query_id", "text"), nodes, 2 * k).select("query_id", "node_id", "rank"), "hybrid-sparse")
+    lexical = sparse.select("query_id").distinct().withColumn("fallback", F.lit(False))
+    fused = fuse({"dense": dense, "sparse": sparse}, top=k).select("query_id", "node_id", "score", "rank")
+    return fused.join(lexical, "query_id", "left").withColumn("fallback", F.coalesce("fallback", F.lit(True)))
+
+
 def rerank_blend(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """score x (.5 + .5 r / max r) where a rescoring exists."""
     j = hits.join(scores, ["query_id", "node_id"], "left")
@@ -169,10 +139,10 @@ def recall(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: Data
     dense = materialize(nearest(asked, near, 2 * k).select("query_id", "node_id", "rank"), "recall-dense")
     start = dense.where(F.col("rank") <= seeds).select("query_id", F.col("node_id").alias("id"), F.lit(1.0).alias("weight"))
     text = queries.select("query_id", "text")
-    terms = materialize(tokens(live, "node_id", "content"), "recall-terms")
+    words = node_words(live)
     times = queries.where("start is not null").select("query_id", "start", "end")
     channels = {
-        "dense": dense, "text": text_channel(text, live, 2 * k, terms), "grep": grep_channel(text, live, 2 * k, terms),
+        "dense": dense, "text": text_channel(text, live, 2 * k, words), "grep": grep_channel(text, live, 2 * k, words),
         "graph": ppr_channel(edges.where("edge_type <> 'CONTRADICTS'"), start, 2 * k, rounds=rounds),
         "temporal": temporal_channel(times, live.where("valid_from is not null").select("node_id", "layer", "valid_from"), 2 * k),
     }

@@ -270,6 +270,16 @@ CASES = {
         ch AS (SELECT query_id, node_id, 'a' AS c, rank FROM ({top('raw', 20)}) UNION ALL SELECT query_id, node_id, 'b', rank FROM ({top('g', 20)})),
         n AS (SELECT query_id, count(DISTINCT c) AS n FROM ch GROUP BY 1), f AS (SELECT ch.query_id, node_id, round(sum(1.0 / (60 + rank)) / (any_value(n) / 61.0), 9) AS score FROM ch JOIN n ON n.query_id = ch.query_id GROUP BY 1, 2) {top('f', 10)}""",
     ),
+    "t3_hybrid_topk": (
+        lambda t: R.hybrid_topk(
+            _queries(t).join(t.vectors.select(F.col("node_id").alias("query_id"), "embedding"), "query_id").select("query_id", F.when(F.col("query_id") % 4 == 0, "").otherwise(F.col("text")).alias("text"), "embedding"),
+            t.nodes, t.vectors, 10,
+        ),
+        f""", {knn('a.node_id IN (SELECT item_id FROM benchmark)', 20, -1)}, {BM25.replace("FROM benchmark)", "FROM benchmark WHERE item_id % 4 > 0 AND item_id IN (SELECT node_id FROM vectors))")},
+        ch AS (SELECT query_id, node_id, 'a' AS c, rank FROM ({top('raw', 20)}) UNION ALL SELECT query_id, node_id, 'b', rank FROM near),
+        n AS (SELECT query_id, count(DISTINCT c) AS n FROM ch GROUP BY 1), f AS (SELECT ch.query_id, node_id, round(sum(1.0 / (60 + rank)) / (any_value(n) / 61.0), 9) AS score FROM ch JOIN n ON n.query_id = ch.query_id GROUP BY 1, 2)
+        SELECT z.*, NOT z.query_id IN (SELECT query_id FROM raw) AS fallback FROM ({top('f', 10)}) z""",
+    ),
     "t8_rerank_blend": (
         lambda t: r6(R.rerank_blend(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("confidence").alias("score")), t.labels.select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("node_id"), ((F.col("doc_id") % 17) / 17).alias("rescore"))), "score").select("query_id", "node_id", "score"),
         """, j AS (SELECT node_id % 5 AS query_id, node_id, confidence AS score, CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE node_id % 17 / 17 END AS r FROM nodes), m AS (SELECT query_id, max(r) AS b FROM j GROUP BY 1)
