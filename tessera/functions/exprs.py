@@ -196,3 +196,13 @@ def tier_from_uri(uri: Column | str) -> Column:
 def inline_summary(steps: Column | str, sep: str = " -> ") -> Column:
     """The texts of a chain's steps, joined."""
     return F.array_join(F.transform(col(steps), lambda s: s["text"]), sep)
+
+
+def typed_props(text: Column, fields: dict[str, tuple[str, str]]) -> list[Column]:
+    """Columns of free properties, each by path and type (``{"n": ("$.step.n", "bigint")}``), and ``valid``: whether the text is JSON.
+
+    The text is parsed once, as a VARIANT. A text that is null or no JSON has null in each; so has a path that is missing or a
+    value that its type cannot hold.
+    """
+    parsed = F.try_parse_json(text)
+    return [*[F.try_variant_get(parsed, path, kind).alias(name) for name, (path, kind) in fields.items()], parsed.isNotNull().alias("valid")]

@@ -174,15 +174,23 @@ def tombstone_edges(edges: DataFrame, lineage: DataFrame, kind: str, below: floa
 
 
 def propagate_local(prior: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 2, least: float = 0.1, rounds: int = 20) -> DataFrame:
-    """Confidence propagation on what lies within ``depth`` hops of the targets: the changes worth writing."""
-    from tessera.operators.graph import propagate_confidence
-
-    near = materialize(neighborhood(edges, targets, depth).select("id"), "local")
-    inside = edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    p = prior.join(near, "id", "left_semi")
-    new = propagate_confidence(p, inside, rounds=rounds)
-    j = new.join(p, "id").withColumn("change", F.col("confidence") - F.col("credibility"))
-    return j.where(F.abs(F.round("change", 9)) > least).select("id", "confidence")
+    """``target, id, confidence``: confidence propagation on the subgraph within ``depth`` hops of each target, the changes worth writing.
+
+    All targets (``targets(id)``, distinct) are iterated together, each on its own subgraph; what was synthesised from a node supports it.
+    """
+    from tessera.operators.graph import both_ways, propagate_confidence
+
+    e = materialize(both_ways(edges.select("src", "dst")).distinct(), "local-edges")
+    near = front = materialize(targets.where("id is not null").select(F.col("id").alias("target"), "id").distinct(), "local")
+    for _ in range(depth):
+        step = front.withColumnRenamed("id", "src").join(e, "src").select("target", F.col("dst").alias("id")).distinct()
+        front = materialize(step.join(near, ["target", "id"], "left_anti"), "local-front")
+        near = materialize(near.union(front), "local")
+    inside = edges.join(near.withColumnRenamed("id", "src"), "src").join(near.withColumnRenamed("id", "dst"), ["target", "dst"], "left_semi")
+    p = materialize(near.join(prior.select("id", "credibility"), "id"), "local-prior")
+    new = propagate_confidence(p, inside, rounds=rounds, epsilon=0.0, by=("target",), supporting=("SUPPORTS", "SYNTHESIZED_FROM"))
+    j = new.join(p, ["target", "id"]).withColumn("change", F.col("confidence") - F.col("credibility"))
+    return j.where(F.abs(F.round("change", 9)) > least).select("target", "id", "confidence")
 
 
 def embed_backfill(nodes: DataFrame, encoder: Callable, schema: str = "node_id long, embedding array<float>") -> DataFrame:

@@ -81,26 +81,28 @@ def ppr_channel(edges: DataFrame, seeds: DataFrame, k: int = 10, damping: float
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def propagate_confidence(prior: DataFrame, edges: DataFrame, alpha: float = 0.8, eta: float = 1.0, rounds: int = 100, epsilon: float = 1e-6) -> DataFrame:
+def propagate_confidence(prior: DataFrame, edges: DataFrame, alpha: float = 0.8, eta: float = 1.0, rounds: int = 100, epsilon: float = 1e-6, by: tuple[str, ...] = (), supporting: tuple[str, ...] = ("SUPPORTS",)) -> DataFrame:
     """x = clip((1 - alpha) prior + alpha (S - eta C) x, 0, 1) to a fixed point; S and C row-normalised per target.
 
-    ``prior``: ``id, credibility``; ``edges``: ``src, dst, edge_type, weight``. Nodes without in-edges keep their prior.
+    ``prior``: ``id, credibility``; ``edges``: ``src, dst, edge_type, weight``. Nodes without in-edges keep their prior. ``by`` names
+    columns of both that tell one graph from another: all graphs are iterated together.
     """
-    e = edges.where("edge_type in ('SUPPORTS', 'CONTRADICTS')").groupBy("src", "dst", "edge_type").agg(F.max("weight").alias("weight"))
-    norm = e.groupBy("dst", "edge_type").agg(F.sum("weight").alias("total"))
-    sign = F.when(F.col("edge_type") == "SUPPORTS", 1.0).otherwise(-eta)
-    e = materialize(e.join(norm, ["dst", "edge_type"]).where("total > 0").select("src", "dst", (sign * F.col("weight") / F.col("total")).alias("w")), "propagate-edges")
-    p = materialize(prior.select("id", "credibility"), "propagate-prior")
-    x = p.select("id", F.col("credibility").alias("x"))
+    keys = list(by)
+    sign = F.when(F.col("edge_type").isin(*supporting), 1.0).when(F.col("edge_type") == "CONTRADICTS", -eta)
+    e = edges.withColumn("sign", sign).where("sign is not null").groupBy(*keys, "src", "dst", "sign", "edge_type").agg(F.max("weight").alias("weight"))
+    norm = e.groupBy(*keys, "dst", "sign").agg(F.sum("weight").alias("total"))
+    e = materialize(e.join(norm, [*keys, "dst", "sign"]).where("total > 0").select(*keys, F.col("src").alias("id"), "dst", (F.col("sign") * F.col("weight") / F.col("total")).alias("w")), "propagate-edges")
+    p = materialize(prior.select(*keys, "id", "credibility"), "propagate-prior")
+    x = p.select(*keys, "id", F.col("credibility").alias("x"))
     for _ in range(rounds):
-        inflow = x.join(e, x.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("inflow"))
-        new = p.join(inflow, "id", "left").join(x, "id")
-        new = materialize(new.select("id", F.when(F.col("inflow").isNull(), F.col("credibility")).otherwise(exprs.clamp((1 - alpha) * F.col("credibility") + alpha * F.col("inflow"))).alias("y"), "x"), "propagate")
+        inflow = x.join(e, [*keys, "id"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("inflow"))
+        new = p.join(inflow, [*keys, "id"], "left").join(x, [*keys, "id"])
+        new = materialize(new.select(*keys, "id", F.when(F.col("inflow").isNull(), F.col("credibility")).otherwise(exprs.clamp((1 - alpha) * F.col("credibility") + alpha * F.col("inflow"))).alias("y"), "x"), "propagate")
         moved = new.agg(F.max(F.abs(F.col("y") - F.col("x")))).first()[0]
-        x = new.select("id", F.col("y").alias("x"))
+        x = new.select(*keys, "id", F.col("y").alias("x"))
         if moved is None or moved < epsilon:
             break
-    return x.select("id", F.col("x").alias("confidence"))
+    return x.select(*keys, "id", F.col("x").alias("confidence"))
 
 
 def diffuse_heat(heat: DataFrame, edges: DataFrame, decay: float = 0.7, least: float = 0.01, depth: int = 3, hot: float = 0.5) -> DataFrame:
@@ -146,6 +148,55 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) ->
     return spark.createDataFrame(path, "node_id long, place int")
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
+    """``a, b, place, node_id`` along one shortest undirected path for each of the distinct ``pairs(a, b)``, all searched at once.
+
+    Both ends of every pair grow frontiers, the smaller side of all first, until they meet: what is reached is about twice the
+    reach of half the way, not the reach of the whole. Of several paths the one with the smallest ids from b back is taken. A pair
+    further apart than ``most`` hops, or with an end that no edge has, has no rows; a pair of equal ends has one; nulls none.
+    """
+    e = materialize(both_ways(edges.select("src", "dst")).where("src is not null and dst is not null").distinct(), "paths-edges")
+    open_ = materialize(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "paths-pairs")
+    known = e.select(F.col("src").alias("id")).distinct()
+    for end in "ab":
+        open_ = open_.join(known.withColumnRenamed("id", end), end, "left_semi")
+    open_ = materialize(open_.select("a", "b"), "paths-open")
+    at = {end: open_.select("a", "b", F.col(end).alias("id"), F.lit(0).alias("hops")) for end in "ab"}
+    front, size, depth, met = dict(at), dict.fromkeys("ab", 0), dict.fromkeys("ab", 0), None
+    while True:
+        hit = at["a"].withColumnRenamed("hops", "x").join(at["b"].withColumnRenamed("hops", "y"), ["a", "b", "id"])
+        hit = hit.join(open_, ["a", "b"], "left_semi").withColumn("length", F.min(F.col("x") + F.col("y")).over(Window.partitionBy("a", "b"))).where(F.col("x") + F.col("y") == F.col("length"))
+        hit = materialize(hit.select("a", "b", "id", "x", "y", "length"), "paths-met")
+        met = hit if met is None else met.union(hit)
+        open_ = materialize(open_.join(hit.select("a", "b").distinct(), ["a", "b"], "left_anti"), "paths-open")
+        end = min("ab", key=lambda k: size[k])
+        if sum(depth.values()) == most or open_.isEmpty():
+            break
+        depth[end] += 1
+        step = front[end].join(open_, ["a", "b"], "left_semi").select("a", "b", F.col("id").alias("src")).join(e, "src").select("a", "b", F.col("dst").alias("id")).distinct()
+        step = materialize(step.join(at[end], ["a", "b", "id"], "left_anti").withColumn("hops", F.lit(depth[end])), "paths-front")
+        size[end] = step.count()
+        front[end], at[end] = step, materialize(at[end].union(step), "paths-reached")
+    # nodes on some shortest path between the meeting places and b: a level nearer to b each step
+    level = met.select("a", "b", "id", F.col("y").alias("left"))
+    held = level
+    for _ in range(depth["b"]):
+        nearer = at["b"].select("a", "b", F.col("id").alias("dst"), F.col("hops").alias("near"))
+        level = level.where("left > 0").withColumnRenamed("id", "src").join(e, "src").join(nearer, ["a", "b", "dst"]).where("near = left - 1").select("a", "b", F.col("dst").alias("id"), F.col("near").alias("left"))
+        level = materialize(level.distinct(), "paths-level")
+        held = held.union(level)
+    length = met.select("a", "b", "length").distinct()
+    far = at["a"].join(length, ["a", "b"]).where("hops <= length").select("a", "b", "id", F.col("hops").alias("place"))
+    placed = materialize(held.join(length, ["a", "b"]).select("a", "b", "id", (F.col("length") - F.col("left")).alias("place")).union(far).distinct(), "paths-placed")
+    path = materialize(length.select("a", "b", F.col("b").alias("id"), F.col("length").alias("place")), "paths-path")
+    whole = path
+    for _ in range(sum(depth.values())):
+        back = path.where("place > 0").withColumnRenamed("id", "src").join(e, "src").withColumn("place", F.col("place") - 1).select("a", "b", F.col("dst").alias("id"), "place")
+        path = materialize(back.join(placed, ["a", "b", "id", "place"], "left_semi").groupBy("a", "b", "place").agg(F.min("id").alias("id")).select("a", "b", "id", "place"), "paths-path")
+        whole = whole.union(path)
+    return whole.select("a", "b", "place", F.col("id").alias("node_id"))
+
+
 def version_roots(versions: DataFrame) -> DataFrame:
     """``node_id, root, place``: each version's chain by pointer jumping, which doubles its reach each round.
 

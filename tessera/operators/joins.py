@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.functions import exprs
 from tessera.operators.graph import would_cycle
-from tessera.operators.scans import in_blocks
+from tessera.operators.scans import BROADCAST_ROWS, in_blocks
+from tessera.scratch import materialize
 
 SPO = ["silo_id", "subject", "predicate", "object"]
 
@@ -212,18 +216,72 @@ def entity_dedup(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return m.select("mention_id", F.coalesce(F.col("name_entity").cast("string"), F.col("qualified_name_entity").cast("string"), exprs.content_id("name_key")).alias("entity"))
 
 
-def belief_coverage(beliefs: DataFrame, subjects: DataFrame, as_of: Column) -> DataFrame:
-    """Per subject the beliefs that mention it, case-insensitively, are valid at a time and live, and the facts behind them.
+def mentions_of(texts: DataFrame, key: str, text: str, subjects: DataFrame, block: int = BROADCAST_ROWS) -> DataFrame:
+    """``subject, <key>``, distinct: the rows of ``texts`` whose text contains the subject, case-insensitively.
 
-    ``beliefs``: ``node_id, content, state, valid_from, valid_to, facts``. The stated subjects are broadcast in blocks of a checked size.
+    One pass over each text finds all subjects of a block with an Aho-Corasick automaton; a block holds ``block`` subjects at
+    most, each further one scans the texts once more. A null subject or text gives nothing, an empty subject stands in every text.
     """
-    live = beliefs.where(F.col("state") != "TOMBSTONED").where((F.col("valid_from").isNull() | (F.col("valid_from") <= as_of)) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of)))
+    asked = materialize(subjects.select("subject", F.lower("subject").alias("s")).where("subject is not null").distinct(), "mention-subjects")
+    low = texts.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("x"))
+    kind = texts.schema[key].dataType.simpleString()
+    n = max(1, -(-asked.count() // block))
     told = None
-    for block in in_blocks(subjects.select(F.col("subject").alias("s")), "s"):
-        part = live.join(block, F.expr("contains(lower(content), lower(s))")).select("s", "node_id", "facts")
+    for i in range(n):
+        patterns = [r.s for r in asked.where(F.pmod(F.xxhash64("s"), F.lit(n)) == i).select("s").distinct().collect()]  # a block's at most
+
+        def run(batches: Iterator[pa.RecordBatch], patterns: list[str] = patterns) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for p in filter(None, patterns):
+                machine.add_word(p, p)
+            machine.make_automaton()
+            everywhere = {""} & set(patterns)
+            for batch in batches:
+                ids, found = batch.column(key).to_pylist(), []
+                for at, x in enumerate(batch.column("x").to_pylist()):
+                    found += [(at, s) for s in (everywhere | {s for _, s in machine.iter(x)} if len(machine) else everywhere)]
+                yield pa.RecordBatch.from_arrays([pa.array([s for _, s in found], pa.string()), pa.array([ids[at] for at, _ in found], batch.column(key).type)], names=["s", key])
+
+        part = low.mapInArrow(run, f"s string, {key} {kind}")
         told = part if told is None else told.union(part)
-    g = told.groupBy("s").agg(F.count("*").alias("n_nodes"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts"))
-    return subjects.join(g, F.col("subject") == F.col("s"), "left").select("subject", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("facts", F.array().cast("array<bigint>")).alias("facts"))
+    return told.join(asked, "s").select("subject", key).distinct()
+
+
+def _live(beliefs: DataFrame) -> DataFrame:
+    return beliefs.where(F.coalesce(F.col("state") != "TOMBSTONED", F.lit(True)))
+
+
+def belief_coverage(beliefs: DataFrame, subjects: DataFrame, as_of: Column) -> DataFrame:
+    """Per subject how many beliefs mention it, case-insensitively, are valid at a time and live, and the facts behind them.
+
+    ``beliefs``: ``node_id, content, state, valid_from, valid_to, facts``. A subject that none mentions has 0 and no facts.
+    """
+    live = _live(beliefs).where((F.col("valid_from").isNull() | (F.col("valid_from") <= as_of)) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of)))
+    told = materialize(mentions_of(live, "node_id", "content", subjects), "coverage")
+    n = told.groupBy("subject").agg(F.count("*").alias("n_nodes"))
+    each = told.join(live.select("node_id", F.explode("facts").alias("fact")), "node_id").select("subject", "fact").distinct()
+    facts = each.groupBy("subject").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    j = subjects.join(n, "subject", "left").join(facts, "subject", "left")
+    return j.select("subject", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("facts", F.array().cast("array<bigint>")).alias("facts"))
+
+
+def similar_beliefs(beliefs: DataFrame, subjects: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
+    """``subject, rank, node_id, confidence, facts``: the k surest live beliefs that mention a subject and have not ended; no confidence counts as 1, ties go to the smaller id."""
+    live = _live(beliefs).where(F.col("valid_to").isNull() | (F.col("valid_to") > as_of))
+    told = mentions_of(live, "node_id", "content", subjects).join(live.select("node_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "facts"), "node_id")
+    w = Window.partitionBy("subject").orderBy(F.desc("confidence"), "node_id")
+    return told.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("subject", "rank", "node_id", "confidence", "facts")
+
+
+def history_by_subject(nodes: DataFrame, subjects: DataFrame, k: int = 50) -> DataFrame:
+    """``subject, place, node_id, valid_from, valid_to, confidence``: the k oldest live nodes that mention a subject in their content or their own ``about``; without a start first."""
+    live = _live(nodes)
+    told = mentions_of(live, "node_id", "content", subjects).union(mentions_of(live, "node_id", "about", subjects)).distinct()
+    j = told.join(live.select("node_id", "valid_from", "valid_to", "confidence"), "node_id")
+    w = Window.partitionBy("subject").orderBy(F.col("valid_from").asc_nulls_first(), "node_id")
+    return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("subject", "place", "node_id", "valid_from", "valid_to", "confidence")
 
 
 def validate_citations(cites: DataFrame, seen: DataFrame, nodes: DataFrame, least: float = 0.7) -> DataFrame:

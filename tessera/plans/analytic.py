@@ -100,6 +100,18 @@ def _recall_sql(k: int, rounds: int) -> str:
     return text + " SELECT zt.*, CASE WHEN s > 0.6 THEN 'high' WHEN s >= 0.4 THEN 'partial' WHEN s > 0 THEN 'low' ELSE 'none' END AS quality FROM zt JOIN ql ON ql.query_id = zt.query_id"
 
 
+def _paths_sql(most: int) -> str:
+    text = """, u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), ab AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier UNION SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT s_suppkey, -s_suppkey FROM supplier),
+    r0 AS (SELECT a, b, a AS id, 0 AS hops FROM ab WHERE a IN (SELECT src FROM u))"""
+    for i in range(1, most + 1):
+        text += f""", f{i} AS (SELECT DISTINCT r.a, r.b, u.dst AS id, {i} AS hops FROM r{i - 1} r JOIN u ON u.src = r.id WHERE r.hops = {i - 1}),
+        r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} UNION ALL SELECT f.* FROM f{i} f WHERE NOT EXISTS (SELECT 1 FROM r{i - 1} r WHERE r.a = f.a AND r.b = f.b AND r.id = f.id))"""
+    text += f", p0 AS (SELECT a, b, hops AS place, id FROM r{most} WHERE id = b)"
+    for i in range(1, most + 1):
+        text += f", p{i} AS (SELECT p.a, p.b, p.place - 1 AS place, min(r.id) AS id FROM p{i - 1} p JOIN u ON u.src = p.id JOIN r{most} r ON r.a = p.a AND r.b = p.b AND r.id = u.dst AND r.hops = p.place - 1 GROUP BY 1, 2, 3)"
+    return text + " " + " UNION ALL ".join(f"SELECT a, b, CAST(place AS INT) AS place, id AS node_id FROM p{i}" for i in range(most + 1))
+
+
 def _time_queries(t: Tables):
     return t.nation.select(F.col("n_nationkey").cast("long").alias("query_id"), F.make_timestamp_ntz(F.lit(1996), F.col("n_nationkey").cast("int") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start"), F.lit("1997-03-01").cast("timestamp_ntz").alias("end"))
 
@@ -223,6 +235,17 @@ CASES = {
         OR (len(ws) <= 5 AND list_has_any(ws, ['rejected', 'approved', 'denied', 'accepted', 'failed', 'succeeded', 'postponed', 'cancelled', 'confirmed', 'dismissed', 'granted', 'abandoned', 'dropped', 'removed', 'added', 'changed', 'decided'])) AS hard FROM w""",
     ),
     "f21_json_props": (lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    "f21_typed_props": (
+        lambda t: t.events.select("event_id", *X.typed_props(
+            F.when(F.col("event_id") % 50 == 0, '{"k": ').when(F.col("event_id") % 77 == 0, None).otherwise(F.concat(
+                F.lit('{"k": '), F.when(F.col("event_id") % 9 == 0, F.lit('"x"')).otherwise(F.col("user_id").cast("string")), F.lit(', "kind": "'), "event_type", F.lit('", "score": '), F.col("value").cast("string"),
+                F.lit(', "step": {"n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "done": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit('}, "tags": ["a", "'), "event_type", F.lit('"]}'))),
+            {"k": ("$.k", "bigint"), "kind": ("$.kind", "string"), "score": ("$.score", "double"), "n": ("$.step.n", "bigint"), "done": ("$.step.done", "boolean"), "tag": ("$.tags[1]", "string"), "none": ("$.step.none", "string")},
+        )),
+        """, e AS (SELECT *, event_id % 50 > 0 AND event_id % 77 > 0 AS ok FROM events)
+        SELECT event_id, CASE WHEN ok AND event_id % 9 > 0 THEN user_id END AS k, CASE WHEN ok THEN event_type END AS kind, CASE WHEN ok THEN value END AS score, CASE WHEN ok THEN event_id % 7 END AS n,
+          CASE WHEN ok THEN event_id % 2 = 0 END AS done, CASE WHEN ok THEN event_type END AS tag, CAST(NULL AS VARCHAR) AS none, ok AS valid FROM e""",
+    ),
     "f22_inline_summary": (
         lambda t: t.versions.groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("node_id", F.col("node_id").cast("string").alias("text")))).alias("s")).select("chain_id", X.inline_summary("s").alias("summary")),
         "SELECT chain_id, string_agg(CAST(node_id AS VARCHAR), ' -> ' ORDER BY node_id) AS summary FROM versions GROUP BY 1",
@@ -328,6 +351,7 @@ CASES = {
         ", near AS (SELECT CAST(3 AS BIGINT) AS id UNION SELECT dst FROM edges WHERE src = 3 UNION SELECT src FROM edges WHERE dst = 3) SELECT DISTINCT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM near) OR dst IN (SELECT id FROM near)",
     ),
     "g7_shortest_path": (lambda t: G.shortest_path(t.edges, 1, 7), None),
+    "g7_shortest_paths": (lambda t: G.shortest_paths(t.edges, t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b")).union(t.supplier.select("s_suppkey", F.col("s_suppkey"))).union(t.supplier.select(F.col("s_suppkey"), -F.col("s_suppkey"))), 4), _paths_sql(4)),
     "g8_version_chain": (
         lambda t: G.version_roots(t.versions),
         """SELECT node_id, first_value(node_id) OVER w AS root, CAST(row_number() OVER w - 1 AS INT) AS place FROM versions WINDOW w AS (PARTITION BY chain_id ORDER BY valid_from, node_id)""",

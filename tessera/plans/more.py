@@ -64,6 +64,19 @@ def _ppr_channel_sql(rounds: int) -> str:
     return text + " SELECT query_id, node_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM z) WHERE rank <= 10"
 
 
+def _local_sql(depth: int, rounds: int) -> str:
+    text = """, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), n0 AS (SELECT DISTINCT src AS target, src AS id FROM edges WHERE src % 10 = 3)"""
+    for i in range(1, depth + 1):
+        text += f", n{i} AS MATERIALIZED (SELECT * FROM n{i - 1} UNION SELECT target, dst FROM n{i - 1} JOIN u ON src = id)"
+    text += f""", p AS MATERIALIZED (SELECT target, id, abs(id) % 10 / 10.0 AS c FROM n{depth}),
+    e0 AS (SELECT a.target, src, dst, CASE edge_type WHEN 'CONTRADICTS' THEN -1.0 ELSE 1.0 END AS sign, weight AS w FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst AND b.target = a.target),
+    e AS MATERIALIZED (SELECT target, src, dst, sign * w / sum(w) OVER (PARTITION BY target, dst, sign) AS w FROM e0), x0 AS (SELECT target, id, c AS x FROM p)"""
+    for i in range(1, rounds + 1):
+        text += f""", x{i} AS MATERIALIZED (SELECT p.target, p.id, CASE WHEN f.s IS NULL THEN c ELSE greatest(0, least(1, 0.2 * c + 0.8 * f.s)) END AS x
+        FROM p LEFT JOIN (SELECT e.target, dst, sum(w * x) AS s FROM x{i - 1} x JOIN e ON x.id = src AND x.target = e.target GROUP BY 1, 2) f ON f.dst = p.id AND f.target = p.target)"""
+    return text + f" SELECT x.target, x.id, round(x, 6) AS confidence FROM x{rounds} x JOIN p ON p.id = x.id AND p.target = x.target WHERE abs(round(x - c, 9)) > 0.1"
+
+
 CASES = {
     "s5_ingest_claims": (
         lambda t: C.ingest_claims(t.claims.where(F.col("created_at") <= ts(MID)), t.claims.where(F.col("created_at") > ts(MID))),
@@ -128,7 +141,10 @@ CASES = {
         lambda t: C.classify_types(t.part, "p_type").groupBy("type_class").agg(F.count("*").alias("n")),
         "SELECT CASE WHEN regexp_matches(lower(p_type), '(^|\\s)(brass|copper|steel|tin|nickel)(\\s|$)') THEN 'material' ELSE 'other' END AS type_class, count(*) AS n FROM part GROUP BY 1",
     ),
-    "g4_propagate_local": (lambda t: r6(C.propagate_local(_prior(t), t.edges, t.edges.where("src = 3").select(F.col("src").alias("id")), 1, rounds=3), "confidence"), _propagate_sql(3, "inside", True)),
+    "g4_propagate_local": (
+        lambda t: r6(C.propagate_local(_prior(t), t.edges.withColumn("edge_type", F.when(F.col("edge_type") == "CAUSES", "SYNTHESIZED_FROM").otherwise(F.col("edge_type"))), t.edges.where("src % 10 = 3").select(F.col("src").alias("id"))), "confidence"),
+        _local_sql(2, 20),
+    ),
     "g19_erasure_impact": (
         lambda t: C.erasure_impact(_tree(t), t.orders.where("o_orderkey = 5").select(F.col("o_orderkey").alias("id")), 5),
         """SELECT DISTINCT o_orderkey AS id, CAST(CASE 5 WHEN o_orderkey // 3 THEN 1 WHEN o_orderkey // 9 THEN 2 WHEN o_orderkey // 27 THEN 3 WHEN o_orderkey // 81 THEN 4 WHEN o_orderkey // 243 THEN 5 END AS INT) AS hops FROM orders

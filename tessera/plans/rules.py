@@ -26,6 +26,15 @@ def dated(t: Tables):
 DATED = "dated AS (SELECT n.*, v.valid_from, v.valid_to FROM nodes n LEFT JOIN versions v ON v.node_id = n.node_id)"
 
 
+def _subjects(t: Tables):
+    """Benchmark passages, their first words and sources of documents, in capitals too."""
+    first = t.benchmark.select(F.substring_index("text", " ", 2).alias("subject"))
+    return first.union(t.benchmark.select(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).union(t.documents.select("source")).distinct()
+
+
+SUBJECTS = "subjects AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS subject FROM benchmark UNION SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM benchmark UNION SELECT source FROM documents)"
+
+
 def _claim_filter(t: Tables):
     dropped = t.claims.where("claim_id % 50 = 1").select("subject", "predicate", "object")
     public = t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").cast("string").alias("name")).union(t.claims.where("object <> 'R'").select("object").distinct())
@@ -194,6 +203,16 @@ CASES = {
         f""", {DATED}, h AS (SELECT text AS subject, node_id FROM (SELECT DISTINCT text FROM benchmark) b LEFT JOIN dated d ON contains(lower(content), lower(text)) AND state <> 'TOMBSTONED' AND (valid_from IS NULL OR valid_from <= TIMESTAMP '{MID}') AND (valid_to IS NULL OR valid_to > TIMESTAMP '{MID}'))
         SELECT subject, count(node_id) AS n_nodes, coalesce(array_to_string(list_sort(list_distinct(flatten(list([node_id, node_id * 2]) FILTER (node_id IS NOT NULL)))), ','), '') AS facts FROM h GROUP BY 1""",
     ),
+    "j38_similar_beliefs": (
+        lambda t: J.similar_beliefs(dated(t).withColumn("facts", F.array("node_id", F.col("node_id") * 2)), _subjects(t), ts(MID), 5).select("subject", "rank", "node_id", F.round("confidence", 6).alias("confidence"), joined("facts")),
+        f""", {DATED}, {SUBJECTS}, h AS (SELECT subject, node_id, coalesce(confidence, 1.0) AS c, row_number() OVER (PARTITION BY subject ORDER BY coalesce(confidence, 1.0) DESC, node_id) AS k FROM subjects JOIN dated ON contains(lower(content), lower(subject)) AND state <> 'TOMBSTONED' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{MID}'))
+        SELECT subject, CAST(k AS INT) AS rank, node_id, round(c, 6) AS confidence, node_id || ',' || 2 * node_id AS facts FROM h WHERE k <= 5""",
+    ),
+    "j38_history_by_subject": (
+        lambda t: J.history_by_subject(dated(t).withColumn("about", F.concat(F.lit("On "), "silo_id")), _subjects(t), 7).select("subject", "place", "node_id", F.col("valid_from").cast("string").alias("valid_from")),
+        f""", {DATED}, {SUBJECTS}, h AS (SELECT subject, node_id, valid_from, row_number() OVER (PARTITION BY subject ORDER BY valid_from NULLS FIRST, node_id) AS k FROM subjects JOIN dated ON (contains(lower(content), lower(subject)) OR contains(lower('On ' || silo_id), lower(subject))) AND state <> 'TOMBSTONED')
+        SELECT subject, CAST(k AS INT) AS place, node_id, CAST(valid_from AS VARCHAR) AS valid_from FROM h WHERE k <= 7""",
+    ),
     "j39_validate_citations": (
         lambda t: J.validate_citations(
             t.claims.groupBy(F.col("subject").alias("finding"), F.col("evidence").alias("node_id")).agg(F.max(F.col("subject") % 3).alias("silo_id"), F.max("confidence").alias("confidence")),

@@ -47,10 +47,17 @@ def dedup_stream(events: DataFrame, seconds: int = 300, late: str = "10 minutes"
 
 
 def touch_counts(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """Touches of each event's node within the trailing window."""
+    """Touches of each event's node within the trailing window.
+
+    Time is cut into buckets of the window's length, so that a window lies in its event's bucket and the one before; each bucket
+    of a node is counted with the last one's events put before it. A hot node is as many tasks as it has buckets.
+    """
+    span = minutes * 60
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("node_id").orderBy(at).rangeBetween(-minutes * 60, 0)
-    return events.select("entry_id", F.count("*").over(w).alias("n_touches"))
+    e = events.select("entry_id", "node_id", at.alias("at")).withColumn("bucket", F.floor(F.col("at") / span))
+    both = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("bucket", F.col("bucket") + F.col("later"))
+    w = Window.partitionBy("node_id", "bucket").orderBy("at").rangeBetween(-span, 0)
+    return both.withColumn("n_touches", F.count("*").over(w)).where("later = 0").select("entry_id", "n_touches")
 
 
 def metric_buckets(events: DataFrame, width: str = "1 hour", extra: list[Column] | None = None) -> DataFrame:
