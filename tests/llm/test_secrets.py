@@ -77,3 +77,26 @@ def test_query_against_sql(spark, sf_dir):
     from .oracle import same
 
     same(secrets.op9_secret_scan(table(spark, sf_dir, "documents")), sf_dir, secrets.OP9_SQL)
+
+
+def test_jwt_spans_are_the_rules():
+    """The single look at each run finds what the rule's pattern finds."""
+    import random
+    import re
+
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    rng = random.Random(6)
+    bits = ["eyJ", "eyJabcdefghij", "a", "-", ".", ".eyJ0123456789", "_x", " ", "é", "0123456789", "..", "eyJ-eyJ-eyJ-eyJ-"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(bits, k=rng.randrange(14)))
+        assert secrets.jwt_spans(text) == [m.span() for m in re.compile(rule.pattern, re.ASCII).finditer(text)]
+
+
+def test_hostile_megabytes_take_seconds():
+    import time
+
+    queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES]
+    for part in ("eyJ-", "eyJx.eyJ-", "-----BEGIN ", "token:", "a1", "token ", "xoxa-", "eyJaaaaaaaaaa.eyJ"):
+        began = time.time()
+        secrets.scan_batch([(("eyJaaaaaaaaaa." if "eyJ" in part else "") + part * ((1 << 20) // len(part))).encode()], secrets.RULES, queries)
+        assert time.time() - began < 5, part
