@@ -185,13 +185,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     that agree in ``doc_id`` alone are ordered by their text's hash. Empty tables give none.
     Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced.
     """
-    runs = repeated_runs(docs, min_words).select(
-        F.coalesce("doc_id", F.lit(0)).alias("__run_id"), F.col("doc_id").isNull().alias("__run_missing"), F.col("text_hash").alias("__run_text"), F.col("runs").alias("__runs")
-    )
+    runs = repeated_runs(docs, min_words).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("missing"), "text_hash", "runs")
     kept = docs.drop("n_lines", "n_removed")
-    keys = ["__run_id", "__run_missing", "__run_text"]
-    keyed = kept.withColumns({"__run_id": F.coalesce("doc_id", F.lit(0)), "__run_missing": F.col("doc_id").isNull(), "__run_text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(runs, keys, "left").select(F.struct(*[F.col(f"`{c}`") for c in kept.columns if c != "text"]).alias("row"), "text", F.col("__runs").alias("runs"))
+    # a row's own columns stay inside a struct, where no name of them can clash
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("missing"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+    keyed = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns if c != "text"]).alias("row"), "text", *key)
+    joined = keyed.join(runs, ["id", "missing", "text_hash"], "left").select("row", "text", "runs")
     fields = joined.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

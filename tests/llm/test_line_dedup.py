@@ -86,3 +86,12 @@ def test_query_against_sql(spark, sf_dir):
     from .oracle import same
 
     same(line_dedup.op1_line_dedup(table(spark, sf_dir, "documents")), sf_dir, line_dedup.OP1_SQL)
+
+
+def test_columns_of_any_name_stay(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, line, "mine"), (2, line + "\nmore", "yours")], "doc_id long, text string, x string")
+    names = ["__run_id", "__run_missing", "__run_text", "id", "missing", "text_hash", "runs", "row"]
+    got = line_dedup.dedup_lines(docs.withColumns({n: F.col("x") for n in names})).orderBy("doc_id").collect()
+    assert [[r[n] for n in names] for r in got] == [["mine"] * 8, ["yours"] * 8]
+    assert [r.text for r in got] == [line, "more"]
