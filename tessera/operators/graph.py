@@ -32,6 +32,24 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool
     return reached
 
 
+def subgraph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, edge_types: list[str] | None = None, layers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What lies within ``depth`` hops of the seeds (``id, hops``), and the edges among it (``src, dst, edge_type``).
+
+    Only edges of ``edge_types`` are walked and returned, and only nodes (``id, layer``) of ``layers`` are reached; null stands for
+    all. A seed stays whatever its layer; an id that ``nodes`` lacks is reached only without a filter of layers.
+    """
+    e = edges if edge_types is None else edges.where(F.col("edge_type").isin(*edge_types))
+    if layers is not None:
+        known = nodes.where(F.col("layer").isin(*layers)).select("id").union(seeds.select("id")).distinct()
+        for end in ("src", "dst"):
+            e = e.join(known.withColumnRenamed("id", end), end, "left_semi")
+    e = materialize(e.select("src", "dst", "edge_type").distinct(), "subgraph-edges")
+    near = materialize(neighborhood(e, seeds, depth), "subgraph-nodes")
+    for end in ("src", "dst"):
+        e = e.join(near.select(F.col("id").alias(end)), end, "left_semi")
+    return near, e.select("src", "dst", "edge_type")
+
+
 def two_hop_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     near = neighborhood(edges, seeds, 1)
     touch = lambda c: edges.join(near.select(F.col("id").alias(c)), c, "left_semi")
@@ -58,6 +76,33 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     return rank
 
 
+def pagerank_restart(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, epsilon: float = 1e-6) -> DataFrame:
+    """``id, rank`` of all ``nodes(id)``: x = (1 - alpha) t + alpha A x from x = t, until no rank moves by ``epsilon``.
+
+    A is what supports minus what contradicts, from ``edges(src, dst, edge_type, weight)``, each source's column divided by its
+    sum; a sum of 0 or less divides by 1, so mass that dangles is lost. t is even over the seeds that are nodes, over all
+    nodes without one. The rank before the last step is returned, as where that step moved nothing.
+    """
+    n = materialize(nodes.select("id").where("id is not null").distinct(), "restart-nodes")
+    sign = F.when(F.col("edge_type") == "SUPPORTS", F.col("weight")).when(F.col("edge_type") == "CONTRADICTS", -F.col("weight"))
+    e = edges.withColumn("w", sign).where("w is not null").join(n.withColumnRenamed("id", "src"), "src", "left_semi").join(n.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    out = e.groupBy("src").agg(F.sum("w").alias("total"))
+    e = materialize(e.join(out, "src").select(F.col("src").alias("id"), "dst", (F.col("w") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0)).alias("p")), "restart-edges")
+    at = n.join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left")
+    one = at.agg(F.sum("seed"), F.count("*")).first()
+    t = F.lit(1.0 / one[1] if one[1] else 0.0) if not one[0] else F.coalesce("seed", F.lit(0.0)) / one[0]
+    x = materialize(at.select("id", t.alias("t"), t.alias("rank")), "restart")
+    for _ in range(rounds):
+        moved = x.join(e, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
+        new = materialize(x.join(moved, "id", "left").select("id", "t", ((1 - alpha) * F.col("t") + alpha * F.coalesce("m", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")), "restart")
+        delta = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        if delta is None or delta < epsilon:
+            break
+        x = new.drop("old")
+    return x.select("id", "rank")
+
+
 def ppr_channel(edges: DataFrame, seeds: DataFrame, k: int = 10, damping: float = 0.85, rounds: int = 10) -> DataFrame:
     """Personalised PageRank for a table of queries at once: ``query_id, node_id, score, rank``.
 
@@ -124,6 +169,18 @@ def diffuse_heat(heat: DataFrame, edges: DataFrame, decay: float = 0.7, least: f
     return best.join(seeds.select("id"), "id", "left_anti")
 
 
+def heat_levels(nodes: DataFrame, reached: DataFrame, decay: float = 0.5) -> DataFrame:
+    """``id, propagated, effective, level``: nodes after a diffusion.
+
+    ``nodes``: ``id, heat, propagated`` (of before, or null); ``reached``: ``id, heat``. What was propagated before decays; a node
+    that is reached takes the new heat instead. Effective heat is its own plus the propagated, at most 1, and tells the level.
+    """
+    j = nodes.join(reached.select("id", F.col("heat").alias("fresh")), "id", "left")
+    j = j.withColumn("now", F.coalesce("fresh", F.col("propagated") * decay))
+    effective = F.least(F.lit(1.0), F.coalesce("heat", F.lit(0.0)) + F.coalesce("now", F.lit(0.0)))
+    return j.select("id", F.col("now").alias("propagated"), effective.alias("effective"), exprs.level(F.round(effective, 9)).alias("level"))
+
+
 def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) -> DataFrame:
     """``node_id, place`` along one shortest undirected path: of several the one with the smallest ids from the target back."""
     e = materialize(both_ways(edges.select("src", "dst")).distinct(), "path-edges")

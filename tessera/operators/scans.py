@@ -43,10 +43,11 @@ def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest version of each key; an update wins a tie with the base."""
-    both = base.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), F.struct(F.col(version), F.col("_new"))).alias("r"))
-    return best.select("r.*").drop("_new")
+    """The newest version of each key; an update wins a tie with the base. Null keys are a key; a row's columns may have any name."""
+    row = lambda df, new: df.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.lit(new).alias("new"))
+    both = row(base, 0).union(row(updates, 1))
+    best = both.groupBy(*[F.col(f"row.`{k}`").alias(f"key{i}") for i, k in enumerate(keys)]).agg(F.max_by("row", F.struct(F.col(f"row.`{version}`"), F.col("new"))).alias("row"))
+    return best.select("row.*")
 
 
 def ingest_observations(nodes: DataFrame, batch: DataFrame, conflict_mode: str = "skip") -> DataFrame:

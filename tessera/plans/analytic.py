@@ -125,6 +125,17 @@ def _heat_edges(t: Tables):
     return t.edges.select("src", "dst", "edge_type", F.when(F.col("src") % 3 == 0, None).otherwise(F.round("weight", 4)).alias("edge_heat"))
 
 
+def _heated(t: Tables):
+    """Suppliers with heat, parts without."""
+    own = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10 / 10).alias("heat"))
+    return own.union(t.part.select(-F.col("p_partkey"), F.lit(None).cast("double")))
+
+
+def _layered(t: Tables):
+    ids = t.edges.select(F.col("src").alias("id")).union(t.edges.select("dst")).distinct()
+    return ids.withColumn("layer", F.element_at(F.array(F.lit("memory"), F.lit("wisdom"), F.lit("knowledge")), (F.abs("id") % 3 + 1).cast("int")))
+
+
 def _prior(t: Tables):
     ids = t.edges.select(F.col("src").alias("id")).union(t.edges.select(F.col("dst").alias("id"))).distinct()
     return ids.select("id", ((F.abs("id") % 10) / 10).alias("credibility"))
@@ -136,30 +147,39 @@ def _dtw_pairs(t: Tables):
 
 
 def _dominance(t: Tables):
-    pairs = t.orders.select((F.col("o_orderkey") % 200).alias("a"), (F.col("o_custkey") % 200).alias("b")).where("a <> b").distinct()
-    return L.dominated(pairs, t.spark.range(200).select(F.col("id").alias("node_id"), (F.col("id") * 37 % 200).alias("place")))
+    pairs = t.orders.select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b")).where("a <> b").distinct()
+    ids = pairs.select(F.col("a").alias("node_id")).union(pairs.select("b")).distinct()
+    return L.dominated(pairs, ids.withColumn("place", F.col("node_id") % 97 * 10_000_000 + F.col("node_id")))
 
 
-def _ppr_sql(rounds: int, seeds: str = "src % 10 = 0") -> str:
-    text = """, e0 AS (SELECT src, dst, sum(weight) AS w FROM edges WHERE weight > 0 GROUP BY 1, 2), e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0),
-    s AS (SELECT src AS id, 1.0 / count(*) OVER () AS r FROM (SELECT DISTINCT src FROM edges WHERE SEEDS)), k0 AS (SELECT id, r AS rank FROM s)""".replace("SEEDS", seeds)
+def _ppr_sql(rounds: int, seeds: str = "src % 10 = 0", tolerance: float = 1e-6) -> str:
+    """All rounds; the first that moves less than the tolerance is the result, else the last."""
+    text = """, e0 AS (SELECT src, dst, sum(weight) AS w FROM edges WHERE weight > 0 GROUP BY 1, 2), e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e0),
+    s AS MATERIALIZED (SELECT src AS id, 1.0 / count(*) OVER () AS r FROM (SELECT DISTINCT src FROM edges WHERE SEEDS)), k0 AS (SELECT id, r AS rank FROM s)""".replace("SEEDS", seeds)
     for i in range(1, rounds + 1):
-        text += f""", m{i} AS (SELECT dst AS id, sum(rank * p) AS m FROM k{i - 1} JOIN e ON id = src GROUP BY 1),
-        k{i} AS (SELECT coalesce(m{i}.id, s.id) AS id, 0.85 * coalesce(m, 0) + coalesce(r, 0) * (1 - 0.85 * (SELECT coalesce(sum(m), 0) FROM m{i})) AS rank FROM m{i} FULL JOIN s ON m{i}.id = s.id)"""
-    return text + f" SELECT id, round(rank, 6) AS rank FROM k{rounds}"
+        text += f""", m{i} AS MATERIALIZED (SELECT dst AS id, sum(rank * p) AS m FROM k{i - 1} JOIN e ON id = src GROUP BY 1),
+        k{i} AS MATERIALIZED (SELECT coalesce(m{i}.id, s.id) AS id, 0.85 * coalesce(m, 0) + coalesce(r, 0) * (1 - 0.85 * (SELECT coalesce(sum(m), 0) FROM m{i})) AS rank FROM m{i} FULL JOIN s ON m{i}.id = s.id)"""
+    text += ", steps AS (" + " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(coalesce(a.rank, 0) - coalesce(b.rank, 0))) AS d FROM k{i} a FULL JOIN k{i - 1} b ON a.id = b.id" for i in range(1, rounds + 1)) + ")"
+    text += f", stop AS (SELECT coalesce(min(i) FILTER (d < {tolerance}), {rounds}) AS i FROM steps), every AS (" + " UNION ALL ".join(f"SELECT {i} AS i, * FROM k{i}" for i in range(1, rounds + 1)) + ")"
+    return text + " SELECT id, round(rank, 6) AS rank FROM every WHERE i = (SELECT i FROM stop)"
 
 
-def _propagate_sql(rounds: int, source: str = "edges", local: bool = False) -> str:
-    text = """, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), near AS (SELECT CAST(3 AS BIGINT) AS id UNION SELECT dst FROM edges WHERE src = 3 UNION SELECT src FROM edges WHERE dst = 3),
-    inside AS (SELECT * FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)), p AS (SELECT id, abs(id) % 10 / 10.0 AS c FROM ids),
-    e0 AS (SELECT src, dst, edge_type, max(weight) AS w FROM SOURCE WHERE edge_type IN ('SUPPORTS', 'CONTRADICTS') GROUP BY 1, 2, 3),
-    e AS (SELECT src, dst, CASE edge_type WHEN 'SUPPORTS' THEN 1.0 ELSE -1.0 END * w / sum(w) OVER (PARTITION BY dst, edge_type) AS w FROM e0), x0 AS (SELECT id, c AS x FROM p)""".replace("SOURCE", source)
+def stopped(rounds: int, tolerance: float, value: str, back: int = 0, digits: int = 6) -> str:
+    """Of x0 .. x<rounds> (``id, x``) the first that moved no x by the tolerance (or ``back`` before it), else the last."""
+    steps = " UNION ALL ".join(f"SELECT {i} AS i, max(abs(a.x - b.x)) AS d FROM x{i} a JOIN x{i - 1} b ON a.id = b.id" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, id, x FROM x{i}" for i in range(rounds + 1))
+    return f", steps AS ({steps}), every AS ({every}) SELECT id, round(x, {digits}) AS {value} FROM every WHERE i = (SELECT coalesce(min(i) FILTER (d < {tolerance}) - {back}, {rounds}) FROM steps)"
+
+
+def _propagate_sql(rounds: int) -> str:
+    """Rounds enough for these tables, where one node (0) is its own neighbour."""
+    text = """, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), p AS (SELECT id, abs(id) % 10 / 10.0 AS c FROM ids),
+    e0 AS (SELECT src, dst, edge_type, max(weight) AS w FROM edges WHERE edge_type IN ('SUPPORTS', 'CONTRADICTS') GROUP BY 1, 2, 3),
+    e AS MATERIALIZED (SELECT src, dst, CASE edge_type WHEN 'SUPPORTS' THEN 1.0 ELSE -1.0 END * w / sum(w) OVER (PARTITION BY dst, edge_type) AS w FROM e0), x0 AS (SELECT id, c AS x FROM p)"""
     for i in range(1, rounds + 1):
-        text += f""", x{i} AS (SELECT p.id, CASE WHEN f.s IS NULL THEN c ELSE greatest(0, least(1, 0.2 * c + 0.8 * f.s)) END AS x
+        text += f""", x{i} AS MATERIALIZED (SELECT p.id, CASE WHEN f.s IS NULL THEN c ELSE greatest(0, least(1, 0.2 * c + 0.8 * f.s)) END AS x
         FROM p LEFT JOIN (SELECT dst, sum(w * x) AS s FROM x{i - 1} JOIN e ON id = src GROUP BY 1) f ON f.dst = p.id)"""
-    if local:
-        return text + f" SELECT x{rounds}.id, round(x, 6) AS confidence FROM x{rounds} JOIN p ON p.id = x{rounds}.id WHERE p.id IN (SELECT id FROM near) AND abs(round(x - c, 9)) > 0.1"
-    return text + f" SELECT id, round(x, 6) AS confidence FROM x{rounds}"
+    return text + stopped(rounds, 1e-6, "confidence")
 
 
 def _labels_sql(rounds: int) -> str:
@@ -229,8 +249,8 @@ CASES = {
         CASE n_nationkey % 12 WHEN 1 THEN '2024-01-31 00:00:00' WHEN 4 THEN '2024-01-27 00:00:00' WHEN 6 THEN '2024-01-01 00:00:00' WHEN 8 THEN '2024-01-27 00:00:00' WHEN 11 THEN NULL ELSE '2024-01-31 12:00:00' END AS "end" FROM nation""",
     ),
     "f19_is_hard_query": (
-        lambda t: t.documents.select("doc_id", X.is_hard_query(F.substring("text", 1, 40)).alias("hard")),
-        """, w AS (SELECT doc_id, lower(substr(text, 1, 40)) AS t, list_filter(regexp_split_to_array(lower(substr(text, 1, 40)), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents)
+        lambda t: t.documents.select("doc_id", X.is_hard_query("text").alias("hard")),
+        """, w AS (SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents)
         SELECT doc_id, contains(t, '?') OR contains(t, 'true or false') OR coalesce(ws[1] IN ('what', 'where', 'when', 'how', 'which', 'who', 'why', 'true', 'is', 'are', 'does', 'do', 'can', 'should'), false)
         OR (len(ws) <= 5 AND list_has_any(ws, ['rejected', 'approved', 'denied', 'accepted', 'failed', 'succeeded', 'postponed', 'cancelled', 'confirmed', 'dismissed', 'granted', 'abandoned', 'dropped', 'removed', 'added', 'changed', 'decided'])) AS hard FROM w""",
     ),
@@ -330,22 +350,34 @@ CASES = {
     "t17_ranking_eval": (
         lambda t: R.ranking_eval(
             keep_top(t.nodes.select((F.col("node_id") % 5).alias("query_id"), "node_id", F.col("heat_score").alias("score")), ["query_id"], [F.desc("score"), F.col("node_id")], 50),
-            t.nodes.where("node_id < 100").select((F.col("node_id") % 5).alias("query_id"), F.col("node_id").alias("expected_id"), ((F.col("node_id") + 50) % 100).alias("lower_id"), ((F.col("node_id") + 35) % 100).alias("absent_id")), 10,
+            t.nodes.select((F.col("node_id") % 5).alias("query_id"), F.col("node_id").alias("expected_id"), (F.col("node_id") + 50).alias("lower_id"), (F.col("node_id") + 35).alias("absent_id")), 10,
         ).groupBy("query_id", "found", "above", "absent").agg(F.count("*").alias("n"), F.sum("at").alias("at")),
         """, k AS (SELECT * FROM (SELECT node_id % 5 AS query_id, node_id, row_number() OVER (PARTITION BY node_id % 5 ORDER BY heat_score DESC, node_id) AS rank FROM nodes) WHERE rank <= 50),
-        x AS (SELECT n.node_id % 5 AS query_id, e.rank AS er, l.rank AS lr, a.rank AS ar FROM nodes n LEFT JOIN k e ON e.query_id = n.node_id % 5 AND e.node_id = n.node_id LEFT JOIN k l ON l.query_id = n.node_id % 5 AND l.node_id = (n.node_id + 50) % 100
-          LEFT JOIN k a ON a.query_id = n.node_id % 5 AND a.node_id = (n.node_id + 35) % 100 WHERE n.node_id < 100)
+        x AS (SELECT n.node_id % 5 AS query_id, e.rank AS er, l.rank AS lr, a.rank AS ar FROM nodes n LEFT JOIN k e ON e.query_id = n.node_id % 5 AND e.node_id = n.node_id LEFT JOIN k l ON l.query_id = n.node_id % 5 AND l.node_id = n.node_id + 50
+          LEFT JOIN k a ON a.query_id = n.node_id % 5 AND a.node_id = n.node_id + 35)
         SELECT query_id, coalesce(er <= 10, false) AS found, er IS NOT NULL AND (lr IS NULL OR er < lr) AS above, coalesce(ar > 10, true) AS absent, count(*) AS n, CAST(sum(coalesce(er, 0)) AS BIGINT) AS at FROM x GROUP BY 1, 2, 3, 4""",
     ),
     # graph
-    "g1_personalized_pagerank": (lambda t: r6(G.personalized_pagerank(t.edges, t.edges.where("src % 10 = 0").select(F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0)), rounds=3, tolerance=0), "rank"), _ppr_sql(3)),
-    "g3_propagate_confidence": (lambda t: r6(G.propagate_confidence(_prior(t), t.edges, rounds=3, epsilon=0), "confidence"), _propagate_sql(3)),
+    "g1_personalized_pagerank": (lambda t: r6(G.personalized_pagerank(t.edges, t.edges.where("src % 10 = 0").select(F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0))), "rank"), _ppr_sql(50)),
+    "g3_propagate_confidence": (lambda t: r6(G.propagate_confidence(_prior(t), t.edges), "confidence"), _propagate_sql(20)),
     "g5_diffuse_heat": (lambda t: r6(G.diffuse_heat(t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10 / 10).alias("heat")), _heat_edges(t)), "heat"), _diffuse_sql(3)),
+    "g5_heat_levels": (
+        lambda t: r6(r6(G.heat_levels(_heated(t).withColumn("propagated", F.when(F.col("id") % 3 < 0, 0.25)), G.diffuse_heat(_heated(t), _heat_edges(t))), "propagated"), "effective"),
+        f"""{_diffuse_sql(3).rpartition(" SELECT id, round")[0]}, r AS (SELECT * FROM b3 WHERE id NOT IN (SELECT id FROM b0)), n AS (SELECT s_suppkey AS id, s_suppkey % 10 / 10.0 AS own, CAST(NULL AS DOUBLE) AS old FROM supplier UNION ALL SELECT -p_partkey, NULL, CASE WHEN p_partkey % 3 > 0 THEN 0.25 END FROM part),
+        j AS (SELECT n.id, coalesce(r.heat, old * 0.5) AS p, least(1, coalesce(own, 0) + coalesce(r.heat, old * 0.5, 0)) AS f FROM n LEFT JOIN r ON r.id = n.id)
+        SELECT id, round(p, 6) AS propagated, round(f, 6) AS effective, CASE WHEN round(f, 9) >= 0.66 THEN 'FULL' WHEN round(f, 9) >= 0.33 THEN 'WARM' WHEN round(f, 9) >= 0.1 THEN 'STRUCTURE' ELSE 'MINIMAL' END AS level FROM j""",
+    ),
     "g6_neighborhood": (
         lambda t: G.neighborhood(t.edges, t.edges.where("src = 3").select(F.col("src").alias("id")), 2),
         """, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h1 AS (SELECT DISTINCT dst AS id FROM u WHERE src = 3), h2 AS (SELECT DISTINCT dst AS id FROM u JOIN h1 ON src = id)
         SELECT id, CAST(min(h) AS INT) AS hops FROM (SELECT CAST(3 AS BIGINT) AS id, 0 AS h UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY 1""",
     ),
+    "g6_subgraph": (
+        lambda t: G.subgraph(t.edges, _layered(t), t.edges.where("src % 10 = 3").select(F.col("src").alias("id")), 2, ["SUPPORTS", "CAUSES"], ["memory", "wisdom"])[1],
+        """, n AS (SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE abs(id) % 3 < 2), s AS (SELECT DISTINCT src AS id FROM edges WHERE src % 10 = 3), ok AS (SELECT id FROM n UNION SELECT id FROM s),
+        e AS MATERIALIZED (SELECT DISTINCT src, dst, edge_type FROM edges WHERE edge_type IN ('SUPPORTS', 'CAUSES') AND src IN (SELECT id FROM ok) AND dst IN (SELECT id FROM ok)), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+        h1 AS (SELECT id FROM s UNION SELECT dst FROM u JOIN s ON id = src), h2 AS (SELECT id FROM h1 UNION SELECT dst FROM u JOIN h1 ON id = src) SELECT * FROM e WHERE src IN (SELECT id FROM h2) AND dst IN (SELECT id FROM h2)""",
+    ),
     "u3_two_hop_edges": (
         lambda t: G.two_hop_edges(t.edges, t.edges.where("src = 3").select(F.col("src").alias("id"))),
         ", near AS (SELECT CAST(3 AS BIGINT) AS id UNION SELECT dst FROM edges WHERE src = 3 UNION SELECT src FROM edges WHERE dst = 3) SELECT DISTINCT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM near) OR dst IN (SELECT id FROM near)",
@@ -375,7 +407,7 @@ CASES = {
         """WITH r AS (SELECT DISTINCT o_orderkey AS id, CASE 5 WHEN o_orderkey // 3 THEN 1 WHEN o_orderkey // 9 THEN 2 WHEN o_orderkey // 27 THEN 3 END AS hops FROM orders)
         SELECT id, CAST(hops AS INT) AS hops, CASE WHEN (SELECT count(*) FROM orders WHERE o_custkey = id) < 3 THEN 'tombstone' ELSE 'stale' END AS action FROM r WHERE hops IS NOT NULL""",
     ),
-    "g20_label_propagation": (lambda t: G.label_propagation(t.edges, 2), _labels_sql(2)),
+    "g20_label_propagation": (lambda t: G.label_propagation(t.edges), _labels_sql(5)),
     "j14_drop_dominated": (_dominance, None),
     # streams, in batch
     "st1_heat": (
