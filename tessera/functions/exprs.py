@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,13 +125,6 @@ def edge_chain_confidence(confidences: Column | str, formula: str = "multiplicat
     return F.pow(product, F.lit(1.0) / F.size(c)) if formula == "geometric_mean" else product
 
 
-def type_class(kinds: Column | str, vocabulary: dict[str, str], default: str = "other") -> Column:
-    """The class of the first of a list of entity types that the vocabulary has."""
-    table = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
-    hits = F.filter(F.transform(col(kinds), lambda k: table[F.lower(k)]), lambda v: v.isNotNull())
-    return F.coalesce(F.get(hits, 0), F.lit(default))
-
-
 # Words that make a question hard.
 ABSTRACT_VERBS = (
     "rejected", "approved", "denied", "accepted", "failed", "succeeded", "postponed", "cancelled", "confirmed",
@@ -140,11 +134,14 @@ QUESTION_WORDS = ("what", "where", "when", "how", "which", "who", "why", "true",
 
 
 def is_hard_query(text: Column | str) -> Column:
-    t = F.lower(col(text))
-    words = F.filter(F.split(t, r"[^a-z]+"), lambda w: w != "")
+    """Whether a query asks for more than likeness: it is or starts like a question, asks for true or false, is short with an abstract verb, or is about what is one's own."""
+    t = F.regexp_replace(F.lower(col(text)), r"^[\x09-\x0D ]+|[\x09-\x0D ]+$", "")
+    bare = lambda w: F.regexp_replace(w, r"[!-/:-@\[-`{-~]+$", "")
+    words = F.transform(F.filter(F.split(t, r"[\x09-\x0D ]+"), lambda w: w != ""), bare)
     starts = F.coalesce(F.get(words, 0).isin(*QUESTION_WORDS), F.lit(False))
     short = (F.size(words) <= 5) & F.arrays_overlap(words, F.array(*[F.lit(v) for v in ABSTRACT_VERBS]))
-    return t.contains("?") | t.rlike(r"\btrue or false\b") | starts | F.coalesce(short, F.lit(False))
+    own = t.rlike(r"^(my|our) [^\n]+\z") | t.rlike(r"^(is|are|was|were) [^\n]+ (approved|rejected|denied)\??\z")
+    return t.contains("?") | t.contains("true or false") | starts | F.coalesce(short, F.lit(False)) | own
 
 
 def time_range(text: Column | str, now: Column) -> Column:
@@ -206,3 +203,12 @@ def typed_props(text: Column, fields: dict[str, tuple[str, str]]) -> list[Column
     """
     parsed = F.try_parse_json(text)
     return [*[F.try_variant_get(parsed, path, kind).alias(name) for name, (path, kind) in fields.items()], parsed.isNotNull().alias("valid")]
+
+
+def nfkc_fold(surface: Column) -> Column:
+    """A surface form's key: compatibility forms composed (NFKC), case folded. Spark has no function for either."""
+    @F.pandas_udf("string")
+    def fold(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC").str.casefold()
+
+    return fold(surface)

@@ -7,25 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import exprs
 from tessera.operators.graph import invalidate_derived, neighborhood
 from tessera.operators.similarity import dtw_of, nearest
 from tessera.scratch import materialize
 
 
-def ingest_claims(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """A batch of claims with status and what each replaces: the claim before it in its (silo, subject, predicate).
+def ingest_claims(existing: DataFrame, batch: DataFrame, conflict_mode: str = "skip") -> DataFrame:
+    """``claim_id, status, supersedes``: a batch of claims, what became of each and which claim it replaces.
 
-    Claims whose document is known are skipped; among the rest the order is (time, claim), after all existing ones.
+    Both: ``claim_id, silo_id, subject, predicate, object, evidence, created_at``, the evidence being the document; the batch also ``position`` (distinct), and
+    ``supersedes`` (a claim), ``supersedes_at`` (a position) and ``supersedes_document``, each or none null. Claims whose document is known are skipped, or failed
+    in the conflict mode ``error``. Of the rest a claim replaces the one that it names, else the one created before it at the position or last of the document that it
+    names, else the one before it in its (silo, subject, predicate) by (time, claim), after all existing ones, if its object differs.
+    A claim that names another claim is not in that order. Null documents are never known.
     """
-    known = existing.select("evidence").distinct().withColumn("known", F.lit(True))
-    b = batch.join(known, "evidence", "left").withColumn("status", F.when(F.col("known"), "skipped").otherwise("created"))
-    last = existing.groupBy("silo_id", "subject", "predicate").agg(F.max_by(F.struct("claim_id", "object"), F.struct("created_at", "claim_id")).alias("last"))
-    fresh = b.where("status = 'created'").join(last, ["silo_id", "subject", "predicate"], "left")
-    w = Window.partitionBy("silo_id", "subject", "predicate").orderBy("created_at", "claim_id")
+    known = existing.where("evidence is not null").select("evidence").distinct().withColumn("known", F.lit(True))
+    b = batch.join(known, "evidence", "left").withColumn("status", F.when(F.col("known"), "failed" if conflict_mode == "error" else "skipped").otherwise("created"))
+    fresh = b.where("status = 'created'")
+    key = ["silo_id", "subject", "predicate"]
+    last = existing.groupBy(*key).agg(F.max_by(F.struct("claim_id", "object"), F.struct("created_at", "claim_id")).alias("last"))
+    w = Window.partitionBy(*key).orderBy("created_at", "claim_id")
     before = F.coalesce(F.lag(F.struct("claim_id", "object")).over(w), F.col("last"))
-    done = fresh.withColumn("before", before).select("claim_id", "status", F.when(F.col("before.object") != F.col("object"), F.col("before.claim_id")).alias("supersedes"))
-    return done.unionByName(b.where("status = 'skipped'").select("claim_id", "status", F.lit(None).cast("long").alias("supersedes")))
+    ordered = fresh.where("supersedes is null").join(last, key, "left").withColumn("before", before)
+    by_object = ordered.where(F.col("before.object") != F.col("object")).select("claim_id", F.col("before.claim_id").alias("by_object"))
+    made = fresh.select(F.col("position").alias("supersedes_at"), F.col("claim_id").alias("by_place"))
+    by_place = fresh.where(F.col("supersedes_at") < F.col("position")).select("claim_id", "supersedes_at").join(made, "supersedes_at").select("claim_id", "by_place")
+    none = F.lit(None).cast("long")
+    asks = fresh.select(F.col("supersedes_document").alias("doc"), "position", F.lit(0).alias("is_claim"), "claim_id", none.alias("made"))
+    both = asks.unionByName(fresh.select(F.col("evidence").alias("doc"), "position", F.lit(1).alias("is_claim"), "claim_id", F.col("claim_id").alias("made"))).where("doc is not null")
+    seen = Window.partitionBy("doc").orderBy("position", "is_claim")
+    by_doc = both.withColumn("by_doc", F.last("made", True).over(seen)).where("is_claim = 0").select("claim_id", "by_doc")
+    j = fresh.join(by_place, "claim_id", "left").join(by_doc, "claim_id", "left").join(by_object, "claim_id", "left")
+    done = j.select("claim_id", "status", F.coalesce("supersedes", "by_place", "by_doc", "by_object").alias("supersedes"))
+    return done.unionByName(b.where("status <> 'created'").select("claim_id", "status", none.alias("supersedes")))
 
 
 def corroborate_semantic(claims: DataFrame, near: DataFrame, of: DataFrame | None = None, least: int = 3) -> DataFrame:
@@ -54,12 +68,6 @@ def support_candidates(vectors: DataFrame, recent: Column, k: int = 5, least: fl
     return nearest(vectors.where(recent), vectors, k, least).select("query_id", "node_id", "score")
 
 
-def dedup_or_corroborate(new: DataFrame, existing: DataFrame, least: float = 0.95) -> DataFrame:
-    """Each new claim's outcome: an edge to its nearest existing claim, if near enough, else a claim of its own."""
-    near = nearest(new, existing, 1, least).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("target"))
-    return new.select("node_id").join(near, "node_id", "left").select("node_id", "target", F.when(F.col("target").isNull(), "claim").otherwise("CORROBORATES").alias("outcome"))
-
-
 def reconcile(orphans: DataFrame, steps: DataFrame, most_retries: int = 3) -> DataFrame:
     """Orphaned chains past their retries: rebuilt from their steps (number, first, last, all premises, outcome) where any are left, else archived.
 
@@ -146,11 +154,6 @@ def chain_match(queries: DataFrame, chains: DataFrame, accessible: DataFrame, k:
     return j.select("query_id", "node_id", "score", "match", F.coalesce(F.col("rank") == first, F.lit(False)).alias("taken"))
 
 
-def belief_hints(groups: DataFrame, hits: DataFrame) -> DataFrame:
-    """Synthesis groups that the retrieved facts belong to."""
-    return groups.join(hits.select("silo_id", "subject", "predicate").distinct(), ["silo_id", "subject", "predicate"], "left_semi")
-
-
 def node_as_of(current: DataFrame, history: DataFrame, at: Column) -> DataFrame:
     """Of each chain the version valid at a time, from its own row or its history."""
     both = current.unionByName(history).where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
@@ -258,14 +261,6 @@ def stuck_stream(events: DataFrame, seconds: int = 300, n: int = 3, alike: float
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "last array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def nudges(turns: DataFrame, debounce: int = 3, most_ignored: int = 3) -> DataFrame:
-    """Turns that get a nudge: at most one in ``debounce`` turns of a session, none once that many were given."""
-    slot = F.floor(F.col("turn") / debounce)
-    g = turns.where("wants").groupBy("session", slot.alias("slot")).agg(F.min("turn").alias("turn"))
-    w = Window.partitionBy("session").orderBy("turn")
-    return g.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_ignored).select("session", "turn")
-
-
 def expired_split(df: DataFrame, column: str, now: Column) -> DataFrame:
     return df.select("*", F.coalesce(F.col(column) < now, F.lit(False)).alias("expired"))
 
@@ -273,13 +268,3 @@ def expired_split(df: DataFrame, column: str, now: Column) -> DataFrame:
 def idle_sessions(events: DataFrame, now: Column, minutes: int) -> DataFrame:
     last = events.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.count("*").alias("n_events"))
     return last.where(F.col("last_seen") < now - F.make_dt_interval(mins=F.lit(minutes))).select("user_id", "n_events")
-
-
-def type_vocabulary() -> dict[str, str]:
-    """A small vocabulary of entity types of our own."""
-    return {"person": "agent", "author": "agent", "company": "organisation", "university": "organisation", "city": "place", "country": "place", "paper": "work", "book": "work", "brass": "material", "copper": "material", "steel": "material", "tin": "material", "nickel": "material"}
-
-
-def classify_types(rows: DataFrame, column: str) -> DataFrame:
-    """The class of a type's first known token."""
-    return rows.withColumn("type_class", exprs.type_class(F.split(F.lower(column), r"\s+"), type_vocabulary()))

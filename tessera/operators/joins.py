@@ -200,9 +200,9 @@ def link_validate(new: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int
 
 
 def resolve_alias(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Surface forms to entities on a trimmed, lower-cased key."""
-    key = lambda c: F.lower(F.trim(F.col(c)))
-    return mentions.withColumn("k", key("surface")).join(aliases.select(key("alias").alias("k"), "entity_id"), "k", "left").drop("k")
+    """The mentions with their ``entity_id`` (null: none) by the key of the surface form (``exprs.nfkc_fold``); of equal aliases the smallest entity."""
+    known = aliases.where("alias is not null").select(exprs.nfkc_fold(F.col("alias")).alias("k"), "entity_id").groupBy("k").agg(F.min("entity_id").alias("entity_id"))
+    return mentions.withColumn("k", exprs.nfkc_fold(F.col("surface"))).join(known, "k", "left").drop("k")
 
 
 def entity_dedup(mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -248,12 +248,6 @@ CASES = {
         WHEN 5 THEN '2024-01-01 00:00:00' WHEN 6 THEN '2023-01-01 00:00:00' WHEN 7 THEN '2024-01-29 00:00:00' WHEN 8 THEN '2024-01-26 00:00:00' WHEN 9 THEN '2024-01-24 12:00:00' WHEN 10 THEN '2024-01-17 12:00:00' END AS start,
         CASE n_nationkey % 12 WHEN 1 THEN '2024-01-31 00:00:00' WHEN 4 THEN '2024-01-27 00:00:00' WHEN 6 THEN '2024-01-01 00:00:00' WHEN 8 THEN '2024-01-27 00:00:00' WHEN 11 THEN NULL ELSE '2024-01-31 12:00:00' END AS "end" FROM nation""",
     ),
-    "f19_is_hard_query": (
-        lambda t: t.documents.select("doc_id", X.is_hard_query("text").alias("hard")),
-        """, w AS (SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents)
-        SELECT doc_id, contains(t, '?') OR contains(t, 'true or false') OR coalesce(ws[1] IN ('what', 'where', 'when', 'how', 'which', 'who', 'why', 'true', 'is', 'are', 'does', 'do', 'can', 'should'), false)
-        OR (len(ws) <= 5 AND list_has_any(ws, ['rejected', 'approved', 'denied', 'accepted', 'failed', 'succeeded', 'postponed', 'cancelled', 'confirmed', 'dismissed', 'granted', 'abandoned', 'dropped', 'removed', 'added', 'changed', 'decided'])) AS hard FROM w""",
-    ),
     "f21_json_props": (lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "f21_typed_props": (
         lambda t: t.events.select("event_id", *X.typed_props(
@@ -422,10 +416,6 @@ CASES = {
         lambda t: ST.touch_counts(t.access_events),
         "SELECT entry_id, count(*) OVER (PARTITION BY node_id ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT) RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW) AS n_touches FROM access_events",
     ),
-    "st5_metric_buckets": (
-        lambda t: ST.metric_buckets(t.events).withColumn("bucket", F.col("bucket").cast("string")),
-        """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY 1, 2""",
-    ),
     "st6_reflection_budget": (
         lambda t: ST.reflection_budget(t.events, 3),
         "SELECT event_id, CAST(place AS INT) AS place FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS place FROM events) WHERE place <= 3",

@@ -88,14 +88,6 @@ def _local_sql(depth: int, rounds: int) -> str:
 
 
 CASES = {
-    "s5_ingest_claims": (
-        lambda t: C.ingest_claims(t.claims.where(F.col("created_at") <= ts(MID)), t.claims.where(F.col("created_at") > ts(MID))),
-        f""", o AS (SELECT * FROM claims WHERE created_at <= TIMESTAMP '{MID}'), b AS (SELECT *, evidence IN (SELECT evidence FROM o) AS known FROM claims WHERE created_at > TIMESTAMP '{MID}'),
-        x AS (SELECT claim_id, silo_id, subject, predicate, object, created_at, false AS fresh FROM (SELECT *, row_number() OVER (PARTITION BY silo_id, subject, predicate ORDER BY created_at DESC, claim_id DESC) AS k FROM o) WHERE k = 1
-          UNION ALL SELECT claim_id, silo_id, subject, predicate, object, created_at, true FROM b WHERE NOT known),
-        w AS (SELECT claim_id, fresh, object, lag(object) OVER z AS po, lag(claim_id) OVER z AS pc FROM x WINDOW z AS (PARTITION BY silo_id, subject, predicate ORDER BY fresh, created_at, claim_id))
-        SELECT claim_id, 'created' AS status, CASE WHEN po <> object THEN pc END AS supersedes FROM w WHERE fresh UNION ALL SELECT claim_id, 'skipped', NULL FROM b WHERE known""",
-    ),
     "s9_access_source": (
         lambda t: _streamed(t, lambda s: s.select("user_id", "event_type"), "accesses", "user_id long, event_type string").groupBy("user_id").agg(F.count("*").alias("n")),
         "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
@@ -108,11 +100,6 @@ CASES = {
         lambda t: C.support_candidates(t.vectors, F.col("node_id") % 7 == 0, 5, 0.3),
         f", {knn('a.node_id % 7 = 0', 5, 0.3)} SELECT query_id, node_id, score FROM near",
     ),
-    "j40_dedup_or_corroborate": (
-        lambda t: C.dedup_or_corroborate(t.vectors.where("node_id % 4 = 0"), t.vectors.where("node_id % 4 <> 0"), 0.45),
-        f""", {knn('a.node_id % 4 = 0 AND b.node_id % 4 <> 0', 1, 0.45)} SELECT v.node_id, n.node_id AS target, CASE WHEN n.node_id IS NULL THEN 'claim' ELSE 'CORROBORATES' END AS outcome
-        FROM vectors v LEFT JOIN near n ON n.query_id = v.node_id WHERE v.node_id % 4 = 0""",
-    ),
     "j32_beliefs_referencing": (
         lambda t: C.beliefs_referencing(t.edges, t.part.where("p_size < 5").select((-F.col("p_partkey")).alias("id"))),
         "SELECT src, count(DISTINCT dst) AS n FROM edges WHERE dst IN (SELECT -p_partkey FROM part WHERE p_size < 5) GROUP BY 1",
@@ -125,10 +112,6 @@ CASES = {
         lambda t: C.pending_for_facts(t.orders.select(F.col("o_custkey").alias("belief_id"), F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("expires_at")), t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("fact_id")), ts("2000-01-01")),
         "SELECT DISTINCT o_custkey AS belief_id FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01' AND o_orderkey % 3 = 0",
     ),
-    "a29_findings_by_quality": (
-        lambda t: C.findings_by_quality(t.nodes.select("node_id", F.col("layer").alias("level"), F.col("confidence").alias("quality")), 7).select("level", "node_id", "place"),
-        "SELECT level, node_id, CAST(place AS INT) AS place FROM (SELECT layer AS level, node_id, row_number() OVER (PARTITION BY layer ORDER BY confidence DESC, node_id) AS place FROM nodes) WHERE place <= 7",
-    ),
     "w7_key_sentences": (lambda t: W.key_sentences(t.nodes), None),
     "w8_cold_chains": (
         lambda t: C.cold_chains(t.nodes.select("node_id", "age_hours", (F.col("node_id") % 23).alias("n_accesses")), 100, 20).select("node_id"),
@@ -138,19 +121,10 @@ CASES = {
         lambda t: W.oldest_first(t.nodes, F.col("state") == "SUPERSEDED", [F.desc("age_hours"), F.col("node_id")], 10).select("node_id", "age_hours"),
         "SELECT node_id, age_hours FROM nodes WHERE state = 'SUPERSEDED' ORDER BY age_hours DESC, node_id LIMIT 10",
     ),
-    "t16_belief_hints": (
-        lambda t: C.belief_hints(A.synthesis_groups(t.claims, t.claims.where("claim_id % 3 = 0").select("claim_id")), t.claims.where("claim_id % 11 = 1")),
-        """, g AS (SELECT silo_id, subject, predicate, count(*) AS n_facts, count(DISTINCT evidence) AS n_evidence FROM claims WHERE claim_id % 3 <> 0 GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT evidence) >= 3)
-        SELECT * FROM g WHERE EXISTS (SELECT 1 FROM claims c WHERE c.claim_id % 11 = 1 AND c.silo_id = g.silo_id AND c.subject = g.subject AND c.predicate = g.predicate)""",
-    ),
     "u4_node_as_of": (
         lambda t: C.node_as_of(t.versions.where("valid_to is null").select("chain_id", "node_id", "valid_from", "valid_to"), t.versions.where("valid_to is not null").select("chain_id", "node_id", "valid_from", "valid_to"), ts(MID)),
         f"SELECT chain_id, arg_max(node_id, (valid_from, node_id)) AS node_id FROM versions WHERE valid_from <= TIMESTAMP '{MID}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{MID}') GROUP BY 1",
     ),
-    "f20_type_class": (
-        lambda t: C.classify_types(t.part, "p_type").groupBy("type_class").agg(F.count("*").alias("n")),
-        "SELECT CASE WHEN regexp_matches(lower(p_type), '(^|\\s)(brass|copper|steel|tin|nickel)(\\s|$)') THEN 'material' ELSE 'other' END AS type_class, count(*) AS n FROM part GROUP BY 1",
-    ),
     "g4_propagate_local": (
         lambda t: r6(C.propagate_local(_prior(t), t.edges.withColumn("edge_type", F.when(F.col("edge_type") == "CAUSES", "SYNTHESIZED_FROM").otherwise(F.col("edge_type"))), t.edges.where("src % 10 = 3").select(F.col("src").alias("id"))), "confidence"),
         _local_sql(2, 20),
@@ -173,11 +147,6 @@ CASES = {
         lambda t: C.spo_backfill(t.claims.withColumn("object", F.when(F.col("claim_id") % 8 == 0, None).otherwise(F.col("object")))).select("claim_id"),
         "SELECT claim_id FROM claims WHERE claim_id % 8 = 0",
     ),
-    "st9_nudges": (
-        lambda t: C.nudges(t.conversations.select(F.col("conv_id").alias("session"), "turn", (F.length("text") > 200).alias("wants"))),
-        """, g AS (SELECT conv_id AS session, floor(turn / 3) AS slot, min(turn) AS turn FROM conversations WHERE length(text) > 200 GROUP BY 1, 2)
-        SELECT session, turn FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS n FROM g) WHERE n <= 3""",
-    ),
     "t7_ppr_channel": (
         lambda t: G.ppr_channel(t.edges, t.edges.select((F.col("src") % 10).alias("query_id"), F.col("src").alias("id")).distinct().withColumn("weight", F.lit(1.0)), 10),
         _ppr_channel_sql(10),

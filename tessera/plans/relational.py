@@ -208,10 +208,6 @@ CASES = {
         ),
         "SELECT subject AS chain FROM claims GROUP BY subject HAVING bool_and(evidence % 10 <> 0)",
     ),
-    "j35_resolve_alias": (
-        lambda t: J.resolve_alias(t.documents.select("doc_id", F.concat(F.lit(" "), F.upper("lang")).alias("surface")), t.documents.groupBy(F.col("lang").alias("alias")).agg(F.min("doc_id").alias("entity_id"))).select("doc_id", "entity_id"),
-        "SELECT doc_id, min(doc_id) OVER (PARTITION BY lang) AS entity_id FROM documents",
-    ),
     # aggregates
     "a1_noisy_or": (
         lambda t: t.claims.groupBy("silo_id", "subject").agg(F.round(A.noisy_or("confidence") + 1e-9, 4).alias("joint")),

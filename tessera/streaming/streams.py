@@ -60,12 +60,17 @@ def touch_counts(events: DataFrame, minutes: int = 30) -> DataFrame:
     return both.withColumn("n_touches", F.count("*").over(w)).where("later = 0").select("entry_id", "n_touches")
 
 
-def metric_buckets(events: DataFrame, width: str = "1 hour", extra: list[Column] | None = None) -> DataFrame:
-    """Per window and kind: count, sum, median, 95th percentile (interpolated) and maximum. Batch and stream alike."""
-    g = events.groupBy(F.window("ts", width).alias("w"), "event_type")
+def metric_buckets(metrics: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Per window, tenant and metric: count, errors, and the latencies' sum, median, 95th percentile (interpolated) and maximum. Batch and stream alike.
+
+    ``metrics``: ``ts, silo_id, metric, value, is_error, times``: how often it happened (null: once). A null latency counts, but is none; a null flag is no error.
+    """
+    g = metrics.groupBy(F.window("ts", width).alias("w"), "silo_id", "metric")
+    times = F.coalesce("times", F.lit(1))
     return g.agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.max("value").alias("most")
-    ).select(F.col("w.start").alias("bucket"), "event_type", "n", "total", "p50", "p95", "most")
+        F.sum(times).alias("n"), F.sum(F.when(F.col("is_error"), times).otherwise(0)).alias("n_errors"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 6).alias("total"),
+        F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.max("value").alias("most"),
+    ).select(F.col("w.start").alias("bucket"), "silo_id", "metric", "n", "n_errors", "total", "p50", "p95", "most")
 
 
 def sessionize(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:

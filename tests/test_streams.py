@@ -39,10 +39,11 @@ def test_windows_and_sessions_equal_batch(spark, sf_dir, tmp_path):
     t = Tables(spark, sf_dir)
     e, _ = arrivals(t, f"{tmp_path}/in")
     events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.withColumns({"silo_id": F.col("user_id") % 3, "metric": F.col("event_type"), "is_error": F.col("value") > 50, "times": F.when(F.col("event_id") % 4 == 0, 3)})
     events.coalesce(1).write.parquet(f"{tmp_path}/ev")
     live = ST.access_source(spark, f"{tmp_path}/ev", events.schema, 1)
-    key = lambda df: sorted(map(tuple, df.select("bucket", "event_type", "n", "total", "p50", "p95", "most").collect()))
-    assert key(collect_stream(spark, ST.metric_buckets(live), "buckets")) == key(ST.metric_buckets(events))
+    key = lambda df: sorted(map(tuple, df.select("bucket", "silo_id", "metric", "n", "n_errors", "total", "p50", "p95", "most").collect()))
+    assert key(collect_stream(spark, ST.metric_buckets(live, "1 day"), "buckets")) == key(ST.metric_buckets(events, "1 day"))
     live = ST.access_source(spark, f"{tmp_path}/in", e.schema, 1)
     got = sorted(map(tuple, collect_stream(spark, ST.sessionize(live, "6 hours"), "sessions").select("node_id", "start", "n_events").collect()))
     assert got == sorted(map(tuple, ST.sessionize(e, "6 hours").select("node_id", "start", "n_events").collect()))
