@@ -4,8 +4,8 @@ Texts are split into words and these into pieces that the tokenizer never merges
 distinct piece of the corpus is encoded once, and its ids are joined back by position. A bounded number of the most
 frequent pieces (``Params.head``) is broadcast; these cover most positions, and every very
 frequent one. The positions of all other pieces are shuffled by piece to the table and back by
-document. Decoding joins ids with the vocabulary's id-to-piece table, whose size the vocabulary
-file fixes.
+document. The ids of each distinct piece are joined with the vocabulary's id-to-piece table, whose size the vocabulary
+file fixes, so what a piece decodes to is known once for all its positions; a text decodes to what its pieces do, joined by position.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_bytes, text_slices
@@ -203,7 +203,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def piece_table(docs: DataFrame, p: Params) -> DataFrame:
-    """``piece, n, ids``: every distinct piece of the texts, encoded once. ``ids``: unsigned 32-bit integers."""
+    """``piece, n, ids, text``: every distinct piece of the texts, encoded once and decoded by a join of its ids with the vocabulary.
+
+    ``ids``: unsigned 32-bit integers; ``text``: null where there are none.
+    """
     pieces = docs.select("text").mapInArrow(_count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +214,23 @@ def piece_table(docs: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             found = t.encode_batch(batch.column("piece").to_pylist(), add_special_tokens=False)
             ids = [np.array(e.ids, "<u4").tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["piece", "n", "ids"])
+            each = pa.array([e.ids for e in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), each], names=["piece", "n", "ids", "each"])
+
+    coded = pieces.mapInArrow(encode, "piece string, n long, ids binary, each array<int>")
+    tokens = coded.select("piece", "n", "ids", F.posexplode_outer("each").alias("place", "id")).join(F.broadcast(vocabulary(docs.sparkSession, p)), "id", "left")
+    return materialize(tokens.groupBy("piece", "n", "ids").agg(joined_tokens().alias("text")), "bpe-pieces")
+
+
+def vocabulary(spark: SparkSession, p: Params) -> DataFrame:
+    """``id, token``: the id-to-piece table, bounded by the vocabulary file."""
+    return spark.createDataFrame(list(enumerate(id_pieces(p.tokenizer))), "id int, token string")
 
-    return materialize(pieces.mapInArrow(encode, "piece string, n long, ids binary"), "bpe-pieces")
+
+def joined_tokens() -> Column:
+    """The tokens of a group in order of ``place``, one blank between them, as a tokenizer without a decoder gives them; null without any."""
+    listed = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("place", "token")))
+    return F.when(F.size(listed) > 0, F.array_join(F.transform(F.array_sort(listed), lambda x: x["token"]), " "))
 
 
 def frequent(table: DataFrame, most: int) -> DataFrame:
@@ -239,16 +256,12 @@ def id_pieces(path: str) -> list[str]:
     return out
 
 
-def decode(ids: list[int], pieces: list[str]) -> str:
-    """What a tokenizer without a decoder gives: the ids' pieces, one blank between them."""
-    return " ".join([pieces[i] for i in ids])
-
-
 class _Head:
-    """The broadcast pieces from the most frequent down, numbered from 1, and their ids side by side."""
+    """The broadcast pieces from the most frequent down, numbered from 1, their ids side by side, and what they decode to."""
 
-    def __init__(self, pieces: list[str], ids: list[bytes]) -> None:
+    def __init__(self, pieces: list[str], ids: list[bytes], texts: list[str | None]) -> None:
         self.pieces = pieces
+        self.texts = np.array([None, *texts], object)
         self.ids = np.frombuffer(b"".join(ids), "<u4").copy()
         self.length = np.array([0, *[len(i) // 4 for i in ids]], np.int64)  # 0: a piece that isn't here
         self.start = np.cumsum(self.length) - self.length
@@ -334,8 +347,15 @@ def weave(head: _Head, pieces: np.ndarray, n_pieces: list[int], extra: list[byte
     return np.split(ids, ends[:-1])
 
 
-def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray], tuple]) -> DataFrame:
-    """A row for each document: its ``doc_id`` and what ``make`` gives for the ids of its whole text.
+def weave_texts(head: _Head, pieces: np.ndarray, n_pieces: list[int], extra: list[str | None]) -> list[str]:
+    """What a chunk's documents decode to: what their pieces do, those without a token left out."""
+    texts = head.texts[pieces]
+    texts[pieces == 0] = extra
+    return [" ".join([t for t in one if t is not None]) for one in np.split(texts, np.cumsum(n_pieces)[:-1])]
+
+
+def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray, str], tuple]) -> DataFrame:
+    """A row for each document: its ``doc_id`` and what ``make`` gives for the ids of its whole text and what these decode to.
 
     A null text is empty; equal rows stay apart; an empty table gives none; other columns are not
     read. ``docs`` is scanned twice and has to give its rows in the same order, as a table read
@@ -346,21 +366,23 @@ def encoded(docs: DataFrame, p: Params, schema: str, make: Callable[[np.ndarray]
     if not 0 <= p.head < 1 << 21:
         raise ValueError("the head has to be below 2^21 pieces")
     top = frequent(table, p.head).toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
-    shared = docs.sparkSession.sparkContext.broadcast(_Head(top["piece"].to_pylist(), top["ids"].to_pylist()))
+    shared = docs.sparkSession.sparkContext.broadcast(_Head(top["piece"].to_pylist(), top["ids"].to_pylist(), top["text"].to_pylist()))
     tails = slim.mapInArrow(_lookup(shared, True), _TAILS)
-    found = tails.join(table.select("piece", "ids"), "piece").select("chunk", "place", "ids")
+    found = tails.join(table.select("piece", "ids", "text"), "piece").select("chunk", "place", "ids", "text")
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     fields = [f.split() for f in schema.split(", ")]
 
     def assemble(key: tuple, heads: pa.Table, extra: pa.Table) -> pa.Table:
-        pieces = extra["ids"].take(pc.sort_indices(extra["place"])).to_pylist()
+        extra = extra.take(pc.sort_indices(extra["place"]))
+        pieces, texts = extra["ids"].to_pylist(), extra["text"].to_pylist()
         if heads.num_rows != 1:
             raise ValueError("two scans of the documents gave their rows in another order: write them as a table first")
         (row,) = heads.to_pylist()
         numbers = unpack(row["pieces"])
         if len(pieces) != int((numbers == 0).sum()):
             raise ValueError("pieces are missing: write the documents as a table first")
-        each = [make(ids) for ids in weave(shared.value, numbers, row["n_pieces"], pieces)]
+        back = weave_texts(shared.value, numbers, row["n_pieces"], texts)
+        each = [make(ids, text) for ids, text in zip(weave(shared.value, numbers, row["n_pieces"], pieces), back, strict=True)]
         arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*each, strict=True), fields, strict=True)]
         return pa.table([pa.array(row["doc_id"], pa.int64()), *arrays], names=["doc_id", *[n for n, _ in fields]])
 
@@ -373,10 +395,8 @@ _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def digests(docs: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
     """``doc_id``, the number of tokens, the SHA-256 of the ids and of the decoded text, and if asked the ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_pieces(p.tokenizer))
 
-    def make(ids: np.ndarray) -> tuple:
-        text = decode(ids.tolist(), shared.value)
+    def make(ids: np.ndarray, text: str) -> tuple:
         out = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
         return (*out, ids.astype(np.int32)) if with_ids else out
 
@@ -385,7 +405,7 @@ def digests(docs: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
 
 def token_ids(docs: DataFrame, p: Params) -> DataFrame:
     """``doc_id`` and ``ids array<int>`` of each row's whole text."""
-    return encoded(docs, p, "ids array<int>", lambda ids: (ids.astype(np.int32),))
+    return encoded(docs, p, "ids array<int>", lambda ids, _: (ids.astype(np.int32),))
 
 
 def decoded_texts(ids: DataFrame, p: Params) -> DataFrame:
@@ -394,11 +414,9 @@ def decoded_texts(ids: DataFrame, p: Params) -> DataFrame:
     Null ids decode to an empty text; equal rows stay apart; an empty table gives none. The vocabulary
     file bounds the table that is broadcast.
     """
-    spark = ids.sparkSession
-    vocabulary = spark.createDataFrame(list(enumerate(id_pieces(p.tokenizer))), "id int, piece string")
     rows = materialize(ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"), "bpe-ids")
-    each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(F.broadcast(vocabulary), "id")
-    texts = each.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(F.broadcast(vocabulary(ids.sparkSession, p)), "id")
+    texts = each.groupBy("row").agg(joined_tokens().alias("text"))
     return rows.join(texts, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
