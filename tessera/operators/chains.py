@@ -42,12 +42,13 @@ def ingest_claims(existing: DataFrame, batch: DataFrame, conflict_mode: str = "s
     return done.unionByName(b.where("status <> 'created'").select("claim_id", "status", none.alias("supersedes")))
 
 
-def corroborate_semantic(claims: DataFrame, near: DataFrame, of: DataFrame | None = None, least: int = 3) -> DataFrame:
-    """Per claim (of those in ``of``, or all) the distinct evidence of itself and of all claims similar to it (``query_id, node_id``)."""
+def corroborate_semantic(claims: DataFrame, told: DataFrame, of: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """Per claim (of those in ``of``, or all) the distinct evidence of itself and of all claims similar to it.
+
+    ``claims``: ``claim_id, evidence``; ``told``: ``query_id, tag``, the distinct evidence of the claims similar to each (``tags_within``). Null evidence doesn't count.
+    """
     asked = claims if of is None else claims.join(of.select("claim_id").distinct(), "claim_id", "left_semi")
-    own = asked.select("claim_id", "evidence")
-    other = near.join(claims.select(F.col("claim_id").alias("node_id"), "evidence"), "node_id").select(F.col("query_id").alias("claim_id"), "evidence")
-    g = own.unionByName(other).groupBy("claim_id").agg(F.count_distinct("evidence").alias("n_evidence"))
+    g = asked.select("claim_id", "evidence").unionByName(told.select(F.col("query_id").alias("claim_id"), F.col("tag").alias("evidence"))).groupBy("claim_id").agg(F.count_distinct("evidence").alias("n_evidence"))
     return g.withColumn("promote", F.col("n_evidence") >= least)
 
 

@@ -1,7 +1,7 @@
-"""Exact nearest neighbours by cosine, over blocks.
+"""Exact nearest neighbours by cosine, over the blocks of a partitioned index.
 
-Queries and vectors are cut into blocks by hash and every pair of blocks is a task that multiplies
-two matrices and keeps each query's k best, so no pair is ever a row and no side has to fit a task.
+A pair of blocks is a task that multiplies two matrices and keeps each query's k best, its distinct tags, or the best
+pairs, so no other pair is ever a row and no side has to fit a task. Pairs of blocks that can't count are not visited.
 """
 
 from __future__ import annotations
@@ -14,70 +14,108 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.vector_index import Index, Params, unit_rows
 from tessera.scratch import materialize
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    ids = t["id"].to_numpy()
-    column = t["embedding"].combine_chunks()
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if len(set(column.value_lengths().to_pylist())) > 1:
-        raise ValueError("vectors of unequal length can't be compared")
-    values = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float))
-    m = values.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), t["tag"].to_numpy()
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t["id"].to_numpy(), unit_rows(t["embedding"], t.num_rows), t["tag"].to_numpy()
 
 
-def _best(k: int | None, least: float, other_tag: bool, chunk: int = 512):
+def _scores(queries: pa.Table, vectors: pa.Table, other_tag: bool, chunk: int = 512):
+    """Stretches of the queries: ids of both sides, tags of the vectors, and the rounded scores; -2 for pairs that don't count."""
+    if not queries.num_rows or not vectors.num_rows:
+        return
+    qid, q, qt = _matrix(queries)
+    vid, v, vt = _matrix(vectors)
+    for at in range(0, len(qid), chunk):
+        s = np.round(q[at : at + chunk] @ v.T, 6)
+        s[qid[at : at + chunk, None] == vid[None]] = -2
+        if other_tag:
+            s[qt[at : at + chunk, None] == vt[None]] = -2
+        yield qid[at : at + chunk], vid, vt, s
+
+
+def _cat(parts: list, kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _best(k: int | None, least: float, other_tag: bool):
     def run(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
-        if queries.num_rows and vectors.num_rows:
-            qid, q, qt = _matrix(queries)
-            vid, v, vt = _matrix(vectors)
-            for at in range(0, len(qid), chunk):
-                s = np.round(q[at : at + chunk] @ v.T, 6)
-                s[qid[at : at + chunk, None] == vid[None]] = -2
-                if other_tag:
-                    s[qt[at : at + chunk, None] == vt[None]] = -2
-                for i, row in enumerate(s):
-                    n = len(row) if k is None else min(k, len(row))
-                    cut = max(least, np.partition(row, len(row) - n)[len(row) - n])
-                    keep = np.flatnonzero((row >= cut) & (row > -2))
-                    keep = keep[np.lexsort((vid[keep], -row[keep]))][:k]
-                    out_q.append(np.full(len(keep), qid[at + i]))
-                    out_v.append(vid[keep])
-                    out_s.append(row[keep])
-        cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        return pa.table({"query_id": cat(out_q, np.int64), "node_id": cat(out_v, np.int64), "score": cat(out_s, float)})
+        for qid, vid, _, s in _scores(queries, vectors, other_tag):
+            for i, row in enumerate(s):
+                n = len(row) if k is None else min(k, len(row))
+                cut = max(least, np.partition(row, len(row) - n)[len(row) - n])
+                keep = np.flatnonzero((row >= cut) & (row > -2))
+                keep = keep[np.lexsort((vid[keep], -row[keep]))][:k]
+                out_q.append(np.full(len(keep), qid[i]))
+                out_v.append(vid[keep])
+                out_s.append(row[keep])
+        return pa.table({"query_id": _cat(out_q, np.int64), "node_id": _cat(out_v, np.int64), "score": _cat(out_s, float)})
+
+    return run
+
+
+def _tags(least: float):
+    def run(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out_q, out_t = [], []
+        for qid, _, vt, s in _scores(queries, vectors, False):
+            kinds, at = np.unique(vt, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            found = np.maximum.reduceat(s[:, order], np.searchsorted(at[order], np.arange(len(kinds))), axis=1) >= max(least, -1.5)
+            row, kind = np.nonzero(found)
+            out_q.append(qid[row])
+            out_t.append(kinds[kind])
+        return pa.table({"query_id": _cat(out_q, np.int64), "tag": _cat(out_t, np.int64)})
+
+    return run
+
+
+def _top_pairs(most: int, least: float):
+    def run(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for qid, vid, _, s in _scores(queries, vectors, False):
+            row, col = np.nonzero((s >= least) & (s > -2) & (qid[:, None] < vid[None]))
+            a, b, c = np.r_[a, qid[row]], np.r_[b, vid[col]], np.r_[c, s[row, col]]
+            keep = np.lexsort((b, a, -c))[:most]
+            a, b, c = a[keep], b[keep], c[keep]
+        return pa.table({"a": a, "b": b, "score": c})
 
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float = -1.0, tag: str | None = None, query_block: int = 1 << 16, block: int = 1 << 14) -> DataFrame:
+def _slim(df: DataFrame, tag: str | None) -> DataFrame:
+    return materialize(df.where("embedding is not null and node_id is not null").select(F.col("node_id").cast("long").alias("id"), "embedding", (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag")), "nearest")
+
+
+def _sides(queries: DataFrame, vectors: DataFrame, tag: str | None, p: Params) -> tuple[DataFrame, Index]:
+    a = _slim(queries, tag)
+    return a, Index(a if queries is vectors else _slim(vectors, tag), p)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float = -1.0, tag: str | None = None, p: Params = Params()) -> DataFrame:
     """``query_id, node_id, score, rank``: the k vectors of cosine at least ``least`` nearest each query, itself left out; all of them without a k.
 
     Both sides: ``node_id, embedding`` of one length (others are an error); null ids and vectors are left out, null components are 0. Scores are
-    rounded to 6 places and tie by id. A task holds a block of vectors and of queries (8 and 32 MB at 64
-    components), so a vector travels once for 65536 queries. ``tag``: a column in which neighbours have to differ.
+    rounded to 6 places and tie by id. Blocks that the index rules out aren't read. ``tag``: a column in which neighbours have to differ.
     """
-    slim = lambda df: materialize(df.where("embedding is not null and node_id is not null").select(F.col("node_id").alias("id"), "embedding", (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag")), "nearest")
-    a = slim(queries)
-    b = a if queries is vectors else slim(vectors)
-    n_a, n_b = a.count(), b.count()
-    nb = max(1, -(-n_b // block))
-    # few queries are cut finer, to give every core something to do
-    na = max(1, -(-n_a // query_block), min(-(-n_a // 256), -(-2 * queries.sparkSession.sparkContext.defaultParallelism // nb)))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = a.select("*", place(na).alias("i"), every(nb).alias("j")).groupBy("i", "j")
-    right = b.select("*", place(nb).alias("j"), every(na).alias("i")).groupBy("i", "j")
-    found = left.cogroup(right).applyInArrow(_best(k, least, tag is not None), "query_id long, node_id long, score double")
+    asked, index = _sides(queries, vectors, tag, p)
+    found = index.search(asked, _best(k, least, tag is not None), "query_id long, node_id long, score double", least, k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     ranked = found.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def tags_within(queries: DataFrame, vectors: DataFrame, least: float, tag: str, p: Params = Params()) -> DataFrame:
+    """``query_id, tag``: the distinct tags (integers; null ones don't count) of the vectors of cosine at least ``least`` to each query, itself left out.
+
+    Tags are made distinct in each pair of blocks, so like vectors of one tag are one row and not pairs.
+    """
+    index = Index(_slim(vectors.where(F.col(tag).isNotNull()), tag), p)
+    return index.search(_slim(queries, None), _tags(least), "query_id long, tag long", least, None).distinct()
+
+
 def contradiction_candidates(vectors: DataFrame, k: int = 20, least: float = 0.85) -> DataFrame:
     """Per node its most similar peers."""
     return nearest(vectors, vectors, k, least).select("query_id", "node_id", "score")
@@ -100,9 +138,10 @@ def weak_links(vectors: DataFrame, existing: DataFrame, k: int = 10, least: floa
     return left.groupBy("a", "b").agg(F.round(F.max("score") * 0.5, 6).alias("weight"))
 
 
-def overlapping_pairs(vectors: DataFrame, least: float = 0.85, most: int = 50) -> DataFrame:
-    """The most similar unordered pairs of at least a similarity, best first."""
-    pairs = nearest(vectors, vectors, None, least).where("query_id < node_id").select(F.col("query_id").alias("a"), F.col("node_id").alias("b"), "score")
+def overlapping_pairs(vectors: DataFrame, least: float = 0.85, most: int = 50, p: Params = Params()) -> DataFrame:
+    """The most similar unordered pairs of at least a similarity, best first; a pair of blocks gives its ``most`` best alone."""
+    asked, index = _sides(vectors, vectors, None, p)
+    pairs = index.search(asked, _top_pairs(most, least), "a long, b long, score double", least, None)
     return pairs.orderBy(F.desc("score"), "a", "b").limit(most)
 
 

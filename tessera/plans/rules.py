@@ -105,14 +105,14 @@ CASES = {
         FROM claims c LEFT JOIN d ON d.subject = c.subject AND d.predicate = c.predicate AND d.object = c.object""",
     ),
     "j2_corroborate_semantic": (
-        lambda t: corroborate_semantic(t.vectors.select(F.col("node_id").alias("claim_id"), F.col("label").alias("evidence")), M.nearest(t.vectors, t.vectors, None, 0.3)),
+        lambda t: corroborate_semantic(t.vectors.select(F.col("node_id").alias("claim_id"), F.col("label").alias("evidence")), M.tags_within(t.vectors, t.vectors, 0.3, "label")),
         f""", e AS (SELECT node_id AS claim_id, label AS evidence FROM vectors UNION ALL SELECT a.node_id, b.label FROM vectors a JOIN vectors b ON a.node_id <> b.node_id WHERE {SIM} >= 0.3)
         SELECT claim_id, count(DISTINCT evidence) AS n_evidence, count(DISTINCT evidence) >= 3 AS promote FROM e GROUP BY 1""",
     ),
     "j3_corroborate_freeform": (
         lambda t: corroborate_semantic(
             t.vectors.select(F.col("node_id").alias("claim_id"), F.col("label").alias("evidence")),
-            M.nearest(t.vectors.join(t.nodes.where("quality is null").select("node_id"), "node_id", "left_semi"), t.vectors, None, 0.3),
+            M.tags_within(t.vectors.join(t.nodes.where("quality is null").select("node_id"), "node_id", "left_semi"), t.vectors, 0.3, "label"),
             t.nodes.where("quality is null").select(F.col("node_id").alias("claim_id")),
         ),
         f""", f AS (SELECT v.* FROM vectors v WHERE node_id IN (SELECT node_id FROM nodes WHERE quality IS NULL)),

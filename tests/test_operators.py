@@ -10,6 +10,7 @@ from tessera.operators import lifecycle as L
 from tessera.operators import scans as S
 from tessera.operators import similarity as M
 from tessera.operators import windows as W
+from tessera.operators.vector_index import Params
 
 
 def frame(spark, rows, schema):
@@ -63,8 +64,8 @@ def test_blocks_do_not_change_neighbours(spark):
 
     rng = np.random.default_rng(2)
     v = frame(spark, [(i, [float(x) for x in rng.normal(size=5)]) for i in range(60)], "node_id long, embedding array<float>")
-    a = M.nearest(v, v, 4, block=7).orderBy("query_id", "rank").collect()
-    assert a == M.nearest(v, v, 4, block=4096).orderBy("query_id", "rank").collect()
+    a = M.nearest(v, v, 4, p=Params(block=7)).orderBy("query_id", "rank").collect()
+    assert a == M.nearest(v, v, 4).orderBy("query_id", "rank").collect()
 
 
 def test_export_and_import_of_one_tenant(spark, tmp_path):
