@@ -123,6 +123,12 @@ class Index:
             m = m[np.any(m != 0, 1)]
             cells = min(cells, max(1, p.numbers // max(1, m.shape[1])), len(m))
             self.centroids = fit_centroids(m, cells, p.rounds) if cells > 1 else np.zeros((1, 0))
+        self.pairs = (0, 0)
+        if len(self.centroids) < 2:  # nothing to place
+            self.n_blocks = max(1, -(-n // p.block))
+            self.rings, self.dealt = [Ring(0, 0.0, 0.0, 0, self.n_blocks)], None
+            self.blocks = vectors.select("id", "embedding", "tag", _hash(self.n_blocks).alias("j"))
+            return
         placed = self.place(vectors, "index-placed")
         counts = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()  # cells * rings rows at most
         self.rings, where = pack_rings([tuple(r) for r in counts], p.block)
@@ -131,13 +137,10 @@ class Index:
         self.dealt = spark.createDataFrame(table, "cell int, ring int, at int, first int, parts int")  # as many rows
         self.blocks = placed.join(F.broadcast(self.dealt), ["cell", "ring"]).select("id", "embedding", "tag", (F.col("first") + _hash(F.col("parts"))).alias("j"))
         self.n_blocks = sum(r.parts for r in self.rings)
-        self.pairs = (0, 0)
 
     def place(self, df: DataFrame, tag: str) -> DataFrame:
         """``df`` with the cell, ring and angle of each vector."""
         c, rings = self.centroids, self.p.rings
-        if len(c) < 2:
-            return df.select("*", F.lit(0).alias("cell"), F.lit(0).alias("ring"), F.lit(0.0).alias("angle"))
         kinds = df.select("id", "embedding", "tag").schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +158,21 @@ class Index:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
         return materialize(df.select("id", "embedding", "tag").mapInArrow(run, f"{kinds}, cell int, ring int, angle double"), tag)
 
+    def room(self, queries: DataFrame, n: int) -> int:
+        """Queries in a block; few are cut finer, to give every core something to do."""
+        return min(self.p.query_block, max(256, n * self.n_blocks // (2 * queries.sparkSession.sparkContext.defaultParallelism)))
+
+    def cuts(self, queries: DataFrame) -> int:
+        n = queries.count()
+        return max(1, -(-n // self.room(queries, n)))
+
     def place_queries(self, queries: DataFrame) -> DataFrame:
         """Queries with a block ``i`` (of neighbouring cells) and the block ``home`` of vectors around them."""
+        if self.dealt is None:
+            return queries.select("id", "embedding", "tag", _hash(self.cuts(queries)).alias("i"), F.lit(0).alias("home"))
         q = self.place(queries, "index-queries")
         counts = {r.cell: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
-        n = sum(counts.values())
-        # few queries are cut finer, to give every core something to do
-        room = min(self.p.query_block, max(256, n * self.n_blocks // (2 * queries.sparkSession.sparkContext.defaultParallelism)))
+        room = self.room(queries, sum(counts.values()))
         table, i, used = [], 0, 0
         for cell in sorted(counts):
             parts = -(-counts[cell] // room)
@@ -212,15 +223,17 @@ class Index:
 
     def search(self, queries: DataFrame, work: Callable, schema: str, least: float, k: int | None) -> DataFrame:
         """What ``work`` gives for all pairs of blocks that count. With a k, ``work`` gives ``query_id, score`` and at most k rows a query, and the union has its k best."""
+        if self.n_blocks < 2:  # it goes to each block of queries
+            n = self.cuts(queries)
+            left = queries.select("id", "embedding", "tag", _hash(n).alias("i")).groupBy("i")
+            right = self.blocks.select("id", "embedding", "tag", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).groupBy("i")
+            return left.cogroup(right).applyInArrow(work, schema)
         q = materialize(self.place_queries(queries), "index-asked")
         self.n_pairs = q.select("i").distinct().count() * self.n_blocks
         self.pairs = (0, self.n_pairs)
         if k is None:
             return self.meet(self.visits(q.withColumns({"least": F.lit(float(least)), "home": F.lit(-1)})), work, schema)
-        seen = self.meet(q.select("id", "embedding", "tag", "i", F.col("home").alias("j")), work, schema)
-        if self.n_blocks < 2:
-            return seen
-        seen = materialize(seen, "index-seen")
+        seen = materialize(self.meet(q.select("id", "embedding", "tag", "i", F.col("home").alias("j")), work, schema), "index-seen")
         w = Window.partitionBy("query_id").orderBy(F.desc("score"))
         kth = seen.select("query_id", "score", F.row_number().over(w).alias("n")).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
         rest = q.join(kth, "id", "left").withColumn("least", F.greatest(F.coalesce("kth", F.lit(float(least))), F.lit(float(least))))

@@ -104,5 +104,5 @@ def test_bounds_and_rings():
     bound = best_scores(theta, np.zeros(50, bool), rings)
     for k in range(3):
         assert (bound[:, k] >= (q @ m[near == k].T).max(1) - 1e-9).all()
-    rings, where = pack_rings([(0, 2, 100, 0.2, 0.3), (0, 1, 5, 0.1, 0.15), (1, 0, 3, 0.0, 0.1), (0, 3, 4, 0.31, 0.32)], 40)
+    rings, where = pack_rings([(0, 2, 100, 0.2, 0.3), (0, 1, 4, 0.1, 0.15), (1, 0, 3, 0.0, 0.1), (0, 3, 4, 0.31, 0.32)], 40)
     assert where == [(0, 1, 0), (0, 2, 0), (0, 3, 1), (1, 0, 2)] and rings[0] == Ring(0, 0.1, 0.3, 0, 3) and [x.first for x in rings] == [0, 3, 4]
