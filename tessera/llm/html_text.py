@@ -2,7 +2,8 @@
 
 A page becomes a flat list of text blocks. Each has its word count and link density, those of the
 blocks before and after it, and what the regions around it say: by tag or role, and by the share
-of words in their class and id names that tell a side region. A decision tree grown on a small
+of words in their class and id names that tell a side region; and whether a heading
+before it begins the readers' comments. A decision tree grown on a small
 table of labelled pages says which blocks belong to the article. Pages are read
 in Arrow batches; a batch's blocks are classified at once.
 """
@@ -30,7 +31,9 @@ BLOCK_TAGS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SILENT_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea select button datalist title audio video".split())
 #: Their content is no markup: without an end tag they take the rest of the page.
-RAW_TAGS = frozenset("script style textarea title noscript iframe template svg math".split())
+RAW_TAGS = frozenset("script style textarea title".split())
+#: Drawings and formulas: a block tag in them ends them, as in a browser.
+FOREIGN_TAGS = frozenset("svg math".split())
 SIDE_TAGS = frozenset("nav menu footer aside form dialog".split())
 SIDE_ROLES = frozenset("navigation contentinfo complementary search form dialog alert".split())
 SIDE_WORDS = frozenset(
@@ -40,6 +43,8 @@ SIDE_WORDS = frozenset(
     "search searchbox pagination pager paging skip skiplink paywall form aside".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: A heading of these words and numbers alone begins the readers' comments.
+COMMENT_TITLES = frozenset("comment comments reply replies responses reader readers leave a an your all and".split())
 HEADER_WORDS = frozenset("header head pageheader siteheader".split())
 #: Words of names that say where or in what shape, not what.
 SHAPE_WORDS = frozenset(
@@ -51,6 +56,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 # What follows a tag's name; an attribute's value may hold a ">" in quotes.
 _TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN_TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>")
+#: What ends an element whose text isn't shown: its end tag, and for drawings and formulas a block tag of HTML.
+_ENDS = {t: re.compile(rf"</{t}\s*+>" + (r"|<(?:p|div|h[1-6]|ul|ol|dl|table|blockquote|pre|body|center)[\s/>]" if t in FOREIGN_TAGS else ""), re.I) for t in SILENT_TAGS}
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|data-main|data-side)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -82,7 +89,8 @@ class Block:
     words: int
     linked: int
     marks: Marks
-    heading: bool
+    heading: int  # 1 to 6, or 0
+    in_comments: bool = False  # under a heading that begins the readers' comments
 
 
 def _shares(name: str) -> tuple[float, float, float]:
@@ -92,6 +100,11 @@ def _shares(name: str) -> tuple[float, float, float]:
     return count(SIDE_WORDS), count(COMMENT_WORDS), count(HEADER_WORDS)
 
 
+def _begins_comments(title: str) -> bool:
+    words = re.findall(r"[a-z]+", title[:200].lower())
+    return len(words) <= 5 and bool(COMMENT_WORDS & set(words)) and COMMENT_TITLES.issuperset(words)
+
+
 @lru_cache(maxsize=1 << 14)
 def _marks(tag: str, attrs: str) -> Marks:
     article, side, header, truth = tag in ("article", "main"), tag in SIDE_TAGS, float(tag == "header"), None
@@ -127,24 +140,29 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, Marks]] = []
     is_open: Counter = Counter()
     marks = _NONE
-    links, heading, at, end = 0, False, 0, len(html)
+    links, heading, at, end = 0, 0, 0, len(html)
+    comments_level = 0
     quotes, last_gap = True, html.rfind(">")
     never_shut: set[str] = set()
 
     def close() -> None:
+        nonlocal comments_level
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 n = text.count(" ") + 1
-                out.append(Block(text, n, min(n, len(unescape(" ".join(linked_parts)).split())), marks, heading))
+                if heading and (not comments_level or heading <= comments_level):
+                    comments_level = heading if _begins_comments(text) else 0
+                out.append(Block(text, n, min(n, len(" ".join(linked_parts).split())), marks, heading, comments_level > 0))
             parts.clear()
             linked_parts.clear()
 
     def say(a: int, b: int) -> None:
         if b > a:
-            parts.append(html[a:b])
+            text = unescape(html[a:b])  # a reference doesn't go on behind a tag
+            parts.append(text)
             if links:
-                linked_parts.append(html[a:b])
+                linked_parts.append(text)
 
     def leave(depth: int) -> Marks:
         was = stack[depth][1]
@@ -178,10 +196,12 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if tag in SILENT_TAGS and not closing and not m[3].endswith("/"):
-            shut = None if tag in never_shut else re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
+            shut = None if tag in never_shut else _ENDS[tag].search(html, at)
             if shut is None:
                 never_shut.add(tag)
-            at = shut.end() if shut else (end if tag in RAW_TAGS else at)
+                at = end if tag in RAW_TAGS else at
+            else:
+                at = shut.end() if shut[0][1] == "/" else shut.start()
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else 1
@@ -201,12 +221,12 @@ def blocks(html: str) -> list[Block]:
                     depth -= 1
                 marks = leave(depth)
             if tag in HEADINGS:
-                heading = False
+                heading = 0
             continue
         if tag in HEADINGS:
-            heading = True
+            heading = int(tag[1])
         elif tag in BLOCK_TAGS:
-            heading = False
+            heading = 0
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option", *HEADINGS):  # may be left open: don't nest in themselves
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[i][0] == tag:
@@ -267,10 +287,28 @@ LABELLED = """
 <header><p>{20}</p></header><p data-main>{130}</p><p data-main>{9}</p><nav><a>{1}</a><a>{2}</a></nav><aside><p>{100}</p></aside>
 <header><h2>{3}</h2></header><div class="story"><h1 data-main>{7}</h1><p data-main>{50}</p></div><form>{12}</form><dialog>{30}</dialog>
 <article data-main><p>{100}</p></article><div class="post-comments"><h3>{2}</h3><p>{35}</p><p>{80}</p></div><div class="user-replies">{50}</div>
+<article data-main><p>{30} <a>{10}</a></p><p>{40}</p><p>{6} <a>{3}</a></p><p>{25}</p><p>{2} <a>{2}</a></p><p>{50}</p><ul><li><a>{3}</a><li><a>{5}</a> {2}</ul><p>{80} <a>{20}</a></p><p>{60}</p></article>
+<main data-main><p>{12} <a>{3}</a></p><p>{18}</p><p>{4} <a>{1}</a></p><h2><a>{4}</a></h2><p>{55}</p></main><div class="share-links"><a>{1}</a> <a>{2}</a></div><p class="related">{14} <a>{9}</a></p>
+<article data-main><p>{30}</p><div class="share-price">{3}</div><p>{12}</p><div class="banner-history">{2}</div><p>{40}</p></article>
+<div>{4}</div><div><a>{1}</a> <a>{1}</a> <a>{2}</a></div><div data-main>{6}</div><div data-main>{45}</div><div data-main>{3}</div><div data-main>{60}</div><div>{4} <a>{5}</a></div><div>{7}</div>
+<table><tr><td><a>{1}</a><td><a>{2}</a></table><table><tr><td data-main>{5}<tr><td data-main>{50}<tr><td data-main>{70}<tr><td data-main>{4}<tr><td data-main>{55}</table><table><tr><td><a>{2}</a><td>{6}</table>
+<p>{3}</p><p><a>{2}</a> <a>{1}</a></p><p data-main>{8}</p><p data-main>{33}</p><p data-main>{2}</p><p data-main>{90}</p><p data-main>{41}</p><p><a>{3}</a></p><p>{9}</p><p><a>{2}</a></p>
+<div><a>{2}</a></div><div>{2}</div><div><a>{3}</a></div><div>{1}</div><div><a>{2}</a></div><div data-main>{28}</div><div data-main>{9}</div><div data-main>{77}</div><div><a>{6}</a></div><div>{3}</div><div><a>{6}</a></div><div>{3}</div><div><a>{5}</a></div>
+<h1 data-main>{6}</h1><p data-main>{40}</p><p data-main>{2}</p><p data-main>{52}</p><p>{1} <a>{4}</a></p><p>{2} <a>{6}</a></p><p>{8}</p>
+<ul><li><a>{1}</a><li><a>{1}</a><li><a>{2}</a></ul><h1 data-main>{5}</h1><p data-main>{30}</p><ul><li data-main>{3}<li data-main>{5}<li data-main>{2}</ul><p data-main>{64}</p><ul><li><a>{4}</a><li><a>{3}</a></ul><p>{10}</p>
+<div>{6} <a>{1}</a> <a>{1}</a></div><div data-main>{4}</div><div data-main>{120}</div><div data-main>{12}</div><div data-main>{80}</div><div><a>{3}</a></div><div><a>{4}</a></div><div>{5}</div>
+<h1 data-main>{5}</h1><p data-main>{70}</p><p data-main>{25}</p><h3>Comments</h3><p>{20}</p><p>{60}</p><p>{4}</p>
+<div class="c1"><h1 data-main>{5}</h1><p data-main>{40}</p></div><div class="c4"><h2>3 Comments</h2><h4>{2}</h4><p>{30}</p><h4>{2}</h4><p>{90}</p></div>
+<article><h1 data-main>{5}</h1><p data-main>{70}</p><p data-main>{8}</p><h2>Leave a reply</h2><p>{14}</p><p>{40}</p><p>{80}</p></article>
 """
+#: Five more pages by a rule: paragraphs of an article with links of many lengths between plain ones.
+LABELLED += "\n".join(
+    "<nav><a>{1}</a> <a>{2}</a></nav><article data-main><h1>{6}</h1>" + "".join(f"<p>{{{n}}} <a>{{{m}}}</a></p><p>{{{k}}}</p>" for n in (0, 1, 3, 9, 30) for m in (1, 2, 5, 12)) + "</article><footer>{9}</footer>"
+    for k in (1, 4, 20, 70, 200)
+)
 NAMES = (
     "words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "in a side tag", "side words in a name", "comment words in a name",
-    "header words in a name", "heading", "page has an article",
+    "header words in a name", "heading", "page has an article", "under a comment heading",
 )
 
 
@@ -291,7 +329,7 @@ def block_features(found: list[list[Block]]) -> np.ndarray:
     np.logical_or.at(has, page, (mark("article") > 0) & (mark("side") == 0))
     cols = [
         words, density, near(words, -1, first), near(density, -1, first), near(words, 1, last), near(density, 1, last), mark("article"), mark("side"), mark("named"), mark("comment"),
-        mark("header"), np.array([b.heading for b in flat]), has[page],
+        mark("header"), np.array([b.heading > 0 for b in flat]), has[page], np.array([b.in_comments for b in flat]),
     ]
     return np.stack([np.asarray(c, float) for c in cols], 1)
 
@@ -329,7 +367,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1) -> Tree:
     """A classification tree by Gini impurity; of equal splits the first feature and threshold."""
     label = int(2 * y.sum() > len(y))
     if depth == 0 or y.all() or not y.any():

@@ -105,3 +105,65 @@ def test_query_against_sql(spark, sf_dir):
     from .oracle import same
 
     same(html_text.op10_html_text(table(spark, sf_dir, "pages")), sf_dir, html_text.OP10_SQL)
+
+
+# Pages without an article tag or a telling name, not looked at when the labelled pages were written.
+NAMELESS = [
+    """<div><a href=/>Start</a> | <a href=/w>World</a> | <a href=/s>Science</a></div><div>*River returns to its old bed after eighty years</div>
+    <div>*{a}</div><div>*The first winter</div><div>*{b}</div><div>*{c}</div><div><a href=1>Bees in the city</a></div><div><a href=2>Why maps lie</a></div><div>All rights reserved by the paper</div>""",
+    """<table><tr><td>Valley Gazette</td><td><a href=a>News</a></td><td><a href=b>Letters</a></td></tr></table>
+    <table><tr><td>*{b}</td></tr><tr><td>*{a}</td></tr><tr><td>*What they found</td></tr><tr><td>*{c}</td></tr></table><table><tr><td><a href=c>Older</a></td><td>Page one of nine</td></tr></table>""",
+    """<ul><li><a href=a>Home</a><li><a href=b>About me</a><li><a href=c>Archive</a></ul><h1>*Notes on bread</h1><p>*{c}</p><p>*{a}</p><ul><li>*flour and water<li>*salt<li>*a day of patience</ul><p>*{b}</p>
+    <h2>Comments</h2><p>{b}</p><p>Thanks, this was nice to read.</p>""",
+    """<div class=x1><div class=x2><a href=a>Sign in</a> <a href=b>Help</a></div></div><div class=y1><div class=y2>*{a}</div><div class=y2>*{c} <a href=q>a link</a></div><div class=y2>*{b}</div></div>
+    <div class=z1><a href=d>More on rivers</a> <a href=e>More on towns</a></div><div class=z2>Imprint and contact of the house</div>""",
+]
+TEXTS = {
+    "a": "For most of the last century the water ran through a concrete channel on the far side of the railway, and nobody who was not paid to do so ever walked along it.",
+    "b": "Then the wall was opened at two places, and within a few months the willows came back by themselves, as if they had only been waiting for someone to stop building there.",
+    "c": "Some of the neighbours complained about the mosquitoes. Others set up benches. In the end the town did what towns do and put up a sign with a number to call.",
+}
+
+
+def words_found(tree, features=html_text.block_features):
+    """Words rightly kept, kept, and wanted over the nameless pages."""
+    right = kept = wanted = 0
+    for page in NAMELESS:
+        found = html_text.blocks(page.format(**TEXTS))
+        for b, keep in zip(found, tree.predict(features([found])).tolist(), strict=True):
+            main = b.text.startswith("*")
+            right, kept, wanted = right + b.words * (main and keep), kept + b.words * keep, wanted + b.words * main
+    return right, kept, wanted
+
+
+def test_pages_without_names():
+    right, kept, wanted = words_found(html_text.default_tree())
+    assert right / kept >= 0.95 and right / wanted >= 0.95
+
+
+def test_neighbours_count():
+    def alone(pages):
+        x = html_text.block_features(pages)
+        x[:, [i for i, name in enumerate(html_text.NAMES) if name.endswith((" before", " after"))]] = 0
+        return x
+
+    found, label = html_text.labelled_blocks()
+    tree = html_text.grow(alone(found), label)
+    assert (tree.predict(alone(found)) != label).sum() >= 5 and (html_text.default_tree().predict(html_text.block_features(found)) != label).sum() <= 2
+    right, kept, wanted = words_found(html_text.default_tree())
+    r, k, w = words_found(tree, alone)
+    assert r / k + r / w < right / kept + right / wanted
+
+
+def test_markup_left_open():
+    text = "word " * 40
+    for page in ("<article><svg viewBox='0 0 1 1'><path d=x><p>{}</article>", "<article><math><mi>x</mi><p>{}</article>", "<article><iframe src=x><p>{}</article>", "<article><noscript><p>{}</article>"):
+        assert only(page.format(text)) == text.strip(), page
+    assert only("<article><p>a<svg><title>T</title><text>t</text></svg> b</p></article>") == "a b"
+    assert only("<p>Tom &am<b>p;</b> Jerry &amp; I") == "Tom &amp; Jerry & I"
+    page = f"<h1>Title</h1><p>{text}</p><h3>3 Comments</h3><p>Great {text}</p><h4>Someone</h4><p>{text}</p>"
+    assert only(page) == f"Title {text.strip()}" and only(page.replace("<h3>3 Comments</h3>", "<h3>On comments in law</h3>")) != f"Title {text.strip()}"
+    began = time.time()
+    only("<svg><p>" * 150_000)
+    only("<svg>" * 150_000)
+    assert time.time() - began < 20
