@@ -130,13 +130,15 @@ def propagate_confidence(prior: DataFrame, edges: DataFrame, alpha: float = 0.8,
     """x = clip((1 - alpha) prior + alpha (S - eta C) x, 0, 1) to a fixed point; S and C row-normalised per target.
 
     ``prior``: ``id, credibility``; ``edges``: ``src, dst, edge_type, weight``. Nodes without in-edges keep their prior. ``by`` names
-    columns of both that tell one graph from another: all graphs are iterated together.
+    columns of both that tell one graph from another: all graphs are iterated together. A round that moves no node with an
+    out-edge is the last, as the next one would give the same.
     """
     keys = list(by)
     sign = F.when(F.col("edge_type").isin(*supporting), 1.0).when(F.col("edge_type") == "CONTRADICTS", -eta)
     e = edges.withColumn("sign", sign).where("sign is not null").groupBy(*keys, "src", "dst", "sign", "edge_type").agg(F.max("weight").alias("weight"))
     norm = e.groupBy(*keys, "dst", "sign").agg(F.sum("weight").alias("total"))
     e = materialize(e.join(norm, [*keys, "dst", "sign"]).where("total > 0").select(*keys, F.col("src").alias("id"), "dst", (F.col("sign") * F.col("weight") / F.col("total")).alias("w")), "propagate-edges")
+    sources = materialize(e.select(*keys, "id").distinct(), "propagate-sources")
     p = materialize(prior.select(*keys, "id", "credibility"), "propagate-prior")
     x = p.select(*keys, "id", F.col("credibility").alias("x"))
     for _ in range(rounds):
@@ -145,7 +147,7 @@ def propagate_confidence(prior: DataFrame, edges: DataFrame, alpha: float = 0.8,
         new = materialize(new.select(*keys, "id", F.when(F.col("inflow").isNull(), F.col("credibility")).otherwise(exprs.clamp((1 - alpha) * F.col("credibility") + alpha * F.col("inflow"))).alias("y"), "x"), "propagate")
         moved = new.agg(F.max(F.abs(F.col("y") - F.col("x")))).first()[0]
         x = new.select(*keys, "id", F.col("y").alias("x"))
-        if moved is None or moved < epsilon:
+        if moved is None or moved < epsilon or new.where("y <> x").join(sources, [*keys, "id"], "left_semi").isEmpty():
             break
     return x.select(*keys, "id", F.col("x").alias("confidence"))
 
