@@ -14,8 +14,10 @@ from tessera.scratch import materialize
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
-    return edges.unionByName(back)
+    """Each edge and its reverse; the edges are computed once."""
+    turned = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x")
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select(turned, *rest).select("x.src", "x.dst", *rest)
 
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
@@ -210,52 +212,70 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) ->
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
     """``a, b, place, node_id`` along one shortest undirected path for each of the distinct ``pairs(a, b)``, all searched at once.
 
-    Both ends of every pair grow frontiers, the smaller side of all first, until they meet: what is reached is about twice the
-    reach of half the way, not the reach of the whole. Of several paths the one with the smallest ids from b back is taken. A pair
+    Both ends of every pair grow frontiers, each time the one with fewer edges, until an edge joins them; the step that joins them is
+    walked but not kept, and only pairs without one grow. Of several paths the one with the smallest ids from b back is taken. A pair
     further apart than ``most`` hops, or with an end that no edge has, has no rows; a pair of equal ends has one; nulls none.
     """
     e = materialize(both_ways(edges.select("src", "dst")).where("src is not null and dst is not null").distinct(), "paths-edges")
-    open_ = materialize(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "paths-pairs")
-    known = e.select(F.col("src").alias("id")).distinct()
+    degree = materialize(e.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "id"), "paths-degrees")
+    open_ = pairs.select("a", "b").where("a is not null and b is not null").distinct()
     for end in "ab":
-        open_ = open_.join(known.withColumnRenamed("id", end), end, "left_semi")
-    open_ = materialize(open_.select("a", "b"), "paths-open")
-    at = {end: open_.select("a", "b", F.col(end).alias("id"), F.lit(0).alias("hops")) for end in "ab"}
-    front, size, depth, met = dict(at), dict.fromkeys("ab", 0), dict.fromkeys("ab", 0), None
-    while True:
-        hit = at["a"].withColumnRenamed("hops", "x").join(at["b"].withColumnRenamed("hops", "y"), ["a", "b", "id"])
-        hit = hit.join(open_, ["a", "b"], "left_semi").withColumn("length", F.min(F.col("x") + F.col("y")).over(Window.partitionBy("a", "b"))).where(F.col("x") + F.col("y") == F.col("length"))
-        hit = materialize(hit.select("a", "b", "id", "x", "y", "length"), "paths-met")
-        met = hit if met is None else met.union(hit)
-        open_ = materialize(open_.join(hit.select("a", "b").distinct(), ["a", "b"], "left_anti"), "paths-open")
-        end = min("ab", key=lambda k: size[k])
-        if sum(depth.values()) == most or open_.isEmpty():
+        open_ = open_.join(degree.select(F.col("id").alias(end)), end, "left_semi")
+    pairs = materialize(open_.select("a", "b"), "paths-pairs")
+    open_ = pairs.where("a <> b")
+    level = {"a": 0, "b": 0}
+    front = {end: open_.select("a", "b", F.col(end).alias("id")) for end in "ab"}
+    reached = {end: pairs.select("a", "b", F.col(end).alias("id"), F.lit(0).alias("hops")) for end in "ab"}
+    found = pairs.where("a = b").select("a", "b", F.lit(0).alias("length"), F.lit(0).alias("left"))
+    joins = None
+    cost = lambda df: df.join(degree, "id").agg(F.sum("degree")).first()[0] or 0
+    walk = lambda df, to: df.withColumnRenamed("id", "src").join(e, "src").withColumnRenamed("dst", to)
+    costs = {end: cost(front[end]) for end in "ab"}
+    for length in range(1, most + 1):
+        near, far = sorted("ab", key=lambda k: costs[k])
+        hit = walk(front[near], "id").join(front[far], ["a", "b", "id"], "left_semi").select("a", "b", *[(F.col("src") if end == near else F.col("id")).alias(f"at_{end}") for end in "ab"])
+        hit = materialize(_dealt(hit, "a", "b"), "paths-met")
+        done = materialize(hit.select("a", "b").distinct(), "paths-done")
+        found = found.union(done.select("a", "b", F.lit(length), F.lit(level["b"])))
+        # b's side of the edge: that far from b
+        ends = hit.select("a", "b", F.col("at_b").alias("id"), F.lit(level["b"]).alias("left")).distinct()
+        joins = ends if joins is None else joins.union(ends)
+        open_ = materialize(open_.join(done, ["a", "b"], "left_anti"), "paths-open")
+        if length == most or open_.isEmpty():
             break
-        depth[end] += 1
-        step = front[end].join(open_, ["a", "b"], "left_semi").select("a", "b", F.col("id").alias("src")).join(e, "src").select("a", "b", F.col("dst").alias("id")).distinct()
-        step = materialize(step.join(at[end], ["a", "b", "id"], "left_anti").withColumn("hops", F.lit(depth[end])), "paths-front")
-        size[end] = step.count()
-        front[end], at[end] = step, materialize(at[end].union(step), "paths-reached")
-    # nodes on some shortest path between the meeting places and b: a level nearer to b each step
-    level = met.select("a", "b", "id", F.col("y").alias("left"))
-    held = level
-    for _ in range(depth["b"]):
-        nearer = at["b"].select("a", "b", F.col("id").alias("dst"), F.col("hops").alias("near"))
-        level = level.where("left > 0").withColumnRenamed("id", "src").join(e, "src").join(nearer, ["a", "b", "dst"]).where("near = left - 1").select("a", "b", F.col("dst").alias("id"), F.col("near").alias("left"))
-        level = materialize(level.distinct(), "paths-level")
-        held = held.union(level)
-    length = met.select("a", "b", "length").distinct()
-    far = at["a"].join(length, ["a", "b"]).where("hops <= length").select("a", "b", "id", F.col("hops").alias("place"))
-    placed = materialize(held.join(length, ["a", "b"]).select("a", "b", "id", (F.col("length") - F.col("left")).alias("place")).union(far).distinct(), "paths-placed")
-    path = materialize(length.select("a", "b", F.col("b").alias("id"), F.col("length").alias("place")), "paths-path")
+        front = {end: materialize(_dealt(front[end].join(open_, ["a", "b"], "left_semi"), "a", "b"), "paths-front") for end in "ab"}
+        costs = {end: cost(front[end]) for end in "ab"}
+        end = min("ab", key=lambda k: costs[k])
+        level[end] += 1
+        step = walk(front[end], "id").select("a", "b", "id").distinct().join(reached[end], ["a", "b", "id"], "left_anti")
+        front[end] = materialize(_dealt(step, "a", "b"), "paths-front")
+        costs[end] = cost(front[end])
+        reached[end] = reached[end].union(front[end].select("a", "b", "id", F.lit(level[end]).alias("hops")))
+    # nodes on some shortest path from the joining edges to b: a level nearer to b each step
+    found = materialize(found, "paths-found")
+    on = held = joins.select("a", "b", "id", "left") if joins is not None else reached["b"].limit(0).select("a", "b", "id", F.lit(0).alias("left"))
+    for _ in range(level["b"]):
+        nearer = reached["b"].select("a", "b", "id", F.col("hops").alias("near"))
+        on = walk(on.where("left > 0"), "id").join(nearer, ["a", "b", "id"]).where("near = left - 1").select("a", "b", "id", F.col("near").alias("left")).distinct()
+        on = materialize(_dealt(on, "a", "b"), "paths-level")
+        held = held.union(on)
+    far = reached["a"].join(found, ["a", "b"]).where("hops < length - left").select("a", "b", "id", F.col("hops").alias("place"))
+    placed = held.join(found.select("a", "b", "length"), ["a", "b"]).select("a", "b", "id", (F.col("length") - F.col("left")).alias("place"))
+    placed = materialize(_dealt(placed.union(far).distinct(), "a", "b"), "paths-placed")
+    path = materialize(found.select("a", "b", F.col("b").alias("id"), F.col("length").alias("place")), "paths-path")
     whole = path
-    for _ in range(sum(depth.values())):
-        back = path.where("place > 0").withColumnRenamed("id", "src").join(e, "src").withColumn("place", F.col("place") - 1).select("a", "b", F.col("dst").alias("id"), "place")
+    for _ in range(sum(level.values()) + 1):
+        back = walk(path.where("place > 0"), "id").withColumn("place", F.col("place") - 1).select("a", "b", "id", "place")
         path = materialize(back.join(placed, ["a", "b", "id", "place"], "left_semi").groupBy("a", "b", "place").agg(F.min("id").alias("id")).select("a", "b", "id", "place"), "paths-path")
         whole = whole.union(path)
     return whole.select("a", "b", "place", F.col("id").alias("node_id"))
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions, however small it is: what a join makes of it is not."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def version_roots(versions: DataFrame) -> DataFrame:
     """``node_id, root, place``: each version's chain by pointer jumping, which doubles its reach each round.
 

@@ -30,3 +30,12 @@ def test_propagation_ends_where_no_source_moves(spark, written):
     prior = spark.createDataFrame([(1, 0.9), (2, 0.5), (-1, 0.1), (-2, 0.6)], "id long, credibility double")
     got = {r.id: round(r.confidence, 6) for r in G.propagate_confidence(prior, edges, epsilon=0.0, rounds=20).collect()}
     assert got == {1: 0.9, 2: 0.5, -1: 0.58, -2: 0.0} and len(rows(written, "propagate")) == 1
+
+
+def test_the_step_that_joins_a_pair_is_not_kept(spark, written):
+    # b's side of the edge that joins them has many further neighbours
+    edges = [(1, -1), (2, -1), (2, -2)] + [(2, -i) for i in range(3, 60)] + [(1, -i) for i in range(100, 160)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = [(r.place, r.node_id) for r in G.shortest_paths(e, spark.createDataFrame([(1, -2)], "a long, b long"), 4).orderBy("place").collect()]
+    assert got == [(0, 1), (1, -1), (2, 2), (3, -2)]
+    assert sum(rows(written, "paths-reached")) == 0 and max(rows(written, "paths-front")) < 60 + 5
