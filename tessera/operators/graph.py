@@ -105,27 +105,45 @@ def pagerank_restart(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha
     return x.select("id", "rank")
 
 
-def ppr_channel(edges: DataFrame, seeds: DataFrame, k: int = 10, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def ppr_channel(edges: DataFrame, seeds: DataFrame, k: int = 10, damping: float = 0.85, rounds: int = 10, side: int = 16, most: int = 4096) -> DataFrame:
     """Personalised PageRank for a table of queries at once: ``query_id, node_id, score, rank``.
 
-    ``seeds``: ``query_id, id, weight``. The query is part of every key, so one round is one join
-    for all queries; mass that dangles goes back to its query's seeds.
+    ``seeds``: ``query_id, id, weight``. Up to ``side`` queries are walked side by side, a column each, so a round is one join and one sum for
+    all of them; a node's edges are lists of at most about ``most``. Mass that dangles goes back to its query's seeds; as edges
+    are walked both ways only seeds without an edge dangle, so how much it is follows from their share ``lost`` alone.
     """
-    e = both_ways(edges.where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    out = e.groupBy("src").agg(F.sum("w").alias("total"))
-    e = materialize(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "ppr-edges")
+    e = both_ways(edges.where("weight > 0").select("src", "dst", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    e = materialize(e, "ppr-weights")
+    out = e.groupBy("src").agg(F.sum("w").alias("total"), F.ceil(F.count("*") / most).alias("parts"))
+    e = e.join(out, "src").groupBy("src", F.pmod(F.xxhash64("dst"), "parts").alias("part")).agg(F.collect_list(F.struct("dst", (F.col("w") / F.col("total")).alias("p"))).alias("out"))
+    e = materialize(e.select("src", "out"), "ppr-edges")
     total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    restart = materialize(seeds.join(total, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") / F.col("total")).alias("r")), "ppr-seeds")
-    rank = restart.select("query_id", "id", F.col("r").alias("rank"))
+    restart = seeds.join(total, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") / F.col("total")).alias("r"))
+    restart = materialize(restart.join(e.select(F.col("src").alias("id"), F.lit(True).alias("known")).distinct(), "id", "left"), "ppr-seeds")
+    asked = restart.groupBy("query_id").agg(F.sum(F.when(F.col("known"), 0.0).otherwise(F.col("r"))).alias("lost"))
+    n = asked.count()
+    side = max(1, min(side, n))
+    group = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // (64 * side)) or 1))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("query_id")) - 1
+    asked = asked.withColumn("group", group).withColumn("place", place)
+    asked = materialize(asked.select("query_id", "lost", (F.col("group") * (1 << 32) + F.floor(F.col("place") / side)).alias("block"), (F.col("place") % side).alias("slot")), "ppr-queries")
+    slots = [f"c{i}" for i in range(side)]
+    at = lambda c, i: F.sum(F.when(F.col("slot") == i, F.col(c)))
+    restart = restart.join(asked, "query_id").groupBy("block", "id").agg(*[at("r", i).alias(c) for i, c in enumerate(slots)], *[at("lost", i).alias(f"lost_{c}") for i, c in enumerate(slots)])
+    restart = materialize(restart, "ppr-restart")
+    rank = restart.select("block", "id", *slots)
+    back = {c: F.lit(1.0) for c in slots}
     for _ in range(rounds):
-        moved = rank.join(e, rank.id == e.src).groupBy("query_id", F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
-        spread = moved.groupBy("query_id").agg(F.sum("m").alias("spread"))
-        back = restart.join(spread, "query_id", "left").select("query_id", "id", (F.col("r") * (1 - damping * F.coalesce("spread", F.lit(0.0)))).alias("b"))
-        both = moved.join(back, ["query_id", "id"], "full_outer")
-        rank = materialize(both.select("query_id", "id", (damping * F.coalesce("m", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("rank")), "ppr")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    scored = rank.select("query_id", F.col("id").alias("node_id"), F.round("rank", 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        # what moved is all mass but that on seeds without an edge
+        back = {c: 1 - damping * (1 - F.col(f"lost_{c}") * b) for c, b in back.items()}
+        moved = rank.join(e, rank.id == e.src).select("block", F.explode("out").alias("o"), *slots).select("block", F.col("o.dst").alias("id"), *[(damping * F.col(c) * F.col("o.p")).alias(c) for c in slots])
+        given = restart.select("block", "id", *[(F.col(c) * back[c]).alias(c) for c in slots])
+        rank = materialize(moved.union(given).groupBy("block", "id").agg(*[F.sum(c).alias(c) for c in slots]), "ppr")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.round(c, 6).alias("score")) for i, c in enumerate(slots)])).alias("x")
+    scored = rank.select("block", F.col("id").alias("node_id"), each).select("block", "node_id", "x.slot", "x.score").where("score is not null")
+    w = Window.partitionBy("block", "slot").orderBy(F.desc("score"), "node_id")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(asked, ["block", "slot"]).select("query_id", "node_id", "score", "rank")
 
 
 def propagate_confidence(prior: DataFrame, edges: DataFrame, alpha: float = 0.8, eta: float = 1.0, rounds: int = 100, epsilon: float = 1e-6, by: tuple[str, ...] = (), supporting: tuple[str, ...] = ("SUPPORTS",)) -> DataFrame:

@@ -25,6 +25,14 @@ def rows(written, tag):
     return [n for t, n in written if t == tag]
 
 
+def test_queries_walk_side_by_side(spark, written):
+    edges = spark.createDataFrame([(i, -j, 1.0) for i in range(1, 5) for j in range(1, 7)], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(q, q % 4 + 1, 1.0) for q in range(8)] + [(8, 99, 1.0)], "query_id long, id long, weight double")
+    got = G.ppr_channel(edges, seeds, 3, rounds=3).collect()
+    assert max(rows(written, "ppr")) == 11  # a row a node and not one a query and node
+    assert {r.query_id for r in got} == set(range(9)) and [r.score for r in got if r.query_id == 8] == [1.0]
+
+
 def test_propagation_ends_where_no_source_moves(spark, written):
     edges = spark.createDataFrame([(1, -1, "SUPPORTS", 1.0), (2, -1, "SUPPORTS", 1.0), (2, -2, "CONTRADICTS", 1.0)], "src long, dst long, edge_type string, weight double")
     prior = spark.createDataFrame([(1, 0.9), (2, 0.5), (-1, 0.1), (-2, 0.6)], "id long, credibility double")
