@@ -47,3 +47,25 @@ def test_the_step_that_joins_a_pair_is_not_kept(spark, written):
     got = [(r.place, r.node_id) for r in G.shortest_paths(e, spark.createDataFrame([(1, -2)], "a long, b long"), 4).orderBy("place").collect()]
     assert got == [(0, 1), (1, -1), (2, 2), (3, -2)]
     assert sum(rows(written, "paths-reached")) == 0 and max(rows(written, "paths-front")) < 60 + 5
+
+
+def test_like_chains_are_counted_and_no_rows(spark):
+    from tessera.operators.similarity import _dtw, agreeing_chains
+    from tessera.operators.vector_index import Params
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4)) + 0.6
+    steps = [[rng.normal(size=4).tolist() for _ in range(i % 3)] if i % 7 else None for i in range(60)]
+    chains = spark.createDataFrame([(i, i % 5 if i % 11 else None, v[i].tolist(), steps[i]) for i in range(60)], "node_id long, agent_id int, embedding array<double>, steps array<array<double>>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i in range(60):
+        for j in range(60):
+            if i != j and round(u[i] @ u[j], 6) >= 0.2 and _dtw(steps[i], steps[j]) > 0.3:
+                k = (i, j % 5 if j % 11 else None)
+                want[k] = want.get(k, 0) + 1
+    for p in (Params(), Params(block=16)):
+        found = agreeing_chains(chains, 0.2, 0.3, p).groupBy("query_id", "agent_id").sum("n").collect()
+        assert {(r[0], r[1]): r[2] for r in found} == want and len(want) < sum(want.values())
