@@ -59,23 +59,34 @@ def two_hop_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
-    """``id, rank``: weighted walk with restarts; dangling mass goes back to the seeds (``id, weight``)."""
+    """``id, rank``: weighted walk with restarts; dangling mass goes back to the seeds (``id, weight``).
+
+    Only nodes with an out-edge and seeds are iterated; the others pass nothing on and get their rank in one step at the end.
+    """
     e = edges.where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     e = materialize(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
     restart = materialize(seeds.groupBy("id").agg((F.sum("weight") / total).alias("r")), "pagerank-seeds")
-    rank = restart.select("id", F.col("r").alias("rank"))
+    sources = materialize(e.select(F.col("src").alias("id")).distinct(), "pagerank-sources")
+    held = materialize(sources.union(restart.select("id")).distinct(), "pagerank-held")
+    inner = materialize(e.join(held.withColumnRenamed("id", "dst"), "dst", "left_semi"), "pagerank-inner")
+    rank = before = restart.select("id", F.col("r").alias("rank"))
     for _ in range(rounds):
-        moved = rank.join(e, rank.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
-        spread = moved.agg(F.sum("m")).first()[0] or 0.0
+        spread = rank.join(sources, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
+        moved = rank.join(inner, rank.id == inner.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
         both = moved.join(restart, "id", "full_outer").select("id", (damping * F.coalesce("m", F.lit(0.0)) + F.coalesce("r", F.lit(0.0)) * (1 - damping * spread)).alias("rank"))
         both = materialize(both, "pagerank")
-        delta = both.join(rank.withColumnRenamed("rank", "old"), "id", "full_outer").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        rank = both
-        if delta is None or delta < tolerance:
+        change = lambda x, y: x.join(y.withColumnRenamed("rank", "old"), "id", "full_outer").select("id", F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("d"))
+        # ends without an out-edge move by no more than the damped moves of the sources a round before
+        delta = change(both, rank).agg(F.sum("d")).first()[0] or 0.0
+        if delta < tolerance:
+            delta += damping * (change(rank, before).agg(F.sum("d")).first()[0] or 0.0) if before is not rank else spread
+        before, rank = rank, both
+        if delta < tolerance:
             break
-    return rank
+    ends = e.join(held.withColumnRenamed("id", "dst"), "dst", "left_anti").join(before.withColumnRenamed("id", "src"), "src")
+    return rank.union(ends.groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("rank") * F.col("p"))).alias("rank")))
 
 
 def pagerank_restart(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, epsilon: float = 1e-6) -> DataFrame:

@@ -69,3 +69,9 @@ def test_like_chains_are_counted_and_no_rows(spark):
     for p in (Params(), Params(block=16)):
         found = agreeing_chains(chains, 0.2, 0.3, p).groupBy("query_id", "agent_id").sum("n").collect()
         assert {(r[0], r[1]): r[2] for r in found} == want and len(want) < sum(want.values())
+
+
+def test_pagerank_iterates_no_end_without_edges(spark, written):
+    edges = spark.createDataFrame([(1, -i, 1.0) for i in range(1, 40)] + [(2, 1, 1.0)], "src long, dst long, weight double")
+    got = {r.id: r["rank"] for r in G.personalized_pagerank(edges, spark.createDataFrame([(1, 1.0), (-1, 1.0)], "id long, weight double"), rounds=4).collect()}
+    assert max(rows(written, "pagerank")) == 2 and len(got) == 40 and abs(sum(got.values()) - 1) < 1e-9
