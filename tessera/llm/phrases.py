@@ -89,8 +89,8 @@ class Encoder:
 ENCODED = "lang string, word string, h long, n long, words binary, codes binary"
 
 
-def encoded(seed: int, most_words: int = 500_000, size: int = 2 << 20):
-    """Rows of counted words (``word, h, n``) and of coded stretches of text (``words, codes``)."""
+def encoded(seed: int, most_words: int = 100_000, size: int = 1 << 20):
+    """Rows of counted words (``word, h, n``) and of coded stretches of text (``words, codes``). A task holds about ``most_words`` of all languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Encoder] = {}
@@ -105,8 +105,8 @@ def encoded(seed: int, most_words: int = 500_000, size: int = 2 << 20):
                         kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
                         row = [[name], [None], [None], [None], [words.tobytes()], [at.astype(kind).tobytes()]]
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["lang", "word", "h", "n", "words", "codes"])
-                        if len(enc.ids) > most_words:
-                            yield held.pop(name).rows(name)
+                        if sum(len(e.ids) for e in held.values()) > most_words:
+                            yield from (held.pop(x).rows(x) for x in list(held))
         for name, enc in held.items():
             yield enc.rows(name)
 
@@ -210,11 +210,15 @@ def phrases_of(row: dict, frequent: np.ndarray, first: np.ndarray, known: list[n
             here, g = here[ok], g[ok]
 
 
-def counted(coded: DataFrame, frequent, first, known: list, lengths: range, wanted=None, most: int = 1_000_000) -> DataFrame:
-    """The counts of such phrases over all texts, with the words that stand on either side of all their places (0: not one word)."""
+def counted(coded: DataFrame, frequent, first, known: list, lengths: range, wanted=None, most: int = 200_000) -> DataFrame:
+    """The counts of such phrases over all texts, with the words that stand on either side of all their places (0: not one word).
+
+    A task holds about ``most`` phrases of all languages; what it has by then goes to the sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
+        n = 0
         kinds = [frequent.value, first.value, [b.value for b in known], lengths, wanted and wanted.value]
 
         def out(lang: str, parts: list[tuple]) -> pa.RecordBatch:
@@ -225,10 +229,13 @@ def counted(coded: DataFrame, frequent, first, known: list, lengths: range, want
             for part in phrases_of(row, *kinds):
                 parts = held.setdefault(row["lang"], [])
                 parts.append(part)
-                if sum(len(p[0]) for p in parts) > most:
-                    parts[:] = [regrouped(parts)]
-                    if len(parts[0][0]) > most // 2:
-                        yield out(row["lang"], held.pop(row["lang"]))
+                n += len(part[0])
+                if n > most:
+                    held = {lang: [regrouped(p)] for lang, p in held.items()}
+                    n = sum(len(p[0][0]) for p in held.values())
+                    if n > most // 2:
+                        yield from (out(lang, held.pop(lang)) for lang in list(held))
+                        n = 0
         for lang, parts in held.items():
             yield out(lang, parts)
 

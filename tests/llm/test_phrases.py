@@ -94,3 +94,14 @@ def test_words_that_share_a_hash_are_told(monkeypatch):
     enc.codes(b"a b c")
     rows = enc.rows("en").to_pydict()
     assert rows["word"] == ["a", "b", "c"] and rows["h"][0] == rows["h"][1] == 7 != rows["h"][2]
+
+
+def test_what_a_task_holds_is_of_all_languages():
+    import pyarrow as pa
+
+    from tessera.llm.phrases import encoded
+
+    texts = [" ".join(f"{lang}{i}" for i in range(8)) for lang in "abcd"]
+    batches = [pa.RecordBatch.from_pydict({"lang": [lang], "text": [text]}) for lang, text in zip("abcd", texts, strict=True)]
+    out = [b.column("word")[0].is_valid for b in encoded(42, most_words=20)(iter(batches))]
+    assert True in out[: len(out) - 1 - out[::-1].index(False)]  # words are handed on before the last text
