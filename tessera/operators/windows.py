@@ -79,25 +79,27 @@ def key_sentences(nodes: DataFrame, budget: int = 512) -> DataFrame:
     """The best sentences of each text that fit a budget, in their order.
 
     Sentences are scored by place, cue words, specifics, capitalised words and length; a greedy
-    fill over them, best first, is an ordered fold inside the row.
+    fill over them, best first, is an ordered fold inside the row. A text is cut once: what a lambda names from outside is computed anew for each sentence.
     """
     text = F.col("content")
-    parts = F.split(text, r"(?<=[.!?])\s+")
-    n = F.size(parts)
-    position = lambda i: i / n
-    score = lambda s, i: (
-        0.3 * (1 - F.abs(position(i) - 0.5) * 2) + F.when(s.rlike(r"(?i)\b(found|discovered|key|important|actually|because)\b"), 0.25).otherwise(0)
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    score = lambda s, at: (
+        0.3 * (1 - F.abs(at - 0.5) * 2) + F.when(s.rlike(r"(?i)\b(found|discovered|key|important|actually|because)\b"), 0.25).otherwise(0)
         + F.when(s.rlike(r"`[^`]+`|/[\w/]+\.\w+|\d+"), 0.2).otherwise(0) + F.least(F.lit(0.15), F.regexp_count(s, F.lit(r"\b[A-Z][a-z]+\b")) * 0.05)
         + F.when(F.length(s).between(20, 150), 0.1).otherwise(0)
     )
-    scored = F.array_sort(F.transform(parts, lambda s, i: F.struct((-F.round(score(s, i), 9)).alias("rank"), i.alias("i"), s.alias("s"))))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("picked"))
     step = lambda acc, x: F.when(
         acc["used"] + F.when(F.size(acc["picked"]) > 0, 1).otherwise(0) + F.length(x["s"]) <= budget,
         F.struct((acc["used"] + F.when(F.size(acc["picked"]) > 0, 1).otherwise(0) + F.length(x["s"])).alias("used"), F.concat(acc["picked"], F.array(F.struct(x["i"].alias("i"), x["s"].alias("s")))).alias("picked")),
     ).otherwise(acc)
-    picked = F.aggregate(scored, start, step, lambda acc: F.array_join(F.transform(F.array_sort(acc["picked"]), lambda x: x["s"]), " "))
-    full = F.when(F.length(text) <= budget, text).otherwise(F.when(picked == "", F.substring(F.get(parts, 0), 1, budget)).otherwise(picked))
+
+    def best(parts: Column) -> Column:
+        scored = F.array_sort(F.transform(parts, lambda s, i: F.struct((-F.round(score(s, i / F.size(parts)), 9)).alias("rank"), i.alias("i"), s.alias("s"))))
+        picked = F.aggregate(scored, start, step, lambda acc: F.array_join(F.transform(F.array_sort(acc["picked"]), lambda x: x["s"]), " "))
+        return once(picked, lambda p: F.when(p == "", F.substring(F.get(parts, 0), 1, budget)).otherwise(p))
+
+    full = F.when(F.length(text) <= budget, text).otherwise(once(F.split(text, r"(?<=[.!?])\s+"), best))
     return nodes.select("node_id", full.alias("summary"))
 
 
