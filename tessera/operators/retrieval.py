@@ -11,7 +11,7 @@ from tessera.operators.filters import layer_threshold
 from tessera.operators.graph import ppr_channel
 from tessera.operators.lifecycle import dominated
 from tessera.operators.similarity import nearest
-from tessera.operators.text_search import TOKEN, asked_terms, node_words, top_by_text, top_by_words, trigram_codes, weighted_terms, words_of
+from tessera.operators.text_search import TOKEN, asked_terms, node_grams, node_words, top_by_text, top_by_words, trigram_codes, weighted_terms, words_of
 from tessera.operators.windows import rrf_fuse
 from tessera.scratch import materialize
 
@@ -57,7 +57,7 @@ def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataF
     packed, asked = materialize(packed, "text-words"), materialize(asked, "text-asked")
     # a content is much work for its bytes, so it is cut in many tasks
     cores = 2 * nodes.sparkSession.sparkContext.defaultParallelism
-    texts = materialize(nodes.select("node_id", "content").repartition(cores).select("node_id", trigram_codes("content").alias("grams")), "text-grams")
+    texts = materialize(node_grams(nodes.select("node_id", "content").repartition(cores)), "text-grams")
     return top_by_text(packed, asked, texts, queries.select("query_id", trigram_codes("text").alias("grams")), k, least)
 
 

@@ -13,6 +13,7 @@ its nodes and returns k rows a query. Within it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -26,6 +27,13 @@ from tessera.scratch import materialize
 #: Scores are rounded to six places; what differs by less may be equal.
 EPS = 2e-6
 NODE_BLOCK, QUERY_BLOCK = 1 << 11, 1 << 12
+#: Texts whose trigrams are held at a time.
+GRAM_ROWS = 1 << 7
+
+
+def _codes(text: str) -> np.ndarray:
+    c = np.frombuffer(f"  {text} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
 
 
 def trigram_codes(text: str) -> Column:
@@ -33,15 +41,26 @@ def trigram_codes(text: str) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for x in texts:
-            c = np.frombuffer(f"  {x} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-            out.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
-        return pd.Series(out)
+        return pd.Series([_codes(x) for x in texts])
 
     return run(F.lower(F.coalesce(text, F.lit(""))))
 
 
+def gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trigrams of ``id, text``, few texts at a time: they are several times as large as the texts, and a batch holds thousands of these."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, GRAM_ROWS):
+            b = whole.slice(at, GRAM_ROWS)
+            codes = [_codes(x) for x in b.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, codes)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(codes))], names=["node_id", "grams"])
+
+
+def node_grams(nodes: DataFrame) -> DataFrame:
+    """``node_id, grams`` of each content, as ``trigram_codes`` has them."""
+    return nodes.select("node_id", F.lower(F.coalesce("content", F.lit("")))).mapInArrow(gram_batches, "node_id long, grams array<long>")
+
+
 #: What separates words of letters and digits.
 TOKEN = r"[^\p{L}\p{N}]+"
 

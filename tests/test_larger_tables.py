@@ -12,3 +12,13 @@ def test_a_text_is_cut_once_for_its_sentences(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     out = {r.node_id: r.summary for r in got.collect()}
     assert out[2] == "short" and out[3] is None and out[4] == "x" * 512 and 400 < len(out[1]) <= 512
+
+
+def test_trigrams_of_few_texts_are_held_at_a_time(spark):
+    from tessera.operators import text_search as TS
+
+    texts = [f"text {i} {'x' * (i % 5)}" for i in range(1000)] + [""]
+    made = list(TS.gram_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array(texts)], names=["node_id", "text"])])))
+    assert max(b.num_rows for b in made) <= TS.GRAM_ROWS and sum(b.num_rows for b in made) == 1001
+    d = spark.createDataFrame([(i, t if i else None) for i, t in enumerate(texts)], "node_id long, content string")
+    assert TS.node_grams(d).exceptAll(d.select("node_id", TS.trigram_codes("content"))).isEmpty()
