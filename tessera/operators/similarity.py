@@ -23,14 +23,20 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t["id"].to_numpy(), unit_rows(t["embedding"], t.num_rows), t["tag"].to_numpy()
 
 
+#: Scores that a task holds at a time; what is found among them takes several times as much.
+SCORES = 1 << 20
+
+
 def _scores(queries: pa.Table, vectors: pa.Table, other_tag: bool, chunk: int = 512):
     """Stretches of the queries: ids of both sides, tags of the vectors, and the rounded scores; -2 for pairs that don't count."""
     if not queries.num_rows or not vectors.num_rows:
         return
+    chunk = max(1, min(chunk, SCORES // vectors.num_rows))
     qid, q, qt = _matrix(queries)
     vid, v, vt = _matrix(vectors)
     for at in range(0, len(qid), chunk):
-        s = np.round(q[at : at + chunk] @ v.T, 6)
+        s = q[at : at + chunk] @ v.T
+        np.round(s, 6, out=s)
         s[qid[at : at + chunk, None] == vid[None]] = -2
         if other_tag:
             s[qt[at : at + chunk, None] == vt[None]] = -2

@@ -43,9 +43,10 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(set(flat.value_lengths().to_pylist())) > 1:
         raise ValueError("vectors of unequal length can't be compared")
-    m = np.nan_to_num(flat.flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(n, -1) if n else np.zeros((0, 0))
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 0))
+    np.nan_to_num(m, copy=False)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return np.divide(m, norm, out=m, where=norm > 0)
 
 
 def fit_centroids(rows: np.ndarray, cells: int, rounds: int) -> np.ndarray:

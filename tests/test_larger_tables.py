@@ -22,3 +22,13 @@ def test_trigrams_of_few_texts_are_held_at_a_time(spark):
     assert max(b.num_rows for b in made) <= TS.GRAM_ROWS and sum(b.num_rows for b in made) == 1001
     d = spark.createDataFrame([(i, t if i else None) for i, t in enumerate(texts)], "node_id long, content string")
     assert TS.node_grams(d).exceptAll(d.select("node_id", TS.trigram_codes("content"))).isEmpty()
+
+
+def test_a_task_holds_a_bounded_number_of_scores():
+    from tessera.operators import similarity as M
+
+    rng = np.random.default_rng(1)
+    table = lambda n: pa.table({"id": np.arange(n), "embedding": pa.array(list(rng.normal(size=(n, 4)))), "tag": np.zeros(n, np.int64)})
+    queries, vectors = table(600), table(1 << 14)
+    sizes = [s.shape for *_, s in M._scores(queries, vectors, False)]
+    assert sum(a for a, _ in sizes) == 600 and max(a * b for a, b in sizes) <= 1 << 20
