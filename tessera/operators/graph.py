@@ -21,8 +21,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
-    """``id, hops``: what is reached within ``depth`` hops and how soon. Only the frontier is joined."""
-    e = materialize((edges if directed else both_ways(edges.select("src", "dst"))).select("src", "dst").distinct(), "hop-edges")
+    """``id, hops``: what is reached within ``depth`` hops and how soon. Only the frontier is joined.
+
+    Equal edges are left as they are, for what they reach is made distinct and making all edges so takes more than walking them twice.
+    """
+    e = materialize((edges if directed else both_ways(edges.select("src", "dst"))).select("src", "dst"), "hop-edges")
     reached = materialize(seeds.select("id").distinct().withColumn("hops", F.lit(0)), "hops")
     frontier = reached
     for hop in range(1, depth + 1):
@@ -216,7 +219,7 @@ def heat_levels(nodes: DataFrame, reached: DataFrame, decay: float = 0.5) -> Dat
 
 def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) -> DataFrame:
     """``node_id, place`` along one shortest undirected path: of several the one with the smallest ids from the target back."""
-    e = materialize(both_ways(edges.select("src", "dst")).distinct(), "path-edges")
+    e = materialize(both_ways(edges.select("src", "dst")), "path-edges")  # equal edges give one ``via``
     spark = edges.sparkSession
     reached = materialize(spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("via")), "path")
     frontier = reached

@@ -44,3 +44,22 @@ def test_an_encoder_gets_few_texts_at_a_time(spark):
     nodes = spark.range(3000).selectExpr("id as node_id", "string(id) as content", "false as embedded").coalesce(1)
     vectors, _ = K.embed_pending(nodes, sizes)
     assert vectors.selectExpr("max(embedding[0])", "count(*)").first()[:] == (512.0, 3000)
+
+
+def plans(monkeypatch, module):
+    """The physical plan of each table that an operator of ``module`` writes, by tag."""
+    seen = []
+    real = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, tag: (seen.append((tag, df._jdf.queryExecution().executedPlan().toString())), real(df, tag))[1])
+    return seen
+
+
+def test_edges_are_walked_without_making_them_distinct(spark, monkeypatch):
+    from tessera.operators import graph as G
+
+    seen = plans(monkeypatch, G)
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (2, 3), (3, 4), (4, 4)], "src long, dst long")
+    got = G.neighborhood(e, spark.createDataFrame([(1,)], "id long"), 2).collect()
+    assert sorted(got) == [(1, 0), (2, 1), (3, 2)]
+    assert sorted(G.shortest_path(e, 1, 4).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert all("Aggregate" not in p for t, p in seen if t in ("hop-edges", "path-edges"))
