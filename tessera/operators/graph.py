@@ -303,9 +303,13 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFra
     return whole.select("a", "b", "place", F.col("id").alias("node_id"))
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all shuffle partitions, however small it is: what a join makes of it is not."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+#: Rows that a hash map of a task is meant for.
+TASK_ROWS = 1 << 19
+
+
+def _dealt(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """``df`` over all shuffle partitions, however small it is: what a join makes of it is not. With ``rows``, over so many that a task has about ``TASK_ROWS``."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
 
 
 def version_roots(versions: DataFrame) -> DataFrame:
@@ -413,10 +417,18 @@ def cascade_staleness(edges: DataFrame, changed: DataFrame, supports: DataFrame,
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Communities: each round a node takes its neighbours' most frequent label, the smallest of equals."""
-    e = materialize(both_ways(edges.select("src", "dst").distinct()).distinct(), "label-edges")
+    # distinct as unordered pairs, which are half as many; an edge to itself counts once
+    turn = (F.col("src") > F.col("dst")) | (F.col("src").isNull() & F.col("dst").isNotNull())
+    ends = F.when(turn, F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))).otherwise(F.struct("src", "dst")).alias("x")
+    pairs = _dealt(edges.select("src", "dst").select(ends).select("x.src", "x.dst"), "src", "dst").distinct()
+    both = F.explode(F.array_distinct(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).alias("x")
+    e = materialize(pairs.select(both).select("x.src", "x.dst"), "label-edges")
+    rows = e.count()
     labels = materialize(e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     for _ in range(rounds):
-        votes = e.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
+        # at first each label is its own vote, so counting before they are dealt would hold nearly all of them and save nothing
+        votes = _dealt(e.join(labels.select(F.col("id").alias("dst"), "label"), "dst").select("src", "label"), "src", "label", rows=rows)
+        votes = votes.groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
         labels = materialize(best.select(F.col("src").alias("id"), "label"), "labels")
     return labels

@@ -63,3 +63,19 @@ def test_edges_are_walked_without_making_them_distinct(spark, monkeypatch):
     assert sorted(got) == [(1, 0), (2, 1), (3, 2)]
     assert sorted(G.shortest_path(e, 1, 4).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert all("Aggregate" not in p for t, p in seen if t in ("hop-edges", "path-edges"))
+
+
+def test_votes_are_dealt_by_their_number(spark):
+    from collections import Counter
+
+    from tessera.operators import graph as G
+
+    assert G._dealt(spark.range(3), "id", rows=20 * G.TASK_ROWS).rdd.getNumPartitions() == 20
+    pairs = [(i, (i * 7 + k) % 30) for i in range(30) for k in (1, 2, 5)] + [(3, 3), (4, 4), (1, 9), (9, 1), (1, 9)]
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(30)}
+    label = {i: i for i in near}
+    for _ in range(3):
+        votes = {i: Counter(label[j] for j in near[i]) for i in near}
+        label = {i: min(votes[i], key=lambda x: (-votes[i][x], x)) for i in near}
+    got = G.label_propagation(spark.createDataFrame(pairs, "src long, dst long"), 3).collect()
+    assert {r.id: r.label for r in got} == label and len(got) == 30
