@@ -341,9 +341,9 @@ def resolve_head(versions: DataFrame, ids: DataFrame, at) -> DataFrame:
     return of.join(head, "root", "left").select("node_id", "head")
 
 
-def chain_pointers(versions: DataFrame) -> DataFrame:
-    """Per chain its first and last version and length."""
-    r = version_roots(versions)
+def chain_pointers(versions: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Per chain its first and last version and length. ``roots``: what ``version_roots`` gives, where it is at hand."""
+    r = version_roots(versions) if roots is None else roots
     return r.groupBy("root").agg(F.max_by("node_id", "place").alias("head"), F.count("*").alias("length"))
 
 
@@ -441,12 +441,12 @@ def co_occurrence(facts: DataFrame, least: int = 2) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least).select(exprs.content_id("a", "b").alias("pattern_id"), "a", "b", "frequency")
 
 
-def chain_terminals(versions: DataFrame) -> DataFrame:
+def chain_terminals(versions: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Chains whose every version is superseded, with the head that should live; and those that cross groups, with the first version of another group.
 
-    ``versions``: ``node_id, supersedes_id, state, group``.
+    ``versions``: ``node_id, supersedes_id, state, group``; ``roots``: what ``version_roots`` gives, where it is at hand.
     """
-    r = version_roots(versions).join(versions.select("node_id", "state", "group"), "node_id")
+    r = (version_roots(versions) if roots is None else roots).join(versions.select("node_id", "state", "group"), "node_id")
     first = r.groupBy("root").agg(F.min_by("group", "place").alias("first_group"), F.max_by("node_id", "place").alias("head"), F.bool_and(F.col("state") == "SUPERSEDED").alias("all_superseded"))
     j = r.join(first, "root").groupBy("root").agg(
         F.first("head").alias("head"), F.bool_and("all_superseded").alias("all_superseded"), F.min_by("node_id", F.when(F.col("group") != F.col("first_group"), F.col("place"))).alias("gap_at"),

@@ -133,9 +133,15 @@ def _findings(t: Tables):
     return now.select(F.lit("now").alias("part"), "chain_id", F.col("body").cast("string").alias("body"), "n_claims", "version").union(history.select(F.lit("was"), "chain_id", "body_hash", F.lit(None).cast("long"), "version"))
 
 
-def _terminals(t: Tables):
+def _terminals(t: Tables, roots=None):
     v = t.versions.select("node_id", "supersedes_id", F.when((F.col("chain_id") % 3 == 0) | F.col("valid_to").isNotNull(), "SUPERSEDED").otherwise("ACTIVE").alias("state"), (F.col("node_id") % 11 == 0).cast("int").alias("group"))
-    return G.chain_terminals(v)
+    return G.chain_terminals(v, roots)
+
+
+def _pointers(t: Tables):
+    roots = G.version_roots(t.versions)
+    ends = G.chain_pointers(t.versions, roots).select(F.lit("chain").alias("kind"), "root", "head", F.col("length").cast("string").alias("note"))
+    return ends.union(_terminals(t, roots).select(F.when(F.col("all_superseded"), "terminal").otherwise("gap"), "root", "head", F.coalesce(F.col("gap_at").cast("string"), F.lit("-"))))
 
 
 CASES = {
@@ -269,7 +275,7 @@ CASES = {
         f", {DTW} SELECT x.node_id, round({SAME}, 6) AS similarity FROM st x JOIN st y ON y.node_id = x.node_id + 2",
     ),
     "g10_chain_pointers": (
-        lambda t: G.chain_pointers(t.versions).select(F.lit("chain").alias("kind"), "root", "head", F.col("length").cast("string").alias("note")).union(_terminals(t).select(F.when(F.col("all_superseded"), "terminal").otherwise("gap"), "root", "head", F.coalesce(F.col("gap_at").cast("string"), F.lit("-")))),
+        _pointers,
         """, v AS (SELECT *, first_value(node_id) OVER w AS root, row_number() OVER w AS place, CAST(node_id % 11 = 0 AS INT) AS grp FROM versions WINDOW w AS (PARTITION BY chain_id ORDER BY valid_from, node_id)),
         g AS (SELECT root, arg_max(node_id, place) AS head, count(*) AS length, bool_and(chain_id % 3 = 0) AS done, arg_min(grp, place) AS g0 FROM v GROUP BY 1),
         o AS (SELECT v.root, count(*) FILTER (grp <> g0) AS other, arg_min(node_id, place) FILTER (grp <> g0) AS gap FROM v JOIN g ON g.root = v.root GROUP BY 1)

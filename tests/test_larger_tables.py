@@ -79,3 +79,15 @@ def test_votes_are_dealt_by_their_number(spark):
         label = {i: min(votes[i], key=lambda x: (-votes[i][x], x)) for i in near}
     got = G.label_propagation(spark.createDataFrame(pairs, "src long, dst long"), 3).collect()
     assert {r.id: r.label for r in got} == label and len(got) == 30
+
+
+def test_roots_of_chains_are_found_once(spark, sf_dir, monkeypatch):
+    from tessera.operators import graph as G
+    from tessera.plans.catalog import CASES
+    from tessera.sources.fixtures import Tables
+
+    calls = []
+    real = G.version_roots
+    monkeypatch.setattr(G, "version_roots", lambda v: (calls.append(1), real(v))[1])
+    CASES["g10_chain_pointers"][0](Tables(spark, sf_dir))
+    assert len(calls) == 1
