@@ -23,9 +23,9 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """``id, hops``: what is reached within ``depth`` hops and how soon. Only the frontier is joined.
 
-    Equal edges are left as they are, for what they reach is made distinct and making all edges so takes more than walking them twice.
+    Walked both ways, equal edges are left as they are, for what they reach is made distinct and making all edges so takes more than walking them twice.
     """
-    e = materialize((edges if directed else both_ways(edges.select("src", "dst"))).select("src", "dst"), "hop-edges")
+    e = materialize(edges.select("src", "dst").distinct() if directed else both_ways(edges.select("src", "dst")), "hop-edges")
     reached = materialize(seeds.select("id").distinct().withColumn("hops", F.lit(0)), "hops")
     frontier = reached
     for hop in range(1, depth + 1):
