@@ -11,7 +11,7 @@ from tessera.operators.filters import layer_threshold
 from tessera.operators.graph import ppr_channel
 from tessera.operators.lifecycle import dominated
 from tessera.operators.similarity import nearest
-from tessera.operators.text_search import TOKEN, asked_terms, node_grams, node_words, top_by_text, top_by_words, trigram_codes, weighted_terms, words_of
+from tessera.operators.text_search import TOKEN, asked_terms, counted_terms, node_grams, node_words, top_by_text, top_by_words, trigram_codes, weighted_terms, words_of
 from tessera.operators.windows import rrf_fuse
 from tessera.scratch import materialize
 
@@ -36,24 +36,30 @@ def bm25(queries: DataFrame, nodes: DataFrame, k: int = 10, k1: float = 1.2, b:
     return top_by_words(materialize(packed, "bm25-nodes"), materialize(asked, "bm25-queries"), k)
 
 
-def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataFrame | None = None) -> DataFrame:
+def grep_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataFrame | None = None, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """How many of a query's first five words of three letters or more a node contains.
 
-    Containment is of whole words of the node, so it joins on the word instead of scanning each text for each query.
+    Containment is of whole words of the node, so it joins on the word instead of scanning each text for each query. ``counted``: the
+    ``counted_terms`` of all words of the queries, where they are at hand.
     """
     first = F.slice(F.filter(F.split(F.lower("text"), TOKEN), lambda w: F.length(w) >= 3), 1, 5)
-    asked = queries.select("query_id", F.explode(F.array_distinct(first)).alias("token"))
+    # written, so that the nodes' words aren't shuffled to meet a few that are asked
+    asked = materialize(queries.select("query_id", F.explode(F.array_distinct(first)).alias("token")), "grep-asked")
+    if counted is not None:
+        asked = asked.join(counted[0], "token").select("query_id", "id")
+        hit = counted[1].select("node_id", "id").join(asked, "id")
+        return _top(hit.groupBy("query_id", "node_id").agg(F.count("*").cast("double").alias("score")), k)
     terms = asked_terms(words if words is not None else node_words(nodes), asked)
     hit = terms.join(asked, "token").groupBy("query_id", "node_id").agg(F.count("*").cast("double").alias("score"))
     return _top(hit, k)
 
 
-def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataFrame | None = None, least: float = 0.1) -> DataFrame:
+def text_channel(queries: DataFrame, nodes: DataFrame, k: int = 10, words: DataFrame | None = None, least: float = 0.1, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """.7 x BM25 over its best + .3 x trigram similarity of the whole content, for lexical matches and for contents of similarity above ``least``.
 
     Exact: bounds tell within a block of nodes which can be among the k best, and only these are measured.
     """
-    packed, asked = weighted_terms(words if words is not None else node_words(nodes), asked_words(queries))
+    packed, asked = weighted_terms(words if words is not None else node_words(nodes), asked_words(queries), counted=counted)
     packed, asked = materialize(packed, "text-words"), materialize(asked, "text-asked")
     # a content is much work for its bytes, so it is cut in many tasks
     cores = 2 * nodes.sparkSession.sparkContext.defaultParallelism
@@ -140,9 +146,10 @@ def recall(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: Data
     start = dense.where(F.col("rank") <= seeds).select("query_id", F.col("node_id").alias("id"), F.lit(1.0).alias("weight"))
     text = queries.select("query_id", "text")
     words = node_words(live)
+    counted = counted_terms(words, asked_words(text))
     times = queries.where("start is not null").select("query_id", "start", "end")
     channels = {
-        "dense": dense, "text": text_channel(text, live, 2 * k, words), "grep": grep_channel(text, live, 2 * k, words),
+        "dense": dense, "text": text_channel(text, live, 2 * k, words, counted=counted), "grep": grep_channel(text, live, 2 * k, words, counted),
         "graph": ppr_channel(edges.where("edge_type <> 'CONTRADICTS'"), start, 2 * k, rounds=rounds),
         "temporal": temporal_channel(times, live.where("valid_from is not null").select("node_id", "layer", "valid_from"), 2 * k),
     }

@@ -25,19 +25,25 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 #: Scores that a task holds at a time; what is found among them takes several times as much.
 SCORES = 1 << 20
+#: Scores whose highest is looked at first, and what rounding to 6 places may change.
+STRETCH, ROUNDED = 64, 2e-6
 
 
-def _scores(queries: pa.Table, vectors: pa.Table, other_tag: bool, chunk: int = 512):
-    """Stretches of the queries: ids of both sides, tags of the vectors, and the rounded scores; -2 for pairs that don't count."""
+def _scores(queries: pa.Table, vectors: pa.Table, other_tag: bool, chunk: int = 512, coarse: tuple | None = None):
+    """Stretches of the queries: ids of both sides, tags of the vectors, and the rounded scores, or those of the ``coarse`` sides as they are; -2 for pairs that don't count."""
     if not queries.num_rows or not vectors.num_rows:
         return
     chunk = max(1, min(chunk, SCORES // vectors.num_rows))
-    qid, q, qt = _matrix(queries)
-    vid, v, vt = _matrix(vectors)
+    (qid, q, qt), (vid, v, vt) = coarse or (_matrix(queries), _matrix(vectors))
+    order = np.argsort(vid, kind="stable")
     for at in range(0, len(qid), chunk):
         s = q[at : at + chunk] @ v.T
-        np.round(s, 6, out=s)
-        s[qid[at : at + chunk, None] == vid[None]] = -2
+        if not coarse:
+            np.round(s, 6, out=s)
+        own = qid[at : at + chunk]
+        a, b = np.searchsorted(vid, own, "left", sorter=order), np.searchsorted(vid, own, "right", sorter=order)
+        for i in np.flatnonzero(b > a):
+            s[i, order[a[i] : b[i]]] = -2
         if other_tag:
             s[qt[at : at + chunk, None] == vt[None]] = -2
         yield qid[at : at + chunk], vid, vt, s
@@ -47,19 +53,39 @@ def _cat(parts: list, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _found(q: list, v: list, s: list) -> pa.Table:
+    return pa.table({"query_id": _cat(q, np.int64), "node_id": _cat(v, np.int64), "score": _cat(s, float)})
+
+
 def _best(k: int | None, least: float, other_tag: bool):
     def run(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
-        for qid, vid, _, s in _scores(queries, vectors, other_tag):
+        if not queries.num_rows or not vectors.num_rows:
+            return _found(out_q, out_v, out_s)
+        (asked, q, qt), (vid, v, vt) = _matrix(queries), _matrix(vectors)
+        # in single precision a score is off by less than this; what may count is then scored in double precision
+        off = 2 * (q.shape[1] + 4) * 2.0**-23 + ROUNDED
+        coarse = (asked, q.astype(np.float32), qt), (vid, v.astype(np.float32), vt)
+        at = 0
+        for qid, _, _, s in _scores(queries, vectors, other_tag, coarse=coarse):
+            n = s.shape[1]
+            cuts = np.full(len(s), least)
+            if k is not None and k * STRETCH <= n:
+                # k stretches have a score of at least the k-th highest of their maxima, so the k-th score isn't lower
+                most = np.maximum.reduceat(s, np.arange(0, n, STRETCH), axis=1)
+                cuts = np.maximum(cuts, np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k])
+            elif k is not None:
+                cuts = np.maximum(cuts, np.partition(s, n - min(k, n), axis=1)[:, n - min(k, n)])
             for i, row in enumerate(s):
-                n = len(row) if k is None else min(k, len(row))
-                cut = max(least, np.partition(row, len(row) - n)[len(row) - n])
-                keep = np.flatnonzero((row >= cut) & (row > -2))
-                keep = keep[np.lexsort((vid[keep], -row[keep]))][:k]
-                out_q.append(np.full(len(keep), qid[i]))
-                out_v.append(vid[keep])
-                out_s.append(row[keep])
-        return pa.table({"query_id": _cat(out_q, np.int64), "node_id": _cat(out_v, np.int64), "score": _cat(out_s, float)})
+                keep = np.flatnonzero((row >= cuts[i] - off) & (row > -1.5))
+                score = np.round(v[keep] @ q[at + i], 6)
+                keep, score = keep[ok := score >= least], score[ok]
+                best = np.lexsort((vid[keep], -score))[:k]
+                out_q.append(np.full(len(best), qid[i]))
+                out_v.append(vid[keep[best]])
+                out_s.append(score[best])
+            at += len(qid)
+        return _found(out_q, out_v, out_s)
 
     return run
 

@@ -81,15 +81,20 @@ def asked_terms(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return each.groupBy("node_id", "token").agg(F.count("*").alias("tf"))
 
 
-def weighted_terms(words: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def counted_terms(words: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words that ``asked(query_id, token)`` has by number (``token, id``), and how often a node has them (``node_id, id, tf``), both written."""
+    numbered = materialize(asked.select("token").distinct().withColumn("id", F.monotonically_increasing_id()), "bm25-words")
+    return numbered, materialize(asked_terms(words, numbered).join(numbered, "token").select("node_id", "id", "tf"), "bm25-hits")
+
+
+def weighted_terms(words: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75, counted: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (``node_id, words array<struct<id, w>>``) and queries (``query_id, words array<long>``), words as numbers.
 
-    ``words``: as ``node_words`` has them; ``asked``: ``query_id, token``. A query's word that no node has is left out.
+    ``words``: as ``node_words`` has them; ``asked``: ``query_id, token``; ``counted``: their ``counted_terms``, where at hand. A query's word that no node has is left out.
     """
     lengths = words.groupBy("node_id").agg(F.sum(F.size("words")).alias("length")).where("length > 0")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    numbered = materialize(asked.select("token").distinct().withColumn("id", F.monotonically_increasing_id()), "bm25-words")
-    hits = materialize(asked_terms(words, numbered).join(numbered, "token").select("node_id", "id", "tf"), "bm25-hits")
+    numbered, hits = counted or counted_terms(words, asked)
     df = hits.groupBy("id").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     idf = df.select("id", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
@@ -204,8 +209,8 @@ class Grams:
         return np.unique(np.concatenate([node[a[i] : b[i]] for i in rarest])) if len(rarest) else np.zeros(0, np.int64)
 
 
-def blended(lists: Lists, grams: Grams, words: list[int], y: np.ndarray, best: float, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes that may be among the k best of .7 word score / best + .3 similarity, and their blends."""
+def blended(lists: Lists, grams: Grams, words: list[int], y: np.ndarray, best: float, k: int, least: float, floor: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that may be among the k best of .7 word score / best + .3 similarity, and their blends; k nodes of all blocks have ``floor`` or more."""
     score = np.round(lists.scores(words), 6)
     share = score / best if best else np.zeros_like(score)
     most = np.minimum(grams.size, len(y)) / np.maximum(grams.size, len(y))
@@ -219,13 +224,13 @@ def blended(lists: Lists, grams: Grams, words: list[int], y: np.ndarray, best: f
         all_of = np.concatenate(made) if made else np.zeros(0)
         return float(np.partition(all_of, len(all_of) - k)[len(all_of) - k]) if len(all_of) >= k else -1.0
 
-    cut, at = -1.0, 0
+    cut, at = floor, 0
     while at < len(match) and bound[at] >= cut - EPS:
         part = match[at : at + 128]
         seen.append(part)
         made.append(0.7 * share[part] + 0.3 * grams.similarity(part, y))
         at += 128
-        cut = kth()
+        cut = max(floor, kth())
     # without a common word a node needs this similarity at least
     need = max(least, (cut - EPS) / 0.3)
     if need <= 1:
@@ -244,8 +249,8 @@ def _text_search(k: int, least: float):
         found = []
         if nodes.num_rows and queries.num_rows:
             ids, lists, grams = nodes["node_id"].to_numpy(), Lists(_list(nodes["words"])), Grams(_list(nodes["grams"]))
-            for q, words, y, best in zip(*(queries[c].to_pylist() for c in ("query_id", "words", "grams", "best")), strict=True):
-                at, scores = blended(lists, grams, words, np.array(y, np.int64), best, k, least)
+            for q, words, y, best, floor in zip(*(queries[c].to_pylist() for c in ("query_id", "words", "grams", "best", "floor")), strict=True):
+                at, scores = blended(lists, grams, words, np.array(y, np.int64), best, k, least, floor)
                 hit, score = _cut(at, np.round(scores, 6), ids, k)
                 found.append((np.full(len(hit), q), hit, score))
         return _result(found)
@@ -279,11 +284,13 @@ def top_by_words(packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def top_by_text(packed: DataFrame, queries: DataFrame, texts: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
     """The k best of .7 x word score over the query's best + .3 x trigram similarity, among nodes with a common word or a similarity above ``least``.
 
-    ``texts``: ``node_id, grams`` of all nodes; ``asked``: ``query_id, grams`` of all queries.
+    ``texts``: ``node_id, grams`` of all nodes; ``asked``: ``query_id, grams`` of all queries. The k-th word score of all nodes is a floor
+    of the k-th blend in every block, which spares measuring most nodes of the blocks that have none of the best.
     """
-    best = top_by_words(packed, queries, 1).select("query_id", F.col("score").alias("best"))
+    best = top_by_words(packed, queries, k).groupBy("query_id").agg(F.max("score").alias("best"), F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    floor = F.when(F.col("best") > 0, 0.7 * F.col("kth") / F.col("best"))
     none = F.array().cast("array<struct<id:long,w:double>>")
     nodes = materialize(texts.join(packed, "node_id", "left").select("node_id", "grams", F.coalesce("words", none).alias("words")), "text-nodes")
     q = asked.join(queries, "query_id", "left").join(best, "query_id", "left")
-    q = materialize(q.select("query_id", "grams", F.coalesce("words", F.array().cast("array<long>")).alias("words"), F.coalesce("best", F.lit(0.0)).alias("best")), "text-queries")
+    q = materialize(q.select("query_id", "grams", F.coalesce("words", F.array().cast("array<long>")).alias("words"), F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce(floor, F.lit(-1.0)).alias("floor")), "text-queries")
     return _top(_blocks(nodes, q, _text_search(k, least)), k)

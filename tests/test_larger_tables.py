@@ -91,3 +91,60 @@ def test_roots_of_chains_are_found_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(G, "version_roots", lambda v: (calls.append(1), real(v))[1])
     CASES["g10_chain_pointers"][0](Tables(spark, sf_dir))
     assert len(calls) == 1
+
+
+def test_a_floor_spares_measuring_nodes(monkeypatch):
+    from tessera.operators import text_search as TS
+
+    rng = np.random.default_rng(5)
+    n, k, least, best = 600, 5, 0.1, 4.0
+    words = [[{"id": int(i), "w": float(rng.uniform(0.1, 1))} for i in rng.choice(9, rng.integers(0, 5), replace=False)] for _ in range(n)]
+    grams = [np.unique(rng.integers(0, 40, rng.integers(3, 30))) for _ in range(n)]
+    lists, held = TS.Lists(pa.array(words, pa.list_(pa.struct([("id", pa.int64()), ("w", pa.float64())])))), TS.Grams(pa.array(grams, pa.list_(pa.int64())))
+    measured = []
+    monkeypatch.setattr(TS.Grams, "similarity", lambda self, nodes, y, real=TS.Grams.similarity: (measured.append(len(nodes)), real(self, nodes, y))[1])
+    asked, y = [0, 1, 2, 3], np.arange(0, 40, 3)
+    top = lambda found: sorted(zip(np.round(-found[1], 6).tolist(), found[0].tolist(), strict=True))[:k]
+    plain = top(TS.blended(lists, held, asked, y, best, k, least))
+    before, measured[:] = sum(measured), []
+    floor = 0.7 * float(np.sort(lists.scores(asked))[-k]) / best
+    assert top(TS.blended(lists, held, asked, y, best, k, least, floor)) == plain and 0 < sum(measured) <= before
+    measured[:] = []
+    assert len(TS.blended(lists, held, asked, y, best, k, least, 0.95)[0]) == 0 and not measured  # the k best are in other blocks
+
+
+def test_words_counted_once_serve_both_text_channels(spark):
+    from tessera.operators import retrieval as R
+    from tessera.operators import text_search as TS
+
+    nodes = spark.createDataFrame([(i, f"alpha {'beta' * (i % 2)} of gamma{i % 3} of") for i in range(30)] + [(30, None)], "node_id long, content string")
+    queries = spark.createDataFrame([(1, "Beta of gamma1 alpha"), (2, "of"), (3, None), (4, "delta alpha delta")], "query_id long, text string")
+    words = TS.node_words(nodes)
+    counted = TS.counted_terms(words, R.asked_words(queries))
+    got = R.grep_channel(queries, nodes, 4, words, counted)
+    assert "explode(words" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(got.collect()) == sorted(R.grep_channel(queries, nodes, 4).collect()) and got.count() == 8
+
+
+def test_nearest_in_two_precisions_are_the_nearest():
+    from tessera.operators import similarity as M
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3000, 8))
+    v[1::3] = v[::3] + rng.normal(size=(1000, 8)) * 1e-6  # closer than single precision tells
+    v[7] = 0
+    ids = rng.permutation(3000)
+    table = pa.table({"id": ids, "embedding": pa.array(list(v)), "tag": ids % 4})
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    s = np.round(u @ u.T, 6)
+    for k, least, other in ((3, 0.3, False), (20, -1.0, True), (100, -1.0, False), (None, 0.95, False)):
+        skip = (ids[:, None] % 4 == ids[None] % 4) if other else np.eye(3000, dtype=bool)
+        want = {}
+        for i in range(0, 3000, 30):
+            ok = np.flatnonzero(~skip[i] & (s[i] >= least))
+            want[ids[i]] = ids[ok[np.lexsort((ids[ok], -s[i, ok]))][:k]].tolist()
+        got = M._best(k, least, other)((), table.take(range(0, 3000, 30)), table).to_pydict()
+        found = {q: [] for q in want}
+        for q, n in zip(got["query_id"], got["node_id"], strict=True):
+            found[q].append(n)
+        assert found == want
