@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import knowledge as K
 from tessera.plans.rules import joined
+from tessera.scratch import materialize
 from tessera.sources.fixtures import Tables
 
 _PATTERN = "([A-Z][a-z]+) ([a-z]+) ([a-z]+)"
@@ -59,6 +60,7 @@ def _edges(t: Tables):
     e = t.lineitem.groupBy(k.alias("finding"), F.col("l_partkey").alias("edge")).agg(F.min("l_suppkey").alias("src"), F.max("l_linenumber").alias("line"), F.min("l_returnflag").alias("edge_type"), F.max("l_discount").alias("confidence"))
     kinds = F.array(*map(F.lit, ("truck", "ship", "rail", "air freight", "zzqx")))
     e = e.withColumns({"dst_type": F.get(kinds, F.col("line") % 5), "dst": F.col("edge"), "silo_id": F.col("finding") % 2, "supporting": F.when(F.col("edge") % 3 == 0, F.array(F.col("finding"))), "src_type": F.when(F.col("src") % 4 != 0, "Person").otherwise("")})
+    e = materialize(e, "proposed-edges")  # aggregated from line items once and not for each use
     seen = e.select("finding", F.explode(F.array("src", "dst", "finding")).alias("node_id")).where("node_id % 17 <> 0")
     nodes = t.orders.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("node_id"), F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0).alias("silo_id"))
     allowed = t.spark.createDataFrame([("Agent", "A", "*"), ("*", "N", "Artifact"), ("Agent", "R", "Location")], "src_class string, edge_type string, dst_class string")

@@ -143,8 +143,20 @@ def test_nearest_in_two_precisions_are_the_nearest():
         for i in range(0, 3000, 30):
             ok = np.flatnonzero(~skip[i] & (s[i] >= least))
             want[ids[i]] = ids[ok[np.lexsort((ids[ok], -s[i, ok]))][:k]].tolist()
-        got = M._best(k, least, other)((), table.take(range(0, 3000, 30)), table).to_pydict()
+        got = M._best(k, least, other)((), table.take(np.arange(0, 3000, 30)), table).to_pydict()
         found = {q: [] for q in want}
         for q, n in zip(got["query_id"], got["node_id"], strict=True):
             found[q].append(n)
         assert found == want
+
+
+def final_plan(spark, sf_dir, name):
+    from tessera.plans.catalog import CASES
+    from tessera.sources.fixtures import Tables
+
+    return CASES[name][0](Tables(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_items_are_made_edges_once(spark, sf_dir):
+    assert "l_suppkey" not in final_plan(spark, sf_dir, "j39_validate_edges")
+    assert "l_suppkey" not in final_plan(spark, sf_dir, "l22_write_findings")
