@@ -10,6 +10,7 @@ from tessera.operators import similarity as M
 from tessera.operators.chains import corroborate_semantic
 from tessera.plans.analytic import SIM, knn
 from tessera.plans.relational import HITS, MID, PAIRS, _fact_pairs, _hits, ts
+from tessera.scratch import materialize
 from tessera.sources.fixtures import Tables
 
 
@@ -73,9 +74,11 @@ def _links(t: Tables):
 
 
 def _replaced(t: Tables):
-    c = t.claims.withColumn("session", F.col("evidence") % 40)
-    recalled = t.claims.where("claim_id % 13 = 1").select((F.col("evidence") % 40 + 1).alias("session"), "claim_id")
-    near = t.claims.where("claim_id % 2 = 1").select("claim_id", (F.col("evidence") * 1000 + 1).alias("other"))
+    # numbered within their evidence once: the new, the old, the recalled and the near are read from what is written
+    c = t.claims.select("claim_id", "agent_id", "subject", "predicate", "object", "created_at", "evidence", (F.col("evidence") % 40).alias("session"))
+    c = materialize(c, "claims-numbered")
+    recalled = c.where("claim_id % 13 = 1").select((F.col("evidence") % 40 + 1).alias("session"), "claim_id")
+    near = c.where("claim_id % 2 = 1").select("claim_id", (F.col("evidence") * 1000 + 1).alias("other"))
     return J.supersession_candidates(c.where(F.col("created_at") > ts(MID)), c.where(F.col("created_at") <= ts(MID)), recalled, near)
 
 
