@@ -21,6 +21,7 @@ def _claims(t: Tables):
     docs = t.nodes.select("node_id", "content", (F.col("node_id") % 5 == 0).alias("extracted"))
     words = t.nation.select(F.initcap("n_name").alias("name"), F.col("n_nationkey").alias("entity_id"))
     names = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]+"), F.lit(0))).alias("name")).distinct()
+    names = materialize(names, "names")  # the texts are cut once and not for each table made of their names
     aliases = names.where("length(name) % 3 = 0").select(F.upper("name").alias("alias"), F.length("name").alias("entity_id"))
     entities = names.where("length(name) % 3 = 1").select((F.length("name") + 100).alias("entity_id"), "name", "name")
     entities = entities.toDF("entity_id", "name", "qualified_name").union(words.select("entity_id", "name", "name"))

@@ -160,3 +160,13 @@ def final_plan(spark, sf_dir, name):
 def test_line_items_are_made_edges_once(spark, sf_dir):
     assert "l_suppkey" not in final_plan(spark, sf_dir, "j39_validate_edges")
     assert "l_suppkey" not in final_plan(spark, sf_dir, "l22_write_findings")
+
+
+def test_claims_are_numbered_and_texts_cut_for_names_once(spark, sf_dir, monkeypatch):
+    from tessera.plans import written
+
+    assert "l_shipdate" not in final_plan(spark, sf_dir, "j12_supersession_candidates")
+    tags = [tag for tag, _ in plans(monkeypatch, written)]
+    seen = plans(monkeypatch, written)
+    final_plan(spark, sf_dir, "l18_extract_claims")
+    assert not tags and [tag for tag, _ in seen] == ["names"]
