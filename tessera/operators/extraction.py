@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.operators.similarity import nearest
+from tessera.scratch import materialize
 
 #: Our own vocabulary of entity types; the classes in order of precedence.
 TYPE_WORDS = {
@@ -25,32 +26,47 @@ def type_vocabulary(spark: SparkSession, words: dict[str, list[str]] = TYPE_WORD
     return spark.createDataFrame([(w, c, i) for i, (w, c) in enumerate(rows)], "word string, type_class string, place int")
 
 
-def trigram_counts(df: DataFrame, key: str) -> DataFrame:
-    """``key, gram, c``: the trigrams of a text between two ``#``, counted."""
-    padded = F.concat(F.lit("#"), F.col(key), F.lit("#"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(padded, i, F.lit(3)))
-    return df.where(F.length(key) > 0).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+#: Types that a task compares with the vocabulary at a time.
+TYPE_ROWS = 1 << 15
+
+
+def trigrams(text: Column) -> Column:
+    """The trigrams of a text between two ``#``, repeats included; null for an empty one."""
+    padded = F.concat(F.lit("#"), text, F.lit("#"))
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def squared_length(grams: Column) -> Column:
+    """The sum of the squares of how often each trigram stands in an array: the i-th of equal ones adds 2 i - 1."""
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+
+    def add(s: Column, g: Column) -> Column:
+        run = F.when(g == s["gram"], s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(g.alias("gram"), run.alias("run"), (s["total"] + 2 * run - 1).alias("total"))
+
+    return F.aggregate(F.sort_array(grams), start, add, lambda s: s["total"])
 
 
 def type_classes(types: DataFrame, column: str, vocabulary: DataFrame, least: float = 0.15) -> DataFrame:
     """``column, type_class`` for each distinct entity type: that of the vocabulary's word that it is, else of its first token that is
     a word, else of the word with the highest cosine of trigram counts, if that is ``least`` or more; of equal ones the first word.
 
-    Null, and what is like no word, has the class null. Types meet words only in a common trigram; Spark decides whether the vocabulary is broadcast.
+    Null, and what is like no word, has the class null. Types meet words only in a common trigram; Spark decides whether the vocabulary is
+    broadcast. The distinct types are written once and dealt by their number, so that a task holds about ``TYPE_ROWS`` of them and their words.
     """
-    t = types.select(column, F.lower(F.trim(F.col(column))).alias("norm")).distinct()
+    t = materialize(types.select(F.col(column).alias("of_type")).distinct(), "types")
+    dealt = t.repartition(max(1, -(-t.count() // TYPE_ROWS)), "of_type")
+    norm = F.lower(F.trim("of_type"))
     v = vocabulary.groupBy("word").agg(F.min_by("type_class", "place").alias("type_class"), F.min("place").alias("place"))
-    tokens = F.filter(F.concat(F.array("norm"), F.split("norm", r"[^a-z0-9]+")), lambda w: w != "")
-    each = t.where("norm is not null").select("norm").distinct().select("norm", F.posexplode(tokens).alias("at", "word"))
-    known = each.join(v, "word").groupBy("norm").agg(F.min_by("type_class", "at").alias("known"))
-    unknown = t.where("norm is not null").select("norm").distinct().join(known, "norm", "left_anti")
-    mine, theirs = trigram_counts(unknown, "norm"), trigram_counts(v, "word").withColumnRenamed("c", "d")
-    length = lambda g, key, c, name: g.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(name))
-    dot = mine.join(theirs, "gram").groupBy("norm", "word").agg(F.sum(F.col("c") * F.col("d")).alias("dot"))
-    scored = dot.join(length(mine, "norm", "c", "a"), "norm").join(length(theirs, "word", "d", "b"), "word").join(v, "word")
-    score = F.round(F.col("dot") / (F.col("a") * F.col("b")), 9)
-    like = scored.where(score >= least).groupBy("norm").agg(F.max_by("type_class", F.struct(score, -F.col("place"))).alias("alike"))
-    return t.join(known, "norm", "left").join(like, "norm", "left").select(column, F.coalesce("known", "alike").alias("type_class"))
+    v = materialize(v.withColumn("theirs", squared_length(trigrams(F.col("word")))), "type-words")
+    tokens = F.filter(F.concat(F.array(norm), F.split(norm, r"[^a-z0-9]+")), lambda w: w != "")
+    known = dealt.select("of_type", F.posexplode(tokens).alias("at", "word")).join(v, "word").groupBy("of_type").agg(F.min_by("type_class", "at").alias("known"))
+    grams = dealt.select("of_type", trigrams(norm).alias("grams")).withColumn("mine", squared_length(F.col("grams")))
+    mine = grams.select("of_type", "mine", F.explode_outer("grams").alias("gram"))  # not outer, Spark would make the trigrams once more to find empty arrays
+    dot = mine.join(v.select("word", F.explode(trigrams(F.col("word"))).alias("gram")), "gram").groupBy("of_type", "mine", "word").agg(F.count("*").alias("dot"))
+    score = F.round(F.col("dot") / (F.sqrt("mine") * F.sqrt("theirs")), 9)
+    like = dot.join(v, "word").where(score >= least).groupBy("of_type").agg(F.max_by("type_class", F.struct(score, -F.col("place"))).alias("alike"))
+    return dealt.join(known, "of_type", "left").join(like, "of_type", "left").select(F.col("of_type").alias(column), F.coalesce("known", "alike").alias("type_class"))
 
 
 def extraction_sources(nodes: DataFrame, version: str, least_chars: int = 200, least_heat: float = 0.0) -> DataFrame:

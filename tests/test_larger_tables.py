@@ -170,3 +170,31 @@ def test_claims_are_numbered_and_texts_cut_for_names_once(spark, sf_dir, monkeyp
     seen = plans(monkeypatch, written)
     final_plan(spark, sf_dir, "l18_extract_claims")
     assert not tags and [tag for tag, _ in seen] == ["names"]
+
+
+def test_types_are_dealt_by_their_number_and_made_distinct_once(spark, monkeypatch):
+    from collections import Counter
+
+    from tessera.operators import extraction as E
+
+    monkeypatch.setattr(E, "TYPE_ROWS", 100)
+    seen = plans(monkeypatch, E)
+    types = [f"{w}{'s' * (i % 4)} {'x' * i}" for i, w in enumerate(("aaaa", "Cities", "event", "zzzq") * 75)] + ["x", "", None] * 2
+    v = E.type_vocabulary(spark, {"First": ["event", "aaa"], "Second": ["city", "event", "aaab"]})
+    found = E.type_classes(spark.createDataFrame([(x,) for x in types], "word string"), "word", v)
+    assert found.rdd.getNumPartitions() == 4 and [t for t, p in seen if "ExistingRDD[word" in p] == ["types", "type-words"]
+    words = {w: (c, i) for i, (c, w) in reversed(list(enumerate([("First", "event"), ("First", "aaa"), ("Second", "city"), ("Second", "event"), ("Second", "aaab")])))}
+    grams = lambda x: Counter(f"#{x}#"[i : i + 3] for i in range(len(x)))
+
+    def cosine(a, b):
+        a, b = grams(a), grams(b)
+        return round(sum(n * b[g] for g, n in a.items()) / (sum(n * n for n in a.values()) ** 0.5 * sum(n * n for n in b.values()) ** 0.5), 9)
+
+    def want(x):
+        norm = x.strip(" ").lower() if x else ""
+        if token := next((t for t in [norm, *norm.split()] if t in words), None):
+            return words[token][0]
+        best = max(((cosine(norm, w), -i, c) for w, (c, i) in words.items()), default=None) if norm else None
+        return best[2] if best and best[0] >= 0.15 else None
+
+    assert {r.word: r.type_class for r in found.collect()} == {x: want(x) for x in types} and found.count() == 303
