@@ -11,6 +11,7 @@ from tessera.operators.graph import cascade_staleness, would_cycle
 from tessera.operators.joins import corroborate_exact, session_pairs
 from tessera.operators.windows import keep_newest
 from tessera.schema import TIER_WEIGHT
+from tessera.scratch import materialize
 
 
 def promote_claims(claims: DataFrame, least: int = 3) -> DataFrame:
@@ -180,13 +181,14 @@ def upsert_findings(current: DataFrame, new: DataFrame, keys: list[str], citatio
 
     Of a new finding only claims whose citations hold (J39: seen, existing) survive; without any it is rejected and the current one stays.
     ``citations``: ``finding, node_id, silo_id, confidence`` by the new rows' ``finding``.
+    What new and current findings come to is written once, and the results are read from there.
     """
-    ok = citations.join(seen, ["finding", "node_id"], "left_semi").join(nodes.select("node_id").distinct(), "node_id", "left_semi").groupBy("finding").agg(F.count("*").alias("n_claims"))
-    good = new.join(ok, "finding")
-    j = good.join(current.select(*keys, F.col("version").alias("old_version"), F.col("body").alias("old_body")), keys, "left")
-    raised = j.select(*keys, "body", "n_claims", (F.coalesce("old_version", F.lit(0)) + 1).alias("version"))
-    kept = current.join(good.select(*keys), keys, "left_anti").select(*keys, "body", F.lit(None).cast("long").alias("n_claims"), "version")
-    history = j.where("old_version is not null").select(*keys, F.col("old_version").alias("version"), exprs.content_id("old_body").alias("body_hash"))
+    held = citations.join(seen, ["finding", "node_id"], "left_semi").join(nodes.select("node_id").distinct(), "node_id", "left_semi").groupBy("finding").agg(F.count("*").alias("n_claims"))
+    good = materialize(new.join(held, "finding").select(*keys, "body", "n_claims", F.lit(True).alias("fresh")), "findings-held")
+    j = materialize(good.join(current.select(*keys, F.col("version").alias("old_version"), F.col("body").alias("old_body")), keys, "full"), "findings")
+    raised = j.where("fresh").select(*keys, "body", "n_claims", (F.coalesce("old_version", F.lit(0)) + 1).alias("version"))
+    kept = j.where("fresh is null").select(*keys, F.col("old_body").alias("body"), F.lit(None).cast("long").alias("n_claims"), F.col("old_version").alias("version"))
+    history = j.where("fresh and old_version is not null").select(*keys, F.col("old_version").alias("version"), exprs.content_id("old_body").alias("body_hash"))
     return raised.unionByName(kept), history
 
 
@@ -196,8 +198,6 @@ def dominated(pairs: DataFrame, rank: DataFrame) -> DataFrame:
     ``pairs``: ``a, b``; ``rank``: ``node_id, place`` (smaller is better, no ties). Each round what
     nothing better contradicts survives, and what it contradicts goes.
     """
-    from tessera.scratch import materialize
-
     r = rank.select("node_id", "place")
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     e = both.join(r.select(F.col("node_id").alias("a"), F.col("place").alias("pa")), "a").join(r.select(F.col("node_id").alias("b"), F.col("place").alias("pb")), "b")

@@ -198,3 +198,19 @@ def test_types_are_dealt_by_their_number_and_made_distinct_once(spark, monkeypat
         return best[2] if best and best[0] >= 0.15 else None
 
     assert {r.word: r.type_class for r in found.collect()} == {x: want(x) for x in types} and found.count() == 303
+
+
+def test_new_findings_meet_current_ones_once(spark, sf_dir, monkeypatch):
+    from tessera.operators import lifecycle as L
+
+    assert "o_orderkey" not in final_plan(spark, sf_dir, "l22_upsert_findings")
+    seen = plans(monkeypatch, L)
+    current = spark.createDataFrame([("a", 1, 1), ("b", 2, 4), ("d", 5, 2), (None, 7, 3), ("e", 6, None)], "k string, body int, version int")
+    new = spark.createDataFrame([("b", 3, 10), ("c", 9, 11), ("d", 6, 12), (None, 8, 10), ("e", 4, 10)], "k string, body long, finding long")
+    cites = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (12, 3)], "finding long, node_id long")
+    now, history = L.upsert_findings(current, new, ["k"], cites, cites, spark.createDataFrame([(1,), (2,), (2,)], "node_id long"))
+    # a null key meets no other
+    want = [("a", 1, None, 1), ("b", 3, 2, 5), ("c", 9, 1, 1), ("d", 5, None, 2), ("e", 4, 2, 1), (None, 7, None, 3), (None, 8, 2, 1)]
+    assert sorted(map(tuple, now.select("k", "body", "n_claims", "version").collect()), key=str) == sorted(want, key=str)
+    assert [(r.k, r.version) for r in history.collect()] == [("b", 4)] and now.schema["body"].dataType.simpleString() == "bigint"
+    assert [t for t, _ in seen] == ["findings-held", "findings"] and all("Join" not in df._jdf.queryExecution().executedPlan().toString() for df in (now, history))
