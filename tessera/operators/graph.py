@@ -217,27 +217,28 @@ def heat_levels(nodes: DataFrame, reached: DataFrame, decay: float = 0.5) -> Dat
     return j.select("id", F.col("now").alias("propagated"), effective.alias("effective"), exprs.level(F.round(effective, 9)).alias("level"))
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) -> DataFrame:
-    """``node_id, place`` along one shortest undirected path: of several the one with the smallest ids from the target back."""
+def shortest_path(edges: DataFrame, source: int, target: int, most: int | None = None) -> DataFrame:
+    """``node_id, place`` along one shortest undirected path: of several the one with the smallest ids from the target back.
+
+    However long it is, unless ``most`` hops are stated. A hop leads to none but new nodes and those of the last two levels, so each node is
+    written once.
+    """
     e = materialize(both_ways(edges.select("src", "dst")), "path-edges")  # equal edges give one ``via``
     spark = edges.sparkSession
-    reached = materialize(spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("via")), "path")
-    frontier = reached
-    for hop in range(1, most + 1):
-        step = frontier.select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
-        frontier = materialize(step.join(reached, "id", "left_anti").select("id", F.lit(hop).alias("hops"), "via"), "path-frontier")
-        if frontier.isEmpty():
-            break
-        reached = materialize(reached.union(frontier), "path")
-        if not frontier.where(F.col("id") == target).isEmpty():
-            break
-    path, at = [], target
-    while at is not None:  # one row a hop
-        row = reached.where(F.col("id") == at).first()
-        if row is None:
+    levels = [materialize(spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(None).cast("long").alias("via")), "path")]
+    while levels[-1].where(F.col("id") == target).isEmpty():
+        if len(levels) - 1 == most:
             return spark.createDataFrame([], "node_id long, place int")
-        path.append((row["id"], row["hops"]))
-        at = row["via"]
+        step = levels[-1].select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
+        for known in levels[-2:]:
+            step = step.join(known.select("id"), "id", "left_anti")
+        levels.append(materialize(step, "path-frontier"))
+        if levels[-1].isEmpty():
+            return spark.createDataFrame([], "node_id long, place int")
+    path, at = [], target
+    for hops in reversed(range(len(levels))):  # one row a hop
+        path.append((at, hops))
+        at = levels[hops].where(F.col("id") == at).first()["via"]
     return spark.createDataFrame(path, "node_id long, place int")
 
 

@@ -55,6 +55,13 @@ def test_paths_without_edges_or_pairs(spark):
     assert G.shortest_paths(e.limit(0), p).count() == 0 and G.shortest_paths(e, p.limit(0)).count() == 0
 
 
+def test_a_path_is_found_however_long_it_is(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(0, 20), (20, 21), (21, 20), (30, None)], "src long, dst long")
+    assert sorted(G.shortest_path(e, 0, 9).collect()) == [(i, i) for i in range(10)]
+    assert sorted(G.shortest_path(e, 9, 1, 8).collect()) == [(i, 9 - i) for i in range(1, 10)] and G.shortest_path(e, 9, 1, 7).count() == 0
+    assert G.shortest_path(e, 0, 30).count() == 0 and G.shortest_path(e, 5, 5).collect() == [(5, 0)]
+
+
 def test_subjects_in_texts(spark):
     texts = [(1, "The Red fox and the RED hen"), (2, "hen.*"), (3, None), (4, ""), (5, "fox " * 50_000), (5, "a hen"), (6, "no more")]
     subjects = ["red", "Red", "hen.*", "fox and", None, "", "FOX", "unseen", "red"]
