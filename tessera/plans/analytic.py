@@ -136,8 +136,9 @@ def _layered(t: Tables):
     return ids.withColumn("layer", F.element_at(F.array(F.lit("memory"), F.lit("wisdom"), F.lit("knowledge")), (F.abs("id") % 3 + 1).cast("int")))
 
 
-def _prior(t: Tables):
-    ids = t.edges.select(F.col("src").alias("id")).union(t.edges.select(F.col("dst").alias("id"))).distinct()
+def _prior(t: Tables, edges=None):
+    e = t.edges if edges is None else edges
+    ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
     return ids.select("id", ((F.abs("id") % 10) / 10).alias("credibility"))
 
 

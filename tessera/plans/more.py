@@ -13,7 +13,7 @@ from tessera.operators import windows as W
 from tessera.operators.similarity import nearest
 from tessera.plans.analytic import _prior, _tree, knn, stopped
 from tessera.plans.relational import MID, r6, ts
-from tessera.scratch import scratch_path
+from tessera.scratch import materialize, scratch_path
 from tessera.sources.fixtures import Tables
 from tessera.streaming import streams as ST
 
@@ -74,6 +74,12 @@ def _restart_sql(rounds: int) -> str:
     return text + stopped(rounds, 1e-6, "rank", 1, 9)
 
 
+def _local(t: Tables):
+    e = materialize(t.edges, "edges")
+    kinds = e.withColumn("edge_type", F.when(F.col("edge_type") == "CAUSES", "SYNTHESIZED_FROM").otherwise(F.col("edge_type")))
+    return r6(C.propagate_local(_prior(t, e), kinds, e.where("src % 10 = 3").select(F.col("src").alias("id"))), "confidence")
+
+
 def _local_sql(depth: int, rounds: int) -> str:
     text = """, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), n0 AS (SELECT DISTINCT src AS target, src AS id FROM edges WHERE src % 10 = 3)"""
     for i in range(1, depth + 1):
@@ -126,7 +132,7 @@ CASES = {
         f"SELECT chain_id, arg_max(node_id, (valid_from, node_id)) AS node_id FROM versions WHERE valid_from <= TIMESTAMP '{MID}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{MID}') GROUP BY 1",
     ),
     "g4_propagate_local": (
-        lambda t: r6(C.propagate_local(_prior(t), t.edges.withColumn("edge_type", F.when(F.col("edge_type") == "CAUSES", "SYNTHESIZED_FROM").otherwise(F.col("edge_type"))), t.edges.where("src % 10 = 3").select(F.col("src").alias("id"))), "confidence"),
+        _local,
         _local_sql(2, 20),
     ),
     "g19_erasure_impact": (

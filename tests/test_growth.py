@@ -75,3 +75,15 @@ def test_pagerank_iterates_no_end_without_edges(spark, written):
     edges = spark.createDataFrame([(1, -i, 1.0) for i in range(1, 40)] + [(2, 1, 1.0)], "src long, dst long, weight double")
     got = {r.id: r["rank"] for r in G.personalized_pagerank(edges, spark.createDataFrame([(1, 1.0), (-1, 1.0)], "id long, weight double"), rounds=4).collect()}
     assert max(rows(written, "pagerank")) == 2 and len(got) == 40 and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_what_targets_share_is_summed_once(spark, written):
+    kinds = ("SUPPORTS", "CONTRADICTS", "SYNTHESIZED_FROM")
+    edges = [(s, -p, kinds[(s + p) % 3], 0.1 + s * p % 7 / 10) for s in range(1, 13) for p in range(1, 13) if s * p % 5]
+    e = spark.createDataFrame(edges + [(20, 21, "SUPPORTS", 1.0), (21, 22, "SUPPORTS", 1.0)], "src long, dst long, edge_type string, weight double")
+    prior = spark.createDataFrame([(i, abs(i) % 10 / 10) for i in range(-12, 23)], "id long, credibility double")
+    got = {(r.target, r.id): r.confidence for r in C.propagate_local(prior, e, spark.createDataFrame([(i,) for i in (1, 2, 3, 20)], "id long"), 2, 0.0).collect()}
+    whole = {r.id: r.confidence for r in G.propagate_confidence(prior, e, supporting=(kinds[0], kinds[2])).collect()}
+    want = {(s, d): whole[d] for s, d, *_ in edges if s < 4 and abs(whole[d] - abs(d) % 10 / 10) > 1e-9} | {(20, 21): whole[21], (20, 22): whole[22]}
+    assert got == pytest.approx(want)
+    assert sum(rows(written, "local-inside")) == 2 and len(rows(written, "local-seen")) == 1  # of nodes with both in- and out-edges alone
