@@ -242,66 +242,140 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int | None =
     return spark.createDataFrame(path, "node_id long, place int")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
+#: Steps that are walked at a time without asking whether fewer would do.
+FEW_STEPS = 1 << 22
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, few: int = FEW_STEPS) -> DataFrame:
     """``a, b, place, node_id`` along one shortest undirected path for each of the distinct ``pairs(a, b)``, all searched at once.
 
     Both ends of every pair grow frontiers, each time the one with fewer edges, until an edge joins them; the step that joins them is
-    walked but not kept, and only pairs without one grow. Of several paths the one with the smallest ids from b back is taken. A pair
+    walked but not kept, and only pairs without one grow. Of several paths the one with the smallest ids from b back is taken: b's
+    frontier is in the order of its paths, so where more than ``few`` steps join the frontiers its first nodes are tried first, and twice as many
+    again for the pairs that they don't join. Before many steps are walked pairs of unconnected ends go. A pair
     further apart than ``most`` hops, or with an end that no edge has, has no rows; a pair of equal ends has one; nulls none.
     """
-    e = materialize(both_ways(edges.select("src", "dst")).where("src is not null and dst is not null").distinct(), "paths-edges")
-    degree = materialize(e.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "id"), "paths-degrees")
-    open_ = pairs.select("a", "b").where("a is not null and b is not null").distinct()
+    once = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    once = materialize(once, "paths-once")
+    degree = materialize(both_ways(once).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("low"), F.max("dst").alias("high")), "paths-degrees")
+    e = both_ways(once.where("src <> dst")).join(degree.select(F.col("id").alias("dst"), "n"), "dst").select("src", "dst", "n")
+    e = materialize(e, "paths-edges")
+    n_edges = e.count()
+    pair = ["a", "b"]
+    asked = pairs.select(*pair).where("a is not null and b is not null").distinct()
     for end in "ab":
-        open_ = open_.join(degree.select(F.col("id").alias(end)), end, "left_semi")
-    pairs = materialize(open_.select("a", "b"), "paths-pairs")
-    open_ = pairs.where("a <> b")
+        asked = asked.join(degree.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")), end)
+    asked = materialize(asked.select(*pair, "n_a", "n_b"), "paths-pairs")
+    open_ = asked.where("a <> b").select(*pair)
+    # a's paths lead from a node to a, b's from behind b to a node; at the first two levels the node tells the path
     level = {"a": 0, "b": 0}
-    front = {end: open_.select("a", "b", F.col(end).alias("id")) for end in "ab"}
-    reached = {end: pairs.select("a", "b", F.col(end).alias("id"), F.lit(0).alias("hops")) for end in "ab"}
-    found = pairs.where("a = b").select("a", "b", F.lit(0).alias("length"), F.lit(0).alias("left"))
-    joins = None
-    cost = lambda df: df.join(degree, "id").agg(F.sum("degree")).first()[0] or 0
-    walk = lambda df, to: df.withColumnRenamed("id", "src").join(e, "src").withColumnRenamed("dst", to)
+    front = {end: asked.where("a <> b").select(*pair, F.col(end).alias("id"), F.col(f"n_{end}").alias("n")) for end in "ab"}
+    behind = dict(front)
+    none = F.array().cast("array<bigint>")
+    told = lambda end, id, path: F.col(path) if level[end] > 1 else (F.array(id, "a") if end == "a" else F.array(id)) if level[end] else F.array("a") if end == "a" else none
+    held = lambda end, path: [F.col("path").alias(path)] if level[end] > 1 else []
+    cost = lambda df: df.agg(F.sum("n")).first()[0] or 0
+
+    def joined(near: str, df: DataFrame, other: DataFrame) -> DataFrame:
+        """Pairs that an edge joins, with the first path from b back to a."""
+        far = "ab".replace(near, "")
+        w = df.select(*pair, F.col("id").alias(f"at_{near}"), *held(near, f"path_{near}"))
+        if level[far]:
+            w = w.join(e.select(F.col("src").alias(f"at_{near}"), F.col("dst").alias("id")), f"at_{near}")
+            w = w.join(other.select(*pair, "id", *held(far, f"path_{far}")), [*pair, "id"]).withColumnRenamed("id", f"at_{far}")
+        else:
+            w = w.join(e.select(F.col("src").alias(far), F.col("dst").alias(f"at_{near}")), [far, f"at_{near}"])
+        return w.groupBy(*pair).agg(F.min(F.concat(told("b", "at_b", "path_b"), told("a", "at_a", "path_a"))).alias("back"))
+
+    def tried() -> list[DataFrame]:
+        """The joined pairs, from the first of b's paths on."""
+        w = Window.partitionBy(*pair).orderBy("path" if level["b"] > 1 else "id")
+        order = materialize(front["b"].withColumn("at", F.row_number().over(w)), "paths-order")
+        left, met, last, now = open_, [], 0, 1
+        while True:
+            some = order.where(F.col("at") > last)
+            some = some.where(F.col("at") <= now) if now else some
+            met.append(materialize(joined("b", some.join(left, pair, "left_semi"), front["a"].join(left, pair, "left_semi")), "paths-met"))
+            left = materialize(left.join(met[-1], pair, "left_anti"), "paths-left")
+            rest = cost(order.where(F.col("at") > now).join(left, pair, "left_semi")) if now else 0
+            if not rest:
+                return met
+            last, now = now, 2 * now + 1 if rest > few else 0
+
+    found = [asked.where("a = b").select(*pair, none.alias("back"))]
     costs = {end: cost(front[end]) for end in "ab"}
+    whole = True
     for length in range(1, most + 1):
-        near, far = sorted("ab", key=lambda k: costs[k])
-        hit = walk(front[near], "id").join(front[far], ["a", "b", "id"], "left_semi").select("a", "b", *[(F.col("src") if end == near else F.col("id")).alias(f"at_{end}") for end in "ab"])
-        hit = materialize(_dealt(hit, "a", "b"), "paths-met")
-        done = materialize(hit.select("a", "b").distinct(), "paths-done")
-        found = found.union(done.select("a", "b", F.lit(length), F.lit(level["b"])))
-        # b's side of the edge: that far from b
-        ends = hit.select("a", "b", F.col("at_b").alias("id"), F.lit(level["b"]).alias("left")).distinct()
-        joins = ends if joins is None else joins.union(ends)
-        open_ = materialize(open_.join(done, ["a", "b"], "left_anti"), "paths-open")
+        if not all(level.values()):
+            # a frontier of one node: which nodes of the other have an edge to it
+            near = "b" if not level["a"] else "a"
+            met = [materialize(joined(near, front[near], front["ab".replace(near, "")]), "paths-met")]
+        elif min(costs.values()) <= few or 16 * costs["a"] < costs["b"]:
+            near, far = sorted("ab", key=lambda k: costs[k])
+            met = [materialize(joined(near, front[near], front[far]), "paths-met")]
+        else:
+            met = tried()
+        found += met
+        for m in met:
+            open_ = open_.join(m, pair, "left_anti")
+        open_ = materialize(open_, "paths-open")
         if length == most or open_.isEmpty():
             break
-        front = {end: materialize(_dealt(front[end].join(open_, ["a", "b"], "left_semi"), "a", "b"), "paths-front") for end in "ab"}
+        if whole and min(costs.values()) > max(few, n_edges) // 4:
+            whole, part = False, _parts(once, degree)
+            for end in "ab":
+                open_ = open_.join(part.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}")), end)
+            open_ = materialize(open_.where("part_a = part_b").select(*pair), "paths-open")
+        for end in "ab":
+            front[end] = front[end].join(open_, pair, "left_semi")
+            front[end] = materialize(front[end], "paths-front") if level[end] else front[end]
         costs = {end: cost(front[end]) for end in "ab"}
         end = min("ab", key=lambda k: costs[k])
+        step = front[end].select(*pair, F.col("id").alias("src"), *held(end, "path")).join(e, "src").withColumnRenamed("dst", "id")
+        if level[end]:
+            best = F.min("path" if level[end] > 1 else "src").alias("best")
+            step = step.groupBy(*pair, "id").agg(best, F.first("n").alias("n"))
+            for old in (front[end], behind[end]):
+                step = step.join(old.select(*pair, "id"), [*pair, "id"], "left_anti")
+            best = told(end, "best", "best")
+            step = _dealt(step.select(*pair, "id", "n", (F.concat(F.array("id"), best) if end == "a" else F.concat(best, F.array("id"))).alias("path")), *pair)
+        else:
+            step = step.select(*pair, "id", "n")
         level[end] += 1
-        step = walk(front[end], "id").select("a", "b", "id").distinct().join(reached[end], ["a", "b", "id"], "left_anti")
-        front[end] = materialize(_dealt(step, "a", "b"), "paths-front")
+        behind[end], front[end] = front[end], materialize(step, "paths-front")
         costs[end] = cost(front[end])
-        reached[end] = reached[end].union(front[end].select("a", "b", "id", F.lit(level[end]).alias("hops")))
-    # nodes on some shortest path from the joining edges to b: a level nearer to b each step
-    found = materialize(found, "paths-found")
-    on = held = joins.select("a", "b", "id", "left") if joins is not None else reached["b"].limit(0).select("a", "b", "id", F.lit(0).alias("left"))
-    for _ in range(level["b"]):
-        nearer = reached["b"].select("a", "b", "id", F.col("hops").alias("near"))
-        on = walk(on.where("left > 0"), "id").join(nearer, ["a", "b", "id"]).where("near = left - 1").select("a", "b", "id", F.col("near").alias("left")).distinct()
-        on = materialize(_dealt(on, "a", "b"), "paths-level")
-        held = held.union(on)
-    far = reached["a"].join(found, ["a", "b"]).where("hops < length - left").select("a", "b", "id", F.col("hops").alias("place"))
-    placed = held.join(found.select("a", "b", "length"), ["a", "b"]).select("a", "b", "id", (F.col("length") - F.col("left")).alias("place"))
-    placed = materialize(_dealt(placed.union(far).distinct(), "a", "b"), "paths-placed")
-    path = materialize(found.select("a", "b", F.col("b").alias("id"), F.col("length").alias("place")), "paths-path")
-    whole = path
-    for _ in range(sum(level.values()) + 1):
-        back = walk(path.where("place > 0"), "id").withColumn("place", F.col("place") - 1).select("a", "b", "id", "place")
-        path = materialize(back.join(placed, ["a", "b", "id", "place"], "left_semi").groupBy("a", "b", "place").agg(F.min("id").alias("id")).select("a", "b", "id", "place"), "paths-path")
-        whole = whole.union(path)
-    return whole.select("a", "b", "place", F.col("id").alias("node_id"))
+    every = found[0]
+    for m in found[1:]:
+        every = every.union(m)
+    return every.select(*pair, F.size("back").alias("length"), F.posexplode(F.concat(F.array("b"), "back")).alias("at", "node_id")).select(*pair, (F.col("length") - F.col("at")).alias("place"), "node_id")
+
+
+def _parts(once: DataFrame, degree: DataFrame) -> DataFrame:
+    """``id, part``: the connected part of each node, named by one of its ids.
+
+    Nodes go to the smallest name among those that they are linked with, again and again; first along each node's edges to its smallest and
+    largest neighbour (``low``, ``high``), then along the edges that still link two parts.
+    """
+    part = degree.select("id", F.col("id").alias("part"))
+    for links in (degree.select(F.col("id").alias("src"), F.explode(F.array("low", "high")).alias("dst")), once):
+        while True:
+            for end in ("src", "dst"):
+                links = links.join(part.select(F.col("id").alias(end), F.col("part").alias(f"to_{end}")), end)
+            links = links.where("to_src <> to_dst").select(F.least("to_src", "to_dst").alias("src"), F.greatest("to_src", "to_dst").alias("dst")).distinct()
+            links = materialize(links, "paths-links")
+            if links.isEmpty():
+                break
+            up = both_ways(links).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("up")).select("id", F.least("id", "up").alias("up"))
+            up = materialize(up, "paths-up")
+            while True:
+                next_ = up.select(F.col("id").alias("up"), F.col("up").alias("further"))
+                up = materialize(up.join(next_, "up").select("id", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), "paths-up")
+                if up.where("moved").isEmpty():
+                    break
+                up = up.select("id", "up")
+            part = part.join(up.select(F.col("id").alias("part"), "up"), "part", "left").select("id", F.coalesce("up", "part").alias("part"))
+            part = materialize(part, "paths-parts")
+    return part
 
 
 #: Rows that a hash map of a task is meant for.

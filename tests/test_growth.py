@@ -49,6 +49,15 @@ def test_the_step_that_joins_a_pair_is_not_kept(spark, written):
     assert sum(rows(written, "paths-reached")) == 0 and max(rows(written, "paths-front")) < 60 + 5
 
 
+def test_joining_steps_are_tried_from_the_first_path_on(spark, written):
+    near, far = range(10, 50), range(100, 140)
+    edges = [(1, i) for i in near] + [(2, j) for j in far] + [(i, j) for i in near for j in far] + [(900, k) for k in range(901, 931)]
+    pairs = [(1, 2)] + [(i, 900) for i in near]  # the others have no path
+    found = G.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(pairs, "a long, b long"), 4, few=0)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 2, 0, 1), (1, 2, 1, 10), (1, 2, 2, 100), (1, 2, 3, 2)]
+    assert max(rows(written, "paths-front")) == 40 and sum(rows(written, "paths-met")) == 1  # of 1600 joining steps
+
+
 def test_like_chains_are_counted_and_no_rows(spark):
     from tessera.operators.similarity import _dtw, agreeing_chains
     from tessera.operators.vector_index import Params
