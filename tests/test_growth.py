@@ -80,6 +80,22 @@ def test_like_chains_are_counted_and_no_rows(spark):
         assert {(r[0], r[1]): r[2] for r in found} == want and len(want) < sum(want.values())
 
 
+def test_no_chain_is_written_for_each_block(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import vector_index as V
+    from tessera.operators.similarity import agreeing_chains
+
+    seen = []
+    real = V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, tag: (out := real(df, tag), seen.append(out.count()))[0])
+    rng = np.random.default_rng(4)
+    chains = [(i, i % 3, rng.normal(size=4).tolist(), [rng.normal(size=4).tolist() for _ in range(1 + i % 2)]) for i in range(120)]
+    chains = spark.createDataFrame(chains, "node_id long, agent_id int, embedding array<double>, steps array<array<double>>")
+    found = agreeing_chains(chains, -1.0, 0.0, V.Params(block=8, query_block=8, together=4))
+    assert found.groupBy().sum("n").first()[0] == 120 * 119 and seen and max(seen) <= 120
+
+
 def test_pagerank_iterates_no_end_without_edges(spark, written):
     edges = spark.createDataFrame([(1, -i, 1.0) for i in range(1, 40)] + [(2, 1, 1.0)], "src long, dst long, weight double")
     got = {r.id: r["rank"] for r in G.personalized_pagerank(edges, spark.createDataFrame([(1, 1.0), (-1, 1.0)], "id long, weight double"), rounds=4).collect()}
